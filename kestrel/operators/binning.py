@@ -137,7 +137,7 @@ def bin_language(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                       * 10.0).cast("int")
         word = F.element_at(words, F.least(idx, F.lit(9)) + 1)
         out = out.withColumn(c, F.when(F.col(f"__nu_{c}") > 1, word)
-                             .otherwise(F.col(quote_ident(c))))
+                             .otherwise(F.col(quote_ident(c)).cast("string")))
     return _drop_stats(out)
 
 

@@ -7,8 +7,6 @@ identically as ``VALUES`` in the oracle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,30 +14,7 @@ from kestrel.operators import orders as ords
 from kestrel.plans import bindings as B
 from kestrel.plans import density
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-    return deco
-
-
-def _values(rows, names) -> str:
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''") + "'"
-        if isinstance(v, (list, tuple)):
-            return "[" + ", ".join(lit(x) for x in v) + "]"
-        return repr(v)
-    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {body}) AS t({', '.join(names)})"
+from kestrel.plans.registry import QUERIES, SQL, register, sql_values as _values  # noqa: E402,F401
 
 
 FACTORS_VALUES = _values(B.MIXED_FACTORS, ["name", "description", "possible_values",
@@ -122,3 +97,7 @@ SELECT b.*, t.score,
        CAST(row_number() OVER (ORDER BY t.score DESC, t.row_id) AS INTEGER) AS rank
 FROM base b JOIN top t USING (row_id)
 """)
+
+
+# the stage catalogues register themselves on import
+from kestrel.plans import q_prep  # noqa: E402,F401
