@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kestrel.functions.exprs import hash_key, hash_num
 from kestrel.functions.prefix import prefix_sums
+from kestrel.session import cut_lineage
 
 METRIC_NAMES = ["AUC-ROC", "AUC-PR", "F1", "P", "R"]
 
@@ -33,17 +34,38 @@ def _invalid_groups(df: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
     return g.agg(F.max(bad.cast("int")).alias("__invalid"))
 
 
+def _cumulated(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """Distinct scores per group with counts of strictly higher scores
+    (``pos_before``, ``neg_before``) and the group totals ``P``/``N``.  One
+    bucketed prefix sum serves AUC-ROC, AUC-PR and the F1 cut."""
+    d = _distinct_scores(df, score, label, by)
+    c = prefix_sums(d, by, score, ["pos", "neg"], descending=True)
+    g = c.groupBy(*by) if by else c.groupBy()
+    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    # totals: one row per group (methods x splits), bounded
+    return c.join(F.broadcast(tot), by, "inner") if by else c.crossJoin(F.broadcast(tot))
+
+
+def _auc_expr() -> Column:
+    below = F.col("N") - F.col("neg_before") - F.col("neg")
+    return (F.sum(F.col("pos") * (below + 0.5 * F.col("neg")))
+            / (F.max("P") * F.max("N")))
+
+
+def _ap_expr() -> Column:
+    tp = F.col("pos_before") + F.col("pos")
+    fp = F.col("neg_before") + F.col("neg")
+    return F.sum(F.col("pos") * tp / (tp + fp)) / F.max("P")
+
+
 def auc_roc(df: DataFrame, score: str = "score", label: str = "label",
             by: Sequence[str] = ()) -> DataFrame:
     """J1 — Mann-Whitney AUC with tied scores sharing rank: each positive counts
     the negatives below its score plus half of the tied negatives."""
     by = list(by)
-    d = _distinct_scores(df, score, label, by)
-    c = prefix_sums(d, by, score, ["neg"])
+    c = _cumulated(df, score, label, by)
     g = c.groupBy(*by) if by else c.groupBy()
-    return g.agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
-         / (F.sum("pos") * F.sum("neg"))).alias("auc_roc"))
+    return g.agg(_auc_expr().alias("auc_roc"))
 
 
 def average_precision(df: DataFrame, score: str = "score", label: str = "label",
@@ -51,39 +73,76 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label",
     """J2 — step-wise average precision over distinct thresholds (high to low):
     sum of (recall increase) x (precision at the threshold)."""
     by = list(by)
-    d = _distinct_scores(df, score, label, by)
-    c = prefix_sums(d, by, score, ["pos", "neg"], descending=True)
-    tp = F.col("pos_before") + F.col("pos")
-    fp = F.col("neg_before") + F.col("neg")
+    c = _cumulated(df, score, label, by)
     g = c.groupBy(*by) if by else c.groupBy()
-    return g.agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.sum("pos")).alias("auc_pr"))
+    return g.agg(_ap_expr().alias("auc_pr"))
+
+
+def _group_summary(c: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """One aggregation over the cumulated distinct scores per group: AUC-ROC,
+    AUC-PR, true positives of score groups entirely inside the top k = P, and
+    the cut (score straddling k, and how many of its rows are still taken)."""
+    cnt_before = F.col("pos_before") + F.col("neg_before")
+    cnt = F.col("pos") + F.col("neg")
+    inside = cnt_before + cnt <= F.col("P")
+    straddle = (cnt_before < F.col("P")) & (cnt_before + cnt > F.col("P"))
+    return c.groupBy(*by).agg(
+        F.max("P").alias("P"),
+        _auc_expr().alias("auc_roc"), _ap_expr().alias("auc_pr"),
+        F.sum(F.when(inside, F.col("pos")).otherwise(0)).alias("tp_full"),
+        F.max(F.when(straddle, F.struct(F.col(score).alias("s"),
+                                        (F.col("P") - cnt_before).alias("m")))).alias("__cut"))
+
+
+def _tp_at_k(df: DataFrame, summary: DataFrame, score: str, label: str, row_id: str,
+             by: list[str], seed) -> DataFrame:
+    """True positives among the top k = P rows per group.  Score groups entirely
+    above the cut count all their positives; only the rows tied *at* the cut are
+    ordered by ``md5(seed|row_id)`` (bucketed prefix sum on the hash)."""
+    # the summary is one row per group and is read several times below:
+    # materialize it once (reliable checkpoint) instead of re-running its plan
+    summary = cut_lineage(summary)
+    cut = summary.where(F.col("__cut").isNotNull()).select(
+        *by, F.col("__cut.s").alias("__cs"), F.col("__cut.m").alias("__m"))
+    # at most one cut row per group: broadcast is bounded by the number of groups
+    ties = (df.join(F.broadcast(cut), by, "inner").where(F.col(score) == F.col("__cs"))
+            .withColumn("__h", hash_num(seed, F.col(row_id)))
+            .withColumn("__hs", hash_key(seed, F.col(row_id)))
+            .withColumn("__one", F.lit(1)))
+    ties = prefix_sums(ties, by, "__h", ["__one"], tiebreak=["__hs", row_id])
+    tp_tie = (ties.where(F.col("__one_before") < F.col("__m"))
+              .groupBy(*by).agg(F.sum(F.col(label).cast("long")).alias("tp_tie")))
+    return (summary.join(tp_tie, by, "left")
+            .withColumn("tp", F.col("tp_full") + F.coalesce(F.col("tp_tie"), F.lit(0)))
+            .drop("tp_tie", "__cut"))
+
+
+def _prf(tp: DataFrame, by: list[str], keep: Sequence[str] = ()) -> DataFrame:
+    prec = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(0.0)
+    return tp.select(*by, *keep, prec.alias("precision"), prec.alias("recall")).withColumn(
+        "f1", F.when(F.col("precision") + F.col("recall") > 0,
+                     2 * F.col("precision") * F.col("recall")
+                     / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
 def predict_top_k(df: DataFrame, score: str = "score", label: str = "label",
-                  row_id: str = "row_id", by: Sequence[str] = (), seed: int = 0,
-                  k: DataFrame | None = None) -> DataFrame:
-    """J3 helper — flag the ``k`` highest scores per group as predicted anomalies
-    (``k`` = number of true anomalies unless a table ``(by..., k)`` is given).
-    Ties at the cut are broken by ``md5(seed|row_id)`` ascending.
-
-    Only the rows tied at the cut score are ordered (bucketed prefix sum on the
-    hash), every other row is decided by comparing its score with the cut."""
+                  row_id: str = "row_id", by: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """J3 helper — flag the ``k`` (= number of true anomalies) highest scores per
+    group as predicted anomalies; ties at the cut broken by ``md5(seed|row_id)``.
+
+    Rows are decided by comparing their score with the group's cut score; only
+    the rows tied at the cut are ordered (bucketed prefix sum on the hash)."""
     by = list(by)
     whole = not by
     if whole:  # one group: a constant key keeps the joins below outer joins
         df = df.withColumn("__all", F.lit(0))
         by = ["__all"]
-        if k is not None:
-            k = k.withColumn("__all", F.lit(0))
-    d = _distinct_scores(df, score, label, by).withColumn("cnt", F.col("pos") + F.col("neg"))
-    ks = k if k is not None else d.groupBy(*by).agg(F.sum("pos").alias("k"))
-    c = prefix_sums(d, by, score, ["cnt"], descending=True)
-    cj = c.join(F.broadcast(ks), by, "inner")
-    # the cut: the one score value whose group straddles k (bounded: one row per group)
-    cut = (cj.where((F.col("cnt_before") < F.col("k")) & (F.col("cnt_before") + F.col("cnt")
-                                                          >= F.col("k")))
-           .select(*by, F.col(score).alias("__cut"), (F.col("k") - F.col("cnt_before"))
-                   .alias("__m")))
+    c = _cumulated(df, score, label, by)
+    cnt_before = F.col("pos_before") + F.col("neg_before")
+    cut = (c.where((cnt_before < F.col("P")) & (cnt_before + F.col("pos") + F.col("neg")
+                                                >= F.col("P")))
+           .select(*by, F.col(score).alias("__cut"), (F.col("P") - cnt_before).alias("__m")))
+    cut = cut_lineage(cut)  # one row per group, read by both branches below
     rows = df.join(F.broadcast(cut), by, "left")
     above = rows.where(F.col("__cut").isNull() | (F.col(score) != F.col("__cut"))).withColumn(
         "predicted", F.when(F.col(score) > F.col("__cut"), 1).otherwise(0))
@@ -100,42 +159,41 @@ def predict_top_k(df: DataFrame, score: str = "score", label: str = "label",
 
 def prf_at_k(df: DataFrame, score: str = "score", label: str = "label",
              row_id: str = "row_id", by: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """J3 — precision, recall and F1 at k = number of true anomalies; 0 on a zero
-    division."""
+    """J3 — precision, recall and F1 at k = number of true anomalies (so P = R);
+    0 on a zero division."""
     by = list(by)
-    p = predict_top_k(df, score, label, row_id, by, seed)
-    g = p.groupBy(*by) if by else p.groupBy()
-    agg = g.agg(F.sum(F.col("predicted") * F.col(label)).alias("tp"),
-                F.sum("predicted").alias("n_pred"), F.sum(label).alias("n_pos"))
-    prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
-    rec = F.when(F.col("n_pos") > 0, F.col("tp") / F.col("n_pos")).otherwise(0.0)
-    return agg.select(*by, prec.alias("precision"), rec.alias("recall")).withColumn(
-        "f1", F.when(F.col("precision") + F.col("recall") > 0,
-                     2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-        .otherwise(0.0))
+    whole = not by
+    if whole:
+        df = df.withColumn("__all", F.lit(0))
+        by = ["__all"]
+    summ = _group_summary(_cumulated(df, score, label, by), score, by)
+    out = _prf(_tp_at_k(df, summ, score, label, row_id, by, seed), by)
+    return out.drop("__all") if whole else out
 
 
 def evaluate(df: DataFrame, score: str = "score", label: str = "label",
              row_id: str = "row_id", by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """J1+J2+J3+J6 — long table ``(by..., metric, value)``; a group with a NaN or
-    infinite score gets 0 for every metric."""
+    infinite score gets 0 for every metric.  One distinct-score cumulation feeds
+    all metrics."""
     by = list(by)
+    whole = not by
+    if whole:
+        df = df.withColumn("__all", F.lit(0))
+        by = ["__all"]
     inv = _invalid_groups(df, score, by)
-    valid = (df.join(inv, by, "inner") if by else df.crossJoin(inv)).where(
-        F.col("__invalid") == 0).drop("__invalid")
-    a = auc_roc(valid, score, label, by)
-    ap = average_precision(valid, score, label, by)
-    prf = prf_at_k(valid, score, label, row_id, by, seed)
-    wide = (a.join(ap, by, "full").join(prf, by, "full") if by
-            else a.crossJoin(ap).crossJoin(prf))
-    wide = (inv.join(wide, by, "left") if by else inv.crossJoin(wide))
+    valid = df.join(F.broadcast(inv.where(F.col("__invalid") == 0).select(*by)), by, "left_semi")
+    summ = _group_summary(_cumulated(valid, score, label, by), score, by)
+    tp = _tp_at_k(valid, summ, score, label, row_id, by, seed)
+    wide = inv.join(_prf(tp, by, keep=["auc_roc", "auc_pr"]), by, "left")
     vals = {"AUC-ROC": "auc_roc", "AUC-PR": "auc_pr", "F1": "f1", "P": "precision",
             "R": "recall"}
     out = wide.select(*by, "__invalid", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value"))
         for m, c in vals.items()])).alias("m"))
-    return out.select(*by, "m.metric", F.when(F.col("__invalid") == 1, F.lit(0.0))
-                      .otherwise(F.col("m.value")).alias("value"))
+    out = out.select(*by, "m.metric", F.when(F.col("__invalid") == 1, F.lit(0.0))
+                     .otherwise(F.col("m.value")).alias("value"))
+    return out.drop("__all") if whole else out
 
 
 def top_anomalies(scores: DataFrame, rows: DataFrame, row_id: str = "row_id",
