@@ -94,3 +94,80 @@ LINEITEM_FACTORS_SQL = """
 
 FACTOR_COLS = ["returnflag", "linestatus", "qty_bucket", "disc_bucket", "ship_month",
                "ship_dow3"]
+
+
+# ------------------------------------------------------------------ graph role
+def nation_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations ranked inside their region by total customer balance (desc)."""
+    from pyspark.sql.window import Window
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+        F.sum("c_acctbal").alias("bal"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    j = n.join(c, n.n_nationkey == c.c_nationkey, "left").select(
+        "n_name", "n_regionkey", F.coalesce("bal", F.lit(0.0)).alias("bal"))
+    # 5 nations per region: the window partitions are fixed-size
+    w = Window.partitionBy("n_regionkey").orderBy(F.desc("bal"), "n_name")
+    return j.withColumn("rk", F.row_number().over(w))
+
+
+def nation_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoint-form graph over nations, derived from customer balances.
+
+    Graph ``dag``: inside each region the nation ranked i points to rank i+1
+    (i = 1..3; rank 5 stays unconnected); rank-1 nations of consecutive regions
+    are joined by an undirected pair (-1/-1).  Graph ``cyclic``: the same plus a
+    back edge rank 4 -> rank 1 in region 0.  The ranking is read once: one row
+    per region with its ranked nations, from which every edge is generated."""
+    from pyspark.sql.window import Window
+    r = nation_ranks(spark, sf_dir)
+    per = r.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("rk", "n_name"))), lambda x: x["n_name"]).alias("ns"))
+    # 5 regions: a window over the region rows is fixed-size
+    per = per.withColumn("next_top", F.lead(F.element_at("ns", 1)).over(
+        Window.orderBy("n_regionkey")))
+
+    def pair(a, b, v_ab, v_ba, gid):
+        return [F.struct(F.lit(gid).alias("graph_id"), a.alias("src"), b.alias("dst"),
+                         F.lit(v_ab).alias("value")),
+                F.struct(F.lit(gid).alias("graph_id"), b.alias("src"), a.alias("dst"),
+                         F.lit(v_ba).alias("value"))]
+    items = []
+    for gid in ("dag", "cyclic"):
+        for i in (1, 2, 3):
+            items += pair(F.element_at("ns", i), F.element_at("ns", i + 1), -1.0, 1.0, gid)
+        items += pair(F.element_at("ns", 1), F.col("next_top"), -1.0, -1.0, gid)
+    back = pair(F.element_at("ns", 4), F.element_at("ns", 1), -1.0, 1.0, "cyclic")
+    e = per.select("n_regionkey", F.explode(F.array(*items)).alias("e")).unionByName(
+        per.where(F.col("n_regionkey") == 0).select("n_regionkey",
+                                                   F.explode(F.array(*back)).alias("e")))
+    return (e.select("e.*").where(F.col("src").isNotNull() & F.col("dst").isNotNull()))
+
+
+def nation_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.explode(F.array(F.lit("dag"), F.lit("cyclic"))).alias("graph_id"),
+                    F.col("n_name").alias("node"))
+
+
+NATION_RANKS_SQL = """
+  SELECT n_name, n_regionkey, coalesce(bal, 0.0) AS bal,
+         row_number() OVER (PARTITION BY n_regionkey ORDER BY coalesce(bal, 0.0) DESC, n_name) AS rk
+  FROM nation LEFT JOIN (SELECT c_nationkey, sum(c_acctbal) AS bal FROM customer GROUP BY 1)
+       ON n_nationkey = c_nationkey
+"""
+
+NATION_EDGES_SQL = f"""
+  WITH r AS ({NATION_RANKS_SQL}),
+  chain AS (SELECT x.n_name AS a, y.n_name AS b FROM r x JOIN r y
+            ON x.n_regionkey = y.n_regionkey AND y.rk = x.rk + 1 AND x.rk <= 3),
+  und AS (SELECT x.n_name AS a, y.n_name AS b FROM r x JOIN r y
+          ON y.n_regionkey = x.n_regionkey + 1 AND x.rk = 1 AND y.rk = 1),
+  back AS (SELECT x.n_name AS a, y.n_name AS b FROM r x, r y
+           WHERE x.n_regionkey = 0 AND x.rk = 4 AND y.n_regionkey = 0 AND y.rk = 1),
+  dag AS (SELECT a AS src, b AS dst, -1.0 AS value FROM chain
+          UNION ALL SELECT b, a, 1.0 FROM chain
+          UNION ALL SELECT a, b, -1.0 FROM und UNION ALL SELECT b, a, -1.0 FROM und)
+  SELECT 'dag' AS graph_id, * FROM dag
+  UNION ALL SELECT 'cyclic', * FROM dag
+  UNION ALL SELECT 'cyclic', a, b, -1.0 FROM back UNION ALL SELECT 'cyclic', b, a, 1.0 FROM back
+"""

@@ -100,4 +100,4 @@ FROM base b JOIN top t USING (row_id)
 
 
 # the stage catalogues register themselves on import
-from kestrel.plans import q_prep, q_eval  # noqa: E402,F401
+from kestrel.plans import q_prep, q_eval, q_graph  # noqa: E402,F401
