@@ -48,14 +48,14 @@ def _cumulated(df: DataFrame, score: str, label: str, by: list[str]) -> DataFram
 
 def _auc_expr() -> Column:
     below = F.col("N") - F.col("neg_before") - F.col("neg")
-    return (F.sum(F.col("pos") * (below + 0.5 * F.col("neg")))
-            / (F.max("P") * F.max("N")))
+    return F.try_divide(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))),
+                        (F.max("P") * F.max("N")).cast("double"))
 
 
 def _ap_expr() -> Column:
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("neg_before") + F.col("neg")
-    return F.sum(F.col("pos") * tp / (tp + fp)) / F.max("P")
+    return F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.max("P").cast("double"))
 
 
 def auc_roc(df: DataFrame, score: str = "score", label: str = "label",

@@ -307,3 +307,9 @@ def q_permutations(spark, sf_dir):
 
 
 
+
+
+@register("bench_topo_diverse")
+def q_bench_topo_diverse(spark, sf_dir):
+    """10,000 randomized Kahn attempts on the nation DAG, then 200 diverse orders."""
+    return G.select_diverse(sampled_orders(spark, sf_dir, 1000, 10_000), 200, seed=0)
