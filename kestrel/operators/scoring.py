@@ -219,3 +219,121 @@ def row_scores(scores: DataFrame, weights: DataFrame | None, n_perms: int) -> Da
     s = _multiplier(scores, weights)
     return (s.groupBy("row_id")
             .agg((F.sum(F.col("nll") * F.col("__mult")) / F.lit(float(n_perms))).alias("score")))
+
+
+# ----------------------------------------------------------------- token level
+def token_table(df: DataFrame, row_id: str, text_col: str, pattern: str | None = None,
+                lower: bool = True, extra: Sequence[str] = ()) -> DataFrame:
+    """Tokens of a whole text with positions: ``(row_id, pos, token, prev)``.
+    ``prev`` is the preceding token ('' at position 0), taken inside the same
+    array (no window, no shuffle)."""
+    from kestrel.operators.text import TOKEN_PATTERN
+    txt = F.col(quote_ident(text_col))
+    toks = F.regexp_extract_all(F.lower(txt) if lower else txt, F.lit(pattern or TOKEN_PATTERN), 0)
+    t = df.select(F.col(quote_ident(row_id)).alias("row_id"), *extra, toks.alias("__t"))
+    return t.select("row_id", *extra, F.posexplode("__t").alias("pos", "token"), "__t").select(
+        "row_id", *extra, "pos", "token",
+        F.when(F.col("pos") == 0, F.lit(START)).otherwise(
+            F.element_at("__t", F.col("pos"))).alias("prev"))
+
+
+def fit_text_model(train_tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """I5 (fit) — bigram counts ``(prev, token, n)``, context counts
+    ``(prev, n_ctx)`` and the vocabulary size (one row)."""
+    big = train_tokens.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
+    ctx = train_tokens.groupBy("prev").agg(F.count(F.lit(1)).alias("n_ctx"))
+    vocab = train_tokens.agg(F.count_distinct("token").alias("V"))
+    return big, ctx, vocab
+
+
+def score_text_nll(tokens: DataFrame, model, alpha: float = 1.0) -> DataFrame:
+    """I5 — per-token ``-ln((n(prev,tok)+a)/(n(prev)+a V))`` and the
+    length-normalized row score ``(row_id, score, n_tokens)``."""
+    big, ctx, vocab = model
+    t = (tokens.join(big, ["prev", "token"], "left").join(ctx, "prev", "left")
+         .crossJoin(F.broadcast(vocab)))  # one row
+    nll = -F.ln((F.coalesce("n", F.lit(0)) + alpha) / (F.coalesce("n_ctx", F.lit(0)) + alpha * F.col("V")))
+    return t.groupBy("row_id").agg(F.avg(nll).alias("score"), F.count(F.lit(1)).alias("n_tokens"))
+
+
+def token_nll(tokens: DataFrame, model, alpha: float = 1.0) -> DataFrame:
+    """Per-token NLL ``(row_id, pos, nll)`` under the bigram model."""
+    big, ctx, vocab = model
+    t = (tokens.join(big, ["prev", "token"], "left").join(ctx, "prev", "left")
+         .crossJoin(F.broadcast(vocab)))
+    return t.select("row_id", "pos", (-F.ln((F.coalesce("n", F.lit(0)) + alpha)
+                                           / (F.coalesce("n_ctx", F.lit(0)) + alpha * F.col("V")))).alias("nll"))
+
+
+def value_spans(df: DataFrame, row_id: str, orders, cols) -> DataFrame:
+    """I9 helper — token spans of each column in a serialized row
+    (``" col is value "`` joined by ``,``; whitespace tokens): a column occupies
+    its name tokens (``col``, ``is``), its value tokens and one separator.  The
+    attributed span is ``[start + len(name) - 1, start + len(name) + len(value))``
+    — the value tokens plus the token before them, in shifted positions."""
+    olist = orders if isinstance(orders, list) else orders_list(orders)
+    items = []
+    for oid, ocols in olist:
+        off = F.lit(0)
+        for c in ocols:
+            name_len = len(c.split()) + 1
+            v = F.coalesce(F.nullif(F.trim(F.col(quote_ident(c)).cast("string")), F.lit("")), F.lit(NULL_TOKEN))
+            vlen = F.size(F.regexp_extract_all(v, F.lit(r"\S+"), 0))
+            items.append(F.struct(F.lit(oid).alias("perm_id"), F.lit(c).alias("col"),
+                                  (off + name_len - 1).alias("start"),
+                                  (off + name_len + vlen).alias("end")))
+            off = off + name_len + vlen + 1
+    return df.select(F.col(quote_ident(row_id)).alias("row_id"), F.inline(F.array(*items)))
+
+
+def attribute_tokens(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """I9 — sum the token NLLs ``(row_id, perm_id, pos, nll)`` falling into each
+    column span ``[start, end)``: an equi-join on (row, permutation) — a row's
+    own tokens and spans — then the interval filter."""
+    j = tokens.join(spans, ["row_id", "perm_id"]).where(
+        (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
+    return j.groupBy("row_id", "perm_id", "col").agg(F.sum("nll").alias("nll"))
+
+
+def eval_summary(scores: DataFrame, labels: DataFrame, score: str = "score") -> DataFrame:
+    """I11 — mean score overall, on normal and on anomalous rows, and AUC-ROC."""
+    from kestrel.operators.metrics import auc_roc
+    j = scores.join(labels, "row_id")
+    means = j.agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_all"),
+                  F.avg(F.when(F.col("label") == 0, F.col(score))).alias("mean_normal"),
+                  F.avg(F.when(F.col("label") == 1, F.col(score))).alias("mean_anomaly"))
+    return means.crossJoin(auc_roc(j, score, "label"))
+
+
+def score_with(df: DataFrame, fn, schema: str = "row_id long, perm_id int, pos int, nll double"
+               ) -> DataFrame:
+    """I12 — apply a user batch scorer (pandas DataFrame -> token NLL rows) with
+    ``mapInPandas``; Arrow batches, one Python worker per task."""
+    def run(it):
+        for pdf in it:
+            yield fn(pdf)
+    return df.mapInPandas(run, schema)
+
+
+def pairwise_cosine(df: DataFrame, vec: str, by: str) -> DataFrame:
+    """I13 — mean pairwise cosine within each group without a self-join: with unit
+    vectors u, ``sum_{i<j} cos = (||sum u||^2 - n) / 2``."""
+    unit = df.select(by, F.transform(vec, lambda x: x.cast("double")).alias("__v"))
+    unit = unit.select(by, "__v", F.sqrt(F.aggregate("__v", F.lit(0.0), lambda a, x: a + x * x)).alias("__n"))
+    unit = unit.select(by, F.transform("__v", lambda x: x / F.col("__n")).alias("__u"))
+    per = (unit.select(by, F.posexplode("__u").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("s")))
+    sq = per.groupBy(by).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
+    n = unit.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return sq.join(n, by).select(by, "n", F.when(F.col("n") > 1, (F.col("ss") - F.col("n"))
+                                                 / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
+
+
+def centroid_distance(df: DataFrame, vec: str, is_anomaly) -> DataFrame:
+    """I13 — mean squared distance of anomalous vectors to the normal centroid."""
+    v = df.select(F.transform(vec, lambda x: x.cast("double")).alias("__v"), is_anomaly.alias("__a"))
+    cen = (v.where(~F.col("__a")).select(F.posexplode("__v").alias("i", "x"))
+           .groupBy("i").agg(F.avg("x").alias("c")))
+    an = v.where(F.col("__a")).withColumn("__rid", F.monotonically_increasing_id())
+    d = (an.select("__rid", F.posexplode("__v").alias("i", "x")).join(F.broadcast(cen), "i")
+         .groupBy("__rid").agg(F.sum((F.col("x") - F.col("c")) ** 2).alias("d2")))
+    return d.agg(F.avg("d2").alias("mean_sq_distance"), F.count(F.lit(1)).alias("n_anomalies"))

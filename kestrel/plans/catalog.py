@@ -101,3 +101,4 @@ FROM base b JOIN top t USING (row_id)
 
 # the stage catalogues register themselves on import
 from kestrel.plans import q_prep, q_eval, q_graph, q_causal, q_text, q_detect  # noqa: E402,F401
+from kestrel.plans import q_scoring  # noqa: E402,F401
