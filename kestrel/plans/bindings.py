@@ -171,3 +171,18 @@ NATION_EDGES_SQL = f"""
   UNION ALL SELECT 'cyclic', * FROM dag
   UNION ALL SELECT 'cyclic', a, b, -1.0 FROM back UNION ALL SELECT 'cyclic', b, a, 1.0 FROM back
 """
+
+
+def order_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discrete factor matrix keyed by the (unique) order key."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("row_id"),
+                    F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1)
+                    .otherwise(2).alias("status"),
+                    (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"),
+                    F.least(F.floor(F.col("o_totalprice") / 100000), F.lit(4)).cast("int").alias("size"),
+                    F.month("o_orderdate").alias("month"),
+                    F.pmod(F.dayofweek("o_orderdate"), F.lit(3)).alias("dow3"))
+
+
+ORDER_FACTOR_COLS = ["status", "priority", "size", "month", "dow3"]

@@ -103,3 +103,4 @@ FROM base b JOIN top t USING (row_id)
 from kestrel.plans import q_prep, q_eval, q_graph, q_causal, q_text, q_detect  # noqa: E402,F401
 from kestrel.plans import q_scoring  # noqa: E402,F401
 from kestrel.plans import q_io  # noqa: E402,F401
+from kestrel.plans import q_annotate  # noqa: E402,F401
