@@ -60,3 +60,18 @@ def test_range_lookup_matches_naive(spark):
     for pid, x in probes:
         hits = [(o, v) for lo, hi, v, o in ranges if lo < x < hi]
         assert got[pid] == (min(hits)[1] if hits else "Unknown")
+
+
+def test_stream_scores_equal_batch_scores(spark):
+    from kestrel.plans import q_stream as Q
+    from kestrel.session import table
+    from kestrel.streaming import scoring as S
+    sf = "/root/testdata/sf0.001"
+    s = Q.q_stream_scores(spark, sf)
+    binner, orders, model = Q.event_model(spark, sf)
+    feats = S.stream_features(table(spark, sf, "events"), "ts", "value", binner)
+    b = I.row_scores(I.score_nll(feats, "event_id", model, orders), None, len(orders))
+    got = {r.event_id: r.score for r in s.collect()}
+    want = {r.row_id: r.score for r in b.collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
