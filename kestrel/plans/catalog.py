@@ -105,3 +105,4 @@ from kestrel.plans import q_scoring  # noqa: E402,F401
 from kestrel.plans import q_io  # noqa: E402,F401
 from kestrel.plans import q_annotate  # noqa: E402,F401
 from kestrel.plans import q_stream  # noqa: E402,F401
+from kestrel.plans import q_compose  # noqa: E402,F401
