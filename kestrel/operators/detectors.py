@@ -164,33 +164,32 @@ def iforest_fit(train: DataFrame, cols: Sequence[str], n_trees: int = 100, psi:
                 seed: int = 0, row_id: str = "row_id") -> DataFrame:
     """L4 (fit) — ``(tree_id, node, feature, threshold, left, right, size)``.
 
-    Each tree's sample: rows pass a per-(row, tree) hash filter with rate
-    ``3 psi / n`` (expected 3 psi candidates, emitted without materializing
-    rows x trees), then the ``psi`` smallest hashes per tree are kept (a window
-    over at most a few hundred rows per tree)."""
+    Each tree's sample: every row keeps the trees whose hash
+    ``xxhash64(seed, tree, row)`` falls below a rate of ``3 psi / n`` (expected 3
+    psi candidates per tree, emitted without materializing rows x trees), then
+    the ``psi`` smallest hashes per tree are kept (a window over a few hundred
+    rows per tree).  The sample (trees x psi rows) is materialized once with a
+    reliable checkpoint; trees grow in parallel, one ``applyInPandas`` group each."""
     from pyspark.sql.window import Window
+    from kestrel.session import cut_lineage
     cols = list(cols)
     n = train.count()
     psi_eff = min(psi, n)
     rate = min(1.0, 3.0 * psi_eff / max(n, 1))
-    scale = float(2 ** 60)
     x = train.select(F.col(quote_ident(row_id)).alias("row_id"), *[_c(c).alias(c) for c in cols])
+    mask = F.lit((1 << 53) - 1)
 
-    def h(t):
-        return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), t.cast("string"),
-                                                    F.col("row_id").cast("string"))), 1, 15), 16, 10
-                      ).cast("double") / scale
+    def u(t):  # uniform in [0, 1) from a 64-bit hash (JVM codegen, no string hashing)
+        return (F.xxhash64(F.lit(seed), t, F.col("row_id")).bitwiseAND(mask)).cast("double") / float(1 << 53)
     while True:
-        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < F.lit(rate))
+        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(rate))
         cand = x.select("*", F.explode(trees).alias("tree_id")).withColumn(
-            "__h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tree_id").cast("string"),
-                                     F.col("row_id").cast("string"))))
+            "__h", F.xxhash64(F.lit(seed + 1), F.col("tree_id"), F.col("row_id")))
         w = Window.partitionBy("tree_id").orderBy("__h", "row_id")
-        samp = cand.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= psi_eff)
+        samp = cut_lineage(cand.withColumn("__r", F.row_number().over(w))
+                           .where(F.col("__r") <= psi_eff).drop("__r", "__h"))
         counts = samp.groupBy("tree_id").count().collect()
-        if len(counts) == n_trees and min(r["count"] for r in counts) >= psi_eff:
-            break
-        if rate >= 1.0:
+        if (len(counts) == n_trees and min(r["count"] for r in counts) >= psi_eff) or rate >= 1.0:
             break
         rate = min(1.0, rate * 2)
     schema = ("tree_id int, node int, feature int, threshold double, left int, right int, "
@@ -223,25 +222,31 @@ def iforest_score(forest: DataFrame, test: DataFrame, cols: Sequence[str], psi:
     cpsi = float(_c_factor(np.array([psi]))[0]) if psi > 1 else 1.0
 
     def score(it):
-        f, th, lf, rt, sz = bc.value
+        f, th, lf, rt, sz = (a.ravel() for a in bc.value)
+        n_t = bc.value[0].shape[0]
+        base = (np.arange(n_t, dtype=np.int64) * max_nodes)[None, :]
         for pdf in it:
             xv = pdf[cols].to_numpy(dtype=float)
             m = len(xv)
-            total = np.zeros(m)
-            for t in range(f.shape[0]):
-                node = np.zeros(m, dtype=np.int64)
-                depth = np.zeros(m)
-                active = f[t, node] >= 0
-                while active.any():
-                    ft = f[t, node[active]]
-                    go_left = xv[active, ft] < th[t, node[active]]
-                    node[active] = np.where(go_left, lf[t, node[active]], rt[t, node[active]])
-                    depth[active] += 1
-                    active = f[t, node] >= 0
-                total += depth + _c_factor(sz[t, node])
+            idx = np.broadcast_to(base, (m, n_t)).copy()  # flat (tree, node) index
+            depth = np.zeros((m, n_t), dtype=np.float64)
+            # level-synchronous walk of all trees at once on flat arrays
+            while True:
+                ft = f.take(idx)
+                active = ft >= 0
+                if not active.any():
+                    break
+                val = np.take_along_axis(xv, np.where(active, ft, 0), axis=1)
+                nxt = np.where(val < th.take(idx), lf.take(idx), rt.take(idx)) + base
+                idx = np.where(active, nxt, idx)
+                depth += active
+            total = (depth + _c_factor(sz.take(idx))).sum(axis=1)
             yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(),
-                                "score": np.power(2.0, -(total / f.shape[0]) / cpsi)})
+                                "score": np.power(2.0, -(total / n_t) / cpsi)})
     x = test.select(F.col(quote_ident(row_id)).alias("row_id"), *[_c(c).alias(c) for c in cols])
+    par = test.sparkSession.sparkContext.defaultParallelism
+    if x.rdd.getNumPartitions() < par:  # Python-side work: use every core
+        x = x.repartition(par)
     rid_type = dict(x.dtypes)["row_id"]
     return x.mapInPandas(score, f"row_id {rid_type}, score double")
 
