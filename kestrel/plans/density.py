@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.operators import binning, metrics, orders as ords, scoring
+from kestrel.session import cut_lineage
 
 
 def density_scores(df: DataFrame, row_id: str, label: str, cols: Sequence[str],
                    n_perms: int = 3, seed: int = 0, alpha: float = 1.0,
                    weights: DataFrame | None = None, method: str = "standard",
-                   n_buckets: int = 10, train_filter=None) -> DataFrame:
+                   n_buckets: int = 10, train_filter=None, materialize: bool = True) -> DataFrame:
     """Mean weighted NLL per row over ``n_perms`` column permutations.
 
     The model is fitted on the normal rows (``label = 0``) unless ``train_filter``
@@ -27,6 +28,11 @@ def density_scores(df: DataFrame, row_id: str, label: str, cols: Sequence[str],
     spark = df.sparkSession
     numeric = binning.numeric_columns(df, cols)
     binned = binning.normalize(df.select(row_id, label, *cols), method, n_buckets, numeric)
+    if materialize:
+        # the binned table feeds the statistics, every count of the fit and the
+        # scoring: write it once (reliable checkpoint) instead of re-deriving the
+        # joins and binning statistics for each consumer
+        binned = cut_lineage(binned)
     perms = scoring.orders_list(ords.permutations(spark, cols, n_perms, seed))
     train = binned.where(train_filter if train_filter is not None else F.col(label) == 0)
     model = scoring.fit_density(train, cols, perms, alpha)
