@@ -34,9 +34,11 @@ def _stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         x = F.col(quote_ident(c)).cast("double")
         aggs += [F.min(x).alias(f"__min_{c}"), F.max(x).alias(f"__max_{c}"),
-                 F.count_distinct(x).alias(f"__nu_{c}"), F.avg(x).alias(f"__mean_{c}"),
-                 F.stddev_pop(x).alias(f"__std_{c}")]
-    return df.agg(*aggs)
+                 F.avg(x).alias(f"__mean_{c}"), F.stddev_pop(x).alias(f"__std_{c}")]
+    st = df.agg(*aggs)
+    # "more than one distinct value" is min < max: no distinct aggregation needed
+    return st.select("*", *[F.when(F.col(f"__min_{c}") < F.col(f"__max_{c}"), F.lit(2))
+                            .otherwise(F.lit(1)).alias(f"__nu_{c}") for c in cols])
 
 
 def _with_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:

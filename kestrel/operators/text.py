@@ -44,41 +44,49 @@ def _doc_tokens(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
     return docs.select("row_id", "doc", F.explode(tokens(F.col("t"))).alias("term"))
 
 
-def vocabulary(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300
-               ) -> DataFrame:
+def term_counts(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
+    """Token counts per (row, column document, term): one tokenization, one
+    map-side-combined aggregation; everything below reads this table."""
+    return _doc_tokens(df, row_id, cols).groupBy("row_id", "doc", "term").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def vocabulary(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300,
+               counts: DataFrame | None = None) -> DataFrame:
     """Top ``max_features`` terms by total count over the (row, column)
     documents; ties broken by the term.  ``(term, tf_total, df)``; bounded."""
-    dt = _doc_tokens(df, row_id, cols)
-    stats = dt.groupBy("term").agg(F.count(F.lit(1)).alias("tf_total"),
-                                   F.count_distinct("row_id", "doc").alias("df"))
+    c = counts if counts is not None else term_counts(df, row_id, cols)
+    stats = c.groupBy("term").agg(F.sum("n").alias("tf_total"), F.count(F.lit(1)).alias("df"))
     return stats.orderBy(F.desc("tf_total"), "term").limit(max_features)
 
 
+def _row_tf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    # the joined text's tokens are the union of its columns' tokens (a space
+    # separates columns), so row term frequencies are sums over the documents;
+    # the vocabulary has at most max_features rows: broadcast
+    return (counts.join(F.broadcast(vocab.select("term")), "term", "left_semi")
+            .groupBy("row_id", "term").agg(F.sum("n").alias("tf")))
+
+
 def bag_of_words(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300
                  ) -> DataFrame:
     """D2 — counts of vocabulary terms in each row's joined text, long form
     ``(row_id, term, tf)`` (absent terms are zeros)."""
-    vocab = vocabulary(df, row_id, cols, max_features).select("term")
-    toks = df.select(F.col(quote_ident(row_id)).alias("row_id"),
-                     F.explode(tokens(join_text(cols))).alias("term"))
-    # the vocabulary has at most max_features rows: broadcast
-    return (toks.join(F.broadcast(vocab), "term", "left_semi")
-            .groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    counts = term_counts(df, row_id, cols)
+    return _row_tf(counts, vocabulary(df, row_id, cols, max_features, counts))
 
 
 def tfidf(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300
           ) -> DataFrame:
     """D3 — ``tf * (ln((1+n)/(1+df)) + 1)`` with n the number of (row, column)
     documents, each row L2-normalized; long form ``(row_id, term, tfidf)``."""
-    vocab = vocabulary(df, row_id, cols, max_features)
+    counts = term_counts(df, row_id, cols)
+    vocab = vocabulary(df, row_id, cols, max_features, counts)
     n_docs = df.agg((F.count(F.lit(1)) * len(cols)).alias("n_docs"))
-    idf = (vocab.crossJoin(F.broadcast(n_docs))
+    idf = (vocab.crossJoin(F.broadcast(n_docs))  # one row
            .select("term", (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-    toks = df.select(F.col(quote_ident(row_id)).alias("row_id"),
-                     F.explode(tokens(join_text(cols))).alias("term"))
-    tf = (toks.join(F.broadcast(idf.select("term")), "term", "left_semi")
-          .groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    w = tf.join(F.broadcast(idf), "term").withColumn("v", F.col("tf") * F.col("idf"))
+    w = _row_tf(counts, vocab).join(F.broadcast(idf), "term").withColumn(
+        "v", F.col("tf") * F.col("idf"))
     norm = w.groupBy("row_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     return w.join(norm, "row_id").select("row_id", "term", (F.col("v") / F.col("norm")).alias("tfidf"))
 
