@@ -37,6 +37,12 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[s
     sign = -1.0 if descending else 1.0
     v = "__pv"
     work = df.withColumn(v, (F.col(value) * F.lit(sign)).cast("double"))
+    whole = not keys
+    if whole:
+        # one group: a constant key; the only window over it runs on the bucket
+        # totals (one row per bucket), never on the data rows
+        work = work.withColumn("__g", F.lit(0))
+        keys = ["__g"]
     probs = [i / b for i in range(1, b)]
     group_keys = keys if keys else []
     bounds = (work.groupBy(*group_keys) if group_keys else work.groupBy())
@@ -70,4 +76,5 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[s
         out = out.withColumn(
             f"{s}{suffix}",
             F.coalesce(F.sum(s).over(wr), F.lit(0)) + F.col(f"__off_{s}"))
-    return out.drop(v, "__bk", *[f"__off_{s}" for s in sums])
+    out = out.drop(v, "__bk", *[f"__off_{s}" for s in sums])
+    return out.drop("__g") if whole else out

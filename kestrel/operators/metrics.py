@@ -204,7 +204,7 @@ def top_anomalies(scores: DataFrame, rows: DataFrame, row_id: str = "row_id",
     top = scores.orderBy(F.desc("score"), F.asc(row_id)).limit(k)
     joined = rows.join(F.broadcast(top), row_id, "inner")
     # rank over the k joined rows only (k is the feature's own limit)
-    w = Window.orderBy(F.desc("score"), F.asc(row_id))
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.asc(row_id))
     return joined.withColumn("rank", F.row_number().over(w))
 
 

@@ -212,7 +212,7 @@ def order_positions(orders: DataFrame) -> DataFrame:
 def cyclic_orders(orders: DataFrame, n: int) -> DataFrame:
     """Permutation ``i`` uses order ``i mod len(orders)`` (graph-based ranking)."""
     k = orders.count()
-    w = Window.orderBy("order_id")
+    w = Window.partitionBy(F.lit(0)).orderBy("order_id")  # the order table is metadata-sized
     ranked = orders.withColumn("__r", F.row_number().over(w) - 1)
     perms = orders.sparkSession.range(n).select(F.col("id").cast("int").alias("perm_id"),
                                                 (F.col("id") % k).alias("__r"))

@@ -124,7 +124,7 @@ def nation_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("rk", "n_name"))), lambda x: x["n_name"]).alias("ns"))
     # 5 regions: a window over the region rows is fixed-size
     per = per.withColumn("next_top", F.lead(F.element_at("ns", 1)).over(
-        Window.orderBy("n_regionkey")))
+        Window.partitionBy(F.lit(0)).orderBy("n_regionkey")))
 
     def pair(a, b, v_ab, v_ba, gid):
         return [F.struct(F.lit(gid).alias("graph_id"), a.alias("src"), b.alias("dst"),

@@ -35,6 +35,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -72,3 +73,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (Parquet) of a scale-factor directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kestrel`` importable in Python workers (pandas UDF / mapInPandas /
+    applyInPandas functions live in it): zip the package once per application and
+    distribute it with ``addPyFile`` (Spark serves the file to every executor)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import kestrel
+    root = os.path.dirname(os.path.dirname(os.path.abspath(kestrel.__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="kestrel-pkg-"), "kestrel.zip")
+    with zipfile.ZipFile(out, "w") as zf:
+        for dirpath, _, files in os.walk(os.path.join(root, "kestrel")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
