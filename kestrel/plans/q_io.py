@@ -91,17 +91,17 @@ def q_write_json(spark, sf_dir):
 WITH s AS ({QE.SCORED_SQL}),
 v AS (SELECT * FROM s WHERE method IN ('zscore', 'nation_rarity')),
 k AS (SELECT method, sum(label) AS k FROM v GROUP BY method),
-r AS (SELECT v.*, row_number() OVER (PARTITION BY method ORDER BY score DESC, row_id) AS rank FROM v)
+r AS (SELECT v.*, row_number() OVER (PARTITION BY method ORDER BY score DESC,
+             md5(concat_ws('|', '0', CAST(row_id AS VARCHAR))), row_id) AS rank FROM v)
 SELECT r.method, r.row_id, round(r.score, 9) AS score, r.label, CAST(r.rank AS INTEGER) AS rank,
        c.c_name, c.c_acctbal
 FROM r JOIN k USING (method) JOIN customer c ON c.c_custkey = r.row_id WHERE r.rank <= k.k""")
 def q_write_pred(spark, sf_dir):
     s = QE.scored_customers(spark, sf_dir).where(F.col("method").isin("zscore", "nation_rarity"))
-    k = s.groupBy("method").agg(F.sum("label").alias("k"))
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), "c_name",
                                                    "c_acctbal")
     path = A.scratch_path(spark, "predicted")
-    A.write_predicted_anomalies(s.select("method", "row_id", "score", "label"), rows, path, k)
+    A.write_predicted_anomalies(s.select("method", "row_id", "score", "label"), rows, path)
     out = spark.read.parquet(path)
     return out.select("method", "row_id", F.round("score", 9).alias("score"), "label",
                       F.col("rank").cast("int").alias("rank"), "c_name", "c_acctbal")

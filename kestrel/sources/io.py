@@ -159,16 +159,25 @@ def edges_json(edges: DataFrame, value: str = "value") -> Column:
         .alias("edges")))
 
 
-def write_predicted_anomalies(scores: DataFrame, rows: DataFrame, path: str, k: DataFrame,
-                              row_id: str = "row_id", by: str = "method") -> str:
-    """A8 — per method, the top-k rows with their original columns, label and
-    score (``k`` per method in a small table), written partitioned by method."""
-    from pyspark.sql.window import Window
-    kk = F.broadcast(k)  # one row per method
-    w = Window.partitionBy(by).orderBy(F.desc("score"), F.asc(row_id))
-    top = (scores.join(kk, by).withColumn("rank", F.row_number().over(w))
-           .where(F.col("rank") <= F.col("k")).drop("k"))
-    out = top.join(rows, row_id)
+def write_predicted_anomalies(scores: DataFrame, rows: DataFrame, path: str,
+                              row_id: str = "row_id", by: str = "method", seed: int = 0) -> str:
+    """A8 — per method, the k rows predicted anomalous (k = its number of true
+    anomalies; ties at the cut by ``md5(seed|row_id)``, as J3) with their original
+    columns, label, score and rank, written partitioned by method.  The cut and
+    the rank are distributed (bucketed prefix sums); no per-method sort of all
+    rows."""
+    from kestrel.functions.exprs import hash_num
+    from kestrel.functions.prefix import prefix_sums
+    from kestrel.operators.metrics import predict_top_k
+    pred = predict_top_k(scores, "score", "label", row_id, [by], seed).where(F.col("predicted") == 1)
+    # rank among the predicted rows: score descending, then the hash order
+    keyed = (pred.withColumn("__h", hash_num(seed, F.col(row_id)))
+             .withColumn("__hs", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(row_id).cast("string"))))
+             .withColumn("__one", F.lit(1)).withColumn("__neg", -F.col("score")))
+    ranked = prefix_sums(keyed, [by], "__neg", ["__one"], tiebreak=["__hs", row_id])
+    out = (ranked.withColumn("rank", (F.col("__one_before") + 1).cast("int"))
+           .drop("__h", "__hs", "__one", "__neg", "__one_before", "predicted")
+           .join(rows, row_id))
     out.write.mode("overwrite").partitionBy(by).parquet(path)
     return path
 
