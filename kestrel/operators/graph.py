@@ -112,8 +112,13 @@ def sample_topo_orders(nodes: DataFrame, directed: DataFrame, max_orders: int,
     valid = runs.where(F.size("cols") > 0)
     firsts = valid.groupBy("graph_id", "cols").agg(F.min("attempt").alias("first_attempt"))
     from pyspark.sql.window import Window
-    w = Window.partitionBy("graph_id").orderBy("first_attempt")
-    kept = firsts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_orders)
+    from kestrel.functions.prefix import prefix_sums
+    # rank distinct orders by their first attempt with the bucketed prefix sum
+    # (first attempts are unique per graph), keep the first max_orders
+    ranked = prefix_sums(firsts.withColumn("__one", F.lit(1)), ["graph_id"], "first_attempt",
+                         ["__one"])
+    kept = ranked.where(F.col("__one_before") < max_orders).drop("__one", "__one_before")
+    # at most max_orders rows per graph remain
     w2 = Window.partitionBy("graph_id").orderBy("cols")
     return kept.select("graph_id", (F.row_number().over(w2) - 1).cast("int").alias("order_id"),
                        "cols")
@@ -208,14 +213,19 @@ def select_diverse(orders: DataFrame, max_orders: int, seed=0) -> DataFrame:
     bounded by the cap above (never by data size), so one ``applyInPandas``
     group per graph runs them with numpy, and graphs run in parallel.
     Returns ``(graph_id, order_id, cols, pick)``."""
-    from pyspark.sql.window import Window
     if "graph_id" not in orders.columns:
         orders = orders.withColumn("graph_id", F.lit("g"))
     cap = min(1000, max_orders * 5)
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("graph_id"), F.col("order_id").cast("string")))
-    w = Window.partitionBy("graph_id").orderBy("__h", "order_id")
-    ranked = orders.withColumn("__h", h).withColumn("__pos", F.row_number().over(w) - 1)
-    cand = ranked.where(F.col("__pos") < cap).select("graph_id", "order_id", "cols", "__pos")
+    from kestrel.functions.exprs import hash_key, hash_num
+    from kestrel.functions.prefix import prefix_sums
+    # hash position of every order inside its graph (bucketed prefix sum, no
+    # per-graph sort of all orders); the first `cap` are the candidates
+    keyed = (orders.withColumn("__h", hash_num(seed, F.col("graph_id"), F.col("order_id")))
+             .withColumn("__hs", hash_key(seed, F.col("graph_id"), F.col("order_id")))
+             .withColumn("__one", F.lit(1)))
+    ranked = prefix_sums(keyed, ["graph_id"], "__h", ["__one"], tiebreak=["__hs", "order_id"])
+    cand = (ranked.where(F.col("__one_before") < cap)
+            .select("graph_id", "order_id", "cols", F.col("__one_before").alias("__pos")))
     schema = "graph_id string, order_id int, cols array<string>, pick int"
     return cand.groupBy("graph_id").applyInPandas(
         lambda pdf: _greedy_k_center(pdf, max_orders), schema)
