@@ -13,7 +13,7 @@ from kestrel.operators import graph as G
 from kestrel.operators import orders as H
 
 from kestrel.plans import bindings as BD
-from kestrel.plans.registry import register, sql_values
+from kestrel.plans.registry import SQL, register, sql_values
 from kestrel.session import table
 
 FACTOR_NAMES = [f[0] for f in BD.MIXED_FACTORS]
@@ -313,3 +313,24 @@ def q_permutations(spark, sf_dir):
 def q_bench_topo_diverse(spark, sf_dir):
     """10,000 randomized Kahn attempts on the nation DAG, then 200 diverse orders."""
     return G.select_diverse(sampled_orders(spark, sf_dir, 1000, 10_000), 200, seed=0)
+
+
+# H3 oracle: lexicographic Kahn as a recursive CTE (smallest ready node per step;
+# a step without a ready node marks a cycle and gives an empty order)
+SQL["h03_topo_sort"] = f"""
+WITH RECURSIVE {_DIRECTED_SQL},
+inv AS (SELECT DISTINCT graph_id, src AS node FROM d UNION SELECT DISTINCT graph_id, dst FROM d),
+gs AS (SELECT DISTINCT graph_id FROM inv),
+k(graph_id, step, placed) AS (
+  SELECT graph_id, 0, []::VARCHAR[] FROM gs
+  UNION ALL
+  SELECT k.graph_id, k.step + 1, list_append(k.placed, (
+      SELECT min(i.node) FROM inv i WHERE i.graph_id = k.graph_id
+        AND NOT list_contains(k.placed, i.node)
+        AND NOT EXISTS (SELECT 1 FROM d WHERE d.graph_id = k.graph_id AND d.dst = i.node
+                        AND NOT list_contains(k.placed, d.src))))
+  FROM k WHERE k.step < (SELECT count(*) FROM inv WHERE inv.graph_id = k.graph_id)
+    AND len(list_filter(k.placed, lambda x: x IS NULL)) = 0),
+fin AS (SELECT graph_id, arg_max(placed, step) AS placed FROM k GROUP BY graph_id)
+SELECT graph_id, CASE WHEN len(list_filter(placed, lambda x: x IS NULL)) > 0 OR len(placed) < (SELECT count(*) FROM inv WHERE inv.graph_id = fin.graph_id)
+                      THEN []::VARCHAR[] ELSE placed END AS "order" FROM fin"""

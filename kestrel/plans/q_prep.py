@@ -474,7 +474,29 @@ def q_augment(spark, sf_dir):
     return E.augment(base, synth, "label", 1)
 
 
-@register("e09_ratio_batches")
+@register("e09_ratio_batches", f"""
+WITH m AS ({BD.MIXED_SQL}),
+r AS (SELECT row_id, CASE WHEN label = 1 THEN 1 ELSE 0 END AS cls FROM m),
+h AS (SELECT row_id, cls, row_number() OVER (PARTITION BY cls
+        ORDER BY md5(concat_ws('|', '0', CAST(row_id AS VARCHAR))), row_id) - 1 AS gpos FROM r),
+p AS (SELECT row_id, cls, gpos % 2 AS replica, gpos // 2 AS pos FROM h),
+c AS (SELECT replica, CAST(sum(1 - cls) AS BIGINT) AS nn, CAST(sum(cls) AS BIGINT) AS na FROM p GROUP BY replica),
+pl AS (SELECT replica, nn, na, (nn < 12 OR na < 4) AS fb,
+              CAST(greatest(ceil(nn / 12.0), ceil(na / 4.0)) AS BIGINT) AS cycles FROM c),
+slots AS (
+  SELECT pl.replica, 0 AS cls, t.j % pl.nn AS pos, t.j // 12 AS batch_id, t.j % 12 AS slot
+  FROM pl, LATERAL range(0, pl.cycles * 12) t(j) WHERE NOT pl.fb
+  UNION ALL
+  SELECT pl.replica, 1, t.j % pl.na, t.j // 4, t.j % 4 + 12
+  FROM pl, LATERAL range(0, pl.cycles * 4) t(j) WHERE NOT pl.fb
+  UNION ALL
+  SELECT pl.replica, 0, t.j, t.j // 16, t.j % 16 FROM pl, LATERAL range(0, pl.nn) t(j) WHERE pl.fb
+  UNION ALL
+  SELECT pl.replica, 1, t.j, (t.j + pl.nn) // 16, (t.j + pl.nn) % 16
+  FROM pl, LATERAL range(0, pl.na) t(j) WHERE pl.fb)
+SELECT CAST(s.replica AS INTEGER) AS replica, CAST(s.batch_id AS BIGINT) AS batch_id,
+       CAST(s.slot AS INTEGER) AS slot, p.row_id
+FROM slots s JOIN p ON p.replica = s.replica AND p.cls = s.cls AND p.pos = s.pos""")
 def q_ratio_batches(spark, sf_dir):
     m = BD.mixed_table(spark, sf_dir).select("row_id", "label")
     return E.plan_ratio_batches(m, "label", 16, 0.25, seed=0, key="row_id", replicas=2)
