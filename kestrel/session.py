@@ -79,14 +79,16 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``kestrel`` importable in Python workers (pandas UDF / mapInPandas /
-    applyInPandas functions live in it): zip the package once per application and
-    distribute it with ``addPyFile`` (Spark serves the file to every executor)."""
+    """Make ``kestrel`` importable in the Python workers of a local session
+    (pandas UDF / mapInPandas / applyInPandas functions live in it): zip the
+    package once per application and distribute it with ``addPyFile``."""
     import zipfile
 
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED:
+    if app in _SHIPPED or not sc.master.startswith("local"):
+        # on a cluster the package is deployed with the job (--py-files or an
+        # installed wheel); only local sessions get it shipped from here
         return
     import kestrel
     root = os.path.dirname(os.path.dirname(os.path.abspath(kestrel.__file__)))
