@@ -164,12 +164,12 @@ NATION_EDGES_SQL = f"""
           ON y.n_regionkey = x.n_regionkey + 1 AND x.rk = 1 AND y.rk = 1),
   back AS (SELECT x.n_name AS a, y.n_name AS b FROM r x, r y
            WHERE x.n_regionkey = 0 AND x.rk = 4 AND y.n_regionkey = 0 AND y.rk = 1),
-  dag AS (SELECT a AS src, b AS dst, -1.0 AS value FROM chain
-          UNION ALL SELECT b, a, 1.0 FROM chain
-          UNION ALL SELECT a, b, -1.0 FROM und UNION ALL SELECT b, a, -1.0 FROM und)
+  dag AS (SELECT a AS src, b AS dst, CAST(-1.0 AS DOUBLE) AS value FROM chain
+          UNION ALL SELECT b, a, CAST(1.0 AS DOUBLE) FROM chain
+          UNION ALL SELECT a, b, CAST(-1.0 AS DOUBLE) FROM und UNION ALL SELECT b, a, CAST(-1.0 AS DOUBLE) FROM und)
   SELECT 'dag' AS graph_id, * FROM dag
   UNION ALL SELECT 'cyclic', * FROM dag
-  UNION ALL SELECT 'cyclic', a, b, -1.0 FROM back UNION ALL SELECT 'cyclic', b, a, 1.0 FROM back
+  UNION ALL SELECT 'cyclic', a, b, CAST(-1.0 AS DOUBLE) FROM back UNION ALL SELECT 'cyclic', b, a, CAST(1.0 AS DOUBLE) FROM back
 """
 
 

@@ -342,10 +342,10 @@ def q_group_rare(spark, sf_dir):
 
 @register("c10_one_hot", """
 SELECT c_custkey,
-  CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS c_mktsegment_BUILDING,
-  CASE WHEN c_mktsegment = 'FURNITURE' THEN 1.0 ELSE 0.0 END AS c_mktsegment_FURNITURE,
-  CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1.0 ELSE 0.0 END AS c_mktsegment_HOUSEHOLD,
-  CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS c_mktsegment_MACHINERY
+  CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS c_mktsegment_BUILDING,
+  CASE WHEN c_mktsegment = 'FURNITURE' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS c_mktsegment_FURNITURE,
+  CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS c_mktsegment_HOUSEHOLD,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS c_mktsegment_MACHINERY
 FROM customer""")
 def q_one_hot(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
