@@ -58,6 +58,13 @@ def _ap_expr() -> Column:
     return F.try_divide(F.sum(F.col("pos") * tp / (tp + fp)), F.max("P").cast("double"))
 
 
+def guard_scores(df: DataFrame, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
+    """J6 — per group, whether any score is NaN or infinite (then every metric of
+    the group is 0, see :func:`evaluate`)."""
+    return _invalid_groups(df, score, list(by)).withColumn(
+        "invalid", F.col("__invalid") == 1).drop("__invalid")
+
+
 def auc_roc(df: DataFrame, score: str = "score", label: str = "label",
             by: Sequence[str] = ()) -> DataFrame:
     """J1 — Mann-Whitney AUC with tied scores sharing rank: each positive counts
@@ -241,14 +248,15 @@ def aggregate_splits(metrics: DataFrame, keys: Sequence[str] = ("method", "metri
 
 
 def filter_methods(metrics: DataFrame, method: str = "method", scope: Sequence[str] = (),
-                   only_normalized: bool = False, only_ordinal: bool = False) -> DataFrame:
-    """J9 — drop ``raw*`` and ``rdp``; baselines (names without ``anollm``) can be
-    restricted to ``normalized`` / ``ordinal`` variants; a model result named
-    ``*_lora*`` is used (renamed without ``_lora``) only when the plain one is
-    absent."""
+                   only_normalized: bool = False, only_ordinal: bool = False,
+                   model_marker: str = "density") -> DataFrame:
+    """J9 — drop ``raw*`` and ``rdp``; methods whose name lacks ``model_marker``
+    are baselines and can be restricted to ``normalized`` / ``ordinal``
+    variants; a model result named ``*_lora*`` is used (renamed without
+    ``_lora``) only when the plain one is absent."""
     m = F.col(method)
     out = metrics.where(~m.startswith("raw") & (m != "rdp"))
-    baseline = ~m.contains("anollm")
+    baseline = ~m.contains(model_marker)
     if only_normalized:
         out = out.where(~baseline | m.contains("normalized"))
     if only_ordinal:

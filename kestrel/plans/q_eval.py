@@ -221,7 +221,7 @@ def q_aggregate_splits(spark, sf_dir):
 
 
 # method names as a results directory would carry them (relabelling of computed rows)
-RENAMES = {"zscore": "anollm_zscore_lora", "nation_rarity": "rdp", "broken": "ecod_normalized"}
+RENAMES = {"zscore": "density_zscore_lora", "nation_rarity": "rdp", "broken": "ecod_normalized"}
 
 
 def _renamed(m):
@@ -236,7 +236,7 @@ _RENAME_SQL = "CASE method " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in REN
 
 @register("j09_filter_methods", f"""
 WITH m AS (SELECT dataset, split, {_RENAME_SQL} AS method, metric, round(value, 9) AS value FROM ({EVAL_SQL}))
-SELECT dataset, split, CASE WHEN method LIKE 'anollm%' THEN replace(method, '_lora', '') ELSE method END AS method,
+SELECT dataset, split, CASE WHEN method LIKE '%density%' THEN replace(method, '_lora', '') ELSE method END AS method,
        metric, value
 FROM m WHERE method NOT LIKE 'raw%' AND method <> 'rdp'""")
 def q_filter_methods(spark, sf_dir):

@@ -69,8 +69,8 @@ def test_aggregate_splits_drops_incomplete_method(spark):
 
 
 def test_filter_methods_lora_rule(spark):
-    rows = [("anollm_x_lora", 1.0), ("anollm_x", 2.0), ("anollm_y_lora", 3.0), ("raw_z", 4.0),
+    rows = [("density_x_lora", 1.0), ("density_x", 2.0), ("density_y_lora", 3.0), ("raw_z", 4.0),
             ("rdp", 5.0), ("ecod", 6.0)]
     m = spark.createDataFrame(rows, "method string, value double")
     got = sorted((r.method, r.value) for r in J.filter_methods(m).collect())
-    assert got == [("anollm_x", 2.0), ("anollm_y", 3.0), ("ecod", 6.0)]
+    assert got == [("density_x", 2.0), ("density_y", 3.0), ("ecod", 6.0)]
