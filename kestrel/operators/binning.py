@@ -160,17 +160,18 @@ def normalize(df: DataFrame, method: str, n_buckets: int = 10,
 
 
 def ordinal_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
-                   buckets: int | None = None) -> DataFrame:
-    """C2 — codes ``0..k-1`` in ascending value order (nulls stay null).
+                   buckets: int | None = None, fit: DataFrame | None = None) -> DataFrame:
+    """C2 — codes ``0..k-1`` in ascending value order (nulls stay null); the
+    codes are fitted on ``fit`` (default ``df``), unseen values get null.
 
     The code of a value is the number of distinct values below it: distinct values
     are counted with the bucketed prefix sum, not a global window."""
+    src = fit if fit is not None else df
     out = df
     for c in cols:
-        distinct = (df.select(F.col(quote_ident(c)).cast("string").alias("v"))
+        distinct = (src.select(F.col(quote_ident(c)).cast("string").alias("v"))
                     .where(F.col("v").isNotNull()).distinct()
                     .withColumn("one", F.lit(1)))
-        # ordering key: the strings themselves; bucket on a monotone numeric proxy
         coded = _string_prefix(distinct, buckets)
         out = (out.withColumn("__v", F.col(quote_ident(c)).cast("string"))
                .join(coded.select(F.col("v").alias("__v"), F.col("one_before").alias("__code")),
@@ -230,13 +231,16 @@ def group_rare(df: DataFrame, cols: Sequence[str], tol: float = 0.01,
     return out
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000) -> DataFrame:
-    """C10 — one-hot with sorted categories, the first category dropped; values
-    not seen at fit time give all zeros.  The category list is schema metadata
-    (it names output columns), so its size is checked before it is read."""
+def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000,
+            fit: DataFrame | None = None) -> DataFrame:
+    """C10 — one-hot with sorted categories, the first category dropped; the
+    categories come from ``fit`` (default ``df``), so values unseen at fit time
+    give all zeros.  The category list is schema metadata (it names output
+    columns), so its size is checked before it is read."""
+    src = fit if fit is not None else df
     out = df
     for c in cols:
-        cats_df = df.select(F.col(quote_ident(c)).cast("string").alias("v")).where(
+        cats_df = src.select(F.col(quote_ident(c)).cast("string").alias("v")).where(
             F.col("v").isNotNull()).distinct()
         cats = [r.v for r in cats_df.orderBy("v").limit(max_categories + 1).collect()]
         if len(cats) > max_categories:

@@ -120,15 +120,18 @@ def positional_names(n: int) -> list[str]:
     return names[:n]
 
 
-def anonymize(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def anonymize(df: DataFrame, keep: Sequence[str] = (), fit: DataFrame | None = None) -> DataFrame:
     """B8 — rename feature columns positionally (A..Z, AA..ZZ) and ordinal-encode
-    the categorical ones (codes in sorted value order)."""
+    the categorical ones (codes in sorted value order, fitted on ``fit`` — the
+    training table — when given, and applied to ``df``)."""
     from kestrel.operators.binning import ordinal_encode
     feats = [c for c in df.columns if c not in keep]
     names = positional_names(len(feats))
-    renamed = df.withColumnsRenamed(dict(zip(feats, names)))
+    ren = dict(zip(feats, names))
+    renamed = df.withColumnsRenamed(ren)
     cats = [n for c, n in zip(feats, names) if isinstance(df.schema[c].dataType, T.StringType)]
-    return ordinal_encode(renamed, cats)
+    fitted = fit.withColumnsRenamed(ren) if fit is not None else None
+    return ordinal_encode(renamed, cats, fit=fitted)
 
 
 def drop_cols(df: DataFrame, cols: Sequence[str] = (), contains: Sequence[str] = ()

@@ -116,3 +116,18 @@ def test_diverse_selection_matches_python_greedy(spark):
         sel.append(best)
         rest.remove(best)
     assert got == sel
+
+
+def test_chisq_matches_spark_ml_chisquaretest(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import ChiSquareTest
+    rnd = random.Random(4)
+    rows = [(rnd.randint(0, 3), rnd.randint(0, 2)) for _ in range(400)]
+    rows = [(a, (a + b) % 3 if rnd.random() < 0.3 else b) for a, b in rows]
+    df = spark.createDataFrame(rows, "x int, y int")
+    ours = CA.chisq_test(df, "x", "y").first()
+    v = VectorAssembler(inputCols=["x"], outputCol="f").transform(df.withColumn("y", F.col("y").cast("double")))
+    r = ChiSquareTest.test(v, "f", "y").first()
+    assert abs(ours.stat - float(r.statistics[0])) < 1e-9
+    assert ours.dof == int(r.degreesOfFreedom[0])
+    assert abs(ours.p - float(r.pValues[0])) < 1e-9

@@ -74,3 +74,15 @@ def test_filter_methods_lora_rule(spark):
     m = spark.createDataFrame(rows, "method string, value double")
     got = sorted((r.method, r.value) for r in J.filter_methods(m).collect())
     assert got == [("density_x", 2.0), ("density_y", 3.0), ("ecod", 6.0)]
+
+
+def test_auc_matches_spark_ml_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    rnd = random.Random(11)
+    rows = [(i, rnd.random(), int(rnd.random() < 0.2)) for i in range(500)]
+    df = spark.createDataFrame(rows, "row_id long, score double, label int")
+    ours = J.auc_roc(df).first().auc_roc
+    ml = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label",
+                                       metricName="areaUnderROC").evaluate(
+        df.withColumn("label", F.col("label").cast("double")))
+    assert abs(ours - ml) < 1e-9

@@ -66,3 +66,12 @@ def test_chi2_sf_known_values():
     assert abs(chi2_sf(5.991464547107979, 2) - 0.05) < 1e-12
     assert abs(chi2_sf(7.814727903251178, 3) - 0.05) < 1e-12
     assert abs(chi2_sf(2.0, 4) - math.exp(-1.0) * 2.0) < 1e-12
+
+
+def test_one_hot_and_ordinal_fit_on_train(spark):
+    train = spark.createDataFrame([("a",), ("b",), ("c",)], "s string")
+    test = spark.createDataFrame([(1, "b"), (2, "z")], "id int, s string")
+    oh = C.one_hot(test, ["s"], fit=train).orderBy("id").collect()
+    assert [(r.s_b, r.s_c) for r in oh] == [(1.0, 0.0), (0.0, 0.0)]
+    oe = C.ordinal_encode(test, ["s"], fit=train).orderBy("id").collect()
+    assert [r.s for r in oe] == [1, None]
