@@ -210,7 +210,27 @@ def _token_nll_with_perm(toks, model):
                                                        / (F.coalesce("n_ctx", F.lit(0)) + F.col("V")))).alias("nll"))
 
 
-@register("i12_score_with")
+@register("i12_score_with", f"""
+WITH m AS ({BD.MIXED_SQL}),
+cols AS (SELECT unnest({FEATS!r}) AS col),
+p AS (SELECT col, row_number() OVER (ORDER BY md5(concat_ws('|', '8', '0', col)), col) AS pos FROM cols),
+v AS (SELECT row_id, label, col, coalesce(nullif(trim(value), ''), 'None') AS value
+      FROM (SELECT row_id, label, o_orderstatus, c_mktsegment, n_name, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+                   CAST(c_acctbal AS VARCHAR) AS c_acctbal, month, weekday FROM m)
+      UNPIVOT INCLUDE NULLS (value FOR col IN ({", ".join(FEATS)}))),
+vs AS (SELECT v.*, p.pos AS cpos, 2 AS name_len, len(regexp_extract_all(value, '\\S+')) AS vlen FROM v JOIN p USING (col)),
+sp AS (SELECT row_id, col, coalesce(sum(name_len + vlen + 1) OVER (PARTITION BY row_id ORDER BY cpos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, name_len, vlen FROM vs),
+spans AS (SELECT row_id, col, off + name_len - 1 AS s, off + name_len + vlen AS e FROM sp),
+ser AS (SELECT row_id, label, string_agg(' ' || col || ' is ' || value || ' ', ',' ORDER BY cpos) AS text
+        FROM vs GROUP BY row_id, label),
+tk AS (SELECT row_id, i - 1 AS pos, t[i] AS token
+       FROM (SELECT row_id, regexp_extract_all(text, '\\S+') AS t,
+                    generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS i FROM ser)),
+tn AS (SELECT row_id, pos, ln(1 + length(token)) AS nll FROM tk)
+SELECT spans.row_id, CAST(0 AS INTEGER) AS perm_id, spans.col, round(sum(nll), 9) AS nll
+FROM tn JOIN spans ON tn.row_id = spans.row_id AND tn.pos >= spans.s AND tn.pos < spans.e
+GROUP BY ALL""")
 def q_score_with(spark, sf_dir):
     """A user batch scorer (here: token surprisal ln(1 + token length) over the
     serialized rows) applied with mapInPandas, then attributed to columns."""
@@ -225,7 +245,8 @@ def q_score_with(spark, sf_dir):
                 rows.append((int(rid), int(perm), i, float(np.log1p(len(tok)))))
         return pd.DataFrame(rows, columns=["row_id", "perm_id", "pos", "nll"])
     tn = I.score_with(ser, scorer)
-    return I.attribute_tokens(tn, I.value_spans(m, "row_id", perms, FEATS))
+    out = I.attribute_tokens(tn, I.value_spans(m, "row_id", perms, FEATS))
+    return out.select("row_id", F.col("perm_id").cast("int"), "col", F.round("nll", 9).alias("nll"))
 
 
 _EMB_SQL = """
