@@ -15,6 +15,7 @@ from kestrel.functions.exprs import chi2_isf
 from kestrel.operators import causal as CA
 from kestrel.operators import graph as G
 from kestrel.plans import bindings as BD
+from kestrel.plans import q_graph as QG
 from kestrel.plans.registry import register, sql_values
 from kestrel.session import table
 
@@ -220,7 +221,15 @@ def q_neighbours(spark, sf_dir):
     return CA.neighbours(BD.nation_graph_edges(spark, sf_dir), _focus(spark, sf_dir))
 
 
-@register("f14_markov_blanket")
+@register("f14_markov_blanket", f"""
+WITH {QG._DIRECTED_SQL},
+r AS ({BD.NATION_RANKS_SQL}),
+f AS (SELECT n_name AS node FROM r WHERE rk = 1),
+m AS (SELECT d.graph_id, d.dst AS node, d.src AS m FROM d JOIN f ON d.dst = f.node
+      UNION SELECT d.graph_id, d.src, d.dst FROM d JOIN f ON d.src = f.node
+      UNION SELECT c.graph_id, c.src, p.src FROM d c JOIN f ON c.src = f.node
+            JOIN d p ON p.graph_id = c.graph_id AND p.dst = c.dst AND p.src <> c.src)
+SELECT graph_id, node, list(DISTINCT m ORDER BY m) AS blanket FROM m GROUP BY ALL""")
 def q_blanket(spark, sf_dir):
     nodes, d = BD.nation_graph_nodes(spark, sf_dir), G.infer_directed(BD.nation_graph_edges(spark, sf_dir))
     return CA.markov_blanket(d, _focus(spark, sf_dir))
