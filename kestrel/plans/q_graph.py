@@ -334,3 +334,42 @@ k(graph_id, step, placed) AS (
 fin AS (SELECT graph_id, arg_max(placed, step) AS placed FROM k GROUP BY graph_id)
 SELECT graph_id, CASE WHEN len(list_filter(placed, lambda x: x IS NULL)) > 0 OR len(placed) < (SELECT count(*) FROM inv WHERE inv.graph_id = fin.graph_id)
                       THEN []::VARCHAR[] ELSE placed END AS "order" FROM fin"""
+
+
+# H10 (random) oracle: the hash shuffle and the sequential hash-positioned
+# insertion as a recursive CTE
+SQL["h10_insert_random"] = f"""
+WITH RECURSIVE {_CHAIN_SQL},
+it AS (SELECT o.order_id, o.cols, u.x,
+              row_number() OVER (PARTITION BY o.order_id
+                                 ORDER BY md5(concat_ws('|', '3', 'shuffle', CAST(o.order_id AS VARCHAR), u.x)), u.x) AS i
+       FROM o, x, (SELECT unnest(ex) AS x FROM x) u WHERE NOT list_contains(o.cols, u.x)),
+ins(order_id, i, acc) AS (
+  SELECT order_id, 0, cols FROM o
+  UNION ALL
+  SELECT ins.order_id, ins.i + 1,
+         list_concat(list_slice(ins.acc, 1, p.pos), [p.x], list_slice(ins.acc, p.pos + 1, len(ins.acc)))
+  FROM ins JOIN (SELECT it.order_id, it.i, it.x FROM it) it2 ON it2.order_id = ins.order_id AND it2.i = ins.i + 1,
+       LATERAL (SELECT it2.x AS x,
+                ('0x' || substr(md5(concat_ws('|', '3', CAST(ins.order_id AS VARCHAR), it2.x)), 1, 15))::BIGINT
+                  % (len(ins.acc) + 1) AS pos) p)
+SELECT CAST(order_id AS INTEGER) AS order_id, arg_max(acc, i) AS cols FROM ins GROUP BY order_id"""
+
+_ALL_COLS = BD.MIXED_FEATURES + ["label"]
+# H12 oracle: factor expansion, then the missing table columns inserted in table
+# order at hash positions
+SQL["h12_expand_causal_order"] = f"""
+WITH RECURSIVE {_EXPAND_SQL},
+ac AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(_ALL_COLS))}) AS t(ci, c)),
+it AS (SELECT ex.order_id, ac.c AS x, row_number() OVER (PARTITION BY ex.order_id ORDER BY ac.ci) AS i
+       FROM ex, ac WHERE NOT list_contains(ex.cols, ac.c)),
+ins(order_id, i, acc) AS (
+  SELECT order_id, 0, cols FROM ex
+  UNION ALL
+  SELECT ins.order_id, ins.i + 1,
+         list_concat(list_slice(ins.acc, 1, p.pos), [p.x], list_slice(ins.acc, p.pos + 1, len(ins.acc)))
+  FROM ins JOIN it ON it.order_id = ins.order_id AND it.i = ins.i + 1,
+       LATERAL (SELECT it.x AS x,
+                ('0x' || substr(md5(concat_ws('|', '0', CAST(ins.order_id AS VARCHAR), it.x)), 1, 15))::BIGINT
+                  % (len(ins.acc) + 1) AS pos) p)
+SELECT CAST(order_id AS INTEGER) AS order_id, arg_max(acc, i) AS cols FROM ins GROUP BY order_id"""
