@@ -373,3 +373,34 @@ ins(order_id, i, acc) AS (
                 ('0x' || substr(md5(concat_ws('|', '0', CAST(ins.order_id AS VARCHAR), it.x)), 1, 15))::BIGINT
                   % (len(ins.acc) + 1) AS pos) p)
 SELECT CAST(order_id AS INTEGER) AS order_id, arg_max(acc, i) AS cols FROM ins GROUP BY order_id"""
+
+# H2 oracle: transitive closure; the core is every node reachable from a cycle
+# and reaching a cycle; the path walks smallest core successors until a repeat
+SQL["h02_find_cycle"] = f"""
+WITH RECURSIVE {_DIRECTED_SQL},
+dd AS (SELECT DISTINCT graph_id, src, dst FROM d),
+reach(graph_id, a, b) AS (
+  SELECT graph_id, src, dst FROM dd
+  UNION SELECT r.graph_id, r.a, dd.dst FROM reach r JOIN dd ON dd.graph_id = r.graph_id AND dd.src = r.b),
+cyc AS (SELECT DISTINCT graph_id, a AS v FROM reach WHERE a = b),
+gn AS (SELECT g.graph_id, n.n_name AS node FROM (VALUES ('dag'), ('cyclic')) AS g(graph_id), nation n),
+core AS (SELECT gn.graph_id, gn.node FROM gn
+  WHERE EXISTS (SELECT 1 FROM cyc c WHERE c.graph_id = gn.graph_id AND (c.v = gn.node OR EXISTS (
+                  SELECT 1 FROM reach r WHERE r.graph_id = gn.graph_id AND r.a = c.v AND r.b = gn.node)))
+    AND EXISTS (SELECT 1 FROM cyc c WHERE c.graph_id = gn.graph_id AND (c.v = gn.node OR EXISTS (
+                  SELECT 1 FROM reach r WHERE r.graph_id = gn.graph_id AND r.a = gn.node AND r.b = c.v)))),
+succ AS (SELECT a.graph_id, a.node AS src, min(dd.dst) AS nx FROM core a
+         JOIN dd ON dd.graph_id = a.graph_id AND dd.src = a.node
+         JOIN core b ON b.graph_id = dd.graph_id AND b.node = dd.dst GROUP BY ALL),
+walk(graph_id, step, path) AS (
+  SELECT graph_id, 0, [min(node)] FROM core GROUP BY graph_id
+  UNION ALL
+  SELECT w.graph_id, w.step + 1, list_append(w.path, s.nx) FROM walk w
+  JOIN succ s ON s.graph_id = w.graph_id AND s.src = w.path[len(w.path)]
+  WHERE NOT list_contains(list_slice(w.path, 1, len(w.path) - 1), w.path[len(w.path)])),
+fin AS (SELECT graph_id, arg_max(path, step) AS path FROM walk GROUP BY graph_id),
+cl AS (SELECT graph_id, list(node ORDER BY node) AS core FROM core GROUP BY graph_id)
+SELECT g.graph_id, cl.core IS NOT NULL AS has_cycle, coalesce(cl.core, []::VARCHAR[]) AS core,
+       CASE WHEN fin.path IS NULL THEN []::VARCHAR[]
+            ELSE list_slice(fin.path, list_position(fin.path, fin.path[len(fin.path)]), len(fin.path)) END AS cycle
+FROM (VALUES ('dag'), ('cyclic')) AS g(graph_id) LEFT JOIN cl USING (graph_id) LEFT JOIN fin USING (graph_id)"""
