@@ -74,7 +74,19 @@ def q_claims(spark, sf_dir):
 POSTING_DEFAULTS = {"lang": "Unknown", "source": "Not Specified", "text": "NaN"}
 
 
-@register("b20_prepare_postings")
+@register("b20_prepare_postings", """
+WITH p AS (SELECT doc_id, text, nullif(lang, 'de') AS lang, source, CAST(toxic AS VARCHAR) AS fraudulent
+           FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY fraudulent ORDER BY doc_id) - 1 AS rn,
+             count(*) OVER (PARTITION BY fraudulent) AS cnt FROM p),
+s AS (SELECT *, CASE WHEN rn < floor(cnt / 2) THEN 'train' ELSE 'test' END AS part FROM r)
+SELECT CASE WHEN lower(trim(fraudulent)) IN ('yes', 'true', '1') THEN 1
+            WHEN lower(trim(fraudulent)) IN ('no', 'false', '0') THEN 0
+            ELSE CAST(trunc(TRY_CAST(fraudulent AS DOUBLE)) AS INTEGER) END AS label,
+       coalesce(text, 'NaN') AS text, coalesce(lang, 'Unknown') AS lang, coalesce(source, 'Not Specified') AS source,
+       row_number() OVER (PARTITION BY part ORDER BY md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))), doc_id) - 1
+         AS position, part
+FROM s""")
 def q_postings(spark, sf_dir):
     from kestrel.operators import sampling as E
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
