@@ -63,7 +63,30 @@ def _claims(spark, sf_dir):
         F.when(F.col("o_orderpriority") == "1-URGENT", "Yes").otherwise("No").alias("FraudFound"))
 
 
-@register("b19_prepare_claims")
+@register("b19_prepare_claims", """
+WITH o AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey),
+b AS (SELECT
+  CAST(month(o_orderdate) AS VARCHAR) || '-' ||
+    CAST(7 * (CAST(ceil(day(o_orderdate) / 7) AS INTEGER) - 1) + isodow(o_orderdate) AS VARCHAR) AS "the date when the accident happened",
+  CASE WHEN o_orderstatus = 'P' THEN 'unknown' ELSE CAST(month(o_orderdate) AS VARCHAR) || '-' ||
+    CAST(7 * (CAST(ceil(day(o_orderdate) / 7) AS INTEGER) - 1) + isodow(o_orderdate) AS VARCHAR) END
+    AS "the date when the insurance claim was filed",
+  c_mktsegment AS "the make of the vehicle", o_orderstatus AS "accident area",
+  CASE WHEN c_nationkey = 0 THEN 'Unknown' ELSE CAST(c_nationkey AS VARCHAR) END AS age,
+  CASE WHEN o_totalprice > 300000 THEN 'more than 7 years' ELSE 'new' END AS "age of vehicle",
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'Yes' ELSE 'No' END AS "fraud found"
+  FROM o),
+k AS (SELECT *, ('0x' || substr(md5(concat_ws('|', '0', "the date when the accident happened",
+          "the date when the insurance claim was filed", "the make of the vehicle", "accident area", age,
+          "age of vehicle", "fraud found")), 1, 15))::BIGINT AS ord,
+          md5(concat_ws('|', "the date when the accident happened", "the date when the insurance claim was filed",
+          "the make of the vehicle", "accident area", age, "age of vehicle", "fraud found")) AS rh FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY "fraud found" ORDER BY ord) - 1 AS rn,
+             count(*) OVER (PARTITION BY "fraud found") AS cnt FROM k),
+s AS (SELECT *, CASE WHEN rn < floor(cnt / 2) THEN 'train' ELSE 'test' END AS part FROM r)
+SELECT "the date when the accident happened", "the date when the insurance claim was filed",
+       "the make of the vehicle", "accident area", age, "age of vehicle", "fraud found", part
+FROM s WHERE part = 'train' OR rh NOT IN (SELECT rh FROM s WHERE part = 'train')""")
 def q_claims(spark, sf_dir):
     train, test = P.prepare_claims(_claims(spark, sf_dir), CLAIM_REPLACEMENTS,
                                    ["PolicyNumber", "RepNumber", "Year"], CLAIM_RENAMES)
