@@ -123,10 +123,24 @@ def q_postings(spark, sf_dir):
             .unionByName(te.withColumn("part", F.lit("test"))))
 
 
-@register("c12_feature_matrix")
+_C12_CATS = ["o_orderstatus", "c_mktsegment", "n_name", "month", "weekday"]
+_C12_OH = " || ".join(
+    f"list_transform(list_slice((SELECT cs FROM c_{c}), 2, 1000), lambda v: CASE WHEN {c} = v THEN 1.0 ELSE 0.0 END)"
+    for c in _C12_CATS)
+
+
+@register("c12_feature_matrix", f"""
+WITH m AS ({BD.MIXED_SQL}),
+st AS (SELECT avg(o_totalprice) m1, stddev_pop(o_totalprice) s1, avg(c_acctbal) m2, stddev_pop(c_acctbal) s2 FROM m),
+{", ".join(f"c_{c} AS (SELECT list(DISTINCT {c} ORDER BY {c}) AS cs FROM m)" for c in _C12_CATS)}
+SELECT row_id, list_transform(
+  [(o_totalprice - m1) / CASE WHEN s1 = 0 THEN 1 ELSE s1 END, (c_acctbal - m2) / CASE WHEN s2 = 0 THEN 1 ELSE s2 END]
+  || {_C12_OH}, lambda x: round(x, 9)) AS features
+FROM m, st""")
 def q_feature_matrix(spark, sf_dir):
     m = BD.mixed_table(spark, sf_dir).drop("label")
-    return P.to_feature_matrix(m, "row_id", method="one_hot", normalize=True)
+    out = P.to_feature_matrix(m, "row_id", method="one_hot", normalize=True)
+    return out.withColumn("features", F.transform("features", lambda x: F.round(x, 9)))
 
 
 @register("c12_feature_matrix_text")
