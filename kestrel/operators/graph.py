@@ -112,12 +112,10 @@ def sample_topo_orders(nodes: DataFrame, directed: DataFrame, max_orders: int,
     valid = runs.where(F.size("cols") > 0)
     firsts = valid.groupBy("graph_id", "cols").agg(F.min("attempt").alias("first_attempt"))
     from pyspark.sql.window import Window
-    from kestrel.functions.prefix import prefix_sums
-    # rank distinct orders by their first attempt with the bucketed prefix sum
-    # (first attempts are unique per graph), keep the first max_orders
-    ranked = prefix_sums(firsts.withColumn("__one", F.lit(1)), ["graph_id"], "first_attempt",
-                         ["__one"])
-    kept = ranked.where(F.col("__one_before") < max_orders).drop("__one", "__one_before")
+    # one row per distinct order: a graph holds at most `attempts` of them (the
+    # operator's own parameter), so ranking inside the graph partition is bounded
+    w = Window.partitionBy("graph_id").orderBy("first_attempt")
+    kept = firsts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max_orders)
     # at most max_orders rows per graph remain
     w2 = Window.partitionBy("graph_id").orderBy("cols")
     return kept.select("graph_id", (F.row_number().over(w2) - 1).cast("int").alias("order_id"),
