@@ -101,7 +101,8 @@ def sample_topo_orders(nodes: DataFrame, directed: DataFrame, max_orders: int,
     (cycles) are dropped; of the distinct orders the first ``max_orders`` by
     attempt index are kept (as a sequential sampler would find them) and returned
     sorted.  Attempts run in parallel (a distributed ``range``)."""
-    g = graph_rows(nodes, directed)
+    # one row per graph, read by every attempt: materialize it once
+    g = cut_lineage(graph_rows(nodes, directed))
     spark = nodes.sparkSession
     att = spark.range(attempts).select(F.col("id").alias("attempt"))
     key = (lambda acc, x: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("attempt").cast("string"),
@@ -214,16 +215,24 @@ def select_diverse(orders: DataFrame, max_orders: int, seed=0) -> DataFrame:
     if "graph_id" not in orders.columns:
         orders = orders.withColumn("graph_id", F.lit("g"))
     cap = min(1000, max_orders * 5)
+    from pyspark.sql.window import Window
     from kestrel.functions.exprs import hash_key, hash_num
     from kestrel.functions.prefix import prefix_sums
-    # hash position of every order inside its graph (bucketed prefix sum, no
-    # per-graph sort of all orders); the first `cap` are the candidates
     keyed = (orders.withColumn("__h", hash_num(seed, F.col("graph_id"), F.col("order_id")))
-             .withColumn("__hs", hash_key(seed, F.col("graph_id"), F.col("order_id")))
-             .withColumn("__one", F.lit(1)))
-    ranked = prefix_sums(keyed, ["graph_id"], "__h", ["__one"], tiebreak=["__hs", "order_id"])
-    cand = (ranked.where(F.col("__one_before") < cap)
-            .select("graph_id", "order_id", "cols", F.col("__one_before").alias("__pos")))
+             .withColumn("__hs", hash_key(seed, F.col("graph_id"), F.col("order_id"))))
+    largest = orders.groupBy("graph_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
+    if largest <= cap:
+        # every graph fits the candidate cap: order each graph's (bounded) set directly
+        w = Window.partitionBy("graph_id").orderBy("__hs", "order_id")
+        cand = keyed.select("graph_id", "order_id", "cols",
+                            (F.row_number().over(w) - 1).alias("__pos"))
+    else:
+        # hash position of every order inside its graph (bucketed prefix sum, no
+        # per-graph sort of all orders); the first `cap` are the candidates
+        ranked = prefix_sums(keyed.withColumn("__one", F.lit(1)), ["graph_id"], "__h", ["__one"],
+                             tiebreak=["__hs", "order_id"])
+        cand = (ranked.where(F.col("__one_before") < cap)
+                .select("graph_id", "order_id", "cols", F.col("__one_before").alias("__pos")))
     schema = "graph_id string, order_id int, cols array<string>, pick int"
     return cand.groupBy("graph_id").applyInPandas(
         lambda pdf: _greedy_k_center(pdf, max_orders), schema)
