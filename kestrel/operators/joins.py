@@ -2,19 +2,20 @@
 
 K1 range lookup: the direct form ``lower < x AND upper > x`` has no equi-key, so
 Spark can only plan a (broadcast) nested-loop join, O(rows x ranges).  The
-rewrite here turns it into equi-joins:
-
-* probes are deduplicated first (a hot probe value is one row);
-* each range is assigned to the finest *level* of a bucket grid on which it
-  spans at most ``span`` buckets (bucket width ``w * fanout**level``) and is
-  exploded into those buckets; each probe value is exploded to its bucket on
-  every level (a handful of rows);
-* ``(level, bucket)`` equi-join + the strict bound filter, then ``min_by`` on
-  the range order picks the first match per probe value;
-* the small per-value answer is joined back to the rows.
-
-Exact for any (overlapping, nested, very wide) ranges; explode work per range
-is bounded by ``span`` and the grid depth by ``log(total width / w)``.
+rewrite here turns it into equi-joins whose per-probe work does not depend on
+how many ranges overlap:
+
+* the answer (first range by order) is constant on every distinct endpoint and
+  on every open gap between consecutive endpoints; these pieces — at most three
+  per range, so bounded by the ranges table — are answered once with a bucket-grid
+  join (ranges go to the finest grid level where they span at most ``span``
+  buckets, pieces are probed on every level, strict filter, ``min_by``);
+* probe values are deduplicated (a hot value is one row); a value equal to an
+  endpoint takes the endpoint's answer (equi-join), any other value falls in
+  exactly one gap, found with the same grid over the disjoint gaps;
+* the per-value answer is joined back to the rows.
+
+Exact for any (overlapping, nested, very wide) ranges.
 """
 
 from __future__ import annotations
@@ -25,24 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.exprs import quote_ident
+from kestrel.session import cut_lineage
 
 
-def range_lookup(df: DataFrame, x: str, ranges: DataFrame, lo: str, hi: str, value: str,
-                 out: str, order: str | None = None, default: str = "Unknown",
-                 span: int = 4, fanout: int = 64) -> DataFrame:
-    """K1 — first range (by ``order``, default ``lo``) with ``lo < x < hi``;
-    no match gives ``default``."""
-    order = order or lo
-    r = ranges.select(F.col(quote_ident(lo)).cast("double").alias("__lo"),
-                      F.col(quote_ident(hi)).cast("double").alias("__hi"),
-                      F.col(quote_ident(value)).alias("__val"),
-                      F.col(quote_ident(order)).alias("__ord")).where(
-        F.col("__lo") < F.col("__hi"))
-    # grid parameters from one aggregate row (range statistics, not data rows)
+def _grid_lookup(values: DataFrame, r: DataFrame, span: int, fanout: int) -> DataFrame:
+    """First range (min ``__ord``) strictly containing each distinct ``__x`` of
+    ``values``; ranges ``r(__lo, __hi, __val, __ord)``.  Returns ``(__x, __hit)``.
+
+    Ranges go to the finest level of a bucket grid (bucket width = median range
+    width times ``fanout**level``) where they span at most ``span`` buckets and are
+    exploded into those buckets; values are exploded to their bucket on every
+    level; ``(level, bucket)`` equi-join, strict filter, ``min_by``."""
     st = r.agg(F.percentile_approx(F.col("__hi") - F.col("__lo"), 0.5, 1000).alias("w"),
                F.min("__lo").alias("mn"), F.max("__hi").alias("mx")).first()
     if st is None or st.w is None:
-        return df.withColumn(out, F.lit(default))
+        return values.select("__x", F.lit(None).cast("string").alias("__hit")).where(F.lit(False))
     base_w = max(float(st.w), 1e-9)
     total = max(float(st.mx) - float(st.mn), base_w)
     levels = max(1, int(math.ceil(math.log(total / base_w, fanout))) + 1)
@@ -52,28 +50,67 @@ def range_lookup(df: DataFrame, x: str, ranges: DataFrame, lo: str, hi: str, val
     def bucket(v, w):
         return F.floor((v - F.lit(origin)) / F.lit(w)).cast("long")
 
-    # level of a range: the finest one where it spans at most `span` buckets
     lvl = F.lit(levels - 1)
     for k in reversed(range(levels)):
         nb = bucket(F.col("__hi"), widths[k]) - bucket(F.col("__lo"), widths[k]) + 1
         lvl = F.when(nb <= span, F.lit(k)).otherwise(lvl)
     wcol = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("__lvl") + 1)
-    rx = (r.withColumn("__lvl", lvl)
-          .withColumn("__w", wcol)
+    rx = (r.withColumn("__lvl", lvl).withColumn("__w", wcol)
           .withColumn("__b", F.explode(F.sequence(
               F.floor((F.col("__lo") - F.lit(origin)) / F.col("__w")).cast("long"),
               F.floor((F.col("__hi") - F.lit(origin)) / F.col("__w")).cast("long")))))
-    probes = df.select(F.col(quote_ident(x)).cast("double").alias("__x")).where(
-        F.col("__x").isNotNull()).distinct()
-    px = probes.select("__x", F.explode(F.array(*[
+    px = values.select("__x", F.explode(F.array(*[
         F.struct(F.lit(k).alias("__lvl"), bucket(F.col("__x"), widths[k]).alias("__b"))
         for k in range(levels)])).alias("__k")).select("__x", "__k.__lvl", "__k.__b")
-    hits = (px.join(rx, ["__lvl", "__b"])
+    return (px.join(rx, ["__lvl", "__b"])
             .where((F.col("__lo") < F.col("__x")) & (F.col("__hi") > F.col("__x")))
             .groupBy("__x").agg(F.min_by("__val", F.col("__ord")).alias("__hit")))
+
+
+def range_lookup(df: DataFrame, x: str, ranges: DataFrame, lo: str, hi: str, value: str,
+                 out: str, order: str | None = None, default: str = "Unknown",
+                 span: int = 4, fanout: int = 64) -> DataFrame:
+    """K1 — first range (by ``order``, default ``lo``) with ``lo < x < hi``;
+    no match gives ``default``.
+
+    The answer only changes at range endpoints, so it is precomputed for every
+    distinct endpoint and for every gap between consecutive endpoints (looked up
+    at the gap's midpoint) — work bounded by the ranges table.  A probe value then
+    needs one piece: an endpoint (equi-join) or the single gap strictly containing
+    it (gaps are disjoint, found with the bucket grid).  Per-probe work no longer
+    grows with how many ranges overlap it."""
+    from kestrel.functions.prefix import prefix_sums
+    order = order or lo
+    r = ranges.select(F.col(quote_ident(lo)).cast("double").alias("__lo"),
+                      F.col(quote_ident(hi)).cast("double").alias("__hi"),
+                      F.col(quote_ident(value)).cast("string").alias("__val"),
+                      F.col(quote_ident(order)).alias("__ord")).where(
+        F.col("__lo") < F.col("__hi"))
+    r = cut_lineage(r)  # read by every step below
+    ends = (r.select(F.col("__lo").alias("__e")).unionByName(r.select(F.col("__hi").alias("__e")))
+            .distinct().withColumn("__one", F.lit(1)))
+    ranked = cut_lineage(prefix_sums(ends, [], "__e", ["__one"]).select(
+        "__e", F.col("__one_before").alias("__i")))
+    nxt = ranked.select(F.col("__e").alias("__b_end"), (F.col("__i") - 1).alias("__i"))
+    gaps = (ranked.join(nxt, "__i").select(F.col("__e").alias("__a"), "__b_end")
+            .withColumn("__mid", (F.col("__a") + F.col("__b_end")) / 2.0)
+            .where((F.col("__mid") > F.col("__a")) & (F.col("__mid") < F.col("__b_end"))))
+    reps = (ranked.select(F.col("__e").alias("__x"))
+            .unionByName(gaps.select(F.col("__mid").alias("__x"))).distinct())
+    rep_ans = cut_lineage(_grid_lookup(reps, r, span, fanout))
+    point_ans = ranked.select(F.col("__e").alias("__x")).join(rep_ans, "__x", "left")
+    gap_ans = (gaps.join(rep_ans.withColumnRenamed("__x", "__mid"), "__mid", "left")
+               .select(F.col("__a").alias("__lo"), F.col("__b_end").alias("__hi"),
+                       F.col("__hit").alias("__val"), F.col("__a").alias("__ord")))
+    probes = df.select(F.col(quote_ident(x)).cast("double").alias("__x")).where(
+        F.col("__x").isNotNull()).distinct()
+    on_point = probes.join(point_ans, "__x", "inner")
+    in_gap = _grid_lookup(probes.join(point_ans.select("__x"), "__x", "left_anti"), gap_ans,
+                          span, fanout)
+    hits = on_point.unionByName(in_gap)
     return (df.withColumn("__x", F.col(quote_ident(x)).cast("double"))
             .join(hits, "__x", "left")
-            .withColumn(out, F.coalesce(F.col("__hit").cast("string"), F.lit(default)))
+            .withColumn(out, F.coalesce(F.col("__hit"), F.lit(default)))
             .drop("__x", "__hit"))
 
 
