@@ -14,7 +14,7 @@ from kestrel.session import table
 from kestrel.sources.io import scratch_path
 from kestrel.streaming import scoring as S
 
-EVENTS_SCHEMA = ("event_id long, ts timestamp, user_id long, event_type string, value double, "
+EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
                  "props string")
 
 
