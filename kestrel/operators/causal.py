@@ -143,7 +143,6 @@ def validate_focus(df: DataFrame, candidates: Sequence[str], min_unique: int = 3
     valid with at least ``min_unique`` distinct values; otherwise a reason."""
     spark = df.sparkSession
     present = [c for c in candidates if c in df.columns]
-    counts = {}
     if present:
         row = df.agg(*[F.count_distinct(quote_ident(c)).alias(f"c{i}")
                        for i, c in enumerate(present)])
@@ -156,7 +155,6 @@ def validate_focus(df: DataFrame, candidates: Sequence[str], min_unique: int = 3
     else:
         out = spark.createDataFrame([(i, c, None) for i, c in enumerate(candidates)],
                                     "pos int, factor string, n_unique long")
-    del counts
     reason = (F.when(F.col("n_unique").isNull(), F.concat(F.col("factor"),
                                                           F.lit(" not found in annotated data")))
               .when(F.col("n_unique") < min_unique, F.concat(

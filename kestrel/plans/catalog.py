@@ -8,7 +8,6 @@ identically as ``VALUES`` in the oracle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kestrel.operators import orders as ords
 from kestrel.plans import bindings as B
