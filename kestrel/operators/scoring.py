@@ -66,6 +66,31 @@ class DensityModel:
     contexts: DataFrame  # (prev_col, prev_value, col, n_ctx)
     cards: DataFrame     # (col, k, n_rows)
     alpha: float
+    pairs: list | None = None      # adjacent (prev_col, col) pairs of the orders
+    firsts: list | None = None     # first columns of the orders
+    n_counts: int | None = None    # proven upper bounds of the table sizes
+    n_contexts: int | None = None
+
+
+# broadcast a fitted table only below this many rows (a checked bound); larger
+# tables are shuffle-joined (AQE splits skewed partitions)
+BROADCAST_ROWS = 2_000_000
+
+
+def size_bounds(model: DensityModel) -> DensityModel:
+    """Upper bounds of the fitted tables from the per-column cardinalities (one
+    row per column): ``counts <= sum k_a * k_b`` over adjacent pairs plus the first
+    columns' ``k``; ``contexts <= sum k_a`` plus one row per first column."""
+    k = {r["col"]: int(r["k"]) for r in model.cards.select("col", "k").collect()}
+    pairs, firsts = model.pairs or [], model.firsts or []
+    n_counts = sum(k.get(a, 0) * k.get(b, 0) for a, b in pairs) + sum(k.get(c, 0) for c in firsts)
+    n_ctx = sum(k.get(a, 0) for a, _ in pairs) + len(firsts)
+    return DensityModel(model.counts, model.contexts, model.cards, model.alpha, pairs, firsts,
+                        n_counts, n_ctx)
+
+
+def _sized(df: DataFrame, rows: int | None) -> DataFrame:
+    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
 def fit_density(train: DataFrame, cols: Sequence[str], orders: DataFrame | list,
@@ -107,7 +132,7 @@ def fit_density(train: DataFrame, cols: Sequence[str], orders: DataFrame | list,
                  .select(F.lit(START).alias("prev_col"), F.lit(START).alias("prev_value"),
                          "col", F.col("n_rows").alias("n_ctx")))
     contexts = ctx_first if ctx_pairs is None else ctx_first.unionByName(ctx_pairs)
-    return DensityModel(counts, contexts, cards, float(alpha))
+    return DensityModel(counts, contexts, cards, float(alpha), pairs, firsts)
 
 
 def order_records(df: DataFrame, row_id: str, orders: list[tuple[int, list[str]]],
@@ -135,8 +160,11 @@ def score_nll(test: DataFrame, row_id: str, model: DensityModel,
     olist = orders if isinstance(orders, list) else orders_list(orders)
     rec = order_records(test, row_id, olist)
     a = F.lit(model.alpha)
-    scored = (rec.join(model.counts, ["prev_col", "prev_value", "col", "value"], "left")
-              .join(model.contexts, ["prev_col", "prev_value", "col"], "left")
+    scored = (rec.join(_sized(model.counts, model.n_counts),
+                       ["prev_col", "prev_value", "col", "value"], "left")
+              .join(_sized(model.contexts, model.n_contexts), ["prev_col", "prev_value", "col"],
+                    "left")
+              # one row per column: bounded by the schema width
               .join(F.broadcast(model.cards.select("col", "k")), "col", "left"))
     num = F.coalesce(F.col("n"), F.lit(0)).cast("double") + a
     den = F.coalesce(F.col("n_ctx"), F.lit(0)).cast("double") + a * F.coalesce(

@@ -36,6 +36,8 @@ def density_scores(df: DataFrame, row_id: str, label: str, cols: Sequence[str],
     perms = scoring.orders_list(ords.permutations(spark, cols, n_perms, seed))
     train = binned.where(train_filter if train_filter is not None else F.col(label) == 0)
     model = scoring.fit_density(train, cols, perms, alpha)
+    # broadcast the fitted tables only behind a proven bound on their size
+    model = scoring.size_bounds(model)
     nll = scoring.score_nll(binned, row_id, model, perms)
     return scoring.row_scores(nll, weights, n_perms)
 
