@@ -241,15 +241,23 @@ def parse_fenced_json(c: Column, schema: str) -> Column:
     return F.from_json(extract_json_text(c), schema, {"mode": "PERMISSIVE"})
 
 
-def validate_factors(df: DataFrame) -> DataFrame:
-    """D12 — a parsed proposal ``(factors MAP<STRING, STRUCT<..., possible_values
-    ARRAY<STRING>>>, recommended_focus_factors ARRAY<...>)`` is valid when both
-    fields exist and every possible value is numeric; otherwise a reason."""
-    pv_ok = F.forall(F.map_values("factors"), lambda f: F.forall(
-        F.coalesce(f["possible_values"], F.array().cast("array<string>")),
-        lambda v: F.expr("true") & v.try_cast("double").isNotNull()))
-    reason = (F.when(F.col("factors").isNull(), F.lit("Missing 'factors' field"))
-              .when(F.col("recommended_focus_factors").isNull(),
+# JSON number literal (the only value type a possible value may have)
+_JSON_NUMBER = r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?"
+_NUMERIC_ARRAY = r"^\[\s*(" + _JSON_NUMBER + r"\s*(,\s*" + _JSON_NUMBER + r"\s*)*)?\]$"
+
+
+def validate_factors(df: DataFrame, json_col: str = "json") -> DataFrame:
+    """D12 — a proposal (JSON text in ``json_col``) is valid when it has both
+    ``factors`` and ``recommended_focus_factors`` and every possible value of
+    every factor is a JSON number (strings such as ``"5"`` are not); otherwise a
+    reason.  The raw JSON of each factor is kept (a map to strings), so value
+    types are checked on the JSON tokens."""
+    doc = F.from_json(F.col(quote_ident(json_col)),
+                      "factors MAP<STRING, STRING>, recommended_focus_factors STRING")
+    pv_ok = F.forall(F.map_values(doc["factors"]), lambda f: F.coalesce(
+        F.get_json_object(f, "$.possible_values"), F.lit("[]")).rlike(_NUMERIC_ARRAY))
+    reason = (F.when(doc["factors"].isNull(), F.lit("Missing 'factors' field"))
+              .when(doc["recommended_focus_factors"].isNull(),
                     F.lit("Missing 'recommended_focus_factors' field"))
               .when(~pv_ok, F.lit("possible_values contains non-numeric values")))
     return df.withColumn("valid", reason.isNull()).withColumn("reason", reason)

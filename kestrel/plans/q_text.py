@@ -182,7 +182,10 @@ def q_parse_json(spark, sf_dir):
     return r.select("event_id", D.parse_fenced_json(F.col("response"), "k INT")["k"].alias("k"))
 
 
-@register("d12_validate_factors")
+_D12_SQL = '\nWITH r AS (SELECT event_id, json_extract_string(props, \'$.k\') AS k, event_type FROM events),\nresp AS (SELECT event_id, CASE\n    WHEN event_type = \'view\' THEN \'```json\' || chr(10) || \'{"factors": {"f": {"possible_values": ["low", \' || k || \']}}, "recommended_focus_factors": ["f"]}\' || chr(10) || \'```\'\n    WHEN event_type = \'error\' THEN \'{"factors": {"f": {"possible_values": [\' || k || \']}}}\'\n    ELSE \'```json\' || chr(10) || \'{"factors": {"f": {"possible_values": [0, \' || k || \']}}, "recommended_focus_factors": ["f"]}\' || chr(10) || \'```\'\n  END AS response FROM r),\njs AS (SELECT event_id, trim(CASE WHEN contains(response, \'```json\') THEN regexp_extract(response, \'(?s)```json(.*?)(```|$)\', 1)\n                                  WHEN contains(response, \'```\') THEN regexp_extract(response, \'(?s)```(.*?)(```|$)\', 1)\n                                  ELSE response END) AS j FROM resp),\nv AS (SELECT event_id, CASE WHEN NOT json_valid(j) OR json_extract(j, \'$.factors\') IS NULL THEN \'Missing \'\'factors\'\' field\'\n                            WHEN json_extract(j, \'$.recommended_focus_factors\') IS NULL THEN \'Missing \'\'recommended_focus_factors\'\' field\'\n                            WHEN NOT list_bool_and(list_transform(json_extract(j, \'$.factors.*.possible_values\'),\n                                   lambda x: regexp_full_match(CAST(x AS VARCHAR), \'\\[\\s*(-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?\\s*(,\\s*-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?\\s*)*)?\\]\'))) THEN \'possible_values contains non-numeric values\'\n                       END AS reason FROM js)\nSELECT event_id, reason IS NULL AS valid, reason FROM v'
+
+
+@register("d12_validate_factors", _D12_SQL)
 def q_validate(spark, sf_dir):
     """Proposals built from event rows: click -> numeric values, view -> a word
     among the values, error -> no focus list."""
@@ -195,7 +198,5 @@ def q_validate(spark, sf_dir):
             F.lit('{"factors": {"f": {"possible_values": ['), k, F.lit(']}}}')))
         .otherwise(F.concat(F.lit('```json\n{"factors": {"f": {"possible_values": [0, '), k,
                             F.lit(']}}, "recommended_focus_factors": ["f"]}\n```'))).alias("response"))
-    schema = ("factors MAP<STRING, STRUCT<possible_values: ARRAY<STRING>>>, "
-              "recommended_focus_factors ARRAY<STRING>")
-    parsed = resp.select("event_id", D.parse_fenced_json(F.col("response"), schema).alias("p"))
-    return D.validate_factors(parsed.select("event_id", "p.*")).select("event_id", "valid", "reason")
+    parsed = resp.select("event_id", D.extract_json_text(F.col("response")).alias("json"))
+    return D.validate_factors(parsed, "json").select("event_id", "valid", "reason")
