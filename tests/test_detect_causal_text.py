@@ -131,3 +131,35 @@ def test_chisq_matches_spark_ml_chisquaretest(spark):
     assert abs(ours.stat - float(r.statistics[0])) < 1e-9
     assert ours.dof == int(r.degreesOfFreedom[0])
     assert abs(ours.p - float(r.pValues[0])) < 1e-9
+
+
+def test_validate_factors_requires_json_numbers(spark):
+    rows = [(1, '{"factors": {"f": {"possible_values": [0, 1.5, -2]}}, "recommended_focus_factors": ["f"]}'),
+            (2, '{"factors": {"f": {"possible_values": [0, "5"]}}, "recommended_focus_factors": ["f"]}'),
+            (3, '{"factors": {"f": {"possible_values": [1]}}}'),
+            (4, 'not json')]
+    df = spark.createDataFrame(rows, "id int, json string")
+    got = {r.id: (r.valid, r.reason) for r in D.validate_factors(df).collect()}
+    assert got[1] == (True, None)
+    assert got[2] == (False, "possible_values contains non-numeric values")
+    assert got[3] == (False, "Missing 'recommended_focus_factors' field")
+    assert got[4] == (False, "Missing 'factors' field")
+    fenced = spark.createDataFrame([("Sure:\n```json\n{\"a\": 1}\n```",), ("```\n{\"a\": 2}\n```",), ('{"a": 3}',)],
+                                   "r string")
+    vals = [r.a for r in fenced.select(D.parse_fenced_json(F.col("r"), "a INT").alias("p")).select("p.a").collect()]
+    assert vals == [1, 2, 3]
+
+
+def test_fisherz_partial_correlation(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=2000)
+    x = z + rng.normal(scale=0.5, size=2000)
+    y = z + rng.normal(scale=0.5, size=2000)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(x, y, z)],
+                               "x double, y double, z double")
+    r0 = CA.fisherz_test(df, "x", "y")
+    assert abs(r0["r"] - np.corrcoef(x, y)[0, 1]) < 1e-9 and r0["p"] < 1e-6
+    r1 = CA.fisherz_test(df, "x", "y", ["z"])
+    rx = x - np.polyval(np.polyfit(z, x, 1), z)
+    ry = y - np.polyval(np.polyfit(z, y, 1), z)
+    assert abs(r1["r"] - np.corrcoef(rx, ry)[0, 1]) < 1e-6 and r1["p"] > 0.001
