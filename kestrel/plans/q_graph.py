@@ -404,3 +404,22 @@ SELECT g.graph_id, cl.core IS NOT NULL AS has_cycle, coalesce(cl.core, []::VARCH
        CASE WHEN fin.path IS NULL THEN []::VARCHAR[]
             ELSE list_slice(fin.path, list_position(fin.path, fin.path[len(fin.path)]), len(fin.path)) END AS cycle
 FROM (VALUES ('dag'), ('cyclic')) AS g(graph_id) LEFT JOIN cl USING (graph_id) LEFT JOIN fin USING (graph_id)"""
+
+# H6 oracle: level-wise prefix expansion keeping the 50 smallest prefixes per
+# step (a window inside the recursive term), complete orders numbered in order
+SQL["h06_topo_sorts_all"] = f"""
+WITH RECURSIVE {_DIRECTED_SQL},
+inv AS (SELECT DISTINCT graph_id, src AS node FROM d UNION SELECT DISTINCT graph_id, dst FROM d),
+n AS (SELECT graph_id, count(*) AS nn FROM inv GROUP BY graph_id),
+pre(graph_id, step, cols) AS (
+  SELECT graph_id, 0, []::VARCHAR[] FROM n
+  UNION ALL
+  SELECT graph_id, step, cols FROM (
+    SELECT p.graph_id, p.step + 1 AS step, list_append(p.cols, i.node) AS cols,
+           row_number() OVER (PARTITION BY p.graph_id ORDER BY list_append(p.cols, i.node)) AS rn
+    FROM pre p JOIN inv i ON i.graph_id = p.graph_id
+    WHERE NOT list_contains(p.cols, i.node)
+      AND NOT EXISTS (SELECT 1 FROM d WHERE d.graph_id = p.graph_id AND d.dst = i.node
+                      AND NOT list_contains(p.cols, d.src))) WHERE rn <= 50)
+SELECT pre.graph_id, CAST(row_number() OVER (PARTITION BY pre.graph_id ORDER BY cols) - 1 AS INTEGER) AS order_id, cols
+FROM pre JOIN n ON n.graph_id = pre.graph_id WHERE len(cols) = n.nn"""
