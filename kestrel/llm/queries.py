@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import chat, quality, sharding, url_filter
+import public_tokenizers
+
+from kestrel.llm import bpe, chat, mixing, quality, sharding, token_files, url_filter
+from kestrel.llm.common import scratch_path
 from kestrel.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +83,32 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.concat_ws(",", "broken").alias("broken"), "kept")
 
 
+# ------------------------------------------------------------------ 3 BPE
+@register("op3_bpe_round_trip")
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the byte-level vocabulary and decoded again, as digests."""
+    return bpe.round_trip_report(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# ------------------------------------------------------------------ 5 token files
+@register("op5_token_store")
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the word vocabulary, written to a token store in the shared
+    folder and read back from its files."""
+    path = scratch_path(spark, "token-store")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path,
+                             public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.token_report(token_files.read_tokens(spark, path))
+
+
+# ------------------------------------------------------------------ 7 mixing
+@register("op7_entropy_mix")
+def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's size and target and the words that the mix takes of it."""
+    return mixing.mixed_documents_report(table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------------ 8 sharding
 @register("op8_feistel_shards")
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
