@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from kestrel.llm import bpe, chat, mixing, quality, sharding, token_files, url_filter
+from kestrel.llm import bpe, chat, fingerprint, mixing, quality, sharding, token_files, url_filter
 from kestrel.llm.common import scratch_path
 from kestrel.session import table
 
@@ -83,6 +83,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.concat_ws(",", "broken").alias("broken"), "kept")
 
 
+# ------------------------------------------------------------------ 2 fingerprints
+@register("op2_paragraph_sketch")
+def op2_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch against its edited text and against the next document."""
+    return fingerprint.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------------ 3 BPE
 @register("op3_bpe_round_trip")
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
