@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from kestrel.llm import bpe, chat, fingerprint, mixing, quality, sharding, token_files, url_filter
+from kestrel.llm import bpe, chat, fingerprint, mixing, near_dup, quality, sharding, token_files, url_filter
 from kestrel.llm.common import scratch_path
 from kestrel.session import table
 
@@ -109,6 +109,13 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_report(token_files.read_tokens(spark, path))
 
 
+# ------------------------------------------------------------------ 6 near-duplicates
+@register("op6_minhash_components")
+def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component under links of at least 85 % common shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 # ------------------------------------------------------------------ 7 mixing
 @register("op7_entropy_mix")
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
