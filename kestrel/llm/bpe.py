@@ -229,26 +229,31 @@ def decode_documents(tokens: DataFrame, tokenizer: str) -> DataFrame:
         .mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip_report(docs: DataFrame, tokenizer: str) -> DataFrame:
+def round_trip_report(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of
-    the text decoded from those ids), encoded and decoded in one pass over the texts."""
+    the text decoded from those ids), encoded and decoded in one pass over the texts; on request
+    also the ids.  Nulls, repeats and empty tables as in ``encode_documents``."""
     missing(docs, "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
-                        ("decoded_sha256", pa.string())])
+                        ("decoded_sha256", pa.string())]
+                       + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
         bpe = coder(tokenizer)
         decimal = [str(i) for i in range(bpe.width)].__getitem__
         sha = hashlib.sha256
         for b in batches:
-            rows = []
+            n, ids_sha, text_sha, kept = [], [], [], []
             for ids in bpe.encode_batch(b.column("text").to_pylist()):
-                rows.append((len(ids), sha(",".join(map(decimal, ids)).encode()).hexdigest(),
-                             sha(bpe.decode(ids).encode()).hexdigest()))
-            n, ids_sha, text_sha = zip(*rows) if rows else ((), (), ())
+                n.append(len(ids))
+                ids_sha.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
+                text_sha.append(sha(bpe.decode(ids).encode()).hexdigest())
+                if with_ids:
+                    kept.append(np.array(ids, dtype=np.int32))
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()),
-                                   pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                                  schema=schema)
+                                   pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                                  + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, schema=schema)
 
+    columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")) \
-        .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        .mapInArrow(run, columns)

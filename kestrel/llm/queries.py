@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from kestrel.llm import bpe, chat, fingerprint, mixing, near_dup, quality, sharding, token_files, url_filter
+from kestrel.llm import (
+    bpe, chat, fingerprint, line_dedup, mixing, near_dup, quality, sharding, token_files, url_filter)
 from kestrel.llm.common import scratch_path
 from kestrel.session import table
 
@@ -98,6 +99,14 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  public_tokenizers.path("byte_bpe_50k.json"))
 
 
+# ------------------------------------------------------------------ 4 line dedup
+@register("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text after later repeated runs of lines are deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 # ------------------------------------------------------------------ 5 token files
 @register("op5_token_store")
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
