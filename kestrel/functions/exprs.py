@@ -54,32 +54,44 @@ LANGUAGE_WORDS = ["Minimal", "Slight", "Moderate", "Noticeable", "Considerable",
                   "Significant", "Substantial", "Major", "Extensive", "Maximum"]
 
 
-def chi2_sf(x: float, k: int) -> float:
-    """Upper tail P(X >= x) of a chi-square with integer ``k`` degrees of freedom.
+def gamma_q(a: float, x: float) -> float:
+    """Regularized upper incomplete gamma function Q(a, x) for a > 0.
 
-    Closed forms (no scipy): even k is a Poisson sum, odd k an erfc plus a finite
-    series.  Used inside pandas UDFs over one row per test.
+    Below a + 1 the power series of the lower function, above it the continued fraction
+    (evaluated from the front, Lentz); the common factor is taken in logs, so nothing
+    underflows before the result itself does.
     """
-    if k <= 0 or x is None or math.isnan(x):
-        return float("nan")
     if x <= 0:
         return 1.0
-    half = x / 2.0
-    if k % 2 == 0:
-        term = math.exp(-half)
-        total = term
-        for i in range(1, k // 2):
-            term *= half / i
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1.0 / a
+        n = a
+        while abs(term) > abs(total) * 1e-17:
+            n += 1
+            term *= x / n
             total += term
-        return min(1.0, total)
-    total = math.erfc(math.sqrt(half))
-    if k > 1:
-        t = math.sqrt(2.0 * x / math.pi) * math.exp(-half)
-        total += t
-        for i in range(1, (k - 1) // 2):
-            t *= x / (2 * i + 1)
-            total += t
-    return min(1.0, total)
+        return min(1.0, max(0.0, 1.0 - total * scale))
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h, i = d, 0
+    while True:
+        i += 1
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b or tiny)
+        c = b + step / c or tiny
+        h *= d * c
+        if abs(d * c - 1) < 1e-15 or i > 1_000_000:
+            return min(1.0, max(0.0, h * scale))
+
+
+def chi2_sf(x: float, k: int) -> float:
+    """Upper tail P(X >= x) of a chi-square with ``k`` degrees of freedom: Q(k/2, x/2)."""
+    if k <= 0 or x is None or math.isnan(x):
+        return float("nan")
+    return gamma_q(k / 2.0, x / 2.0)
 
 
 def chi2_isf(p: float, k: int) -> float:

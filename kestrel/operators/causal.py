@@ -1,24 +1,23 @@
 """F — contingency counts, independence tests and structure learning.
 
-All conditional-independence tests of one round are evaluated by a single
-Spark job: every data row emits one record per test (a ``stack`` over a small,
-plan-time list of tests), records are counted per ``(test, stratum, x, y)``
-with map-side combine (factor domains are small, so the shuffle is tiny), and
-the statistics are aggregates of those counts.  Only the per-test summary
-(one row per test, bounded by the number of factor pairs) reaches the driver,
-where PC decides which edges to drop.
+The factor columns are counted once into a cube (one row per observed combination, never
+more than the input has rows).  All conditional-independence tests of a round are then one
+Spark job over the cube: each combination emits one weighted record per test (a plan-time
+list of tests), and the statistics are aggregates of the sums.  A test uses the rows that
+are complete in its own columns.  Only the per-test summary reaches the driver, where PC
+decides which edges to drop.
 
 Chi-square: ``sum O^2/E - n`` over observed cells (equal to the Pearson sum over
 all cells of a stratum); G-square ``2 sum O ln(O/E)``; per stratum
-``dof = (nonzero rows - 1)(nonzero cols - 1)``; tail probabilities from the
-closed forms in :func:`kestrel.functions.exprs.chi2_sf`.
+``dof = (nonzero rows - 1)(nonzero cols - 1)``; tail probabilities from the incomplete
+gamma function in :func:`kestrel.functions.exprs.chi2_sf`.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,16 +32,31 @@ def _v(c: str):
     return F.col(quote_ident(c)).cast("string")
 
 
-def contingency(df: DataFrame, tests: Sequence[tuple[str, str, Sequence[str]]]) -> DataFrame:
+def count_cube(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per observed combination of ``cols`` with its count ``__n``, checkpointed:
+    every test of every depth reads it instead of the data."""
+    cols = list(dict.fromkeys(cols))
+    return cut_lineage(df.groupBy(*[F.col(quote_ident(c)) for c in cols])
+                       .agg(F.count(F.lit(1)).alias("__n")))
+
+
+def contingency(df: DataFrame, tests: Sequence[tuple[str, str, Sequence[str]]],
+                weight: str | None = None) -> DataFrame:
     """F2 — counts ``(test_id, s_key, x, y, n)`` for many (x, y | S) tests at once.
-    ``s_key`` joins the conditioning values with ``|`` (empty when S is empty)."""
+
+    ``s_key`` is the array of conditioning values (empty when S is empty); rows with a null
+    in x, y or S are left out of that test.  ``weight`` names a count column (a cube)."""
+    n = F.col(weight) if weight else F.lit(1).cast("long")
     items = []
     for tid, (x, y, s) in enumerate(tests):
-        skey = F.concat_ws("|", *[_v(c) for c in s]) if s else F.lit("")
-        items.append(F.struct(F.lit(tid).alias("test_id"), skey.alias("s_key"),
-                              _v(x).alias("x"), _v(y).alias("y")))
-    return (df.select(F.explode(F.array(*items)).alias("t")).select("t.*")
-            .groupBy("test_id", "s_key", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+        skey = F.array(*[_v(c) for c in s]) if s else F.array().cast("array<string>")
+        whole = F.lit(True)
+        for c in (x, y, *s):
+            whole = whole & F.col(quote_ident(c)).isNotNull()
+        items.append(F.when(whole, F.struct(F.lit(tid).alias("test_id"), skey.alias("s_key"),
+                                            _v(x).alias("x"), _v(y).alias("y"))))
+    return (df.select(n.alias("w"), F.explode(F.array_compact(F.array(*items))).alias("t"))
+            .select("w", "t.*").groupBy("test_id", "s_key", "x", "y").agg(F.sum("w").alias("n")))
 
 
 def test_statistics(counts: DataFrame, method: str = "chisq") -> DataFrame:
@@ -75,13 +89,13 @@ def chi2_pvalue(stat: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def ci_tests(df: DataFrame, tests: Sequence[tuple[str, str, Sequence[str]]],
-             method: str = "chisq") -> DataFrame:
+             method: str = "chisq", weight: str | None = None) -> DataFrame:
     """F3 — ``(test_id, x, y, s, stat, dof, p)`` for every test, one Spark job."""
     spark = df.sparkSession
     meta = spark.createDataFrame(
         [(i, x, y, list(s)) for i, (x, y, s) in enumerate(tests)],
         "test_id int, x_col string, y_col string, s_cols array<string>")
-    st = test_statistics(contingency(df, tests), method)
+    st = test_statistics(contingency(df, tests, weight), method)
     # the test list has one row per test (bounded by factor pairs): broadcast
     return (F.broadcast(meta).join(st, "test_id", "left")
             .withColumn("stat", F.coalesce("stat", F.lit(0.0)))
@@ -98,7 +112,7 @@ def chisq_test(df: DataFrame, x: str, y: str, cond: Sequence[str] = (),
 def pairwise_tests(df: DataFrame, factors: Sequence[str], method: str = "chisq") -> DataFrame:
     """All unordered factor pairs, unconditional, as one job."""
     tests = [(a, b, []) for a, b in itertools.combinations(factors, 2)]
-    return ci_tests(df, tests, method)
+    return ci_tests(count_cube(df, factors), tests, method, weight="__n")
 
 
 def confirm_factors(df: DataFrame, factors: Sequence[str], alpha: float = 0.05,
@@ -155,11 +169,10 @@ def validate_focus(df: DataFrame, candidates: Sequence[str], min_unique: int = 3
     else:
         out = spark.createDataFrame([(i, c, None) for i, c in enumerate(candidates)],
                                     "pos int, factor string, n_unique long")
-    reason = (F.when(F.col("n_unique").isNull(), F.concat(F.col("factor"),
-                                                          F.lit(" not found in annotated data")))
+    reason = (F.when(F.col("n_unique").isNull(), F.concat(F.lit("no column "), F.col("factor")))
               .when(F.col("n_unique") < min_unique, F.concat(
-                  F.col("factor"), F.lit(" has only "), F.col("n_unique").cast("string"),
-                  F.lit(f" unique values, cannot serve as focus_factor (need at least {min_unique})"))))
+                  F.col("n_unique").cast("string"), F.lit(f" of {min_unique} required values in "),
+                  F.col("factor"))))
     return out.select("pos", "factor", "n_unique", reason.isNull().alias("valid"),
                       reason.alias("reason"))
 
@@ -214,13 +227,56 @@ def cluster_entropy_sample(df: DataFrame, factors: Sequence[str], focus: Sequenc
 
 
 # ----------------------------------------------------------------- PC algorithm
+def correlations(df: DataFrame, cols: Sequence[str]) -> tuple[int, dict[tuple[str, str], float]]:
+    """Row count and Pearson correlations of all pairs of ``cols`` in one pass (rows complete in
+    all of them); a constant column has correlation 0 with every other."""
+    x = df.select(*[F.col(quote_ident(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    pairs = list(itertools.combinations(range(len(cols)), 2))
+    row = x.agg(F.count(F.lit(1)).alias("n"), *[
+        F.coalesce(F.nanvl(F.corr(f"c{i}", f"c{j}"), F.lit(0.0)), F.lit(0.0)).alias(f"r{i}_{j}")
+        for i, j in pairs]).first()
+    corr = {(c, c): 1.0 for c in cols}
+    for i, j in pairs:
+        corr[cols[i], cols[j]] = corr[cols[j], cols[i]] = row[f"r{i}_{j}"]
+    return row["n"], corr
+
+
+def partial_fisherz(n: int, corr: dict[tuple[str, str], float], x: str, y: str,
+                    cond: Sequence[str] = ()) -> dict:
+    """F4 — partial correlation of x and y given ``cond`` from the inverted submatrix, its
+    Fisher-Z statistic and two-sided p (1 when the sample is too small for the test)."""
+    import numpy as np
+    cols = [x, y, *cond]
+    inv = np.linalg.pinv(np.array([[corr[a, b] for b in cols] for a in cols]))
+    r = -inv[0, 1] / math.sqrt(inv[0, 0] * inv[1, 1])
+    r = max(min(float(r), 1 - 1e-12), -1 + 1e-12)
+    z = 0.5 * math.log((1 + r) / (1 - r)) * math.sqrt(max(n - len(cond) - 3, 0))
+    return {"r": r, "z": z, "p": math.erfc(abs(z) / math.sqrt(2.0))}
+
+
+def _tester(df: DataFrame, cols: Sequence[str], method: str) -> Callable:
+    """A function from a list of tests to their p-values (None: no statistic)."""
+    if method == "fisherz":
+        n, corr = correlations(df, cols)
+        return lambda tests: [partial_fisherz(n, corr, x, y, s)["p"] for x, y, s in tests]
+    cube = count_cube(df, cols)
+
+    def run(tests):
+        res = ci_tests(cube, tests, method, weight="__n").select("test_id", "p").collect()
+        pv = {r.test_id: r.p for r in res}
+        return [pv.get(i) for i in range(len(tests))]
+    return run
+
+
 def pc_skeleton(df: DataFrame, cols: Sequence[str], alpha: float = 0.05,
                 method: str = "chisq", max_depth: int | None = None) -> tuple[set, dict, list]:
     """F10 — stable PC skeleton.  Depth d tests every adjacent pair (x, y) given
     each size-d subset of ``adj(x) \\ {y}`` (then of ``adj(y) \\ {x}``) with the
     adjacency frozen for the whole depth; the first subset with p > alpha
-    removes the edge and becomes its separating set.  Each depth is one Spark job
-    over the data; returns (edges, sepsets, test log)."""
+    removes the edge and becomes its separating set.  The data is read once, into a count
+    cube (chisq, gsq) or a correlation matrix (fisherz); runs until no pair has enough
+    neighbours unless ``max_depth`` is given.  Returns (edges, sepsets, test log)."""
+    p_values = _tester(df, cols, method)
     adj = {c: set(cols) - {c} for c in cols}
     sepsets: dict = {}
     log: list = []
@@ -247,8 +303,7 @@ def pc_skeleton(df: DataFrame, cols: Sequence[str], alpha: float = 0.05,
             if key not in seen:
                 seen.add(key)
                 uniq.append((x, y, s))
-        res = ci_tests(df, uniq, method).select("test_id", "stat", "dof", "p").collect()
-        pv = {r.test_id: r.p for r in res}
+        pv = dict(enumerate(p_values(uniq)))
         for tid, (x, y, s) in enumerate(uniq):
             log.append((depth, x, y, s, pv.get(tid)))
         for tid, (x, y, s) in enumerate(uniq):
@@ -289,7 +344,7 @@ def pc_orient(spark, cols: Sequence[str], edges: set, sepsets: dict,
     arcs = arcs.join(rev, ["a", "b"], "left_anti").unionByName(
         arcs.join(rev, ["a", "b"], "left_semi").where(F.col("a") < F.col("b")))
     directed = cut_lineage(arcs)
-    for _ in range(4 * max(1, len(cols))):
+    while True:  # each round directs an edge more, so it ends
         undirected = (und.join(directed, ["a", "b"], "left_anti")
                       .join(directed.select(F.col("b").alias("a"), F.col("a").alias("b")),
                             ["a", "b"], "left_anti"))
@@ -338,13 +393,11 @@ def bic_local_scores(df: DataFrame, candidates: Sequence[tuple[str, Sequence[str
                      ) -> DataFrame:
     """F12 — discrete BIC local score of ``node | parents`` for many candidates in
     one grouped count: ``sum n ln(n / n_parent) - ln(N)/2 * (r-1) * q`` with r
-    the node's observed values and q the observed parent configurations."""
-    items = []
-    for cid, (node, parents) in enumerate(candidates):
-        pk = F.concat_ws("|", *[_v(p) for p in parents]) if parents else F.lit("")
-        items.append(F.struct(F.lit(cid).alias("cand_id"), pk.alias("pk"), _v(node).alias("v")))
-    c = (df.select(F.explode(F.array(*items)).alias("t")).select("t.*")
-         .groupBy("cand_id", "pk", "v").agg(F.count(F.lit(1)).alias("n")))
+    the node's observed values and q the observed parent configurations.  Rows with a null in
+    the node or its parents are left out of that candidate."""
+    cube = count_cube(df, [c for node, parents in candidates for c in (node, *parents)])
+    c = contingency(cube, [(node, node, list(parents)) for node, parents in candidates], "__n").select(
+        F.col("test_id").alias("cand_id"), F.col("s_key").alias("pk"), F.col("x").alias("v"), "n")
     par = c.groupBy("cand_id", "pk").agg(F.sum("n").alias("n_pk"))
     ll = (c.join(par, ["cand_id", "pk"]).groupBy("cand_id").agg(
         F.sum(F.col("n") * F.ln(F.col("n") / F.col("n_pk"))).alias("ll"),
@@ -359,29 +412,32 @@ def bic_local_scores(df: DataFrame, candidates: Sequence[tuple[str, Sequence[str
                     .alias("bic")))
 
 
-def fisherz_test(df: DataFrame, x: str, y: str, cond: Sequence[str] = ()) -> dict:
-    """F4 — Fisher-Z test from one pass of covariance aggregates; the (tiny)
-    correlation submatrix is inverted on the driver."""
+def bic_gaussian_scores(df: DataFrame, candidates: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """F12 — continuous BIC local score from one pass of covariance aggregates:
+    ``-N/2 ln(residual variance) - ln(N)/2 * (number of parents + 1)``, the residual being that
+    of the least-squares regression of the node on its parents (rows complete in all columns)."""
     import numpy as np
-    cols = [x, y, *cond]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j >= i:
-                aggs.append(F.corr(F.col(quote_ident(a)).cast("double"),
-                                   F.col(quote_ident(b)).cast("double")).alias(f"r{i}_{j}")
-                            if i != j else F.lit(1.0).alias(f"r{i}_{j}"))
-    row = df.agg(*aggs).first()
-    k = len(cols)
-    m = np.eye(k)
-    for i in range(k):
-        for j in range(i + 1, k):
-            m[i, j] = m[j, i] = row[f"r{i}_{j}"]
-    inv = np.linalg.pinv(m)
-    r = -inv[0, 1] / math.sqrt(inv[0, 0] * inv[1, 1])
-    r = max(min(r, 1 - 1e-12), -1 + 1e-12)
-    z = 0.5 * math.log((1 + r) / (1 - r)) * math.sqrt(row["n"] - len(cond) - 3)
-    return {"r": float(r), "z": float(z), "p": float(math.erfc(abs(z) / math.sqrt(2.0)))}
+    cols = list(dict.fromkeys(c for node, parents in candidates for c in (node, *parents)))
+    x = df.select(*[F.col(quote_ident(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
+    row = x.agg(F.count(F.lit(1)).alias("n"), *[
+        F.covar_pop(f"c{i}", f"c{j}").alias(f"s{i}_{j}")
+        for i in range(len(cols)) for j in range(i, len(cols))]).first()
+    cov = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(cols))] for i in range(len(cols))])
+    n, out = row["n"], []
+    for cid, (node, parents) in enumerate(candidates):
+        i, p = cols.index(node), [cols.index(c) for c in parents]
+        var = cov[i, i]
+        if p:
+            var = var - cov[i, p] @ np.linalg.pinv(cov[np.ix_(p, p)]) @ cov[p, i]
+        score = -n / 2.0 * math.log(max(float(var), 1e-300)) - math.log(n) / 2.0 * (len(p) + 1) if n else None
+        out.append((cid, node, list(parents), score))
+    return df.sparkSession.createDataFrame(out, "cand_id int, node string, parents array<string>, bic double")
+
+
+def fisherz_test(df: DataFrame, x: str, y: str, cond: Sequence[str] = ()) -> dict:
+    """F4 — Fisher-Z test of one pair given ``cond`` (one pass over the data)."""
+    n, corr = correlations(df, list(dict.fromkeys([x, y, *cond])))
+    return partial_fisherz(n, corr, x, y, cond)
 
 
 def normalize_edges(edges: DataFrame) -> DataFrame:

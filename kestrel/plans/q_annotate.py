@@ -118,7 +118,7 @@ def q_diff(spark, sf_dir):
 def q_rounds(spark, sf_dir):
     """Three proposal rounds over the order factors; annotation by reading the
     factor columns (rule annotator), confirmation by chi-square, focus validation,
-    PC (depth <= 1) for the graph."""
+    PC for the graph."""
     base = BD.order_factors(spark, sf_dir)
     doms = base.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in BD.ORDER_FACTOR_COLS]).first()
     plan = [(1, ["status", "priority", "size"], ["size"]),
@@ -142,6 +142,6 @@ def q_rounds(spark, sf_dir):
         return [r["factor"] for r in v.where("valid").collect()]
 
     def learn(ann, names):
-        edges, _, _ = CA.pc_skeleton(ann, names, 0.05, "chisq", max_depth=1)
+        edges, _, _ = CA.pc_skeleton(ann, names, 0.05, "chisq")
         return len(edges)
     return G.run_rounds(base, proposals, annotate_round, confirm, validate, learn, max_rounds=5)

@@ -11,7 +11,6 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from kestrel.functions.exprs import chi2_isf
 from kestrel.operators import causal as CA
 from kestrel.operators import graph as G
 from kestrel.plans import bindings as BD
@@ -21,10 +20,29 @@ from kestrel.session import table
 
 FC = BD.FACTOR_COLS
 ALPHA = 0.05
-CRIT_SQL = sql_values([(d, chi2_isf(ALPHA, d)) for d in range(1, 401)], ["dof", "crit"])
 PAIRS = list(itertools.combinations(FC, 2))
 
 
+def erfc_sql(z2: str) -> str:
+    """erfc(sqrt(z2)) in DuckDB: power series below 4, continued fraction from there on."""
+    series = (f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), "
+              f"lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp((n + 0.5) * ln({z2}) - lgamma(n + 1)) / (2 * n + 1)))")
+    fraction = (f"exp(-({z2})) / sqrt(pi() * ({z2})) / list_reduce(list_transform(range(0, 101), "
+                f"lambda n: CASE WHEN n = 0 THEN 1.0 ELSE (101.0 - n) END), lambda f, n: 1 + n / (2 * ({z2})) / f)")
+    return f"(CASE WHEN ({z2}) <= 0 THEN 1.0 WHEN ({z2}) < 4 THEN {series} ELSE {fraction} END)"
+
+
+def chi2_tail_sql(stat: str, dof: str) -> str:
+    """Chi-square tail for whole dof in DuckDB, from the Poisson sum (even dof) or erfc plus a
+    half-integer sum (odd dof), every term in logs; 1 without degrees of freedom."""
+    h = f"(greatest({stat}, 0.0) / 2.0)"
+    even = (f"list_sum(list_transform(range(0, CAST({dof} // 2 AS BIGINT)), "
+            f"lambda i: exp(-{h} + i * ln({h}) - lgamma(i + 1))))")
+    odd = (f"{erfc_sql(h)} + coalesce(list_sum(list_transform(range(1, CAST(({dof} + 1) // 2 AS BIGINT)), "
+           f"lambda i: exp(-{h} + (i - 0.5) * ln({h}) - lgamma(i + 0.5)))), 0.0)")
+    return (f"(CASE WHEN {dof} <= 0 OR {h} <= 0 THEN 1.0 WHEN {dof} % 2 = 0 THEN {even} ELSE {odd} END)")
+
+
 @register("f01_validate_focus", f"""
 WITH f AS ({BD.LINEITEM_FACTORS_SQL}),
 c AS (SELECT * FROM (VALUES (0, 'returnflag'), (1, 'linestatus'), (2, 'qty_bucket'), (3, 'missing_factor'))
@@ -34,9 +52,9 @@ n AS (SELECT 'returnflag' AS factor, count(DISTINCT returnflag) AS n_unique FROM
       UNION ALL SELECT 'qty_bucket', count(DISTINCT qty_bucket) FROM f)
 SELECT CAST(pos AS INTEGER) AS pos, factor, n_unique,
        n_unique IS NOT NULL AND n_unique >= 3 AS valid,
-       CASE WHEN n_unique IS NULL THEN factor || ' not found in annotated data'
-            WHEN n_unique < 3 THEN factor || ' has only ' || CAST(n_unique AS VARCHAR) ||
-                 ' unique values, cannot serve as focus_factor (need at least 3)' END AS reason
+       CASE WHEN n_unique IS NULL THEN 'no column ' || factor
+            WHEN n_unique < 3 THEN CAST(n_unique AS VARCHAR) || ' of 3 required values in ' || factor
+       END AS reason
 FROM c LEFT JOIN n USING (factor)""")
 def q_validate_focus(spark, sf_dir):
     f = BD.lineitem_factors(spark, sf_dir)
@@ -54,7 +72,8 @@ UNION ALL
 SELECT 1, CAST(linestatus AS VARCHAR), CAST(qty_bucket AS VARCHAR), CAST(disc_bucket AS VARCHAR),
        count(*) FROM f GROUP BY ALL""")
 def q_contingency(spark, sf_dir):
-    return CA.contingency(BD.lineitem_factors(spark, sf_dir), CONT_TESTS)
+    c = CA.contingency(BD.lineitem_factors(spark, sf_dir), CONT_TESTS)
+    return c.withColumn("s_key", F.array_join("s_key", "|"))
 
 
 def _stat_sql(tests, method: str) -> str:
@@ -77,17 +96,16 @@ ps AS (SELECT test_id, x_col, y_col, s_key, sum({cell}) AS s,
        FROM (SELECT *, n_x * n_y / n_s AS e FROM j) GROUP BY ALL),
 st AS (SELECT test_id, x_col, y_col, sum({stat}) AS stat, sum((r - 1) * (cc - 1)) AS dof
        FROM ps GROUP BY ALL),
-crit AS (SELECT * FROM {CRIT_SQL})"""
+pv AS (SELECT *, {chi2_tail_sql("stat", "dof")} AS p FROM st)"""
 
 
 @register("f03_chisq_pairs", _stat_sql([(a, b, []) for a, b in PAIRS], "chisq") + """
 SELECT CAST(test_id AS INTEGER) AS test_id, x_col, y_col, round(stat, 6) AS stat,
-       CAST(dof AS BIGINT) AS dof, coalesce(stat > crit, FALSE) AS dependent
-FROM st LEFT JOIN crit USING (dof)""")
+       CAST(dof AS BIGINT) AS dof, round(p, 9) AS p, p < 0.05 AS dependent FROM pv""")
 def q_chisq_pairs(spark, sf_dir):
     t = CA.pairwise_tests(BD.lineitem_factors(spark, sf_dir), FC, "chisq")
     return t.select("test_id", "x_col", "y_col", F.round("stat", 6).alias("stat"), "dof",
-                    (F.col("p") < ALPHA).alias("dependent"))
+                    F.round("p", 9).alias("p"), (F.col("p") < ALPHA).alias("dependent"))
 
 
 GSQ_TESTS = [("qty_bucket", "disc_bucket", ["ship_dow3"]), ("returnflag", "ship_month", ["linestatus"]),
@@ -96,16 +114,15 @@ GSQ_TESTS = [("qty_bucket", "disc_bucket", ["ship_dow3"]), ("returnflag", "ship_
 
 @register("f03_gsq_conditional", _stat_sql(GSQ_TESTS, "gsq") + """
 SELECT CAST(test_id AS INTEGER) AS test_id, x_col, y_col, round(stat, 6) AS stat,
-       CAST(dof AS BIGINT) AS dof, coalesce(stat > crit, FALSE) AS dependent
-FROM st LEFT JOIN crit USING (dof)""")
+       CAST(dof AS BIGINT) AS dof, round(p, 9) AS p, p < 0.05 AS dependent FROM pv""")
 def q_gsq(spark, sf_dir):
     t = CA.ci_tests(BD.lineitem_factors(spark, sf_dir), GSQ_TESTS, "gsq")
     return t.select("test_id", "x_col", "y_col", F.round("stat", 6).alias("stat"), "dof",
-                    (F.col("p") < ALPHA).alias("dependent"))
+                    F.round("p", 9).alias("p"), (F.col("p") < ALPHA).alias("dependent"))
 
 
 @register("f05_confirm_factors", _stat_sql([(a, b, []) for a, b in PAIRS], "chisq") + """,
-dep AS (SELECT x_col, y_col, coalesce(stat > crit, FALSE) AS d FROM st LEFT JOIN crit USING (dof)),
+dep AS (SELECT x_col, y_col, p < 0.05 AS d FROM pv),
 bth AS (SELECT x_col AS factor, d FROM dep UNION ALL SELECT y_col, d FROM dep)
 SELECT factor, bool_or(d) AS kept, CAST(sum(CAST(d AS INTEGER)) AS INTEGER) AS n_related,
        factor IN ('qty_bucket', 'returnflag') AS in_focus
@@ -116,10 +133,13 @@ def q_confirm(spark, sf_dir):
     return c.select("factor", "kept", "n_related", "in_focus")
 
 
-@register("f06_top_related")
+@register("f06_top_related", _stat_sql([(a, b, []) for a, b in PAIRS], "chisq") + """,
+bth AS (SELECT x_col AS factor, y_col AS other, p FROM pv UNION ALL SELECT y_col, x_col, p FROM pv)
+SELECT factor, other, round(p, 9) AS p, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY p, other) AS rank FROM bth) WHERE rank <= 3""")
 def q_top_related(spark, sf_dir):
     t = CA.pairwise_tests(BD.lineitem_factors(spark, sf_dir), FC, "chisq")
-    return CA.top_related(t, 3)
+    return CA.top_related(t, 3).withColumn("p", F.round("p", 9))
 
 
 @register("f07_cluster_entropy", f"""
@@ -151,7 +171,7 @@ def q_cluster_sample(spark, sf_dir):
 @register("f10_pc_skeleton")
 def q_pc_skeleton(spark, sf_dir):
     f = BD.lineitem_factors(spark, sf_dir)
-    edges, seps, _ = CA.pc_skeleton(f, FC, ALPHA, "chisq", max_depth=2)
+    edges, seps, _ = CA.pc_skeleton(f, FC, ALPHA, "chisq")
     rows = [(min(e), max(e), sorted(seps.get(e, []))) for e in edges]
     return spark.createDataFrame(rows or [], "a string, b string, sepset array<string>")
 
@@ -159,7 +179,26 @@ def q_pc_skeleton(spark, sf_dir):
 @register("f11_pc_orient")
 def q_pc(spark, sf_dir):
     f = BD.lineitem_factors(spark, sf_dir)
-    return CA.pc(f, FC, ALPHA, "chisq", max_depth=2)
+    return CA.pc(f, FC, ALPHA, "chisq")
+
+
+@register("f12_bic_gaussian", """
+WITH c AS (SELECT count(*) AS n, var_pop(l_extendedprice) AS vp, var_pop(l_quantity) AS vq,
+                  covar_pop(l_extendedprice, l_quantity) AS cpq FROM lineitem)
+SELECT 0 AS cand_id, round(-n / 2.0 * ln(vp) - ln(n) / 2.0, 3) AS bic FROM c UNION ALL
+SELECT 1, round(-n / 2.0 * ln(vp - cpq * cpq / vq) - ln(n), 3) FROM c""")
+def q_bic_gaussian(spark, sf_dir):
+    b = CA.bic_gaussian_scores(table(spark, sf_dir, "lineitem"),
+                               [("l_extendedprice", []), ("l_extendedprice", ["l_quantity"])])
+    return b.select("cand_id", F.round("bic", 3).alias("bic"))
+
+
+@register("f10_pc_fisherz")
+def q_pc_fisherz(spark, sf_dir):
+    """PC skeleton over the numeric lineitem columns by partial correlations (one pass)."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    edges, seps, _ = CA.pc_skeleton(table(spark, sf_dir, "lineitem"), cols, ALPHA, "fisherz")
+    return spark.createDataFrame([(min(e), max(e)) for e in edges], "a string, b string")
 
 
 BIC_CANDS = [("returnflag", []), ("returnflag", ["linestatus"]),
@@ -183,14 +222,24 @@ def q_bic(spark, sf_dir):
     return b.select("cand_id", F.round("ll", 6).alias("ll"), F.round("bic", 6).alias("bic"))
 
 
-@register("f04_fisherz")
+_Z_SQL = "0.5 * ln((1 + r) / (1 - r)) * sqrt(n - {} - 3)"
+
+
+@register("f04_fisherz", f"""
+WITH c AS (SELECT count(*) AS n, corr(l_extendedprice, l_quantity) AS pq, corr(l_extendedprice, l_discount) AS pd,
+                  corr(l_quantity, l_discount) AS qd FROM lineitem),
+t AS (SELECT 'order0' AS test, n, pq AS r FROM c UNION ALL
+      SELECT 'order1', n, (pd - pq * qd) / sqrt((1 - pq * pq) * (1 - qd * qd)) FROM c),
+z AS (SELECT test, r, CASE WHEN test = 'order0' THEN {_Z_SQL.format(0)} ELSE {_Z_SQL.format(1)} END AS z FROM t)
+SELECT test, round(r, 9) AS r, round(z, 6) AS z, round({erfc_sql("(z * z / 2)")}, 9) AS p FROM z""")
 def q_fisherz(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     r0 = CA.fisherz_test(li, "l_extendedprice", "l_quantity")
     r1 = CA.fisherz_test(li, "l_extendedprice", "l_discount", ["l_quantity"])
     return spark.createDataFrame([("order0", r0["r"], r0["z"], r0["p"]),
                                   ("order1", r1["r"], r1["z"], r1["p"])],
-                                 "test string, r double, z double, p double")
+                                 "test string, r double, z double, p double").select(
+        "test", F.round("r", 9).alias("r"), F.round("z", 6).alias("z"), F.round("p", 9).alias("p"))
 
 
 _NATION_EDGES = f"SELECT * FROM ({BD.NATION_EDGES_SQL})"

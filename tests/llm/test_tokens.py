@@ -46,7 +46,7 @@ def test_bounded_memory_does_not_change_ids():
     assert [list(map(int, g)) for g in c.encode_batch(HARD, chars=50)] == expected
     _, expected = encoded(WORD, HARD)
     w = token_files.WordEncoder(WORD, limit=10)
-    assert [g.tolist() for g in w.encode_batch(HARD, size=2)] == expected
+    assert [g.tolist() for g in w.encode_batch(HARD)] == expected
 
 
 def test_round_trip_documents(spark, odd_documents, no_documents):
