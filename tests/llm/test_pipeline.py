@@ -6,7 +6,7 @@ from kestrel.llm.common import written
 
 
 def prose(rng, n, tag):
-    words = ["the", "of", "and", "that", *[f"{tag}{i}" for i in range(400)]]
+    words = ["the", "of", "and", "that"] * 25 + [f"{tag}{i}" for i in range(400)]
     return " ".join(rng.choice(words, n))
 
 
