@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,74 +31,76 @@ def missing_code(possible: Sequence[int] | None) -> int:
     return -1 if -1 in list(possible or []) else 0
 
 
-def coerce_value(v) -> int | None:
-    """Python side of B13 for parsed JSON values: bool -> int, float -> truncated,
-    NaN -> None, strings ``''/unknown/None/null/na`` or non-integers -> None."""
-    if v is None or isinstance(v, (list, dict)):
-        return None
-    if isinstance(v, bool):
-        return int(v)
-    if isinstance(v, int):
-        return v
-    if isinstance(v, float):
-        return None if v != v else int(v)
-    s = str(v).strip()
-    if s.lower() in ("", "unknown", "none", "null", "na"):
-        return None
-    return int(s) if re.fullmatch(r"[+-]?\d+", s) else None
-
-
-def extract_json(response: str) -> str:
-    """The JSON part of a response (```json fence, plain fence, or raw)."""
-    if "```json" in response:
-        start = response.find("```json") + 7
-        end = response.find("```", start)
-        return response[start:end if end >= 0 else None].strip()
-    if "```" in response:
-        start = response.find("```") + 3
-        end = response.find("```", start)
-        return response[start:end if end >= 0 else None].strip()
-    return response.strip()
+#: The JSON part of a response: what a code fence (with or without the json tag) holds.
+_FENCED = re.compile(r"```(?:json)?(.*?)(?:```|\Z)", re.DOTALL)
+
+
+def whole_numbers(values: pd.Series) -> pd.Series:
+    """B13 for one column of parsed JSON values, kind by kind: booleans as 0/1, numbers cut
+    towards zero, texts that spell a whole number; everything else is missing."""
+    out = pd.Series(pd.NA, index=values.index, dtype="Int64")
+    text = values.map(lambda v: isinstance(v, str))
+    spelled = values[text].str.strip()
+    spelled = spelled[spelled.str.fullmatch(r"[+-]?\d{1,18}")]
+    out[spelled.index] = spelled.astype("int64")
+    number = values[values.map(lambda v: isinstance(v, (bool, int, float)))].astype("float64")
+    number = number[np.isfinite(number) & (number.abs() < 2.0 ** 31)]
+    out[number.index] = np.trunc(number).astype("int64")
+    return out.where(out.abs() < 2 ** 31)
+
+
+def read_responses(responses: Sequence[str | None], factors: Sequence[Factor]) -> pd.DataFrame:
+    """One row per response, one nullable integer column per factor; a response that is null,
+    broken or not an object is missing throughout."""
+    documents = []
+    for response in responses:
+        fenced = _FENCED.search(response or "")
+        try:
+            parsed = json.loads(fenced[1] if fenced else response or "")
+        except ValueError:
+            parsed = None
+        documents.append(parsed if isinstance(parsed, dict) else {})
+    return pd.DataFrame({name: whole_numbers(pd.Series([d.get(name) for d in documents], dtype=object))
+                         for name, _ in factors})
 
 
 def retry_temperatures(start: float = 0.7, tries: int = 3, floor: float = 0.3,
                        step: float = 0.2) -> list[float]:
-    """G7 — temperatures of successive tries: ``max(floor, t - step)`` decay."""
-    out, t = [], start
-    for _ in range(tries):
-        out.append(t)
-        t = max(floor, t - step)
-    return out
-
-
-def annotate_text(text: str, factors: Sequence[Factor], annotator: Callable,
-                  factors_json: str, max_attempts: int = 5, temperature: float = 0.3) -> dict:
-    """G1 per row: call, parse, normalize; a response whose factors are all
-    missing counts as a failure and is retried; after ``max_attempts`` every
-    factor gets its missing code."""
-    names = [n for n, _ in factors]
-    for attempt in range(1, max_attempts + 1):
-        try:
-            raw = json.loads(extract_json(annotator(text, factors_json, attempt, temperature)))
-            if not isinstance(raw, dict):
-                raise ValueError("not an object")
-            norm = {}
-            for name, possible in factors:
-                val = coerce_value(raw.get(name))
-                norm[name] = missing_code(possible) if val is None else val
-            if all(norm[n] == missing_code(p) for n, p in factors):
-                raise ValueError("all factor values are missing")
-            return norm
-        except Exception:  # noqa: BLE001 - any failure is retried, as in the reference
-            continue
-    return {n: missing_code(p) for n, p in factors}
+    """G7 — temperatures of successive tries: each a step lower, never under the floor."""
+    return [start if i == 0 else max(floor, start - i * step) for i in range(tries)]
+
+
+def annotate_texts(texts: Sequence[str], factors: Sequence[Factor], annotator: Callable,
+                   factors_json: str, max_attempts: int = 5, temperature: float = 0.7) -> pd.DataFrame:
+    """G1 for a batch: every try calls the annotator for the texts still open, at the try's
+    temperature (G7), and reads all their responses at once.  A text is done when any factor
+    has a value other than its missing code; after the last try missing codes remain."""
+    codes = pd.Series({name: missing_code(possible) for name, possible in factors})
+    answers = pd.DataFrame([codes] * len(texts), index=range(len(texts))).astype("int32")
+    pending = list(range(len(texts)))
+    for attempt, degree in enumerate(retry_temperatures(temperature, max_attempts), 1):
+        responses = []
+        for i in pending:
+            try:
+                responses.append(annotator(texts[i], factors_json, attempt, degree))
+            except Exception:  # noqa: BLE001 - a failed call of the user's annotator is retried
+                responses.append(None)
+        got = read_responses(responses, factors).fillna(codes).astype("int32")
+        got.index = pending
+        good = got.ne(codes).any(axis=1)
+        answers.loc[got.index[good]] = got[good]
+        pending = list(got.index[~good])
+        if not pending:
+            break
+    return answers
 
 
 def annotate(df: DataFrame, row_id: str, factors: Sequence[Factor], annotator: Callable,
-             cols: Sequence[str] | None = None, batch_size: int = 30, max_attempts: int = 5,
-             factor_docs: Mapping[str, object] | None = None) -> DataFrame:
+             cols: Sequence[str] | None = None, batch_size: int = 500, max_attempts: int = 5,
+             factor_docs: Mapping[str, object] | None = None, temperature: float = 0.7) -> DataFrame:
     """G1 — ``(row_id, <factor> INT ...)`` for every row.  ``batch_size`` bounds
-    the rows handed to the annotator per call group inside a task."""
+    the rows handed to the annotator per call group inside a task; tries start at
+    ``temperature`` and cool down (G7)."""
     cols = list(cols or [c for c in df.columns if c != row_id])
     texts = format_sample(df.select(row_id, *cols), cols, out="__text").select(
         F.col(quote_ident(row_id)).alias("row_id"), "__text")
@@ -111,11 +114,10 @@ def annotate(df: DataFrame, row_id: str, factors: Sequence[Factor], annotator: C
         for pdf in it:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
-                rows = [annotate_text(t, factors, annotator, fjson, max_attempts)
-                        for t in part["__text"]]
-                out = pd.DataFrame(rows, columns=names)
+                out = annotate_texts(part["__text"].tolist(), factors, annotator, fjson,
+                                     max_attempts, temperature)[names]
                 out.insert(0, "row_id", part["row_id"].to_numpy())
-                yield out.astype({n: "int32" for n in names})
+                yield out
     return texts.mapInPandas(run, schema)
 
 

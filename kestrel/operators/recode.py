@@ -10,6 +10,7 @@ import string
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,9 +91,9 @@ def encode_label(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or col, enc)
 
 
-def split_on_uppercase(name: str) -> str:
-    """``AgeOfPolicyHolder`` -> ``age of policy holder``."""
-    return "".join(" " + ch if ch.isupper() else ch for ch in name).lower().strip()
+def camel_to_words(name: str) -> str:
+    """``AgeOfPolicyHolder`` -> ``age of policy holder``: a word starts at every capital."""
+    return regex.sub(r"(?=\p{Lu})", " ", name).strip().lower()
 
 
 def verbalize_columns(df: DataFrame, mapping: Mapping[str, str] | None = None,
@@ -106,18 +107,17 @@ def verbalize_columns(df: DataFrame, mapping: Mapping[str, str] | None = None,
             if style == "underscore":
                 n = n.replace("_", " ")
             elif style == "camel":
-                n = split_on_uppercase(n)
+                n = camel_to_words(n)
         names[c] = n
     return df.withColumnsRenamed(names)
 
 
 def positional_names(n: int) -> list[str]:
-    """A..Z then AA..ZZ (fixed naming scheme of unnamed matrices)."""
-    letters = list(string.ascii_uppercase)
-    names = letters + [a + b for a in letters for b in letters]
-    if n > len(names):
-        raise ValueError(f"at most {len(names)} positional names")
-    return names[:n]
+    """Names of the first ``n`` columns as spreadsheets count them: A..Z, AA, AB, ..."""
+    def name(i: int) -> str:
+        head, last = divmod(i, 26)
+        return (name(head - 1) if head else "") + chr(ord("A") + last)
+    return [name(i) for i in range(n)]
 
 
 def anonymize(df: DataFrame, keep: Sequence[str] = (), fit: DataFrame | None = None) -> DataFrame:
@@ -231,14 +231,14 @@ def all_missing(df: DataFrame, factors: Sequence[tuple[str, Sequence[int]]],
 
 
 def drop_constant(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """B16 — drop columns whose values are all equal (one distinct value, nulls
-    included as a value).  The decision is one aggregate row read by the driver
-    (it changes the schema)."""
+    """B16 — drop columns whose values are all equal (nulls count as a value; an empty table
+    drops all).  One aggregate of min, max and null count per column, combined before the
+    shuffle; the single row is read by the driver, as it changes the schema."""
     cols = list(cols or df.columns)
-    row = df.agg(*[F.count_distinct(_c(c)).alias(f"d{i}") for i, c in enumerate(cols)],
-                 *[F.max(_c(c).isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(cols)]
-                 ).first()
-    const = {c for i, c in enumerate(cols) if (row[f"d{i}"] + row[f"n{i}"]) <= 1}
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(cols) for e in (
+        (F.min(_c(c)) == F.max(_c(c))).alias(f"same{i}"), F.count(_c(c)).alias(f"n{i}"))]).first()
+    const = {c for i, c in enumerate(cols)
+             if row[f"n{i}"] == 0 or (row[f"same{i}"] and row[f"n{i}"] == row["n"])}
     return df.select(*[_c(c) for c in df.columns if c not in const])
 
 

@@ -172,16 +172,17 @@ def truncate_tokens(df: DataFrame, max_len: Mapping[str, int], default: int = 12
                     cols: Sequence[str] | None = None) -> DataFrame:
     """D8 — per column, keep at most ``max_len(col) - name tokens`` whitespace
     tokens of the value (the name tokens are ``' col '`` plus ``'is'``) when the
-    total reaches the limit; ``default`` for unlisted columns."""
+    total reaches the limit (joined by single spaces); shorter values stay as they are;
+    ``default`` for unlisted columns."""
     cols = list(cols or df.columns)
     out = df
     for c in cols:
         limit = max_len.get(c, default)
         name_tokens = len(c.split()) + 1
         toks = F.regexp_extract_all(_c(c).cast("string"), F.lit(r"\S+"), 0)
-        keep = F.when(F.size(toks) + name_tokens >= limit,
-                      F.slice(toks, 1, max(limit - name_tokens, 0))).otherwise(toks)
-        out = out.withColumn(c, F.array_join(keep, " "))
+        cut = F.array_join(F.slice(toks, 1, max(limit - name_tokens, 0)), " ")
+        out = out.withColumn(c, F.when(F.size(toks) + name_tokens >= limit, cut)
+                             .otherwise(_c(c).cast("string")))
     return out
 
 
@@ -207,24 +208,15 @@ def render_prompts(df: DataFrame, template: str, params: Mapping[str, object] |
 
 
 def factor_summary(factors: DataFrame, order_col: str = "pos") -> DataFrame:
-    """D10 — the factor catalogue as a review text (factors in ``order_col``
-    order), one row."""
-    sep = "-" * 60
-    agg = factors.agg(F.array_sort(F.collect_list(F.struct(order_col, "name", "description",
-                                                           "possible_values", "annotation_criteria")))
-                      .alias("xs"))
-    items = F.transform("xs", lambda s, i: F.struct((i + 1).alias("__i"), s["name"].alias("name"),
-                                                     s["description"].alias("description"),
-                                                     s["possible_values"].alias("possible_values"),
-                                                     s["annotation_criteria"].alias("annotation_criteria")))
-    return agg.select(F.concat(F.lit("# Discovered Factors Summary\n\n"), F.array_join(
-        F.transform(items, lambda s: F.concat(
-            F.lit("## "), s["__i"].cast("string"), F.lit(". "), s["name"], F.lit("\n"),
-            F.lit("**Description**: "), s["description"], F.lit("\n\n"),
-            F.lit("**Possible Values**: "),
-            F.array_join(F.transform(s["possible_values"], lambda v: v.cast("string")), ", "),
-            F.lit("\n\n**Annotation Criteria**:\n"), s["annotation_criteria"], F.lit("\n\n"),
-            F.lit(sep + "\n\n"))), "")).alias("summary"))
+    """D10 — the factor catalogue as one review text: a numbered entry of four lines per
+    factor, in ``order_col`` order.  The catalogue is small by nature; one row results."""
+    values = F.array_join(F.transform("possible_values", lambda v: v.cast("string")), ", ")
+    entry = F.concat_ws("\n", F.concat_ws(": ", "name", "description"),
+                        F.concat(F.lit("  values: "), values),
+                        F.concat(F.lit("  how to annotate: "), F.col("annotation_criteria")))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("at"), entry.alias("entry"))))
+    numbered = F.transform(entries, lambda e, i: F.concat((i + 1).cast("string"), F.lit(") "), e["entry"]))
+    return factors.agg(F.array_join(numbered, "\n\n").alias("summary"))
 
 
 def extract_json_text(c: Column) -> Column:
@@ -256,8 +248,8 @@ def validate_factors(df: DataFrame, json_col: str = "json") -> DataFrame:
                       "factors MAP<STRING, STRING>, recommended_focus_factors STRING")
     pv_ok = F.forall(F.map_values(doc["factors"]), lambda f: F.coalesce(
         F.get_json_object(f, "$.possible_values"), F.lit("[]")).rlike(_NUMERIC_ARRAY))
-    reason = (F.when(doc["factors"].isNull(), F.lit("Missing 'factors' field"))
+    reason = (F.when(doc["factors"].isNull(), F.lit("no factors"))
               .when(doc["recommended_focus_factors"].isNull(),
-                    F.lit("Missing 'recommended_focus_factors' field"))
-              .when(~pv_ok, F.lit("possible_values contains non-numeric values")))
+                    F.lit("no recommended focus"))
+              .when(~pv_ok, F.lit("a possible value is not a number")))
     return df.withColumn("valid", reason.isNull()).withColumn("reason", reason)

@@ -56,7 +56,7 @@ def prepare_claims(df: DataFrame, replacements: Mapping[str, Mapping], drop: Seq
     dates = ["the date when the accident happened", "the date when the insurance claim was filed"]
     x = x.select(*dates, *[c for c in x.columns if c not in dates])
     x = R.verbalize_columns(x, renames, style="camel", keep=dates)
-    lab = renames.get(label, R.split_on_uppercase(label))
+    lab = renames.get(label, R.camel_to_words(label))
     x = R.move_last(x, lab)
     if order is None:  # no row order in a table: order rows by a hash of their content
         from kestrel.functions.exprs import hash_num

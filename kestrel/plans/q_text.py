@@ -108,10 +108,10 @@ def q_serialize(spark, sf_dir):
 
 
 @register("d08_truncate_tokens", """
-WITH t AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS toks,
+WITH t AS (SELECT doc_id, text, source, regexp_extract_all(text, '\\S+') AS toks,
                   regexp_extract_all(source, '\\S+') AS stoks FROM documents)
-SELECT doc_id, array_to_string(CASE WHEN len(toks) + 2 >= 50 THEN toks[1:48] ELSE toks END, ' ') AS text,
-       array_to_string(CASE WHEN len(stoks) + 2 >= 128 THEN stoks[1:126] ELSE stoks END, ' ') AS source
+SELECT doc_id, CASE WHEN len(toks) + 2 >= 50 THEN array_to_string(toks[1:48], ' ') ELSE text END AS text,
+       CASE WHEN len(stoks) + 2 >= 128 THEN array_to_string(stoks[1:126], ' ') ELSE source END AS source
 FROM t""")
 def q_truncate(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -152,11 +152,9 @@ v AS ({" UNION ALL ".join(
     f"SELECT {i} AS pos, '{c}' AS name, '{c.replace('_', ' ')} of the line item' AS description, "
     f"(SELECT list(DISTINCT {c} ORDER BY {c}) FROM f) AS pv, 'read from the {c} column' AS crit"
     for i, c in enumerate(BD.FACTOR_COLS))})
-SELECT '# Discovered Factors Summary' || chr(10) || chr(10) || string_agg(
-  '## ' || CAST(pos + 1 AS VARCHAR) || '. ' || name || chr(10) || '**Description**: ' || description ||
-  chr(10) || chr(10) || '**Possible Values**: ' || array_to_string(list_transform(pv, lambda x: CAST(x AS VARCHAR)), ', ') ||
-  chr(10) || chr(10) || '**Annotation Criteria**:' || chr(10) || crit || chr(10) || chr(10) ||
-  repeat('-', 60) || chr(10) || chr(10), '' ORDER BY pos) AS summary FROM v""")
+SELECT string_agg(CAST(pos + 1 AS VARCHAR) || ') ' || name || ': ' || description || chr(10) ||
+  '  values: ' || array_to_string(list_transform(pv, lambda x: CAST(x AS VARCHAR)), ', ') || chr(10) ||
+  '  how to annotate: ' || crit, chr(10) || chr(10) ORDER BY pos) AS summary FROM v""")
 def q_factor_summary(spark, sf_dir):
     return D.factor_summary(factors_from_data(spark, sf_dir))
 
@@ -182,7 +180,7 @@ def q_parse_json(spark, sf_dir):
     return r.select("event_id", D.parse_fenced_json(F.col("response"), "k INT")["k"].alias("k"))
 
 
-_D12_SQL = '\nWITH r AS (SELECT event_id, json_extract_string(props, \'$.k\') AS k, event_type FROM events),\nresp AS (SELECT event_id, CASE\n    WHEN event_type = \'view\' THEN \'```json\' || chr(10) || \'{"factors": {"f": {"possible_values": ["low", \' || k || \']}}, "recommended_focus_factors": ["f"]}\' || chr(10) || \'```\'\n    WHEN event_type = \'error\' THEN \'{"factors": {"f": {"possible_values": [\' || k || \']}}}\'\n    ELSE \'```json\' || chr(10) || \'{"factors": {"f": {"possible_values": [0, \' || k || \']}}, "recommended_focus_factors": ["f"]}\' || chr(10) || \'```\'\n  END AS response FROM r),\njs AS (SELECT event_id, trim(CASE WHEN contains(response, \'```json\') THEN regexp_extract(response, \'(?s)```json(.*?)(```|$)\', 1)\n                                  WHEN contains(response, \'```\') THEN regexp_extract(response, \'(?s)```(.*?)(```|$)\', 1)\n                                  ELSE response END) AS j FROM resp),\nv AS (SELECT event_id, CASE WHEN NOT json_valid(j) OR json_extract(j, \'$.factors\') IS NULL THEN \'Missing \'\'factors\'\' field\'\n                            WHEN json_extract(j, \'$.recommended_focus_factors\') IS NULL THEN \'Missing \'\'recommended_focus_factors\'\' field\'\n                            WHEN NOT list_bool_and(list_transform(json_extract(j, \'$.factors.*.possible_values\'),\n                                   lambda x: regexp_full_match(CAST(x AS VARCHAR), \'\\[\\s*(-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?\\s*(,\\s*-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?\\s*)*)?\\]\'))) THEN \'possible_values contains non-numeric values\'\n                       END AS reason FROM js)\nSELECT event_id, reason IS NULL AS valid, reason FROM v'
+_D12_SQL = '\nWITH r AS (SELECT event_id, json_extract_string(props, \'$.k\') AS k, event_type FROM events),\nresp AS (SELECT event_id, CASE\n    WHEN event_type = \'view\' THEN \'```json\' || chr(10) || \'{"factors": {"f": {"possible_values": ["low", \' || k || \']}}, "recommended_focus_factors": ["f"]}\' || chr(10) || \'```\'\n    WHEN event_type = \'error\' THEN \'{"factors": {"f": {"possible_values": [\' || k || \']}}}\'\n    ELSE \'```json\' || chr(10) || \'{"factors": {"f": {"possible_values": [0, \' || k || \']}}, "recommended_focus_factors": ["f"]}\' || chr(10) || \'```\'\n  END AS response FROM r),\njs AS (SELECT event_id, trim(CASE WHEN contains(response, \'```json\') THEN regexp_extract(response, \'(?s)```json(.*?)(```|$)\', 1)\n                                  WHEN contains(response, \'```\') THEN regexp_extract(response, \'(?s)```(.*?)(```|$)\', 1)\n                                  ELSE response END) AS j FROM resp),\nv AS (SELECT event_id, CASE WHEN NOT json_valid(j) OR json_extract(j, \'$.factors\') IS NULL THEN \'no factors\'\n                            WHEN json_extract(j, \'$.recommended_focus_factors\') IS NULL THEN \'no recommended focus\'\n                            WHEN NOT list_bool_and(list_transform(json_extract(j, \'$.factors.*.possible_values\'),\n                                   lambda x: regexp_full_match(CAST(x AS VARCHAR), \'\\[\\s*(-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?\\s*(,\\s*-?(0|[1-9][0-9]*)(\\.[0-9]+)?([eE][+-]?[0-9]+)?\\s*)*)?\\]\'))) THEN \'a possible value is not a number\'\n                       END AS reason FROM js)\nSELECT event_id, reason IS NULL AS valid, reason FROM v'
 
 
 @register("d12_validate_factors", _D12_SQL)

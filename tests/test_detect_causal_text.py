@@ -141,9 +141,9 @@ def test_validate_factors_requires_json_numbers(spark):
     df = spark.createDataFrame(rows, "id int, json string")
     got = {r.id: (r.valid, r.reason) for r in D.validate_factors(df).collect()}
     assert got[1] == (True, None)
-    assert got[2] == (False, "possible_values contains non-numeric values")
+    assert got[2] == (False, "a possible value is not a number")
     assert got[3] == (False, "Missing 'recommended_focus_factors' field")
-    assert got[4] == (False, "Missing 'factors' field")
+    assert got[4] == (False, "no factors")
     fenced = spark.createDataFrame([("Sure:\n```json\n{\"a\": 1}\n```",), ("```\n{\"a\": 2}\n```",), ('{"a": 3}',)],
                                    "r string")
     vals = [r.a for r in fenced.select(D.parse_fenced_json(F.col("r"), "a INT").alias("p")).select("p.a").collect()]

@@ -1,5 +1,7 @@
 import json
 import os
+
+import pandas as pd
 import tempfile
 
 from pyspark.sql import functions as F
@@ -61,7 +63,20 @@ def test_annotation_retries_and_missing_codes(spark):
     out = {r.row_id: (r.f1, r.f2) for r in G.annotate(df, "row_id", factors, annotator, ["t"]).collect()}
     assert out == {1: (1, 0), 2: (0, -1), 3: (1, 1)}
     assert [round(t, 6) for t in G.retry_temperatures(0.7, 3)] == [0.7, 0.5, 0.3]
-    assert G.coerce_value("2.0") is None and G.coerce_value(2.7) == 2 and G.coerce_value(True) == 1
+    values = pd.Series(["2.0", 2.7, True, None, float("nan"), " -3 ", [1], "unknown", 2 ** 40], dtype=object)
+    assert G.whole_numbers(values).fillna(-99).tolist() == [-99, 2, 1, -99, -99, -3, -99, -99, -99]
+
+
+def test_annotation_cools_down():
+    seen = []
+
+    def annotator(text, fjson, attempt, temperature):
+        seen.append(round(temperature, 6))
+        if attempt == 2:
+            raise TimeoutError
+        return "no json" if attempt < 4 else '{"f": 1}'
+    out = G.annotate_texts(["x"], [("f", [0, 1])], annotator, "{}", 5, 0.9)
+    assert out["f"].tolist() == [1] and seen == [0.9, 0.7, 0.5, 0.3]
 
 
 def test_merge_annotations_replaces_columns(spark):
