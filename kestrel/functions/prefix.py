@@ -1,16 +1,14 @@
 """Distributed prefix sums — the replacement for a global ``Window.orderBy``.
 
-A window ordered over all rows without a partition key runs in one task.  Here the
-ordering key is cut into value buckets with ``percentile_approx`` (one small row of
-bounds per key group), bucket totals are cumulated over the (tiny) bucket table,
-and rows are cumulated inside their bucket only.  Every step is a grouped
-aggregation or a window partitioned by ``(keys, bucket)``, so the work spreads
-over as many tasks as there are buckets.
-
-Callers feed *distinct* ordering values with their weights (pre-aggregated), so a
-hot value that holds a third of all rows is a single input row and cannot skew a
-bucket.  When rows are not unique on the ordering value, pass ``tiebreak`` columns
-that make the order total.
+A window ordered over all rows without a partition key runs in one task.  Here the rows are
+range-partitioned by (keys, value, tiebreak) in their own types, each partition is summed, the
+sums of the partitions before it (one row per partition and key group it holds) become offsets,
+and rows are cumulated inside their partition only.  Any orderable type works, strings with a
+long common prefix and 64-bit integers included, and a value with many rows is cut by its
+``tiebreak`` columns.
+
+Callers feed *distinct* ordering values with their weights (pre-aggregated) or pass
+``tiebreak`` columns that make the order total.
 """
 
 from __future__ import annotations
@@ -21,60 +19,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, 4 * parts)
+from kestrel.session import cut_lineage
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
                 descending: bool = False, tiebreak: Sequence[str] = (),
                 buckets: int | None = None, suffix: str = "_before") -> DataFrame:
     """Add ``<s><suffix>`` = sum of ``s`` over rows of the same ``keys`` group that
-    come strictly before the row in ``value`` order (then ``tiebreak``)."""
+    come strictly before the row in ``value`` order (then ``tiebreak``); nulls come first
+    (last when ``descending``)."""
     keys = list(keys)
-    b = buckets or default_buckets(df)
-    sign = -1.0 if descending else 1.0
-    v = "__pv"
-    work = df.withColumn(v, (F.col(value) * F.lit(sign)).cast("double"))
-    whole = not keys
-    if whole:
-        # one group: a constant key; the only window over it runs on the bucket
-        # totals (one row per bucket), never on the data rows
-        work = work.withColumn("__g", F.lit(0))
-        keys = ["__g"]
-    probs = [i / b for i in range(1, b)]
-    group_keys = keys if keys else []
-    bounds = (work.groupBy(*group_keys) if group_keys else work.groupBy())
-    bounds = bounds.agg(F.percentile_approx(v, F.array(*[F.lit(p) for p in probs]),
-                                            10000).alias("__bounds"))
-    bounds = bounds.select(*group_keys,
-                           F.array_distinct(F.col("__bounds")).alias("__bounds"))
-    # One row of bounds per key group: size is (groups x buckets), bounded by the
-    # number of groups the caller passes (columns, methods, splits).
-    if group_keys:
-        work = work.join(F.broadcast(bounds), on=group_keys, how="inner")
-    else:
-        work = work.crossJoin(F.broadcast(bounds))
-    work = work.withColumn(
-        "__bk", F.size(F.filter(F.col("__bounds"), lambda x: x < F.col(v)))).drop("__bounds")
-
-    totals = work.groupBy(*group_keys, "__bk").agg(
-        *[F.sum(s).alias(f"__tot_{s}") for s in sums])
-    wb = Window.partitionBy(*group_keys).orderBy("__bk").rowsBetween(
-        Window.unboundedPreceding, -1)
+    parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_value = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first()
+    order = [by_value, *[F.col(t) for t in tiebreak]]
+    # checkpointed: the partition number must mean the same rows in both uses
+    ranged = cut_lineage(df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+                         .withColumn("__part", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "__part").agg(*[F.sum(s).alias(f"__tot_{s}") for s in sums])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *group_keys, "__bk",
-        *[F.coalesce(F.sum(f"__tot_{s}").over(wb), F.lit(0)).alias(f"__off_{s}")
-          for s in sums])
-
-    order_cols = [F.col(v)] + [F.col(t) for t in tiebreak]
-    wr = Window.partitionBy(*group_keys, "__bk").orderBy(*order_cols).rowsBetween(
+        *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__part").alias("__at"),
+        *[F.coalesce(F.sum(f"__tot_{s}").over(before), F.lit(0)).alias(f"__off_{s}") for s in sums])
+    same = F.col("__part") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
-    out = work.join(F.broadcast(offsets), on=[*group_keys, "__bk"], how="inner")
-    for s in sums:
-        out = out.withColumn(
-            f"{s}{suffix}",
-            F.coalesce(F.sum(s).over(wr), F.lit(0)) + F.col(f"__off_{s}"))
-    out = out.drop(v, "__bk", *[f"__off_{s}" for s in sums])
-    return out.drop("__g") if whole else out
+    out = ranged.join(offsets, same)
+    return out.select(*df.columns, *[
+        (F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"__off_{s}")).alias(f"{s}{suffix}")
+        for s in sums])

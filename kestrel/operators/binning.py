@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.exprs import LANGUAGE_WORDS, ordinal_words, quote_ident
 from kestrel.functions.prefix import prefix_sums
+from kestrel.session import cut_lineage
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -60,25 +61,36 @@ def bin_quantile(df: DataFrame, cols: Sequence[str] | None = None,
     cols = numeric_columns(df, cols)
     if not cols:
         return df
-    long = (df.select(F.explode(F.array(*[
+    counts = cut_lineage(df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(quote_ident(c)).cast("double").alias("v"))
-        for c in cols])).alias("kv"))
-        .select("kv.c", "kv.v").where(F.col("v").isNotNull())
+        for c in cols])).alias("kv")).select("kv.c", "kv.v")
         .groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt")))
-    ranked = prefix_sums(long, ["c"], "v", ["cnt"], buckets=buckets)
-    out = _with_stats(df, cols).crossJoin(
-        F.broadcast(df.agg(F.count(F.lit(1)).alias("__n"))))
-    for c in cols:
-        lk = ranked.where(F.col("c") == c).select(
-            F.col("v").alias("__v"), (F.col("cnt_before") + 1).alias("__rank"))
-        pct = F.floor(F.col("__rank") / F.col("__n") * 100).cast("long")
-        out = (out.withColumn("__v", F.col(quote_ident(c)).cast("double"))
-               .join(lk, "__v", "left")
-               .withColumn(c, F.when(F.col(f"__nu_{c}") <= 1, F.col(quote_ident(c)).cast("string"))
-                           .when(F.col("__v").isNull(), F.lit("NaN"))
-                           .otherwise(ordinal_words(pct)))
-               .drop("__v", "__rank"))
-    return _drop_stats(out)
+    ranked = prefix_sums(counts.where("v IS NOT NULL"), ["c"], "v", ["cnt"], buckets=buckets)
+    rows = counts.groupBy("c").agg(F.sum("cnt").alias("n"))
+    # the percentile is a step function of the value with at most 101 steps per column: their
+    # first values are read by the driver and become a comparison tree, so rows need no join
+    steps = (ranked.join(rows, "c")
+             .withColumn("pct", F.floor((F.col("cnt_before") + 1) / F.col("n") * 100).cast("long"))
+             .groupBy("c", "pct").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("d")).collect())
+    found: dict[str, list] = {c: sorted((r.v, r.pct, r.d) for r in steps if r.c == c) for c in cols}
+    out = df.withColumns({f"__p{i}": _step_tree(F.col(quote_ident(c)).cast("double"), found[c])
+                          for i, c in enumerate(cols) if found[c]})
+    for i, c in enumerate(cols):
+        if sum(d for *_, d in found[c]) <= 1:
+            out = out.withColumn(c, F.col(quote_ident(c)).cast("string"))
+        else:
+            out = out.withColumn(c, F.when(F.col(quote_ident(c)).cast("double").isNull(), F.lit("NaN"))
+                                 .otherwise(ordinal_words(F.col(f"__p{i}"))))
+    return out.drop(*[f"__p{i}" for i in range(len(cols))])
+
+
+def _step_tree(v: Column, steps: list) -> Column:
+    """The second entry of the last of the ascending ``steps`` whose first entry is <= ``v``."""
+    if len(steps) == 1:
+        return F.lit(steps[0][1])
+    half = len(steps) // 2
+    return F.when(v < F.lit(steps[half][0]), _step_tree(v, steps[:half])).otherwise(
+        _step_tree(v, steps[half:]))
 
 
 def bin_equal_width(df: DataFrame, cols: Sequence[str] | None = None,
@@ -164,15 +176,15 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
     """C2 — codes ``0..k-1`` in ascending value order (nulls stay null); the
     codes are fitted on ``fit`` (default ``df``), unseen values get null.
 
-    The code of a value is the number of distinct values below it: distinct values
-    are counted with the bucketed prefix sum, not a global window."""
+    The code of a value is the number of distinct values below it (in byte order): distinct
+    values are counted with the range-partitioned prefix sum, not a global window."""
     src = fit if fit is not None else df
     out = df
     for c in cols:
         distinct = (src.select(F.col(quote_ident(c)).cast("string").alias("v"))
                     .where(F.col("v").isNotNull()).distinct()
                     .withColumn("one", F.lit(1)))
-        coded = _string_prefix(distinct, buckets)
+        coded = prefix_sums(distinct, [], "v", ["one"], buckets=buckets)
         out = (out.withColumn("__v", F.col(quote_ident(c)).cast("string"))
                .join(coded.select(F.col("v").alias("__v"), F.col("one_before").alias("__code")),
                      "__v", "left")
@@ -181,18 +193,6 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
     return out
 
 
-def _string_prefix(distinct: DataFrame, buckets: int | None) -> DataFrame:
-    """Prefix count of distinct strings in byte order.
-
-    Buckets come from the first 7 bytes of the UTF-8 string read as a big-endian
-    integer (monotone in byte order); the window inside a bucket orders by the full
-    string, so the result is exact."""
-    hexs = F.hex(F.encode(F.col("v"), "UTF-8"))
-    padded = F.rpad(F.substring(hexs, 1, 14), 14, "0")
-    keyed = distinct.withColumn("__sk", F.conv(padded, 16, 10).cast("double"))
-    return prefix_sums(keyed, [], "__sk", ["one"], tiebreak=["v"], buckets=buckets).drop("__sk")
-
-
 def factor_encode(df: DataFrame, cols: Sequence[str], order_col: str,
                   buckets: int | None = None) -> DataFrame:
     """C3 — order-of-appearance codes (first value seen gets 0; null gets -1)."""
@@ -202,7 +202,7 @@ def factor_encode(df: DataFrame, cols: Sequence[str], order_col: str,
                  .groupBy(F.col(quote_ident(c)).cast("string").alias("v"))
                  .agg(F.min(order_col).alias("first_pos"))
                  .withColumn("one", F.lit(1)))
-        coded = prefix_sums(first, [], "first_pos", ["one"], buckets=buckets)
+        coded = prefix_sums(first, [], "first_pos", ["one"], tiebreak=["v"], buckets=buckets)
         out = (out.withColumn("__v", F.col(quote_ident(c)).cast("string"))
                .join(coded.select(F.col("v").alias("__v"), F.col("one_before").alias("__code")),
                      "__v", "left")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.exprs import quote_ident
 from kestrel.functions.prefix import prefix_sums
+from kestrel.session import cut_lineage
 
 
 def _c(n: str):
@@ -56,7 +57,8 @@ def ecod(data: DataFrame, cols: Sequence[str], test: DataFrame | None = None,
                       (-F.ln((F.col("n") - F.col("cnt_before")) / F.col("n"))).alias("ur"),
                       F.coalesce(F.nanvl(F.col("sk"), F.lit(0.0)), F.lit(0.0)).alias("sk")))
     uskew = (F.col("ul") * -F.signum(F.col("sk") - 1) + F.col("ur") * F.signum(F.col("sk") + 1))
-    o = lookup.select("c", "v", F.greatest(uskew, F.greatest("ul", "ur")).alias("o"))
+    # written once: every column's join reads its slice of it
+    o = cut_lineage(lookup.select("c", "v", F.greatest(uskew, F.greatest("ul", "ur")).alias("o")))
     res = scored
     terms = []
     for i, c in enumerate(cols):
@@ -171,7 +173,6 @@ def iforest_fit(train: DataFrame, cols: Sequence[str], n_trees: int = 100, psi:
     rows per tree).  The sample (trees x psi rows) is materialized once with a
     reliable checkpoint; trees grow in parallel, one ``applyInPandas`` group each."""
     from pyspark.sql.window import Window
-    from kestrel.session import cut_lineage
     cols = list(cols)
     n = train.count()
     psi_eff = min(psi, n)

@@ -1,9 +1,7 @@
 """E — hash-ordered sampling, shuffling and splitting.
 
 "Random" choices order rows by ``md5(seed|key)``.  Positions are hash ranks
-computed with the bucketed prefix sum (no global window, no driver round trip);
-only a small ``n`` (<= ``TAKE_LIMIT``) uses ``orderBy().limit()``, which plans a
-bounded TakeOrderedAndProject.
+computed with the range-partitioned prefix sum (no global window, one plan for every n).
 """
 
 from __future__ import annotations
@@ -13,27 +11,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.exprs import hash_key, hash_num, quote_ident
+from kestrel.functions.exprs import hash_key, quote_ident
 from kestrel.functions.prefix import prefix_sums
 
-TAKE_LIMIT = 10_000
-
 
 def hash_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "pos"
               ) -> DataFrame:
     """0-based position of each row in ``md5(seed|key)`` order (per ``by`` group)."""
-    w = (df.withColumn("__h", hash_num(seed, F.col(quote_ident(key))))
-         .withColumn("__hs", hash_key(seed, F.col(quote_ident(key))))
+    w = (df.withColumn("__hs", hash_key(seed, F.col(quote_ident(key))))
          .withColumn("__one", F.lit(1)))
-    r = prefix_sums(w, list(by), "__h", ["__one"], tiebreak=["__hs", key])
-    return r.withColumnRenamed("__one_before", out).drop("__h", "__hs", "__one")
+    r = prefix_sums(w, list(by), "__hs", ["__one"], tiebreak=[key])
+    return r.withColumnRenamed("__one_before", out).drop("__hs", "__one")
 
 
 def sample_n(df: DataFrame, n: int | Column, seed=0, key: str = "row_id") -> DataFrame:
     """E1 — exactly ``n`` rows (all rows if ``n`` >= count), hash-ordered."""
-    if isinstance(n, int) and n <= TAKE_LIMIT:
-        return (df.withColumn("__hs", hash_key(seed, F.col(quote_ident(key))))
-                .orderBy("__hs", key).limit(n).drop("__hs"))
     ranked = hash_rank(df, key, seed, out="__pos")
     limit = n if isinstance(n, Column) else F.lit(n)
     return ranked.where(F.col("__pos") < limit).drop("__pos")
@@ -90,8 +82,8 @@ def subsample_one_vs_rest(df: DataFrame, class_col: str, groups: Sequence[Sequen
 def split_half_by_label(df: DataFrame, label: str, order: str) -> DataFrame:
     """E6 — per label value, the first ``floor(count/2)`` rows in ``order`` are
     ``train``, the rest ``test`` (column ``split``)."""
-    w = df.withColumn("__one", F.lit(1))
-    r = prefix_sums(w, [label], order, ["__one"])
+    w = df.withColumn("__one", F.lit(1)).withColumn("__tie", F.xxhash64(*df.columns))
+    r = prefix_sums(w, [label], order, ["__one"], tiebreak=["__tie"]).drop("__tie")
     cnt = df.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt"))
     return (r.join(F.broadcast(cnt), label)
             .withColumn("split", F.when(F.col("__one_before") < F.floor(F.col("__cnt") / 2),
@@ -103,8 +95,9 @@ def split_semi_supervised(df: DataFrame, label: str, order: str, ratio: float =
                           ) -> DataFrame:
     """E7 — train = the first ``int(ratio * normals)`` normal rows in ``order``;
     test = the other normals and every anomaly."""
-    normal = df.where(F.col(label) == 0).withColumn("__one", F.lit(1))
-    r = prefix_sums(normal, [], order, ["__one"])
+    normal = df.where(F.col(label) == 0).withColumn("__one", F.lit(1)).withColumn(
+        "__tie", F.xxhash64(*df.columns))
+    r = prefix_sums(normal, [], order, ["__one"], tiebreak=["__tie"]).drop("__tie")
     cnt = normal.agg(F.floor(F.count(F.lit(1)) * ratio).alias("__cut"))
     normal_split = (r.crossJoin(F.broadcast(cnt))
                     .withColumn("split", F.when(F.col("__one_before") < F.col("__cut"),

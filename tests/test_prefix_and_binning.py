@@ -75,3 +75,24 @@ def test_one_hot_and_ordinal_fit_on_train(spark):
     assert [(r.s_b, r.s_c) for r in oh] == [(1.0, 0.0), (0.0, 0.0)]
     oe = C.ordinal_encode(test, ["s"], fit=train).orderBy("id").collect()
     assert [r.s for r in oe] == [1, None]
+
+
+def test_prefix_sums_keep_exact_types(spark):
+    """64-bit integers beyond 2**53 and strings with a long common prefix are ordered exactly."""
+    ids = [2 ** 60 + i for i in range(64)]
+    df = spark.createDataFrame([(i, 1) for i in ids[::-1]], "v long, one int")
+    got = {r.v: r.one_before for r in prefix_sums(df, [], "v", ["one"], buckets=5).collect()}
+    assert got == {v: i for i, v in enumerate(ids)}
+    names = [f"Customer#{i:09d}" for i in range(500)]
+    df = spark.createDataFrame([(n, 1, k % 3) for k, n in enumerate(names)] + [(None, 1, None)], "v string, one int, g int")
+    out = prefix_sums(df, ["g"], "v", ["one"], buckets=7)
+    assert {(r.g, r.v): r.one_before for r in out.collect()} == {
+        **{(k % 3, n): k // 3 for k, n in enumerate(names)}, (None, None): 0}
+    down = prefix_sums(df.where("g = 0"), [], "v", ["one"], descending=True, buckets=4)
+    assert [r.one_before for r in down.orderBy("v").collect()] == list(range(166, -1, -1))
+
+
+def test_prefix_sums_cut_a_hot_value(spark):
+    df = spark.range(3000).selectExpr("7 as v", "id as tie", "1 as one")
+    out = prefix_sums(df, [], "v", ["one"], tiebreak=["tie"], buckets=6)
+    assert out.where("one_before <> tie").count() == 0
