@@ -20,6 +20,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,20 +211,21 @@ def cluster_entropy_sample(df: DataFrame, factors: Sequence[str], focus: Sequenc
     """F9 — k = min(F+1, rows//20, 5) clusters, pick the cluster with the highest
     mean focus entropy and sample ``n`` rows of it; fall back to a plain hash
     sample with fewer than ``min_factors`` factors, fewer than ``min_rows`` rows,
-    or a clustering error."""
+    or values the clustering refuses.  Column ``sampling`` says which one it was."""
     from kestrel.operators.sampling import sample_n
     present = [f for f in factors if f in df.columns]
     n_rows = df.count()
-    if len(present) < min_factors or n_rows < min_rows:
-        return sample_n(df, n, seed, key)
     k = max(1, min(len(present) + 1, n_rows // 20, 5))
+    if len(present) < min_factors or n_rows < min_rows:
+        return sample_n(df, n, seed, key).withColumn("sampling", F.lit("random"))
     try:
         cl = cluster_rows(df, present, k, seed)
-    except Exception:  # noqa: BLE001 - the reference falls back on any clustering error
-        return sample_n(df, n, seed, key)
+    except IllegalArgumentException:  # raised by the clustering for values it cannot use
+        return sample_n(df, n, seed, key).withColumn("sampling", F.lit("random"))
     ent = cluster_entropy(cl, "cluster", [f for f in focus if f in df.columns] or present)
     best = ent.orderBy(F.desc("entropy"), "cluster").limit(1).select("cluster")
-    return sample_n(cl.join(F.broadcast(best), "cluster", "left_semi").drop("cluster"), n, seed, key)
+    rows = cl.join(F.broadcast(best), "cluster", "left_semi").drop("cluster")
+    return sample_n(rows, n, seed, key).withColumn("sampling", F.lit("cluster"))
 
 
 # ----------------------------------------------------------------- PC algorithm

@@ -286,19 +286,22 @@ def random_rep_iforest(train: DataFrame, cols: Sequence[str], test: DataFrame |
 
 def run_benchmark(datasets: dict[str, Callable[[], tuple[DataFrame, DataFrame, list[str]]]],
                   detectors: dict[str, Callable], evaluate: Callable) -> DataFrame | None:
-    """L6 — every detector on every dataset (and its splits); a failing detector
-    is skipped; metrics rows carry the dataset, method and fit+score seconds."""
+    """L6 — every detector on every dataset (and its splits).  Metrics rows carry the dataset,
+    the method, the seconds of fitting and scoring (the scores are written before they are
+    evaluated) and status ``ok``; a detector that fails has one row with its error as status."""
     out = None
     for dname, make in datasets.items():
         scored_input, labels, cols = make()
         for mname, det in detectors.items():
             t0 = time.time()
             try:
-                scores = det(scored_input, cols)
-                m = evaluate(scores.join(labels, "row_id"))
-                m = m.withColumn("dataset", F.lit(dname)).withColumn("method", F.lit(mname))
-                m = m.withColumn("seconds", F.lit(round(time.time() - t0, 3)))
-            except Exception:  # noqa: BLE001 - failures are skipped, as in the sweep
-                continue
-            out = m if out is None else out.unionByName(m)
+                scores = cut_lineage(det(scored_input, cols))
+                seconds = round(time.time() - t0, 3)
+                m = evaluate(scores.join(labels, "row_id")).withColumn("status", F.lit("ok"))
+            except Exception as error:  # noqa: BLE001 - any failure of a user's detector is a result
+                seconds = round(time.time() - t0, 3)
+                m = labels.sparkSession.createDataFrame(
+                    [(f"{type(error).__name__}: {str(error)[:200]}",)], "status string")
+            m = m.withColumns({"dataset": F.lit(dname), "method": F.lit(mname), "seconds": F.lit(seconds)})
+            out = m if out is None else out.unionByName(m, allowMissingColumns=True)
     return out

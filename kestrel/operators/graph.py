@@ -15,10 +15,12 @@ iterative peeling of :func:`topo_levels` instead, which is a DataFrame loop.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, ensure_checkpoint_dir
 
 EPS = 1e-9
 
@@ -176,11 +178,9 @@ def _greedy_k_center(pdf, max_orders: int):
                              "cols": pdf["cols"], "pick": np.arange(n, dtype="int32")})
     orders = [list(c) for c in pdf["cols"]]
     nodes = sorted(set(orders[0]))
-    same = all(sorted(o) == nodes for o in orders)
-    if not same:  # node sets differ: keep the first candidates, as the reference does
-        k = min(max_orders, n)
-        return pd.DataFrame({"graph_id": pdf["graph_id"][:k], "order_id": pdf["order_id"][:k],
-                             "cols": pdf["cols"][:k], "pick": np.arange(k, dtype="int32")})
+    if any(sorted(o) != nodes for o in orders):  # H7: distance 0 throughout, earliest first
+        return pdf[["graph_id", "order_id", "cols"]][:max_orders].assign(
+            pick=np.arange(max_orders, dtype="int32"))
     idx = {v: i for i, v in enumerate(nodes)}
     pos = np.empty((n, len(nodes)), dtype=np.int64)
     for r, o in enumerate(orders):
@@ -200,39 +200,28 @@ def _greedy_k_center(pdf, max_orders: int):
                          "cols": pdf["cols"][keep], "pick": picked[keep].astype("int32")})
 
 
-def select_diverse(orders: DataFrame, max_orders: int, seed=0) -> DataFrame:
+def select_diverse(orders: DataFrame, max_orders: int, seed=0,
+                   max_candidates: int | None = None) -> DataFrame:
     """H8 — greedy farthest-point (Gonzalez k-center) selection under the
-    footrule, per graph.  More than ``min(1000, 5*max_orders)`` candidates are
-    first down-sampled by hash on the Spark side; the first pick is the smallest
+    footrule, per graph, over all its orders (``max_candidates`` limits them to those
+    with the smallest hash; no limit by default).  The first pick is the smallest
     hash; every round picks the candidate with the largest distance to the picked
     set (ties: the earliest candidate) and updates distances with the newest pick
     only.  A graph with at most ``max_orders`` orders keeps all of them.
 
-    The greedy rounds are sequential by nature; each graph's candidate set is
-    bounded by the cap above (never by data size), so one ``applyInPandas``
-    group per graph runs them with numpy, and graphs run in parallel.
+    The greedy rounds are sequential by nature: one ``applyInPandas`` group per graph holds
+    its orders as one integer matrix, and graphs run in parallel.
     Returns ``(graph_id, order_id, cols, pick)``."""
     if "graph_id" not in orders.columns:
         orders = orders.withColumn("graph_id", F.lit("g"))
-    cap = min(1000, max_orders * 5)
-    from pyspark.sql.window import Window
-    from kestrel.functions.exprs import hash_key, hash_num
+    from kestrel.functions.exprs import hash_key
     from kestrel.functions.prefix import prefix_sums
-    keyed = (orders.withColumn("__h", hash_num(seed, F.col("graph_id"), F.col("order_id")))
-             .withColumn("__hs", hash_key(seed, F.col("graph_id"), F.col("order_id"))))
-    largest = orders.groupBy("graph_id").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    if largest <= cap:
-        # every graph fits the candidate cap: order each graph's (bounded) set directly
-        w = Window.partitionBy("graph_id").orderBy("__hs", "order_id")
-        cand = keyed.select("graph_id", "order_id", "cols",
-                            (F.row_number().over(w) - 1).alias("__pos"))
-    else:
-        # hash position of every order inside its graph (bucketed prefix sum, no
-        # per-graph sort of all orders); the first `cap` are the candidates
-        ranked = prefix_sums(keyed.withColumn("__one", F.lit(1)), ["graph_id"], "__h", ["__one"],
-                             tiebreak=["__hs", "order_id"])
-        cand = (ranked.where(F.col("__one_before") < cap)
-                .select("graph_id", "order_id", "cols", F.col("__one_before").alias("__pos")))
+    keyed = orders.withColumn("__hs", hash_key(seed, F.col("graph_id"), F.col("order_id")))
+    ranked = prefix_sums(keyed.withColumn("__one", F.lit(1)), ["graph_id"], "__hs", ["__one"],
+                         tiebreak=["order_id"])
+    cand = ranked.select("graph_id", "order_id", "cols", F.col("__one_before").alias("__pos"))
+    if max_candidates is not None:
+        cand = cand.where(F.col("__pos") < max(max_candidates, max_orders))
     schema = "graph_id string, order_id int, cols array<string>, pick int"
     return cand.groupBy("graph_id").applyInPandas(
         lambda pdf: _greedy_k_center(pdf, max_orders), schema)
@@ -251,30 +240,30 @@ def excluded_nodes(nodes: DataFrame, directed: DataFrame, weights: DataFrame | N
     return out.distinct()
 
 
-def topo_levels(nodes: DataFrame, directed: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def topo_levels(nodes: DataFrame, directed: DataFrame) -> DataFrame:
     """H4 — longest-path level of every node by iterative peeling: a node gets
     level ``k`` when all its predecessors have levels below ``k``.  Each round is
-    one DataFrame step; lineage is cut with a reliable checkpoint every round.
-    Nodes left without a level lie on or behind a cycle (level null)."""
-    e = directed.select("graph_id", "src", "dst").distinct()
-    e = cut_lineage(e)
+    one DataFrame step over what remains; its layer is written once and all layers are
+    read together at the end.  Runs until a round finds no node, however long the
+    longest path; nodes left then lie on or behind a cycle (level null)."""
+    spark = nodes.sparkSession
+    e = cut_lineage(directed.select("graph_id", "src", "dst").distinct())
     remaining = cut_lineage(nodes.select("graph_id", "node").distinct())
-    levels = None
+    path = f"{ensure_checkpoint_dir(spark)}/levels-{uuid.uuid4().hex}"
+    schema = remaining.withColumn("level", F.lit(0)).schema
     k = 0
-    while k < max_rounds:
+    while True:
         has_pred = (e.join(remaining.select("graph_id", F.col("node").alias("src")),
                            ["graph_id", "src"], "left_semi")
                     .select("graph_id", F.col("dst").alias("node")).distinct())
-        layer = remaining.join(has_pred, ["graph_id", "node"], "left_anti").withColumn(
-            "level", F.lit(k))
-        layer = cut_lineage(layer)
+        layer = cut_lineage(remaining.join(has_pred, ["graph_id", "node"], "left_anti"))
         if layer.isEmpty():
             break
-        levels = layer if levels is None else cut_lineage(levels.unionByName(layer))
+        layer.withColumn("level", F.lit(k)).write.mode("append").parquet(path)
         remaining = cut_lineage(remaining.join(layer, ["graph_id", "node"], "left_anti"))
         k += 1
     blocked = remaining.withColumn("level", F.lit(None).cast("int"))
-    return blocked if levels is None else levels.unionByName(blocked)
+    return blocked if k == 0 else spark.read.schema(schema).parquet(path).unionByName(blocked)
 
 
 def find_cycle(nodes: DataFrame, directed: DataFrame) -> DataFrame:

@@ -1,123 +1,85 @@
 """K — joins and set operations that need a chosen plan shape.
 
-K1 range lookup: the direct form ``lower < x AND upper > x`` has no equi-key, so
-Spark can only plan a (broadcast) nested-loop join, O(rows x ranges).  The
-rewrite here turns it into equi-joins whose per-probe work does not depend on
-how many ranges overlap:
-
-* the answer (first range by order) is constant on every distinct endpoint and
-  on every open gap between consecutive endpoints; these pieces — at most three
-  per range, so bounded by the ranges table — are answered once with a bucket-grid
-  join (ranges go to the finest grid level where they span at most ``span``
-  buckets, pieces are probed on every level, strict filter, ``min_by``);
-* probe values are deduplicated (a hot value is one row); a value equal to an
-  endpoint takes the endpoint's answer (equi-join), any other value falls in
-  exactly one gap, found with the same grid over the disjoint gaps;
-* the per-value answer is joined back to the rows.
-
-Exact for any (overlapping, nested, very wide) ranges.
+K1 range lookup: the direct form ``lower < x AND upper > x`` has no equi-key, so Spark can only
+plan a (broadcast) nested-loop join, O(rows x ranges).  Here the range ends are numbered, which
+turns every end and every gap between neighbouring ends into one position.  A range covers a
+run of positions and is posted on the at most 2 log R dyadic nodes that make up the run; each
+node keeps its first range only.  A probe value looks at the log R nodes above its position.
+So R ranges post at most 2 R log R rows and N distinct probe values join with at most N log R,
+however the ranges overlap.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.exprs import quote_ident
+from kestrel.functions.prefix import prefix_sums
 from kestrel.session import cut_lineage
 
 
-def _grid_lookup(values: DataFrame, r: DataFrame, span: int, fanout: int) -> DataFrame:
-    """First range (min ``__ord``) strictly containing each distinct ``__x`` of
-    ``values``; ranges ``r(__lo, __hi, __val, __ord)``.  Returns ``(__x, __hit)``.
+def _nodes(first: Column, last: Column, levels: int) -> Column:
+    """Dyadic nodes (level, index) whose positions together are ``first``..``last``."""
+    zero = F.struct(first.cast("long").alias("a"), last.cast("long").alias("z"),
+                    F.array().cast("array<struct<level:int,idx:bigint>>").alias("n"))
 
-    Ranges go to the finest level of a bucket grid (bucket width = median range
-    width times ``fanout**level``) where they span at most ``span`` buckets and are
-    exploded into those buckets; values are exploded to their bucket on every
-    level; ``(level, bucket)`` equi-join, strict filter, ``min_by``."""
-    st = r.agg(F.percentile_approx(F.col("__hi") - F.col("__lo"), 0.5, 1000).alias("w"),
-               F.min("__lo").alias("mn"), F.max("__hi").alias("mx")).first()
-    if st is None or st.w is None:
-        return values.select("__x", F.lit(None).cast("string").alias("__hit")).where(F.lit(False))
-    base_w = max(float(st.w), 1e-9)
-    total = max(float(st.mx) - float(st.mn), base_w)
-    levels = max(1, int(math.ceil(math.log(total / base_w, fanout))) + 1)
-    widths = [base_w * fanout ** k for k in range(levels)]
-    origin = float(st.mn)
+    def node(level, idx):
+        return F.array(F.struct(level.cast("int").alias("level"), idx.alias("idx")))
 
-    def bucket(v, w):
-        return F.floor((v - F.lit(origin)) / F.lit(w)).cast("long")
+    def step(s, level):
+        open_ = s["a"] <= s["z"]
+        odd = open_ & (s["a"] % 2 == 1)
+        a = s["a"] + F.when(odd, F.lit(1)).otherwise(0)
+        even = (a <= s["z"]) & (s["z"] % 2 == 0)
+        z = s["z"] - F.when(even, F.lit(1)).otherwise(0)
+        none = F.array().cast("array<struct<level:int,idx:bigint>>")
+        return F.struct(  # an empty run stays empty at all coarser levels
+            F.when(a > z, F.lit(1 << 62)).otherwise(F.shiftright(a, 1)).alias("a"),
+            F.when(a > z, F.lit(-1).cast("long")).otherwise(F.shiftright(z, 1)).alias("z"),
+            F.concat(s["n"], F.when(odd, node(level, s["a"])).otherwise(none),
+                     F.when(even, node(level, s["z"])).otherwise(none)).alias("n"))
 
-    lvl = F.lit(levels - 1)
-    for k in reversed(range(levels)):
-        nb = bucket(F.col("__hi"), widths[k]) - bucket(F.col("__lo"), widths[k]) + 1
-        lvl = F.when(nb <= span, F.lit(k)).otherwise(lvl)
-    wcol = F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("__lvl") + 1)
-    rx = (r.withColumn("__lvl", lvl).withColumn("__w", wcol)
-          .withColumn("__b", F.explode(F.sequence(
-              F.floor((F.col("__lo") - F.lit(origin)) / F.col("__w")).cast("long"),
-              F.floor((F.col("__hi") - F.lit(origin)) / F.col("__w")).cast("long")))))
-    px = values.select("__x", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("__lvl"), bucket(F.col("__x"), widths[k]).alias("__b"))
-        for k in range(levels)])).alias("__k")).select("__x", "__k.__lvl", "__k.__b")
-    return (px.join(rx, ["__lvl", "__b"])
-            .where((F.col("__lo") < F.col("__x")) & (F.col("__hi") > F.col("__x")))
-            .groupBy("__x").agg(F.min_by("__val", F.col("__ord")).alias("__hit")))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), zero, step)["n"]
 
 
 def range_lookup(df: DataFrame, x: str, ranges: DataFrame, lo: str, hi: str, value: str,
-                 out: str, order: str | None = None, default: str = "Unknown",
-                 span: int = 4, fanout: int = 64) -> DataFrame:
-    """K1 — first range (by ``order``, default ``lo``) with ``lo < x < hi``;
-    no match gives ``default``.
-
-    The answer only changes at range endpoints, so it is precomputed for every
-    distinct endpoint and for every gap between consecutive endpoints (looked up
-    at the gap's midpoint) — work bounded by the ranges table.  A probe value then
-    needs one piece: an endpoint (equi-join) or the single gap strictly containing
-    it (gaps are disjoint, found with the bucket grid).  Per-probe work no longer
-    grows with how many ranges overlap it."""
-    from kestrel.functions.prefix import prefix_sums
+                 out: str, order: str | None = None, default: str = "Unknown") -> DataFrame:
+    """K1 — first range (by ``order``, default ``lo``, then value) with ``lo < x < hi``; no match,
+    or a null or NaN ``x``, gives ``default``.  Ranges with a null or crossed bound match nothing.
+    Exact for overlapping, nested and equal ranges; see the module text for the plan."""
     order = order or lo
-    r = ranges.select(F.col(quote_ident(lo)).cast("double").alias("__lo"),
-                      F.col(quote_ident(hi)).cast("double").alias("__hi"),
-                      F.col(quote_ident(value)).cast("string").alias("__val"),
-                      F.col(quote_ident(order)).alias("__ord")).where(
-        F.col("__lo") < F.col("__hi"))
-    r = cut_lineage(r)  # read by every step below
-    ends = (r.select(F.col("__lo").alias("__e")).unionByName(r.select(F.col("__hi").alias("__e")))
-            .distinct().withColumn("__one", F.lit(1)))
-    ranked = cut_lineage(prefix_sums(ends, [], "__e", ["__one"]).select(
-        "__e", F.col("__one_before").alias("__i")))
-    nxt = ranked.select(F.col("__e").alias("__b_end"), (F.col("__i") - 1).alias("__i"))
-    gaps = (ranked.join(nxt, "__i").select(F.col("__e").alias("__a"), "__b_end")
-            .withColumn("__mid", (F.col("__a") + F.col("__b_end")) / 2.0)
-            .where((F.col("__mid") > F.col("__a")) & (F.col("__mid") < F.col("__b_end"))))
-    reps = (ranked.select(F.col("__e").alias("__x"))
-            .unionByName(gaps.select(F.col("__mid").alias("__x"))).distinct())
-    rep_ans = cut_lineage(_grid_lookup(reps, r, span, fanout))
-    point_ans = ranked.select(F.col("__e").alias("__x")).join(rep_ans, "__x", "left")
-    gap_ans = (gaps.join(rep_ans.withColumnRenamed("__x", "__mid"), "__mid", "left")
-               .select(F.col("__a").alias("__lo"), F.col("__b_end").alias("__hi"),
-                       F.col("__hit").alias("__val"), F.col("__a").alias("__ord")))
-    probes = df.select(F.col(quote_ident(x)).cast("double").alias("__x")).where(
-        F.col("__x").isNotNull()).distinct()
-    on_point = probes.join(point_ans, "__x", "inner")
-    in_gap = _grid_lookup(probes.join(point_ans.select("__x"), "__x", "left_anti"), gap_ans,
-                          span, fanout)
-    hits = on_point.unionByName(in_gap)
-    return (df.withColumn("__x", F.col(quote_ident(x)).cast("double"))
-            .join(hits, "__x", "left")
-            .withColumn(out, F.coalesce(F.col("__hit"), F.lit(default)))
-            .drop("__x", "__hit"))
+    r = cut_lineage(ranges.select(
+        F.col(quote_ident(lo)).cast("double").alias("__lo"), F.col(quote_ident(hi)).cast("double").alias("__hi"),
+        F.struct(F.col(quote_ident(order)).alias("o"), F.col(quote_ident(value)).cast("string").alias("v"))
+        .alias("__hit")).where("__lo < __hi"))
+    ends = r.select(F.explode(F.array("__lo", "__hi")).alias("__x"), F.lit(1).alias("__end"))
+    probes = df.select(F.col(quote_ident(x)).cast("double").alias("__x"), F.lit(0).alias("__end")).where(
+        "__x IS NOT NULL AND NOT isnan(__x)")
+    values = ends.unionByName(probes).groupBy("__x").agg(F.max("__end").alias("__end"))
+    # end number i is position 2 i, the gap behind it 2 i + 1; before the first end is nothing
+    before = F.col("__end_before")
+    placed = cut_lineage(prefix_sums(values, [], "__x", ["__end"]).select(
+        "__x", F.when(F.col("__end") == 1, 2 * before).otherwise(2 * before - 1).cast("long").alias("__pos")))
+    top = placed.agg(F.max("__pos")).first()[0]
+    levels = max(int(top or 0), 1).bit_length()
+    runs = (r.join(placed.select(F.col("__x").alias("__lo"), (F.col("__pos") + 1).alias("__a")), "__lo")
+            .join(placed.select(F.col("__x").alias("__hi"), (F.col("__pos") - 1).alias("__z")), "__hi"))
+    tree = (runs.select("__hit", F.explode(_nodes(F.col("__a"), F.col("__z"), levels)).alias("__n"))
+            .groupBy("__n.level", "__n.idx").agg(F.min("__hit").alias("__hit")))
+    above = placed.where("__pos >= 0").select("__x", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(
+            k.alias("level"), F.floor(F.col("__pos") / F.pow(F.lit(2.0), k)).cast("long").alias("idx")))).alias("__n"))
+    hits = (above.select("__x", "__n.level", "__n.idx").join(tree, ["level", "idx"])
+            .groupBy("__x").agg(F.min("__hit")["v"].alias("__hit")))
+    return (df.withColumn("__x", F.col(quote_ident(x)).cast("double")).join(hits, "__x", "left")
+            .withColumn(out, F.coalesce(F.col("__hit"), F.lit(default))).drop("__x", "__hit"))
 
 
 def range_lookup_naive(df: DataFrame, x: str, ranges: DataFrame, lo: str, hi: str,
                        value: str, out: str, row_id: str, order: str | None = None,
                        default: str = "Unknown") -> DataFrame:
-    """K1 baseline for comparison: the non-equi join as written (nested loop)."""
+    """K1 as written, a nested-loop join: for checks on small tables only."""
     order = order or lo
     r = ranges.select(F.col(lo).alias("__lo"), F.col(hi).alias("__hi"),
                       F.col(value).alias("__val"), F.col(order).alias("__ord"))

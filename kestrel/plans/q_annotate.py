@@ -92,21 +92,24 @@ def q_merge(spark, sf_dir):
     return G.merge_annotations(df, ann, [("size", [0, 1, 2, 3, 4]), ("urgency", [-1, 0, 1])])
 
 
-def _named(spark, sf_dir, names):
-    f = QT.factors_from_data(spark, sf_dir)
-    return f.where(F.col("name").isin(names))
+_KNOWN_SQL = "SELECT p_type AS name FROM part GROUP BY 1 HAVING min(p_size) <= 1"
+_REVIEWED_SQL = "SELECT p_type AS name FROM part GROUP BY 1 HAVING max(p_size) >= 50"
+_FOCUS_SQL = "SELECT p_type AS name FROM part GROUP BY 1 HAVING avg(p_retailprice) > 1400"
 
 
-@register("g05_diff_factors", """
-SELECT * FROM (VALUES ('new', 'disc_bucket'), ('new', 'ship_month'), ('kept', 'linestatus'),
-                      ('kept', 'qty_bucket'), ('deleted', 'returnflag'), ('focus', 'qty_bucket'),
-                      ('focus', 'ship_month')) AS t(kind, name)
-WHERE EXISTS (SELECT 1 FROM lineitem)""")
+@register("g05_diff_factors", f"""
+WITH k AS ({_KNOWN_SQL}), r AS ({_REVIEWED_SQL}), f AS ({_FOCUS_SQL})
+SELECT 'new' AS kind, name FROM r WHERE name NOT IN (SELECT name FROM k)
+UNION ALL SELECT 'kept', name FROM r WHERE name IN (SELECT name FROM k)
+UNION ALL SELECT 'deleted', name FROM k WHERE name NOT IN (SELECT name FROM r)
+UNION ALL SELECT 'focus', name FROM f WHERE name IN (SELECT name FROM r)""")
 def q_diff(spark, sf_dir):
-    known = _named(spark, sf_dir, ["returnflag", "linestatus", "qty_bucket"])
-    reviewed = _named(spark, sf_dir, ["linestatus", "qty_bucket", "disc_bucket", "ship_month"])
-    focus = spark.createDataFrame([("qty_bucket",), ("ship_month",), ("missing",)], "factor_name string")
-    d = G.diff_factors(reviewed, known, focus)
+    """Part types as factors: known are those sold in the smallest size, reviewed those sold in
+    the largest, in focus the expensive ones."""
+    types = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("name")).agg(
+        F.min("p_size").alias("least"), F.max("p_size").alias("most"), F.avg("p_retailprice").alias("price"))
+    d = G.diff_factors(types.where("most >= 50").select("name"), types.where("least <= 1").select("name"),
+                       types.where("price > 1400").select(F.col("name").alias("factor_name")))
     out = None
     for kind, frame in d.items():
         part = frame.select(F.lit(kind).alias("kind"), "name")

@@ -63,7 +63,7 @@ def q_iforest(spark, sf_dir):
 @register("l05_random_rep_iforest")
 def q_rp_iforest(spark, sf_dir):
     return L.random_rep_iforest(_cust(spark, sf_dir), ["c_acctbal", "c_nationkey"],
-                                n_features=8, n_trees=50, psi=128, seed=0)
+                                n_features=8, n_trees=100, psi=256, seed=0)
 
 
 @register("l06_run_benchmark")
@@ -77,13 +77,13 @@ def q_run_benchmark(spark, sf_dir):
     def make(seg):
         return lambda: (base.where(F.col("c_mktsegment") == seg).select(
             F.col("c_custkey").alias("row_id"), *cols), labels, cols)
-    segs = ["AUTOMOBILE", "BUILDING"]
+    segs = sorted(r[0] for r in base.select("c_mktsegment").distinct().collect())
     detectors = {
         "zscore": lambda df, cs: C.standardize(df, cs).select(
             "row_id", sum((F.abs(F.col(c)) for c in cs[1:]), F.abs(F.col(cs[0]))).alias("score")),
         "ecod": lambda df, cs: L.ecod(df, cs).select("row_id", "score"),
         "pca": lambda df, cs: L.pca_score(df, cs),
-        "iforest": lambda df, cs: L.iforest(df, cs, n_trees=25, psi=64, seed=1),
+        "iforest": lambda df, cs: L.iforest(df, cs, n_trees=100, psi=256, seed=1),
     }
     return L.run_benchmark({s: make(s) for s in segs}, detectors,
                            lambda s: J.evaluate(s, "score", "label", "row_id"))

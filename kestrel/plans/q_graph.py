@@ -226,10 +226,29 @@ members AS (SELECT col, count(*) AS n
 wf AS (SELECT c.col, CAST(coalesce(m.n, 0) AS DOUBLE) AS weight FROM cols c LEFT JOIN members m USING (col))"""
 
 
-@register("h14_weights_by_factors", f"WITH {_MEMBERS_SQL} SELECT col, weight FROM wf")
+#: Factor catalogue read off the data: a market segment is a factor whose columns are the
+#: nations with a customer of that segment in debt.
+_SEGMENT_FACTORS_SQL = """
+fac AS (SELECT c_mktsegment AS name, list(DISTINCT n_name) AS column_based FROM customer
+        JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < -900 GROUP BY 1),
+members AS (SELECT col, count(*) AS n FROM (SELECT DISTINCT name, unnest(column_based) AS col FROM fac) GROUP BY col),
+wf AS (SELECT n_name AS col, CAST(coalesce(m.n, 0) AS DOUBLE) AS weight FROM nation LEFT JOIN members m ON col = n_name)"""
+
+
+def segment_factors(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_acctbal < -900").join(
+        table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.groupBy(F.col("c_mktsegment").alias("name")).agg(F.collect_set("n_name").alias("column_based"))
+
+
+def segment_weights(spark, sf_dir):
+    columns = table(spark, sf_dir, "nation").select(F.col("n_name").alias("col"))
+    return H.weights_by_factors(segment_factors(spark, sf_dir), columns)
+
+
+@register("h14_weights_by_factors", f"WITH {_SEGMENT_FACTORS_SQL} SELECT col, weight FROM wf")
 def q_weights_factors(spark, sf_dir):
-    return H.weights_by_factors(BD.mixed_factors(spark),
-                                H.columns_table(spark, BD.MIXED_FEATURES))
+    return segment_weights(spark, sf_dir)
 
 
 def factor_edges(spark, sf_dir):

@@ -69,9 +69,9 @@ def q_read_orders(spark, sf_dir):
     return A.read_orders(spark, path)
 
 
-@register("a05_read_weights", f"WITH {QG._MEMBERS_SQL} SELECT col, weight FROM wf")
+@register("a05_read_weights", f"WITH {QG._SEGMENT_FACTORS_SQL} SELECT col, weight FROM wf")
 def q_read_weights(spark, sf_dir):
-    w = H.weights_by_factors(BD.mixed_factors(spark), H.columns_table(spark, BD.MIXED_FEATURES))
+    w = QG.segment_weights(spark, sf_dir)
     path = A.scratch_path(spark, "weights-json")
     A.write_json_doc(spark, A.weights_json(w), w, path)
     return A.read_weights(spark, path)

@@ -527,19 +527,6 @@ def q_range_lookup(spark, sf_dir):
     return out.select("o_orderkey", "ip_country")
 
 
-@register("k01_range_lookup_naive", f"""
-WITH r AS ({_RANGES_SQL}),
-h AS (SELECT o_orderkey, arg_min(brand, p_partkey) AS brand
-      FROM orders JOIN r ON r.lo < o_totalprice AND r.hi > o_totalprice GROUP BY o_orderkey)
-SELECT o_orderkey, coalesce(h.brand, 'Unknown') AS ip_country
-FROM orders LEFT JOIN h USING (o_orderkey)""")
-def q_range_lookup_naive(spark, sf_dir):
-    o = _orders(spark, sf_dir).select("o_orderkey", "o_totalprice")
-    out = K.range_lookup_naive(o, "o_totalprice", _part_ranges(spark, sf_dir), "lo", "hi",
-                               "brand", "ip_country", "o_orderkey", order="p_partkey")
-    return out.select("o_orderkey", "ip_country")
-
-
 @register("k03_hconcat", """
 SELECT o_orderkey, o_totalprice, n_lines FROM orders
 JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) USING (o_orderkey)""")

@@ -11,7 +11,6 @@ output: exactly-once files).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +22,10 @@ from kestrel.operators import scoring as I
 
 def read_stream(spark: SparkSession, path: str, schema: str, max_files: int = 1) -> DataFrame:
     """Parquet file stream: new files matching ``path`` (a folder or a glob)
-    become micro-batches.  A single-file path is read as a glob in its folder."""
-    r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if os.path.isfile(path):
-        r = r.option("basePath", os.path.dirname(path))
-        path = path[:-1] + "[" + path[-1] + "]"  # the same file, as a glob
-    return r.parquet(path)
+    become micro-batches.  The path is read as a glob, so a folder, a single file and a
+    pattern behave alike in any store."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .parquet(f"{path[:-1]}[{path[-1]}]" if path[-1] not in "]}*/" else path))
 
 
 def fixed_equal_width(stats_df: DataFrame, col: str, n_buckets: int = 10):
@@ -63,7 +60,7 @@ def run_stream_scores(stream: DataFrame, row_id: str, model: I.DensityModel, ord
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         scores = batch.groupBy("row_id").agg((F.sum("nll") / F.lit(float(n_perms))).alias("score"))
-        scores.write.mode("overwrite").parquet(os.path.join(out_path, f"epoch={epoch}"))
+        scores.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     q = (rec.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

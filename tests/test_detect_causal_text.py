@@ -142,7 +142,7 @@ def test_validate_factors_requires_json_numbers(spark):
     got = {r.id: (r.valid, r.reason) for r in D.validate_factors(df).collect()}
     assert got[1] == (True, None)
     assert got[2] == (False, "a possible value is not a number")
-    assert got[3] == (False, "Missing 'recommended_focus_factors' field")
+    assert got[3] == (False, "no recommended focus")
     assert got[4] == (False, "no factors")
     fenced = spark.createDataFrame([("Sure:\n```json\n{\"a\": 1}\n```",), ("```\n{\"a\": 2}\n```",), ('{"a": 3}',)],
                                    "r string")
