@@ -357,11 +357,13 @@ def pairwise_cosine(df: DataFrame, vec: str, by: str) -> DataFrame:
 
 
 def centroid_distance(df: DataFrame, vec: str, is_anomaly) -> DataFrame:
-    """I13 — mean squared distance of anomalous vectors to the normal centroid."""
+    """I13 — mean squared distance of anomalous vectors to the normal centroid (one array, so
+    rows are neither exploded nor shuffled)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     v = df.select(F.transform(vec, lambda x: x.cast("double")).alias("__v"), is_anomaly.alias("__a"))
-    cen = (v.where(~F.col("__a")).select(F.posexplode("__v").alias("i", "x"))
-           .groupBy("i").agg(F.avg("x").alias("c")))
-    an = v.where(F.col("__a")).withColumn("__rid", F.monotonically_increasing_id())
-    d = (an.select("__rid", F.posexplode("__v").alias("i", "x")).join(F.broadcast(cen), "i")
-         .groupBy("__rid").agg(F.sum((F.col("x") - F.col("c")) ** 2).alias("d2")))
+    cen = v.where(~F.col("__a")).groupBy().agg(
+        vector_to_array(Summarizer.mean(array_to_vector("__v"))).alias("__c"))
+    d2 = F.aggregate(F.zip_with("__v", "__c", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
+    d = v.where(F.col("__a")).crossJoin(F.broadcast(cen)).select(d2.alias("d2"))  # cen is one row
     return d.agg(F.avg("d2").alias("mean_sq_distance"), F.count(F.lit(1)).alias("n_anomalies"))

@@ -100,19 +100,33 @@ def to_dense(long: DataFrame, vocab_terms: Sequence[str], value: str, row_id: st
         F.element_at("m", t).cast("double"), F.lit(0.0))).alias("vec"))
 
 
+def fit_word_vectors(df: DataFrame, cols: Sequence[str], dim: int = 100, min_count: int = 5,
+                     steps: int = 1, seed: int = 1) -> DataFrame:
+    """Word vectors ``(word, vec)`` of dimension ``dim`` fitted on the texts (Spark ML
+    Word2Vec); words rarer than ``min_count`` have none."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+    words = df.select(F.coalesce(F.regexp_extract_all(join_text(cols), F.lit(r"\S+"), 0),
+                                 F.array().cast("array<string>")).alias("words"))
+    model = Word2Vec(vectorSize=dim, minCount=min_count, maxIter=steps, seed=seed, inputCol="words",
+                     outputCol="v").fit(words)
+    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+
+
 def mean_word_vectors(df: DataFrame, row_id: str, cols: Sequence[str], vectors: DataFrame,
                       dim: int) -> DataFrame:
     """D4 — mean of the known words' vectors (words split on whitespace,
     case-sensitive), zeros when no word is known.  ``vectors(word, vec)``.
-    The vector table is joined, not broadcast blindly: AQE broadcasts it only
-    when its measured size allows, and splits hot words otherwise."""
-    words = df.select(F.col(quote_ident(row_id)).alias("row_id"),
-                      F.explode(F.regexp_extract_all(join_text(cols), F.lit(r"\S+"), 0)).alias("word"))
-    known = words.join(vectors.select("word", "vec"), "word")
-    per = (known.select("row_id", F.posexplode("vec").alias("i", "x"))
-           .groupBy("row_id", "i").agg(F.avg("x").alias("x")))
-    vec = per.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))),
-                                                lambda s: s["x"]).alias("vec"))
+    A row's words are counted before the join, and whole vectors are averaged, weighted by the
+    counts, with map-side combination."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    words = (df.select(F.col(quote_ident(row_id)).alias("row_id"),
+                       F.explode(F.regexp_extract_all(join_text(cols), F.lit(r"\S+"), 0)).alias("word"))
+             .groupBy("row_id", "word").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    known = words.join(vectors.select("word", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "word")
+    vec = known.groupBy("row_id").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("vec"), F.col("n"))).alias("vec"))
     zeros = F.array_repeat(F.lit(0.0), dim)
     return (df.select(F.col(quote_ident(row_id)).alias("row_id")).join(vec, "row_id", "left")
             .select("row_id", F.coalesce("vec", zeros).alias("vec")))

@@ -148,3 +148,11 @@ def q_feature_matrix_text(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return P.to_feature_matrix(d, "doc_id", method="ordinal", text_encoding="tfidf",
                                text_cols=["text"])
+
+
+@register("c12_feature_matrix_vectors")
+def q_feature_matrix_vectors(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "role", "text")
+    return P.to_feature_matrix(d, "row_id", method="one_hot", text_encoding="word2vec",
+                               text_cols=["text"], vector_size=16)

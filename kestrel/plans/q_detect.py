@@ -14,9 +14,10 @@ LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _li(spark, sf_dir):
-    # lineitem has no unique key in the given data: a generated id labels rows
-    return table(spark, sf_dir, "lineitem").select(
-        F.monotonically_increasing_id().alias("row_id"), *LI_NUM)
+    # lineitem has no unique key in the given data: the hash of the whole row labels it, so
+    # samples and scores do not depend on how files are split
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.xxhash64(*li.columns).alias("row_id"), *LI_NUM)
 
 
 def _long_sql(cols):

@@ -54,15 +54,9 @@ def q_tfidf(spark, sf_dir):
 def q_word_vectors(spark, sf_dir):
     """Word vectors fitted with Spark ML Word2Vec on the conversation texts, then
     averaged per conversation turn."""
-    from pyspark.ml.feature import Word2Vec
     conv = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
-    words = conv.select(F.regexp_extract_all("text", F.lit(r"\S+"), 0).alias("words"))
-    model = Word2Vec(vectorSize=16, minCount=3, seed=1, maxIter=1, inputCol="words",
-                     outputCol="v").fit(words)
-    from pyspark.ml.functions import vector_to_array
-    vectors = model.getVectors().select("word", vector_to_array("vector").alias("vec"))
-    return D.mean_word_vectors(conv, "row_id", ["text"], vectors, 16)
+    return D.mean_word_vectors(conv, "row_id", ["text"], D.fit_word_vectors(conv, ["text"], 16), 16)
 
 
 _CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
