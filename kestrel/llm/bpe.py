@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import missing
+from kestrel.llm.common import Memory, missing
 
 # Fixed value: the pattern that splits text before the merges (white space as in Unicode).
 PATTERN = regex.compile(
@@ -39,7 +39,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteBPE:
-    """Vocabulary, merges and a bounded memory of encoded pre-tokens (two generations)."""
+    """Vocabulary, merges and a bounded memory of encoded pre-tokens."""
 
     def __init__(self, path: str, limit: int = 250_000):
         with open(path, encoding="utf-8") as f:
@@ -63,9 +63,7 @@ class ByteBPE:
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         self.rank_order = np.argsort(keys, kind="stable")
         self.rank_keys = keys[self.rank_order]
-        self.limit = limit
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.known = Memory(limit)
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 without a merge."""
@@ -151,22 +149,10 @@ class ByteBPE:
             out.extend([part] if part in self.special else PATTERN.findall(part))
         return out
 
-    def learn(self, words: set[str]) -> None:
-        found, new = {}, []
-        for w in words:
-            if w not in self.young:
-                ids = self.old.get(w)
-                if ids is not None:
-                    found[w] = ids
-                elif w in self.special:
-                    found[w] = [self.special[w]]
-                else:
-                    new.append(w)
-        found.update(zip(new, self.merge([w.encode() for w in new])))
-        if len(self.young) + len(found) > self.limit:
-            self.old = self.young
-            self.young = {w: self.old[w] for w in words if w in self.old}
-        self.young.update(found)
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of new pre-tokens; special tokens are their own id."""
+        merged = iter(self.merge([w.encode() for w in words if w not in self.special]))
+        return [[self.special[w]] if w in self.special else next(merged) for w in words]
 
     def encode_batch(self, texts: list[str], chars: int = 4_000_000):
         """The id list of each text; texts are taken together up to about ``chars`` at a time."""
@@ -177,8 +163,8 @@ class ByteBPE:
                 size += len(texts[stop])
                 stop += 1
             cut = [self.pieces(t) for t in texts[at:stop]]
-            self.learn({w for words in cut for w in words})
-            ids = self.young.__getitem__
+            self.known.learn({w for words in cut for w in words}, self._ids)
+            ids = self.known.__getitem__
             for words in cut:
                 yield list(chain.from_iterable(map(ids, words)))
             at = stop

@@ -71,3 +71,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Memory(dict):
+    """Remembered values of at most about two times ``limit`` keys: when the young generation is
+    full it becomes the old one, and keys still in use move up again."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def learn(self, keys: set, make) -> None:
+        """Make every key readable; ``make(list of new keys)`` gives their values in order."""
+        old = self.old
+        new = [k for k in keys if k not in self and k not in old]
+        found = {k: old[k] for k in keys if k not in self and k in old}
+        found.update(zip(new, make(new)))
+        if len(self) + len(found) > self.limit:
+            kept = {k: self[k] for k in keys if k in self}
+            self.old = dict(self)
+            self.clear()
+            self.update(kept)
+        self.update(found)
+
+
+class Remembered(dict):
+    """``make(key)``, remembered for at most about two times ``limit`` keys: when the young
+    generation is full it becomes the old one, and keys still in use move up again."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -115,7 +115,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path,
                              public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return token_files.token_report(token_files.read_tokens(spark, path))
+    return token_files.read_report(spark, path)
 
 
 # ------------------------------------------------------------------ 6 near-duplicates

@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import LOWEST, bucket_of, missing, range_bounds, shuffle_partitions
+from kestrel.llm.bpe import byte_alphabet
+from kestrel.llm.common import LOWEST, Remembered, bucket_of, missing, range_bounds, shuffle_partitions
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -39,54 +41,62 @@ SAMPLE_DOCUMENTS = 400
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 65_536
 
+BLOCK = ("bucket int, block int, start long, dictionary_sha256 string, doc_ids array<long>, "
+         "n_ids array<int>, offsets array<int>, payload binary")
+
 _ASCII_GAPS = re.compile(r"[^\x20\x09-\x0D]+")
 _INFORMATION_SEPARATORS = re.compile("[\x1c-\x1f]")
+# Fixed value: the pre-tokens of the vocabulary, for lower-cased Latin-1 text.
+_LATIN_WORDS = re.compile(
+    "[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|'(?:[stmd]|re|ve|ll)|[^a-z0-9ªµº²³¹¼½¾ß-öø-ÿ\x09-\x0d\x20\x85\xa0]+")
 
 
 class WordEncoder:
-    """Ids of whole texts from a tokenizers file that drops white space and never looks across
-    it: white-space-separated chunks are encoded by the library once and then remembered (two
-    generations of at most ``limit`` chunks each, so memory is bounded)."""
+    """Ids of whole texts from a tokenizers file that lower-cases, drops white space and splits
+    into words, digits and punctuation before the merges.
+
+    A text of Latin-1 characters is split into its pre-tokens; each goes through the library's
+    merge model once and is then remembered.  Any other text, and one that may hold a special
+    token, is cut at white space, and the library encodes (and this class remembers) the chunks
+    as they are.  Both memories are bounded.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit = limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.spell = {b: c for c, b in byte_alphabet().items()}.__getitem__
+        self.chunks = Remembered(self._encode_chunk, limit // 5)
+        self.words = Remembered(self._encode_word, limit)
 
-    def chunks(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
         # str.split() also cuts at U+001C..U+001F, which the tokenizer keeps as characters
         return _ASCII_GAPS.findall(text) if _INFORMATION_SEPARATORS.search(text) else text.split()
 
-    def learn(self, chunks: set[str]) -> None:
-        found, new = {}, []
-        for c in chunks:
-            if c not in self.young:
-                ids = self.old.get(c)
-                if ids is None:
-                    new.append(c)
-                else:
-                    found[c] = ids
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found[c] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(self.young) + len(found) > self.limit:
-            self.old = self.young
-            self.young = {c: self.old[c] for c in chunks if c in self.old}
-        self.young.update(found)
-
-    def encode_batch(self, texts: list[str], size: int = 400) -> Iterator[np.ndarray]:
-        """The ids (uint32) of each text."""
-        for at in range(0, len(texts), size):
-            cut = [self.chunks(t) for t in texts[at:at + size]]
-            self.learn({c for chunks in cut for c in chunks})
-            ids = self.young.__getitem__
-            for chunks in cut:
-                yield np.frombuffer(b"".join(map(ids, chunks)), dtype="<u4")
+    def _encode_word(self, word: str) -> bytes:
+        """Ids of a pre-token by the library's merge model, which reads bytes as characters."""
+        spelled = word if word.isascii() and word.isprintable() else "".join(map(self.spell, word.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids (uint32) of a text."""
+        if _latin(text) and "<|" not in text:
+            parts = map(self.words.__getitem__, _LATIN_WORDS.findall(text.lower()))
+        else:
+            parts = map(self.chunks.__getitem__, self.split(text))
+        return np.frombuffer(b"".join(parts), dtype="<u4")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -131,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     id_bytes = 2 if coder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     kind = f"<u{id_bytes}"
     dictionary = train_dictionary([
-        ids.astype(kind).tobytes() for ids in coder.encode_batch([r[0] for r in sampled])])
+        ids.astype(kind).tobytes() for ids in map(coder.encode, (r[0] for r in sampled))])
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, dictionary, id_bytes)],
                           "dictionary_sha256 string, dictionary binary, id_bytes int") \
@@ -147,16 +157,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def compress(batches):
         coder = encoder(tokenizer)
         squeeze = zstandard.ZstdCompressor(level=LEVEL, **_zdict(shared.value)).compress
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            n, frames = [], []
-            for ids in coder.encode_batch(texts):
-                ids = np.append(ids, tail).astype(kind)
-                n.append(len(ids))
-                frames.append(squeeze(ids.tobytes()))
-            yield pa.record_batch([b.column("bucket"), b.column("doc_id"), b.column("tie"),
-                                   pa.array(n, pa.int32()), pa.array(frames, pa.binary())],
-                                  schema=frame_type)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 400):
+                b = whole.slice(at, 400)
+                n, frames = [], []
+                for text in b.column("text").to_pylist():
+                    ids = np.append(coder.encode(text), tail).astype(kind)
+                    n.append(len(ids))
+                    frames.append(squeeze(ids.tobytes()))
+                yield pa.record_batch([b.column("bucket"), b.column("doc_id"), b.column("tie"),
+                                       pa.array(n, pa.int32()), pa.array(frames, pa.binary())],
+                                      schema=frame_type)
 
     keyed = docs.select(
         bucket_of(F.coalesce("doc_id", F.lit(LOWEST)), bounds).cast("int").alias("bucket"),
@@ -195,9 +206,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     ordered = frames.repartition(parts, "bucket").sortWithinPartitions(
         "bucket", F.col("doc_id").asc_nulls_first(), "tie")
-    ordered.mapInArrow(pack, "bucket int, block int, start long, dictionary_sha256 string, "
-                             "doc_ids array<long>, n_ids array<int>, offsets array<int>, "
-                             "payload binary").write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(pack, BLOCK).write.parquet(f"{path}/blocks")
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes, int]:
@@ -208,16 +217,12 @@ def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes, int]:
     return digest, dictionary, id_bytes
 
 
-def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """Documents of a token store: doc_id, start (ids of all documents before it), ids.
-
-    With ``doc_ids`` only the blocks that list them are read, and only their frames are
-    decompressed.  Frames written with another dictionary raise an error.
-    """
+def _read_blocks(spark: SparkSession, path: str, wanted: frozenset | None, fields: list[tuple],
+                 row) -> DataFrame:
+    """Rows made by ``row(doc_id, start, ids)`` of the documents of a token store."""
     digest, dictionary, id_bytes = _dictionary(spark, path)
-    shared = spark.sparkContext.broadcast(dictionary)
-    wanted = None if doc_ids is None else frozenset(doc_ids)
-    blocks = spark.read.parquet(f"{path}/blocks")
+    shared = spark.sparkContext.broadcast(dictionary)  # at most DICTIONARY_BYTES
+    blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     # one number per bucket, at most as many as shuffle partitions when the store was written
     totals = dict(blocks.select("bucket", F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x)
                                 .alias("n")).groupBy("bucket").agg(F.sum("n")).collect())
@@ -225,45 +230,47 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
     for b in sorted(totals):
         before[b], total = total, total + totals[b]
     if wanted is not None:
-        blocks = blocks.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i) for i in sorted(wanted)]).cast("array<long>")))
-    out_type = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        blocks = blocks.where(F.arrays_overlap("doc_ids", F.array(
+            *[F.lit(i) for i in sorted(wanted)]).cast("array<long>")))
+    schema = pa.schema([(name, kind) for name, kind, _ in fields])
 
     def unpack(batches):
         expand = zstandard.ZstdDecompressor(**_zdict(shared.value)).decompress
         for b in batches:
-            for row in b.to_pylist():
-                if row["dictionary_sha256"] != digest:
+            for i in range(b.num_rows):
+                block = b.slice(i, 1).to_pylist()[0]
+                if block["dictionary_sha256"] != digest:
                     raise ValueError("block and dictionary do not belong together")
-                payload, offsets = row["payload"], row["offsets"]
-                starts = before[row["bucket"]] + row["start"] + np.cumsum([0, *row["n_ids"]])
-                got = [(i, doc) for i, doc in enumerate(row["doc_ids"])
-                       if wanted is None or doc in wanted]
-                for at in range(0, len(got), 500):
-                    part = got[at:at + 500]
-                    ids = [np.frombuffer(expand(payload[offsets[i]:offsets[i + 1]]),
-                                         dtype=f"<u{id_bytes}").astype(np.int32) for i, _ in part]
-                    yield pa.record_batch(
-                        [pa.array([d for _, d in part], pa.int64()),
-                         pa.array([int(starts[i]) for i, _ in part], pa.int64()),
-                         pa.ListArray.from_arrays(
-                             np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate(ids))],
-                        schema=out_type)
-
-    return blocks.mapInArrow(unpack, "doc_id long, start long, ids array<int>")
-
-
-def token_report(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 (unsigned, of the ids as little-endian uint32)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
-                        ("ids_crc32", pa.int64())])
-
-    def digest(batches):
-        for b in batches:
-            ids = b.column("ids")
-            values, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            yield pa.record_batch(
-                [b.column("doc_id"), b.column("start"), pa.array(np.diff(cuts), pa.int64()),
-                 pa.array([zlib.crc32(values[a:z]) for a, z in zip(cuts[:-1], cuts[1:])], pa.int64())],
-                schema=schema)
-
-    return tokens.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                payload, offsets = block["payload"], block["offsets"]
+                starts = before[block["bucket"]] + block["start"] + np.cumsum([0, *block["n_ids"]])
+                places = [(k, doc) for k, doc in enumerate(block["doc_ids"]) if wanted is None or doc in wanted]
+                for at in range(0, len(places), 500):
+                    rows = [row(doc, int(starts[k]), np.frombuffer(
+                        expand(payload[offsets[k]:offsets[k + 1]]), dtype=f"<u{id_bytes}"))
+                        for k, doc in places[at:at + 500]]
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return blocks.mapInArrow(unpack, ", ".join(f"{name} {kind}" for name, _, kind in fields))
+
+
+def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """Documents of a token store: doc_id, start (ids of all documents before it), ids.
+
+    With ``doc_ids`` only the blocks that list them are kept, and only their frames are
+    decompressed.  Frames written with another dictionary raise an error.
+    """
+    return _read_blocks(
+        spark, path, None if doc_ids is None else frozenset(doc_ids),
+        [("doc_id", pa.int64(), "long"), ("start", pa.int64(), "long"),
+         ("ids", pa.list_(pa.int32()), "array<int>")],
+        lambda doc, start, ids: (doc, start, ids.astype(np.int32)))
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 (unsigned, of the ids as little-endian uint32) of
+    every document of a token store, from its files."""
+    return _read_blocks(
+        spark, path, None,
+        [("doc_id", pa.int64(), "long"), ("start", pa.int64(), "long"), ("n_tokens", pa.int64(), "long"),
+         ("ids_crc32", pa.int64(), "long")],
+        lambda doc, start, ids: (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))

@@ -46,7 +46,14 @@ def test_bounded_memory_does_not_change_ids():
     assert [list(map(int, g)) for g in c.encode_batch(HARD, chars=50)] == expected
     _, expected = encoded(WORD, HARD)
     w = token_files.WordEncoder(WORD, limit=10)
-    assert [g.tolist() for g in w.encode_batch(HARD)] == expected
+    assert [w.encode(t).tolist() for t in HARD] == expected
+
+
+def test_latin_pre_tokens_equal_library():
+    texts = [f"x{chr(i)}Y{chr(i)}{chr(i)}9'S{chr(j)}A" for i in range(1, 256) for j in (i, 255 - i or 1, 39)]
+    _, expected = encoded(WORD, texts)
+    w = token_files.WordEncoder(WORD)
+    assert [w.encode(t).tolist() for t in texts] == expected
 
 
 def test_round_trip_documents(spark, odd_documents, no_documents):
@@ -75,13 +82,13 @@ def test_token_store(spark, odd_documents, no_documents, tmp_path, monkeypatch):
         i = np.array([*i, 1], dtype="<u4")
         expected.append((-1 if doc_id is None else doc_id, start, len(i), zlib.crc32(i.tobytes())))
         start += len(i)
-    got = token_files.token_report(token_files.read_tokens(spark, path)).collect()
+    got = token_files.read_report(spark, path).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == sorted(expected)
     few = token_files.read_tokens(spark, path, [5, 100]).collect()
     assert {r.doc_id: (r.start, len(r.ids)) for r in few} == {e[0]: e[1:3] for e in expected if e[0] in (5, 100)}
     empty = f"file://{tmp_path}/empty"
     token_files.write_tokens(no_documents, empty, WORD)
-    assert token_files.token_report(token_files.read_tokens(spark, empty)).count() == 0
+    assert token_files.read_report(spark, empty).count() == 0
 
 
 def test_damaged_dictionary_is_noticed(spark, tmp_path):
