@@ -42,8 +42,8 @@ def _cumulated(df: DataFrame, score: str, label: str, by: list[str]) -> DataFram
     c = prefix_sums(d, by, score, ["pos", "neg"], descending=True)
     g = c.groupBy(*by) if by else c.groupBy()
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    # totals: one row per group (methods x splits), bounded
-    return c.join(F.broadcast(tot), by, "inner") if by else c.crossJoin(F.broadcast(tot))
+    # totals: one row per group, broadcast by AQE if small
+    return c.join(tot, by, "inner") if by else c.crossJoin(F.broadcast(tot))
 
 
 def _auc_expr() -> Column:
@@ -111,8 +111,8 @@ def _tp_at_k(df: DataFrame, summary: DataFrame, score: str, label: str, row_id:
     summary = cut_lineage(summary)
     cut = summary.where(F.col("__cut").isNotNull()).select(
         *by, F.col("__cut.s").alias("__cs"), F.col("__cut.m").alias("__m"))
-    # at most one cut row per group: broadcast is bounded by the number of groups
-    ties = (df.join(F.broadcast(cut), by, "inner").where(F.col(score) == F.col("__cs"))
+    # at most one cut row per group
+    ties = (df.join(cut, by, "inner").where(F.col(score) == F.col("__cs"))
             .withColumn("__h", hash_num(seed, F.col(row_id)))
             .withColumn("__hs", hash_key(seed, F.col(row_id)))
             .withColumn("__one", F.lit(1)))
@@ -150,7 +150,7 @@ def predict_top_k(df: DataFrame, score: str = "score", label: str = "label",
                                                 >= F.col("P")))
            .select(*by, F.col(score).alias("__cut"), (F.col("P") - cnt_before).alias("__m")))
     cut = cut_lineage(cut)  # one row per group, read by both branches below
-    rows = df.join(F.broadcast(cut), by, "left")
+    rows = df.join(cut, by, "left")
     above = rows.where(F.col("__cut").isNull() | (F.col(score) != F.col("__cut"))).withColumn(
         "predicted", F.when(F.col(score) > F.col("__cut"), 1).otherwise(0))
     ties = (rows.where(F.col(score) == F.col("__cut"))
@@ -189,7 +189,7 @@ def evaluate(df: DataFrame, score: str = "score", label: str = "label",
         df = df.withColumn("__all", F.lit(0))
         by = ["__all"]
     inv = _invalid_groups(df, score, by)
-    valid = df.join(F.broadcast(inv.where(F.col("__invalid") == 0).select(*by)), by, "left_semi")
+    valid = df.join(inv.where(F.col("__invalid") == 0).select(*by), by, "left_semi")
     summ = _group_summary(_cumulated(valid, score, label, by), score, by)
     tp = _tp_at_k(valid, summ, score, label, row_id, by, seed)
     wide = inv.join(_prf(tp, by, keep=["auc_roc", "auc_pr"]), by, "left")
@@ -243,7 +243,7 @@ def aggregate_splits(metrics: DataFrame, keys: Sequence[str] = ("method", "metri
     g = metrics.groupBy(*scope, *[k for k in keys if k not in scope]).agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.count_distinct(split).alias("n_splits"))
-    j = g.join(F.broadcast(n), scope, "inner") if scope else g.crossJoin(F.broadcast(n))
+    j = g.join(n, scope, "inner") if scope else g.crossJoin(F.broadcast(n))
     return j.where(F.col("n_splits") == F.col("__n")).drop("__n")
 
 

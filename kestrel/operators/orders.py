@@ -84,7 +84,7 @@ def expand_orders(orders: DataFrame, factors: DataFrame, seed: int = 0,
     not a factor is a column itself (``keep_unknown``) or skipped."""
     keys = [c for c in orders.columns if c != "cols"]
     exploded = orders.select(*keys, F.posexplode("cols").alias("__pos", "__node"))
-    joined = exploded.join(F.broadcast(_factor_columns(factors)), "__node", "left")
+    joined = exploded.join(_factor_columns(factors), "__node", "left")
     if keep_unknown:
         members = F.coalesce(F.col("__fcols"), F.array(F.col("__node")))
     else:

@@ -85,7 +85,7 @@ def split_half_by_label(df: DataFrame, label: str, order: str) -> DataFrame:
     w = df.withColumn("__one", F.lit(1)).withColumn("__tie", F.xxhash64(*df.columns))
     r = prefix_sums(w, [label], order, ["__one"], tiebreak=["__tie"]).drop("__tie")
     cnt = df.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt"))
-    return (r.join(F.broadcast(cnt), label)
+    return (r.join(cnt, label)
             .withColumn("split", F.when(F.col("__one_before") < F.floor(F.col("__cnt") / 2),
                                         F.lit("train")).otherwise(F.lit("test")))
             .drop("__one", "__one_before", "__cnt"))

@@ -68,29 +68,37 @@ class DensityModel:
     alpha: float
     pairs: list | None = None      # adjacent (prev_col, col) pairs of the orders
     firsts: list | None = None     # first columns of the orders
-    n_counts: int | None = None    # proven upper bounds of the table sizes
+    n_counts: int | None = None    # proven upper bounds of the table sizes in bytes
     n_contexts: int | None = None
 
 
-# broadcast a fitted table only below this many rows (a checked bound); larger
+# broadcast a fitted table only below this many bytes (a proven bound); larger
 # tables are shuffle-joined (AQE splits skewed partitions)
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64_000_000
 
 
 def size_bounds(model: DensityModel) -> DensityModel:
-    """Upper bounds of the fitted tables from the per-column cardinalities (one
-    row per column): ``counts <= sum k_a * k_b`` over adjacent pairs plus the first
-    columns' ``k``; ``contexts <= sum k_a`` plus one row per first column."""
-    k = {r["col"]: int(r["k"]) for r in model.cards.select("col", "k").collect()}
+    """Upper bounds in bytes of the fitted tables from the cardinality and the widest value of
+    each column (one row per column): ``counts`` has at most ``sum k_a * k_b`` rows over adjacent
+    pairs plus the first columns' ``k``, ``contexts`` at most ``sum k_a`` plus one row per first
+    column; a row holds two names, two values and two numbers."""
+    c = {r["col"]: (int(r["k"]), int(r["w"] or 0)) for r in model.cards.select("col", "k", "w").collect()}
     pairs, firsts = model.pairs or [], model.firsts or []
-    n_counts = sum(k.get(a, 0) * k.get(b, 0) for a, b in pairs) + sum(k.get(c, 0) for c in firsts)
-    n_ctx = sum(k.get(a, 0) for a, _ in pairs) + len(firsts)
+
+    def k(col):
+        return c.get(col, (0, 0))[0]
+
+    def row(*cols):
+        return 64 + sum(len(x.encode()) + c.get(x, (0, 0))[1] for x in cols)
+
+    n_counts = sum(k(a) * k(b) * row(a, b) for a, b in pairs) + sum(k(x) * row(x) for x in firsts)
+    n_ctx = sum(k(a) * row(a, b) for a, b in pairs) + sum(row(x) for x in firsts)
     return DensityModel(model.counts, model.contexts, model.cards, model.alpha, pairs, firsts,
                         n_counts, n_ctx)
 
 
-def _sized(df: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, size: int | None) -> DataFrame:
+    return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES else df
 
 
 def fit_density(train: DataFrame, cols: Sequence[str], orders: DataFrame | list,
@@ -104,7 +112,7 @@ def fit_density(train: DataFrame, cols: Sequence[str], orders: DataFrame | list,
         F.struct(F.lit(c).alias("col"), _val(c).alias("value")) for c in cols])).alias("kv"))
         .groupBy("kv.col", "kv.value").agg(F.count(F.lit(1)).alias("n")))
     n_rows = train.agg(F.count(F.lit(1)).alias("n_rows"))
-    cards = (uni.groupBy("col").agg(F.count(F.lit(1)).alias("k"))
+    cards = (uni.groupBy("col").agg(F.count(F.lit(1)).alias("k"), F.max(F.octet_length("value")).alias("w"))
              .crossJoin(F.broadcast(n_rows)))
     if pairs:
         pair_counts = (train.select(F.explode(F.array(*[
