@@ -200,7 +200,8 @@ def _hub_pairs(lists: DataFrame) -> DataFrame:
 def _with_shared(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Append n and c to the lists: the size of a node's set and how many of its shingles occur in
     a second node of any list.  Nodes that even a partner made of all those could not reach are
-    left out; so are lists that then hold one component."""
+    left out; so are lists that then hold one component.  Applied twice, as nodes left out may
+    have been the only second ones of a shingle."""
     nodes = lists.select("node").distinct()
     each = sets.join(nodes, "node").select("node", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
@@ -234,27 +235,38 @@ def _second_hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
                     .select(F.col("node").alias("p"), "q"))
 
 
-def _rest_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def _agreeing(x: str, y: str):
+    """Number of coordinates in which two signatures agree."""
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e))
+
+
+def _rest_pairs(lists: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs between different components: members outside a list's largest component with
-    all members of others that they could reach, each pair in its first common list only."""
+    all members of others that they could reach and that agree in enough coordinates, each pair
+    in its first common list only."""
     tokens = lists.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
-    full = lists.join(tokens, "node")
+    full = lists.join(tokens, "node").join(classes.select("node", "sig"), "node")
     outside = full.join(_main_component(lists), "token").where("comp <> main").select(
-        "token", F.col("node").alias("q"), F.col("comp").alias("q_comp"),
+        "token", F.col("node").alias("q"), F.col("comp").alias("q_comp"), F.col("sig").alias("q_sig"),
         F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("tokens").alias("q_tokens"))
     first = F.get(F.array_intersect("tokens", "q_tokens"), 0) == F.col("token")
-    return _ordered(full.join(outside, "token").where(_reachable(percent) & first)
-                    .select(F.col("node").alias("p"), "q"))
+    met = full.join(outside, "token").where(
+        _reachable(percent) & first & (_agreeing("sig", "q_sig") >= matches))
+    return _ordered(met.select(F.col("node").alias("p"), "q"))
+
+
+def _side(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    return df.select(F.col("node").alias(key), F.col(value).alias(name))
+
 
+def _agreeing_pairs(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    return pairs.join(_side(classes, "a", "sig", "sa"), "a").join(_side(classes, "b", "sig", "sb"), "b") \
+        .where(_agreeing("sa", "sb") >= matches).select("a", "b").distinct()
 
-def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs that agree in enough coordinates and whose full sets reach the similarity."""
-    def side(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-        return df.select(F.col("node").alias(key), F.col(value).alias(name))
 
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    near = written(pairs.join(side(classes, "a", "sig", "sa"), "a").join(side(classes, "b", "sig", "sb"), "b")
-                   .where(agree >= matches).select("a", "b").distinct(), "near-pairs")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
+    near, side = written(pairs, "near-pairs"), _side
     both = F.size(F.array_intersect("x", "y"))
     return near.join(side(sets, "a", "shingles", "x"), "a").join(side(sets, "b", "shingles", "y"), "b") \
         .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
@@ -285,17 +297,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     lists = _mixed(members, None)
     nodes = written(lists.select("node").distinct(), "near-nodes")
     sets = written(_shingles_of(docs, nodes, shingle), "near-sets")
-    confirm = partial(_confirm, classes=classes, sets=sets, matches=matches, percent=percent)
-    links = links.unionByName(written(confirm(_hub_pairs(lists)), "near-links"))
+    confirm = partial(_confirm, sets=sets, percent=percent)
+    hubs = _agreeing_pairs(_hub_pairs(lists), classes, matches)
+    links = links.unionByName(written(confirm(hubs), "near-links"))
     comps = connected_components(links)
     lists = _mixed(members, comps)
     if lists.take(1):
-        lists = _with_shared(lists, sets, percent)
-        links = links.unionByName(written(confirm(_second_hub_pairs(lists, percent)), "near-links"))
+        lists = _with_shared(_with_shared(lists, sets, percent).drop("c", "n"), sets, percent)
+        hubs = _agreeing_pairs(_second_hub_pairs(lists, percent), classes, matches)
+        links = links.unionByName(written(confirm(hubs), "near-links"))
         comps = connected_components(links)
         lists = lists.drop("comp").join(comps.withColumnRenamed("component", "comp"), "node", "left") \
             .withColumn("comp", F.coalesce("comp", "node"))
-        links = links.unionByName(written(confirm(_rest_pairs(written(lists, "near-rest"), percent)), "near-links"))
+        rest = _rest_pairs(written(lists, "near-rest"), classes, matches, percent)
+        links = links.unionByName(written(confirm(rest), "near-links"))
         comps = connected_components(links)
     named = classes.join(comps, "node", "left").select(
         "hi", "lo", F.coalesce("component", "node").alias("component"))
