@@ -35,8 +35,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BLOCK_BYTES = 4_000_000
 LEVEL = 3
-#: Dictionary training: at most this many whole documents of at most SAMPLE_CHARS code points,
-#: those with the smallest hash of id and text.
+#: Dictionary training: about this many whole documents (never more than twice as many) of at
+#: most SAMPLE_CHARS code points, chosen by the hash of id and text.
 SAMPLE_DOCUMENTS = 400
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 65_536
@@ -134,9 +134,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     missing(docs, "doc_id", "text")
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sampled = (docs.where(F.length("text") <= SAMPLE_CHARS)
-               .orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCUMENTS)
-               .select("text").collect())
+    share = min(1.0, SAMPLE_DOCUMENTS / max(docs.count(), 1))
+    point = F.xxhash64("doc_id", "text").bitwiseAND((1 << 53) - 1) / float(1 << 53)
+    sampled = (docs.where((point < share) & (F.length("text") <= SAMPLE_CHARS)).select("text")
+               .limit(2 * SAMPLE_DOCUMENTS).collect())
     coder = encoder(tokenizer)
     id_bytes = 2 if coder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     kind = f"<u{id_bytes}"
