@@ -159,6 +159,25 @@ def q_text_nll(spark, sf_dir):
     return I.score_text_nll(toks, model, 1.0).withColumn("score", F.round("score", 9))
 
 
+@register("i05_text_nll_all", """
+WITH tl AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents),
+tk AS (SELECT doc_id, t[i] AS token, CASE WHEN i = 1 THEN '' ELSE t[i - 1] END AS prev
+       FROM (SELECT doc_id, t, generate_subscripts(t, 1) AS i FROM tl)),
+fit AS (SELECT prev, token FROM tk JOIN labels USING (doc_id) WHERE toxic = 0),
+big AS (SELECT prev, token, count(*) AS n FROM fit GROUP BY ALL),
+ctx AS (SELECT prev, count(*) AS n_ctx FROM fit GROUP BY ALL),
+voc AS (SELECT count(DISTINCT token) AS V FROM fit)
+SELECT doc_id AS row_id, round(avg(-ln((coalesce(n, 0) + 1.0) / (coalesce(n_ctx, 0) + 1.0 * V))), 9) AS score,
+       count(*) AS n_tokens
+FROM tk LEFT JOIN big USING (prev, token) LEFT JOIN ctx USING (prev), voc GROUP BY doc_id""")
+def q_text_nll_all(spark, sf_dir):
+    """Fitted on the labelled documents with toxic = 0 like ``i05_text_nll``; every document
+    with a token is scored, labelled or not."""
+    train = I.token_table(_labeled_docs(spark, sf_dir).where("toxic = 0"), "doc_id", "text")
+    toks = I.token_table(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return I.score_text_nll(toks, I.fit_text_model(train), 1.0).withColumn("score", F.round("score", 9))
+
+
 def _serialized(spark, sf_dir):
     m = BD.mixed_table(spark, sf_dir)
     perms = I.orders_list(H.permutations(spark, FEATS, 1, seed=8))

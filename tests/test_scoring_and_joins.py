@@ -75,3 +75,19 @@ def test_stream_scores_equal_batch_scores(spark):
     want = {r.row_id: r.score for r in b.collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_text_nll_all_scores_unlabelled_documents(spark, tmp_path):
+    """Fitted on labelled documents with toxic = 0 only; unlabelled documents get a score too."""
+    import pytest
+    from kestrel.plans import catalog
+    docs = [(1, "aa bb aa"), (2, "aa cc"), (3, "bb aa zz"), (4, "aa bb aa"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.row_id: r for r in catalog.QUERIES["i05_text_nll_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    # model: start->aa, aa->bb, bb->aa once each, V = 2
+    seen, unseen = -math.log(2 / 3), -math.log(1 / 3)
+    assert got[4].score == got[1].score == pytest.approx(seen) and got[4].n_tokens == 3
+    assert got[2].score == pytest.approx((seen + unseen) / 2)
+    assert got[3].score == pytest.approx((unseen + seen + unseen) / 3)
