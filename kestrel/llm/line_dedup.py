@@ -6,7 +6,9 @@ selects in every window the gram with the smallest hash, so any two texts that s
 RUN_WORDS words select the same gram inside it.  Selected positions meet the first position of
 their gram and the first one whose whole window is the same; from there the match is extended
 line by line both ways.  A match of at least RUN_WORDS words is a repeated run, and its later
-occurrence is deleted.  Lines go only where an equal run stands earlier (smaller doc_id, then
+occurrence is deleted.  The first positions may hold only the head of a longer run, so the
+shortest run of RUN_WORDS words that ends at a line meets its first position as well: each line
+of a repeated run lies in a window or in such a run inside it.  Lines go only where an equal run stands earlier (smaller doc_id, then
 text hash, then line), so the first occurrence of everything stays.
 """
 
@@ -59,17 +61,29 @@ def winnow(hashes: np.ndarray, words: np.ndarray, gram_words: int = GRAM_WORDS,
     return out
 
 
+def tails(hashes: np.ndarray, words: np.ndarray, run_words: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """(hash, position of the first line) of the shortest run of ``run_words`` words ending at
+    each line, without those that are windows themselves."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    start = np.searchsorted(total, total[1:] - run_words, side="right") - 1
+    run_end = np.searchsorted(total, total[:-1] + run_words)
+    data = hashes.tobytes()
+    return [(xxhash.xxh3_64_intdigest(data[8 * i:8 * e], seed=1), i)
+            for e, i in enumerate(start.tolist(), 1) if i >= 0 and run_end[i] < e]
+
+
 _ROWS = pa.schema([
     ("doc", pa.int64()), ("tie", pa.int64()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())),
     ("numbers", pa.list_(pa.int32())),
-    ("posts", pa.list_(pa.struct([("gram", pa.int64()), ("win", pa.int64()), ("pos", pa.int32())])))])
+    ("posts", pa.list_(pa.struct([("gram", pa.int64()), ("win", pa.int64()), ("pos", pa.int32())]))),
+    ("tails", pa.list_(pa.struct([("win", pa.int64()), ("pos", pa.int32())])))])
 
 
 def _hash_rows(docs: DataFrame, gram_words: int, run_words: int) -> DataFrame:
-    """Per document key (doc, tie): line hashes, words, line numbers and selected grams."""
+    """Per document key (doc, tie): line hashes, words, line numbers, selected grams and tails."""
     def run(batches):
         for b in batches:
-            hashes, words, numbers, posts = [], [], [], []
+            hashes, words, numbers, posts, ends = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 h, w, k = line_hashes(text)
                 h = np.array(h, dtype=np.uint64)
@@ -78,13 +92,17 @@ def _hash_rows(docs: DataFrame, gram_words: int, run_words: int) -> DataFrame:
                 numbers.append(k)
                 chosen = set(winnow(h, np.array(w, dtype=np.int64), gram_words, run_words))
                 posts.append([{"gram": g - (1 << 63), "win": r - (1 << 63), "pos": p} for g, r, p in chosen])
+                ends.append([{"win": r - (1 << 63), "pos": p}
+                             for r, p in tails(h, np.array(w, dtype=np.int64), run_words)])
             yield pa.record_batch([b.column("doc"), b.column("tie"), *(
                 pa.array(v, _ROWS.field(c).type) for c, v in (
-                    ("hashes", hashes), ("words", words), ("numbers", numbers), ("posts", posts)))],
+                    ("hashes", hashes), ("words", words), ("numbers", numbers), ("posts", posts),
+                    ("tails", ends)))],
                 schema=_ROWS)
 
     return docs.mapInArrow(run, "doc long, tie long, hashes array<long>, words array<int>, numbers array<int>, "
-                                "posts array<struct<gram: long, win: long, pos: int>>")
+                                "posts array<struct<gram: long, win: long, pos: int>>, "
+                                "tails array<struct<win: long, pos: int>>")
 
 
 def _extended(pairs: DataFrame, rows: DataFrame, run_words: int) -> DataFrame:
@@ -139,11 +157,12 @@ def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int
     rows = written(_hash_rows(docs, gram_words, run_words), "line-rows")
     posts = rows.select("doc", "tie", F.explode("posts").alias("f")).select(
         "doc", "tie", "f.gram", "f.win", "f.pos")
+    ends = rows.select("doc", "tie", F.explode("tails").alias("f")).select("doc", "tie", "f.win", "f.pos")
     place = F.struct("doc", "tie", "pos")
     pairs = None
-    for keys in (["gram"], ["gram", "win"]):
-        first = posts.groupBy(*keys).agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
-        met = posts.join(first, keys).where(F.col("at") < place).select(
+    for marks, keys in ((posts, ["gram"]), (posts, ["gram", "win"]), (ends, ["win"])):
+        first = marks.groupBy(*keys).agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
+        met = marks.join(first, keys).where(F.col("at") < place).select(
             "doc", "tie", F.col("at.doc").alias("src"), F.col("at.tie").alias("src_tie"),
             (F.col("pos") - F.col("at.pos")).alias("shift"), "pos")
         pairs = met if pairs is None else pairs.unionByName(met)

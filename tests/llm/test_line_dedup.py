@@ -73,6 +73,46 @@ def test_extension_takes_the_tail(spark):
     assert got == {1: docs[0][1], 2: "b"}
 
 
+def lines_in_earlier_runs(docs):
+    """Lines of (sorted) documents inside any run of 50 words or more that stood earlier."""
+    seen, out = set(), {}
+    for key, text in docs:
+        lines = lines_of(text)
+        gone = set()
+        for i in range(len(lines)):
+            for end in range(i + 1, len(lines) + 1):
+                run = tuple(lines[i:end])
+                if sum(len(x.split()) for x in run) >= 50:
+                    if run in seen:
+                        gone.update(range(i, end))
+                    seen.add(run)
+        out[key] = gone
+    return out
+
+
+def test_tail_after_an_earlier_head(spark):
+    """The first position of a run holds only its head; the longer run of a later document counts."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(20))
+    docs = [(1, f"{a}\nx"), (2, f"{a}\n{b}\ny"), (3, f"{a}\n{b}\nz"), (4, f"{b}\n{a}\nu"), (5, f"{b}\n{a}\nv")]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: f"{b}\ny", 3: "z", 4: f"{b}\nu", 5: "v"}
+
+
+def test_every_line_of_repeated_runs(spark):
+    rng = np.random.default_rng(5)
+    pool = [" ".join(f"p{k}w{j}" for j in range(rng.integers(3, 70))) for k in range(9)]
+    docs = []
+    for d in range(80):
+        lines = []
+        for _ in range(rng.integers(1, 5)):
+            at = rng.integers(0, 8)
+            lines += pool[at:at + rng.integers(1, 6)] + [f"own {d} {len(lines)}"]
+        docs.append((d, "\n".join(lines)))
+    got = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = lines_in_earlier_runs(docs)
+    assert got == {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in docs}
+
+
 def test_odd_input(spark, odd_documents, no_documents):
     assert ld.dedup_lines(no_documents).count() == 0
     out = ld.dedup_lines(odd_documents.withColumnRenamed("lang", "n_lines").withColumnRenamed("n_chars", "__doc"))
