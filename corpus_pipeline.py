@@ -33,9 +33,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, 80 % in common)."""
+    """One text of each near-duplicate group (five-word shingles, 80 % in common)."""
     ship_package(spark)
-    return near_dup.drop_near_duplicates(docs, percent=80).select(*COLUMNS)
+    return near_dup.drop_near_texts(docs, percent=80).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import missing, written
+from kestrel.llm.common import fresh, missing, written
 from kestrel.llm.components import connected_components
 
 SHINGLE = 5
@@ -331,3 +331,22 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     at = "__nth_row"
     return left.withColumn(at, F.row_number().over(w)).where(
         F.col("doc_id").isNull() | (F.col(at) == 1)).drop(at)
+
+
+def drop_near_texts(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` whose text stays, decided by (doc_id, text): of each component of
+    linked texts the one with the smallest doc_id (then the smallest hash), once.  Texts that
+    share a doc_id are linked only if they are near; rows without doc_id stay."""
+    missing(docs, "doc_id", "text")
+    key, at = fresh(docs, "__text_key"), fresh(docs, "__nth_row")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    named = keyed.where("doc_id IS NOT NULL").select("doc_id", F.col(key).alias("key"), "text")
+    comps = near_duplicates(named.select(F.col("key").alias("doc_id"), "text"), percent).select(
+        F.col("doc_id").alias("key"), "component_id").distinct()
+    texts = written(named.select("doc_id", "key").distinct().join(comps, "key"), "near-texts")
+    first = texts.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = texts.join(first, "component_id").where(F.col("key") != F.col("first.key")).select(F.col("key").alias(key))
+    left = keyed.join(gone, key, "left_anti").select(*docs.columns, key)
+    w = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+    return left.withColumn(at, F.row_number().over(w)).where(
+        F.col("doc_id").isNull() | (F.col(at) == 1)).select(*docs.columns)

@@ -41,6 +41,18 @@ def test_stages(spark, odd_documents):
     assert all(r.n_tokens == len(r.ids) for r in seen["bpe_encode"])
 
 
+def test_near_dedup_of_shared_doc_ids(spark):
+    """Different texts that share a doc_id stay; only equal and near ones go."""
+    rng = np.random.default_rng(6)
+    a, b, c = (prose(rng, 80, t) for t in "abc")
+    near_b = b.replace(b.split(" ")[40], "changed", 1)
+    rows = [(7, a), (7, b), (7, c), (7, a), (8, near_b), (5, c), (None, a), (None, a)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text) for r in cp.near_dedup(spark, df, "").collect()))
+    assert got == sorted([(7, a), (7, b), (5, c), (0, a), (0, a)])
+
+
 def test_odd_and_empty(spark, odd_documents, no_documents):
     for df in (odd_documents, no_documents):
         for name, stage in cp.STAGES:
