@@ -87,9 +87,9 @@ def prepare_postings(train: DataFrame, test: DataFrame, defaults: Mapping[str, s
 def to_feature_matrix(df: DataFrame, row_id: str, method: str = "ordinal",
                       normalize: bool = True, text_encoding: str = "none",
                       text_cols: Sequence[str] = (), max_features: int = 300,
-                      rare_tol: float = 0.01, vector_size: int = 100) -> DataFrame:
+                      rare_tol: float = 0.01, vector_size: int = 100, min_count: int = 5) -> DataFrame:
     """C12 — detector input ``(row_id, features ARRAY<DOUBLE>)``: text columns
-    encoded (``word2vec``: mean of word vectors fitted on them; ``bag_of_words`` /
+    encoded (``word2vec``: mean of vectors of words seen ``min_count`` times, fitted on them; ``bag_of_words`` /
     ``tfidf``: 300 terms; dropped for ``none``),
     rare categories grouped (C9), constant columns dropped (B16), categoricals
     ordinal- (C2) or one-hot-encoded (C10), numeric nulls mean-imputed (B3) and
@@ -121,7 +121,7 @@ def to_feature_matrix(df: DataFrame, row_id: str, method: str = "ordinal",
         F.array().cast("array<double>")
     out = x.select(F.col(quote_ident(row_id)).alias("row_id"), vec.alias("features"))
     if text_cols and text_encoding == "word2vec":
-        vectors = D.fit_word_vectors(df, text_cols, vector_size)
+        vectors = D.fit_word_vectors(df, text_cols, vector_size, min_count)
         means = D.mean_word_vectors(df, row_id, text_cols, vectors, vector_size)
         return out.join(means, "row_id").select("row_id", F.concat("features", "vec").alias("features"))
     if text_cols and text_encoding != "none":

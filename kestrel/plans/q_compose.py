@@ -155,4 +155,4 @@ def q_feature_matrix_vectors(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "role", "text")
     return P.to_feature_matrix(d, "row_id", method="one_hot", text_encoding="word2vec",
-                               text_cols=["text"], vector_size=16)
+                               text_cols=["text"], vector_size=16, min_count=1)

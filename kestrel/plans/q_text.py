@@ -56,7 +56,7 @@ def q_word_vectors(spark, sf_dir):
     averaged per conversation turn."""
     conv = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
-    return D.mean_word_vectors(conv, "row_id", ["text"], D.fit_word_vectors(conv, ["text"], 16), 16)
+    return D.mean_word_vectors(conv, "row_id", ["text"], D.fit_word_vectors(conv, ["text"], 16, min_count=1), 16)
 
 
 _CUST_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]

@@ -105,3 +105,16 @@ def test_feature_matrix_text_encodings(spark):
         assert len(out) == 60 and {len(r.features) for r in out} == {2 + width}
         size = np.array([r.features[0] for r in sorted(out)])
         assert abs(size.mean()) < 1e-9 and size.std() == pytest.approx(1)
+
+
+def test_rare_words_have_vectors(spark, tmp_path):
+    """Rows made of words seen once get a vector in both queries that fit word vectors."""
+    from kestrel.plans import catalog
+    texts = ["only once", "never again", "here said", None]
+    spark.createDataFrame([(1, i, ["user", "bot"][i % 2], t) for i, t in enumerate(texts)],
+                          "conv_id long, turn int, role string, text string") \
+        .write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.row_id: list(r.vec) for r in catalog.QUERIES["d04_mean_word_vectors"](spark, str(tmp_path)).collect()}
+    assert all(any(got[1000 + i]) for i in range(3)) and not any(got[1003])
+    rows = catalog.QUERIES["c12_feature_matrix_vectors"](spark, str(tmp_path)).collect()
+    assert {r.row_id: any(list(r.features)[-16:]) for r in rows} == {1000: True, 1001: True, 1002: True, 1003: False}
