@@ -197,6 +197,19 @@ def q_misclassified(spark, sf_dir):
     return J.misclassified(s, "score", "label", "row_id", BY, seed=0)
 
 
+@register("j05_misclassified_all", f"""
+{PRED_SQL}
+SELECT dataset, split, method, row_id, score, label,
+       CASE WHEN label = 1 THEN 'FN' ELSE 'FP' END AS kind
+FROM p WHERE predicted <> label""")
+def q_misclassified_all(spark, sf_dir):
+    """Like ``j05_misclassified``, for every method; groups with an invalid score go (J6)."""
+    s = scored_customers(spark, sf_dir)
+    inv = J._invalid_groups(s, "score", BY)
+    valid = s.join(inv, BY).where(F.col("__invalid") == 0).drop("__invalid")
+    return J.misclassified(valid, "score", "label", "row_id", BY, seed=0)
+
+
 @register("j07_rank_methods", f"""
 WITH m AS ({EVAL_SQL}),
 a AS (SELECT dataset, split, method, metric, round(value, 9) AS value FROM m)

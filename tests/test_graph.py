@@ -84,3 +84,17 @@ def test_insert_and_weights(spark):
     assert sorted(ex[:3]) == ["description", "function", "title"]
     assert ex[3:5] in (["requirements", "benefits"], ["benefits", "requirements"])
     assert ex[-1] == "salary" and len(ex) == 6
+
+
+def test_sampled_orders_run_every_graph(spark, monkeypatch):
+    """The order queries hand the cyclic graph to the sampler too; it has no order."""
+    from kestrel.plans import q_graph
+    from tests.conftest import SF001
+    seen, sample = set(), q_graph.G.sample_topo_orders
+
+    def spy(nodes, directed, *args):
+        seen.update(r.graph_id for r in nodes.select("graph_id").distinct().collect())
+        return sample(nodes, directed, *args)
+    monkeypatch.setattr(q_graph.G, "sample_topo_orders", spy)
+    rows = q_graph.sampled_orders(spark, SF001, 5, 20).collect()
+    assert len(seen) == 2 and {r.graph_id for r in rows} == {"dag"}

@@ -86,3 +86,13 @@ def test_auc_matches_spark_ml_evaluator(spark):
                                        metricName="areaUnderROC").evaluate(
         df.withColumn("label", F.col("label").cast("double")))
     assert abs(ours - ml) < 1e-9
+
+
+def test_misclassified_all_covers_every_method(spark):
+    """Every method with finite scores only has its rows; one method alone is ``j05_misclassified``."""
+    from kestrel.plans import catalog
+    from tests.conftest import SF001
+    rows = [tuple(r) for r in catalog.QUERIES["j05_misclassified_all"](spark, SF001).collect()]
+    one = [tuple(r) for r in catalog.QUERIES["j05_misclassified"](spark, SF001).collect()]
+    assert {"zscore", "nation_rarity"} <= {r[2] for r in rows}
+    assert sorted(r for r in rows if r[2] == "nation_rarity") == sorted(one)
