@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from kestrel.llm import (
-    bpe, chat, fingerprint, line_dedup, mixing, near_dup, quality, sharding, token_files, url_filter)
+    bpe, chat, fingerprint, line_dedup, mixing, near_dup, quality, quality_model, sharding, token_align,
+    token_files, url_filter, vector_codes)
 from kestrel.llm.common import scratch_path
 from kestrel.session import table
 
@@ -197,3 +198,58 @@ def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(f"""SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{CONTROL_CHAT}' AS text
         UNION ALL SELECT -1L, 1L, 'assistant', '{CONTROL_CHAT}'""")
     return chat.read_back(chat.format_chats(turns.unionByName(extra)))
+
+
+# ------------------------------------------------------------------ 11 vector codes
+def _codes_sql(rounds: int = 4) -> str:
+    parts = [f"""k AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, n // 4 AS width, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS x
+  FROM (SELECT *, len(embedding) AS n FROM embeddings)
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT rid, q AS part, x[q * width + 1:(q + 1) * width] AS v FROM k, range(4) AS r(q)),
+c0 AS (SELECT part, e AS entry, x[part * width + 1:(part + 1) * width] AS v
+       FROM (SELECT x, width, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM k) , range(4) AS r(part)
+       WHERE e < 256)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (
+  SELECT rid, part, min({{'d': d, 'e': entry}}) AS best
+  FROM (SELECT rid, part, entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM p JOIN c{i} AS c USING (part)) GROUP BY rid, part)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (
+  SELECT part, entry, list(m ORDER BY pos) AS v FROM (
+    SELECT part, entry, pos, CAST(floor(CAST(sum(val) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (
+      SELECT part, best.e AS entry, unnest(v) AS val, generate_subscripts(v, 1) AS pos FROM p JOIN a{i} USING (rid, part))
+    GROUP BY part, entry, pos) GROUP BY part, entry),
+c{i + 1} AS (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN m{i} AS m USING (part, entry))""")
+    parts.append(f"""coded AS (
+  SELECT rid, string_agg(printf('%02x', CAST(best.e AS INT)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY rid),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})""")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN coded USING (rid), digest
+"""
+
+
+@register("op11_orchard_codes", _codes_sql())
+def op11_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector as four code bytes, from codebooks refined in four rounds."""
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------------------------------ 12 cross-tokenizer alignment
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between two tokenizers, weighed by corpus-wide counts."""
+    return token_align.alignment_report(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                        public_tokenizers.path("byte_bpe_50k.json"),
+                                        public_tokenizers.path("piece_bpe_32k.model"))
+
+
+# ------------------------------------------------------------------ 13 quality classifier
+@register("op13_pu_quality")
+def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score from a model learnt from trusted positives and unlabelled text."""
+    return quality_model.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                        table(spark, sf_dir, "labels"))
