@@ -6,9 +6,8 @@ of one token each hold an A id and the B id of the same bytes: an array made fro
 vocabularies gives that B id, so such links are counted in a vector over A's ids.  Only the links
 of the other, irregular groups are counted by pair through a shuffle.
 
-Neither vocabulary has a token with a space after another character, so texts are cut before
-every space that follows a character other than white space, and each distinct chunk is encoded
-and aligned once and remembered (bounded).
+Texts are cut where neither tokenizer can join what stands on both sides (checked against both
+files, else a text stays whole); each distinct chunk is encoded and aligned once and remembered.
 """
 
 from __future__ import annotations
@@ -16,10 +15,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +32,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LINKS = 2_000_000
 #: Pairs whose counts are sent to all tasks (16 bytes each); the rarer ones are joined.
 HEAD_PAIRS = 1_000_000
-#: Remembered chunks per worker, and code points of texts aligned at a time.
-CHUNKS, CHARS = 150_000, 2_000_000
-#: Code points of remembered chunks.
-CHUNK_CHARS = 4_000_000
+#: Remembered chunks per worker (two generations of at most about this many chunks or code
+#: points), chunks encoded together, and code points of texts aligned at a time.
+CHUNKS, CHUNK_CHARS, TOGETHER, CHARS = 120_000, 4_000_000, 8_192, 1_000_000
 
-_CHUNK = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
+#: A chunk: white space and the letters or other characters after it; a line end before a letter
+#: stands alone; an apostrophe keeps the letters after it, and a carriage return what follows it.
+_CHUNK = regex.compile(r"\n(?=\p{L})|\s*\p{L}+"
+                       r"|\s*[^\p{L}\s]+(?:(?<=')\p{L}+|(?<=[^\p{L}\s])\r\s*(?:\p{L}+|[^\p{L}\s]+|\Z))*|\s+")
+#: What no piece may hold for that to be right (U+2581 is a space).
+_CROSSING = regex.compile(r"\n|\p{L}[^\p{L}]|[^\p{L}\s▁']\p{L}|[^\s▁](?:[^\S\r]|▁)")
 
 
 def a_bytes(path: str) -> list[bytes]:
@@ -71,16 +75,26 @@ def identity_map(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 class Chunks:
-    """What the alignment of a chunk gives, by number: counts, text of the groups, links."""
+    """What the alignment of a chunk gives, by number: tokens of A, of B, groups, whether it
+    can't be spelled, the text of its groups, its equal links and its other links."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.counts = np.zeros((0, 4), dtype=np.int64)  # A tokens, B tokens, groups, other than equal
+        self.counts = np.zeros((0, 4), dtype=np.int64)
         self.groups: list[str] = []
         self.same: list[bytes] = []
         self.pairs: list[bytes] = []
 
+    def add(self, chunks: list[str], counts: np.ndarray, groups, same, pairs) -> None:
+        at = len(self.groups)
+        self.number.update(zip(chunks, range(at, at + len(chunks))))
+        self.chars += sum(map(len, chunks))
+        self.counts = np.concatenate([self.counts, counts])
+        self.groups.extend(groups)
+        self.same.extend(same)
+        self.pairs.extend(pairs)
+
 
 class Aligner:
     """Both tokenizers of a worker and its memory of chunks."""
@@ -101,26 +115,40 @@ class Aligner:
         self.word = [f";{i}" for i in range(n)] + [f",{i}" for i in range(n)] \
             + [f"|{i}" for i in range(len(self.b_bytes))] + [f",{i}" for i in range(len(self.b_bytes))]
         self.limit = limit
-        self.known = Chunks()
+        self.known, self.old = Chunks(), Chunks()
+        split = json.loads(self.a.to_str())["pre_tokenizer"] or {}
+        self.whole = split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") \
+            or any(_CROSSING.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())
+                   if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
+
+    def encode_b(self, chunks: list[str]) -> list[list[int]]:
+        """B's ids of chunks; a line end before each keeps the space off that B puts before a text."""
+        if self.whole:
+            return self.b.encode([c[1:] for c in chunks], num_threads=1)
+        return [ids[2:] for ids in self.b.encode(["\n" + c for c in chunks], num_threads=1)]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode, align and remember new chunks, all of which begin with a space."""
-        known, na, nb = self.known, len(self.a_bytes), len(self.b_bytes)
+        """Encode, align and remember new chunks."""
+        na, nb = len(self.a_bytes), len(self.b_bytes)
         a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        b = self.encode_b(chunks)
         spelled_a, spelled_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         equal = np.ones(len(chunks), dtype=bool)
-        for i, c in enumerate(chunks):
-            want = c.encode()
-            if b"".join(map(spelled_b, b[i])) != want or b"".join(map(spelled_a, a[i])) != want:
-                equal[i], a[i], b[i] = False, [], []
-        ids_a = np.fromiter((t for ids in a for t in ids), dtype=np.int64)
-        ids_b = np.fromiter((t for ids in b for t in ids), dtype=np.int64)
+        want = "".join(chunks).encode()
+        if b"".join(map(spelled_a, chain.from_iterable(a))) != want \
+                or b"".join(map(spelled_b, chain.from_iterable(b))) != want:
+            for i, c in enumerate(chunks):
+                want = c.encode()
+                if b"".join(map(spelled_b, b[i])) != want or b"".join(map(spelled_a, a[i])) != want:
+                    equal[i], a[i], b[i] = False, [], []
+        ids_a = np.fromiter(chain.from_iterable(a), dtype=np.int64)
+        ids_b = np.fromiter(chain.from_iterable(b), dtype=np.int64)
         n_a = np.fromiter(map(len, a), dtype=np.int64, count=len(a))
         n_b = np.fromiter(map(len, b), dtype=np.int64, count=len(b))
         ends_a, ends_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
         # every cut between neighbouring ends of either side bounds one overlapping pair
-        cuts = np.union1d(ends_a, ends_b)
+        cuts = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        cuts = cuts[np.diff(cuts, prepend=0) > 0]
         link_a, link_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
         group_ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(group_ends, ends_a), np.searchsorted(group_ends, ends_b)
@@ -144,32 +172,37 @@ class Aligner:
         same, pairs = linked_a[plain].astype("<i4"), (linked_a[~plain] * nb + linked_b[~plain]).astype("<i8")
         same_stop = np.cumsum(np.bincount(chunk_of_link[plain], minlength=len(chunks)))
         pair_stop = np.cumsum(np.bincount(chunk_of_link[~plain], minlength=len(chunks)))
-        known.chars += sum(map(len, chunks))
-        at = len(known.groups)
-        known.number.update(zip(chunks, range(at, at + len(chunks))))
-        known.counts = np.concatenate([known.counts, np.stack([n_a, n_b, groups, ~equal], axis=1)])
-        bounds = zip((stop_a - n_a + stop_b - n_b).tolist(), (stop_a + stop_b).tolist())
-        known.groups.extend("".join(words[x:y]) for x, y in bounds)
-        for store, data, stop in ((known.same, same, same_stop), (known.pairs, pairs, pair_stop)):
+        def parts(data: np.ndarray, stop: np.ndarray) -> list[bytes]:
             raw, width, stop = data.tobytes(), data.itemsize, stop.tolist()
-            store.extend(raw[width * x:width * y] for x, y in zip([0, *stop], stop))
+            return [raw[width * x:width * y] for x, y in zip([0, *stop], stop)]
+
+        bounds = zip((stop_a - n_a + stop_b - n_b).tolist(), (stop_a + stop_b).tolist())
+        self.known.add(chunks, np.stack([n_a, n_b, groups, ~equal], axis=1),
+                       ("".join(words[x:y]) for x, y in bounds), parts(same, same_stop), parts(pairs, pair_stop))
+
+    def remember(self, chunks: set[str]) -> None:
+        """Make every chunk known: from the old generation, else by learning it."""
+        if len(self.known.groups) > self.limit or self.known.chars > CHUNK_CHARS:
+            self.known, self.old = Chunks(), self.known
+        missing = [c for c in chunks if c not in self.known.number]
+        old = self.old.number
+        again = [c for c in missing if c in old]
+        at = [old[c] for c in again]
+        self.known.add(again, self.old.counts[at], [self.old.groups[i] for i in at],
+                       [self.old.same[i] for i in at], [self.old.pairs[i] for i in at])
+        new = [c for c in missing if c not in old] if again else missing
+        for i in range(0, len(new), TOGETHER):
+            self.learn(new[i:i + TOGETHER])
 
     def align(self, texts: list[str]):
         """(n_a, n_b, n_groups, groups digest, A ids of equal links, pairs of the other links) of
         each text; zeros where it is empty or either side does not spell it."""
-        cut = [(" " + t, [0, *(m.start() for m in _CHUNK.finditer(" " + t)), len(t) + 1]) if t else ("", [0])
-               for t in texts]
-        cut = [[t[x:y] for x, y in zip(at, at[1:])] for t, at in cut]
-        new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.known.number))
-        if len(self.known.number) + len(new) > self.limit or self.known.chars > CHUNK_CHARS:
-            self.known = Chunks()
-            new = list(dict.fromkeys(c for chunks in cut for c in chunks))
-        if new:
-            self.learn(new)
+        cut = [[] if not t else [" " + t] if self.whole else _CHUNK.findall(" " + t) for t in texts]
+        self.remember(set().union(*cut))
         known = self.known
         for chunks in cut:
             numbers = list(map(known.number.__getitem__, chunks))
-            n_a, n_b, groups, wrong = known.counts[numbers].sum(axis=0).tolist() if numbers else (0, 0, 0, 1)
+            n_a, n_b, groups, wrong = known.counts[np.array(numbers)].sum(axis=0).tolist() if numbers else (0, 0, 0, 1)
             if wrong:
                 yield 0, 0, 0, "", b"", b""
                 continue

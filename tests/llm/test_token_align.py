@@ -58,7 +58,8 @@ def order(rows):
 
 TRICKY = ["a  b   c    d ", "  two before", "tail space ", "x\n\n  y\n z\t\t w", "un▁der", "<s> </s> <|endoftext|> <0x41>",
           "é日本語🙂🙂 ñ", "\x00\x01 \x7f", "a　b c d   e", "   ", " ", "don't I'll  we've 12345 3.14", "\x1c \x1d x",
-          "aaaa" * 300 + " " + "b" * 999, "ﬁ ﬀ ① Å", "\r\n a\r\n"]
+          "aaaa" * 300 + " " + "b" * 999, "ﬁ ﬀ ① Å", "\r\n a\r\n", "x.\r\ny();\r\n  z}\r\n\r\n'\rs ',\r", "it''s 'roll x'\n'y ''z",
+          "one\ntwo.\nthree\n\nfour.\n five\t\tsix\u3000seven\u2009eight e\u0301a\u0301 x\u00b2. 5a6b"]
 
 
 @pytest.mark.parametrize("head", [1_000_000, 300, 0])
@@ -79,6 +80,10 @@ def test_bounded_memory_gives_the_same(spark):
     assert list(whole.align(texts)) == [x for t in texts for x in small.align([t])]
 
 
+def test_vocabularies_allow_chunks():
+    assert not ta.Aligner(A, B).whole
+
+
 def test_identity_map():
     a, b = [b"x", b" the", b"", b"\xc3"], [b"<unk>", b"x", b"x", b" the", b"\xc3"]
     assert ta.identity_map(a, b).tolist() == [2, 3, -1, 4]
