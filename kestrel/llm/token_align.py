@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -40,6 +41,7 @@ CHUNKS, CHUNK_CHARS, TOGETHER, CHARS = 120_000, 4_000_000, 8_192, 1_000_000
 #: stands alone; an apostrophe keeps the letters after it, and a carriage return what follows it.
 _CHUNK = regex.compile(r"\n(?=\p{L})|\s*\p{L}+"
                        r"|\s*[^\p{L}\s]+(?:(?<=')\p{L}+|(?<=[^\p{L}\s])\r\s*(?:\p{L}+|[^\p{L}\s]+|\Z))*|\s+")
+_PLAIN = re.compile(" ?[A-Za-z]+")
 #: What no piece may hold for that to be right (U+2581 is a space).
 _CROSSING = regex.compile(r"\n|\p{L}[^\p{L}]|[^\p{L}\s▁']\p{L}|[^\s▁](?:[^\S\r]|▁)")
 
@@ -121,6 +123,18 @@ class Aligner:
             or any(_CROSSING.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())
                    if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
 
+    def encode_a(self, chunks: list[str]) -> list[list[int]]:
+        """A's ids of chunks; a chunk of at most a space and ASCII letters is one pre-token and
+        goes straight to the merges."""
+        if self.whole:
+            return [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        merges, plain = self.a.model.tokenize, _PLAIN.fullmatch
+        out = [[t.id for t in merges(c.replace(" ", "Ġ"))] if plain(c) else None for c in chunks]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.a.encode_batch([chunks[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def encode_b(self, chunks: list[str]) -> list[list[int]]:
         """B's ids of chunks; a line end before each keeps the space off that B puts before a text."""
         if self.whole:
@@ -130,8 +144,7 @@ class Aligner:
     def learn(self, chunks: list[str]) -> None:
         """Encode, align and remember new chunks."""
         na, nb = len(self.a_bytes), len(self.b_bytes)
-        a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
-        b = self.encode_b(chunks)
+        a, b = self.encode_a(chunks), self.encode_b(chunks)
         spelled_a, spelled_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         equal = np.ones(len(chunks), dtype=bool)
         want = "".join(chunks).encode()
@@ -222,6 +235,15 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _ALIGNERS[a_path, b_path]
 
 
+def _rows(batches, rows: int = 500):
+    """Batches cut into runs of rows, so that their lists take little memory at a time.  The
+    worker's memory of chunks is given back: no task of these stages encodes."""
+    _ALIGNERS.clear()
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _lists(parts: list[bytes], kind: str) -> pa.Array:
     """A list column from the little-endian bytes of its rows."""
     values = np.frombuffer(b"".join(parts), dtype=kind)
@@ -290,7 +312,7 @@ def pair_counts(aligned: DataFrame, same_bytes: np.ndarray, n_b: int) -> DataFra
         def rows(keys, n):
             return pa.record_batch([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
-        for b in batches:
+        for b in _rows(batches):
             vector += np.bincount(b.column("same").flatten().to_numpy(), minlength=len(vector))
             keys = b.column("linked_a").flatten().to_numpy().astype(np.int64) * n_b \
                 + b.column("linked_b").flatten().to_numpy()
@@ -374,7 +396,7 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, head_pairs: int
 
     def score(batches):
         same_n, same_best, pair, n, best = shared.value
-        for b in batches:
+        for b in _rows(batches):
             same = b.column("same").flatten().to_numpy()
             at, hit = found(keys_of(b), pair)
             first, rest = starts_of(b.column("same")), starts_of(b.column("linked_a"))
@@ -388,7 +410,7 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, head_pairs: int
 
     def rare(batches):
         pair = shared.value[2]
-        for b in batches:
+        for b in _rows(batches):
             keys = keys_of(b)
             _, hit = found(keys, pair)
             rows = np.repeat(b.column("row").to_numpy(), b.column("linked_a").value_lengths().to_numpy())[~hit]
