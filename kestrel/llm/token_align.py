@@ -116,6 +116,7 @@ class Aligner:
         n = len(self.a_bytes)
         self.word = [f";{i}" for i in range(n)] + [f",{i}" for i in range(n)] \
             + [f"|{i}" for i in range(len(self.b_bytes))] + [f",{i}" for i in range(len(self.b_bytes))]
+        self.kinds = link_kinds(n, len(self.b_bytes))
         self.limit = limit
         self.known, self.old = Chunks(), Chunks()
         split = json.loads(self.a.to_str())["pre_tokenizer"] or {}
@@ -182,7 +183,8 @@ class Aligner:
         chunk_of_token = np.repeat(np.arange(len(chunks)), n_a)
         chunk_of_link = chunk_of_token[link_a]
         groups = np.bincount(chunk_of_token[~lead_a], minlength=len(chunks))
-        same, pairs = linked_a[plain].astype("<i4"), (linked_a[~plain] * nb + linked_b[~plain]).astype("<i8")
+        same = linked_a[plain].astype(self.kinds[0])
+        pairs = (linked_a[~plain] * nb + linked_b[~plain]).astype(self.kinds[1])
         same_stop = np.cumsum(np.bincount(chunk_of_link[plain], minlength=len(chunks)))
         pair_stop = np.cumsum(np.bincount(chunk_of_link[~plain], minlength=len(chunks)))
         def parts(data: np.ndarray, stop: np.ndarray) -> list[bytes]:
@@ -235,8 +237,13 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return _ALIGNERS[a_path, b_path]
 
 
+def link_kinds(n_a: int, n_b: int) -> tuple[str, str]:
+    """The smallest little-endian integers that hold an A id, and a pair (A id * n_b + B id)."""
+    return "<u2" if n_a <= 1 << 16 else "<u4", "<u4" if n_a * n_b <= 1 << 32 else "<u8"
+
+
 def _rows(batches, rows: int = 500):
-    """Batches cut into runs of rows, so that their lists take little memory at a time.  The
+    """Batches cut into runs of rows, so that their links take little memory at a time.  The
     worker's memory of chunks is given back: no task of these stages encodes."""
     _ALIGNERS.clear()
     for b in batches:
@@ -244,11 +251,11 @@ def _rows(batches, rows: int = 500):
             yield b.slice(at, rows)
 
 
-def _lists(parts: list[bytes], kind: str) -> pa.Array:
-    """A list column from the little-endian bytes of its rows."""
-    values = np.frombuffer(b"".join(parts), dtype=kind)
-    stops = np.cumsum([0, *map(len, parts)]) // values.itemsize
-    return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values))
+def _links(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all links of a binary column as long integers, how many each row has)."""
+    rows = column.to_pylist()
+    values = np.frombuffer(b"".join(rows), dtype=kind)
+    return values.astype(np.int64), np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) // values.itemsize
 
 
 def _by_chars(batches, chars: int):
@@ -266,8 +273,9 @@ def _by_chars(batches, chars: int):
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, ``same`` (A ids of links to the equal
-    B id) and ``linked_a``, ``linked_b`` (all other links) of every whole text.
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links as packed integers:
+    ``same`` (A ids of links to the equal B id) and ``linked`` (pairs of all other links), of
+    every whole text.
 
     A null or empty text, or one that a tokenizer does not spell, has no tokens.  Rows stay in
     their partition; repeated rows are alike, an empty table stays empty, other columns go.
@@ -276,29 +284,26 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches):
         both = aligner(a_path, b_path)
-        nb = len(both.b_bytes)
+        wide = [np.dtype(k).itemsize for k in both.kinds]
         for b, texts in _by_chars(batches, CHARS):
-            n_a, n_b, groups, sha, same, pairs = map(list, zip(*both.align(texts)))
-            keys = _lists(pairs, "<i8")
-            values = keys.values.to_numpy()
-            same = _lists(same, "<i4")
-            links = np.diff(same.offsets.to_numpy()) + np.diff(keys.offsets.to_numpy())
+            n_a, n_b, groups, sha, same, linked = map(list, zip(*both.align(texts)))
+            links = [len(x) // wide[0] + len(y) // wide[1] for x, y in zip(same, linked)]
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(groups, pa.int64()),
-                 pa.array(links.astype(np.int64)), pa.array(sha, pa.string()), same,
-                 pa.ListArray.from_arrays(keys.offsets, pa.array((values // nb).astype(np.int32))),
-                 pa.ListArray.from_arrays(keys.offsets, pa.array((values % nb).astype(np.int32)))],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "linked_a", "linked_b"])
+                [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n_a, n_b, groups, links)),
+                 pa.array(sha, pa.string()), pa.array(same, pa.binary()), pa.array(linked, pa.binary())],
+                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "linked"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-             "same array<int>, linked_a array<int>, linked_b array<int>")
+             "same binary, linked binary")
 
 
 def pair_counts(aligned: DataFrame, same_bytes: np.ndarray, n_b: int) -> DataFrame:
     """(pair, b, n, best): how many links of the corpus each pair (A id * n_b + B id) holds, and
     whether no other pair of the B id holds more.  A task counts equal links in one vector over
     A's ids and sums the others by pair before they are shuffled."""
+    kinds = link_kinds(len(same_bytes), n_b)
+
     def run(batches):
         vector = np.zeros(len(same_bytes), dtype=np.int64)
         waiting, size = [], 0
@@ -313,9 +318,8 @@ def pair_counts(aligned: DataFrame, same_bytes: np.ndarray, n_b: int) -> DataFra
             return pa.record_batch([pa.array(keys), pa.array(n)], names=["pair", "n"])
 
         for b in _rows(batches):
-            vector += np.bincount(b.column("same").flatten().to_numpy(), minlength=len(vector))
-            keys = b.column("linked_a").flatten().to_numpy().astype(np.int64) * n_b \
-                + b.column("linked_b").flatten().to_numpy()
+            vector += np.bincount(_links(b.column("same"), kinds[0])[0], minlength=len(vector))
+            keys, _ = _links(b.column("linked"), kinds[1])
             if len(keys):
                 waiting.append(np.unique(keys, return_counts=True))
                 size += len(waiting[-1][0])
@@ -330,7 +334,7 @@ def pair_counts(aligned: DataFrame, same_bytes: np.ndarray, n_b: int) -> DataFra
         used = np.flatnonzero(vector)
         yield rows(used * n_b + same_bytes[used], vector[used])
 
-    counts = aligned.select("same", "linked_a", "linked_b").mapInArrow(run, "pair long, n long") \
+    counts = aligned.select("same", "linked").mapInArrow(run, "pair long, n long") \
         .groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair") % n_b)
     counts = written(counts, "pair-counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))  # at most one row per B id
@@ -365,7 +369,7 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, head_pairs: int
     document and joined.  Odd rows as in ``align_documents``.
     """
     both = aligner(a_path, b_path)
-    n_b, same_bytes = len(both.b_bytes), both.same_bytes
+    n_b, same_bytes, kinds = len(both.b_bytes), both.same_bytes, both.kinds
     aligned = written(align_documents(docs, a_path, b_path).withColumn("row", F.monotonically_increasing_id()),
                       "aligned")
     counts = pair_counts(aligned, same_bytes, n_b)
@@ -379,16 +383,9 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, head_pairs: int
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((same_n, same_best, pair, n, best))
 
-    def keys_of(b) -> np.ndarray:
-        return b.column("linked_a").flatten().to_numpy().astype(np.int64) * n_b \
-            + b.column("linked_b").flatten().to_numpy()
-
-    def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(values)])
-        return total[starts[1:]] - total[starts[:-1]]
-
-    def starts_of(column) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+    def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        total, stop = np.concatenate([[0], np.cumsum(values)]), np.cumsum(sizes)
+        return total[stop] - total[stop - sizes]
 
     def found(keys: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(pair, keys), max(len(pair) - 1, 0))
@@ -397,13 +394,13 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, head_pairs: int
     def score(batches):
         same_n, same_best, pair, n, best = shared.value
         for b in _rows(batches):
-            same = b.column("same").flatten().to_numpy()
-            at, hit = found(keys_of(b), pair)
-            first, rest = starts_of(b.column("same")), starts_of(b.column("linked_a"))
+            same, n_same = _links(b.column("same"), kinds[0])
+            keys, n_keys = _links(b.column("linked"), kinds[1])
+            at, hit = found(keys, pair)
             other_n = np.where(hit, n[at], 0) if len(pair) else np.zeros(len(hit), dtype=np.int64)
             other_best = np.where(hit, best[at], 0) if len(pair) else np.zeros(len(hit), dtype=np.int64)
-            n_best = sums(same_best[same], first) + sums(other_best, rest)
-            count_sum = sums(same_n[same], first) + sums(other_n, rest)
+            n_best = sums(same_best[same], n_same) + sums(other_best, n_keys)
+            count_sum = sums(same_n[same], n_same) + sums(other_n, n_keys)
             yield pa.record_batch(
                 [b.column(c) for c in ("row", *kept)] + [pa.array(n_best), pa.array(count_sum)],
                 names=["row", *kept, "n_best", "count_sum"])
@@ -411,9 +408,9 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, head_pairs: int
     def rare(batches):
         pair = shared.value[2]
         for b in _rows(batches):
-            keys = keys_of(b)
+            keys, n_keys = _links(b.column("linked"), kinds[1])
             _, hit = found(keys, pair)
-            rows = np.repeat(b.column("row").to_numpy(), b.column("linked_a").value_lengths().to_numpy())[~hit]
+            rows = np.repeat(b.column("row").to_numpy(), n_keys)[~hit]
             if len(rows):
                 order = np.lexsort((keys[~hit], rows))
                 k, r = keys[~hit][order], rows[order]
@@ -422,14 +419,14 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, head_pairs: int
                                        pa.array(np.diff(np.append(first, len(k))))], names=["row", "pair", "times"])
 
     kept = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    kinds = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, " \
+    schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, " \
             "n_best long, count_sum long"
-    scored = aligned.mapInArrow(score, kinds)
+    scored = aligned.mapInArrow(score, schema)
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     if least <= 1:
         return scored.select(*columns)
     tail = counts.where(F.col("n") < least).select("pair", "n", "best")
-    added = aligned.select("row", "linked_a", "linked_b").mapInArrow(rare, "row long, pair long, times long") \
+    added = aligned.select("row", "linked").mapInArrow(rare, "row long, pair long, times long") \
         .join(tail, "pair").groupBy("row").agg(
             F.sum(F.col("times") * F.col("best").cast("long")).alias("more_best"),
             F.sum(F.col("times") * F.col("n")).alias("more_sum"))
