@@ -1,4 +1,4 @@
-"""Connected components of an undirected edge table by repeated contraction."""
+"""Connected components of an undirected edge table by alternating stars."""
 
 from __future__ import annotations
 
@@ -8,33 +8,36 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import written
 
 
+def _least(edges: DataFrame, node: str, other: str) -> DataFrame:
+    """(node, m): the smallest of a node and its neighbours ``other``."""
+    return edges.groupBy(F.col(node).alias("node")).agg(F.min(other).alias("m")).select(
+        "node", F.least("node", "m").alias("m"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour, shortens the pointers to their roots,
-    and contracts the edges onto the roots.  At least all nodes but the local minima disappear,
-    so the number of rounds is logarithmic.  Every round is written to the shared folder.
+    Large star: every node ties its larger neighbours to its smallest one.  Small star: every
+    node ties itself and its smaller neighbours to the smallest of them.  Both keep the components; in turns
+    they leave stars around the smallest nodes after a number of rounds that is logarithmic in
+    practice.  A round is one written table of at most as many edges as before; their number and
+    the sum of their hashes tell when a round changed nothing.
     """
+    # from here on a > b
     edges = written(edges.where("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = written(nodes.select("node", F.col("node").alias("component")), "cc-nodes")
-    while edges.take(1):
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
+    last = None
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-            "node", F.least("node", "m").alias("root")), "cc-hooks")
-        while True:
-            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = written(hooks.join(up, "root").select(
-                "node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")),
-                "cc-hooks")
-            hooks = jumped.select("node", "root")
-            if not jumped.where("moved").take(1):
-                break
-        to_a = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        to_b = hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        found = written(found.join(hooks.select(F.col("node").alias("component"), "root"), "component", "left")
-                        .select("node", F.coalesce("root", "component").alias("component")), "cc-found")
-        edges = written(edges.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(
-            F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
-    return found
+        large = both.where("b > a").withColumnRenamed("a", "node").join(_least(both, "a", "b"), "node").select(
+            F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.withColumnRenamed("a", "node").join(_least(large, "a", "b"), "node").select(
+            "node", F.col("b").alias("low"), "m")
+        edges = written(small.select(F.explode(F.array("node", "low")).alias("a"), F.col("m").alias("b"))
+                        .where("a <> b").distinct(), "cc-edges")
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(state) == last or state[0] == 0:
+            break
+        last = tuple(state)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
