@@ -123,3 +123,45 @@ def test_odd_input(spark, odd_documents, no_documents):
     assert by[100].n_removed == 0 and by[101].text == "" and by[102].text is None
     assert sum(r.text is None for r in rows) == 2
     assert [r.n_removed for r in rows if r.doc_id == 103] == [0, 0]
+
+
+def test_common_runs_against_a_walk():
+    rng = np.random.default_rng(8)
+    for trial in range(200):
+        own = rng.integers(0, rng.integers(1, 5), rng.integers(1, 60)).astype(np.int64)
+        other = None if trial % 2 else rng.integers(0, 4, rng.integers(1, 60)).astype(np.int64)
+        source = own if other is None else other
+        places = [(i, i - j) for i in range(len(own)) for j in range(len(source)) if other is not None or j < i]
+        if not places:
+            continue
+        at, shift = (np.array(c) for c in zip(*places))
+        first, last = ld.common_runs(own, other, at, shift)
+        for k, (i, s) in enumerate(places):
+            a, z = i, i - 1
+            if own[i] == source[i - s]:
+                z = i
+                while a > 0 and a - 1 - s >= 0 and own[a - 1] == source[a - 1 - s]:
+                    a -= 1
+                while z + 1 < len(own) and z + 1 - s < len(source) and own[z + 1] == source[z + 1 - s]:
+                    z += 1
+            assert (first[k], last[k]) == (a, z)
+
+
+def test_column_names_of_the_operator(spark):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, f"one\n{shared}", "a", "b", "c", "d"), (2, f"two\n{shared}", "e", "f", "g", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, runs string, __left string, __runs string, hashes string")
+    got = sorted(ld.dedup_lines(df).drop("n_lines", "n_removed").collect())
+    assert got == [rows[0], (2, "two", "e", "f", "g", "h")]
+
+
+def test_long_repetitive_text(spark):
+    """2 MB in which one passage returns 10,000 times between lines of its own."""
+    import time
+    passage = "\n".join(f"line {i} " + "of the passage " * 8 for i in range(2))
+    text = "\n".join(f"{passage}\nown {i}" for i in range(10_000))
+    assert len(text) > 2_000_000
+    t = time.time()
+    got = ld.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert time.time() - t < 60
+    assert got.text == passage + "\n" + "\n".join(f"own {i}" for i in range(10_000))
