@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,10 @@ PATTERN = regex.compile(
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 
+#: Pre-tokens that a worker remembers (two generations of this many).
+REMEMBERED = 250_000
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,7 +45,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBPE:
     """Vocabulary, merges and a bounded memory of encoded pre-tokens."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = REMEMBERED):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of, vocab = byte_alphabet(), spec["model"]["vocab"]
@@ -149,13 +153,13 @@ class ByteBPE:
             out.extend([part] if part in self.special else PATTERN.findall(part))
         return out
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
-        """Ids of new pre-tokens; special tokens are their own id."""
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Packed ids of new pre-tokens; special tokens are their own id."""
         merged = iter(self.merge([w.encode() for w in words if w not in self.special]))
-        return [[self.special[w]] if w in self.special else next(merged) for w in words]
+        return [array("i", [self.special[w]] if w in self.special else next(merged)).tobytes() for w in words]
 
-    def encode_batch(self, texts: list[str], chars: int = 4_000_000):
-        """The id list of each text; texts are taken together up to about ``chars`` at a time."""
+    def encode_batch(self, texts: list[str], chars: int = 2_000_000):
+        """The ids (int32) of each text; texts are taken together up to about ``chars`` at a time."""
         at = 0
         while at < len(texts):
             stop, size = at, 0
@@ -166,24 +170,46 @@ class ByteBPE:
             self.known.learn({w for words in cut for w in words}, self._ids)
             ids = self.known.__getitem__
             for words in cut:
-                yield list(chain.from_iterable(map(ids, words)))
+                yield np.frombuffer(b"".join(map(ids, words)), dtype=np.int32)
             at = stop
 
     def decode(self, ids) -> str:
         """Text of ids; special tokens are kept, broken UTF-8 becomes U+FFFD."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 _CODERS: dict[str, ByteBPE] = {}
 
 
-def coder(path: str) -> ByteBPE:
+def coder(path: str, limit: int = REMEMBERED) -> ByteBPE:
     """One coder per Python worker and file."""
     if path not in _CODERS:
-        _CODERS[path] = ByteBPE(path)
+        _CODERS[path] = ByteBPE(path, limit)
+    _CODERS[path].known.limit = limit
     return _CODERS[path]
 
 
+def by_chars(batch, chars: int = 2_000_000):
+    """(rows, texts) of a record batch in runs of about ``chars`` code points, so that what is
+    made of them stays small."""
+    texts = batch.column("text").to_pylist()
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= chars):
+            size += len(texts[stop])
+            stop += 1
+        yield batch.slice(at, stop - at), texts[at:stop]
+        at = stop
+
+
+def id_lists(rows: list[np.ndarray]) -> pa.Array:
+    """A list column of packed ids."""
+    stops = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+    return pa.ListArray.from_arrays(stops, pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *rows])))
+
+
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids of every whole text (null: empty, no ids).  Rows stay in their partition;
     repeated rows are encoded alike, an empty table stays empty, other columns are ignored."""
@@ -193,8 +219,9 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         bpe = coder(tokenizer)
         for b in batches:
-            ids = list(bpe.encode_batch(b.column("text").to_pylist()))
-            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
+            for part, texts in by_chars(b):
+                ids = list(bpe.encode_batch(texts))
+                yield pa.record_batch([part.column("doc_id"), id_lists(ids)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")) \
         .mapInArrow(run, "doc_id long, ids array<int>")
@@ -215,30 +242,33 @@ def decode_documents(tokens: DataFrame, tokenizer: str) -> DataFrame:
         .mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip_report(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+def round_trip_report(docs: DataFrame, tokenizer: str, with_ids: bool = False,
+                      limit: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of
     the text decoded from those ids), encoded and decoded in one pass over the texts; on request
-    also the ids.  Nulls, repeats and empty tables as in ``encode_documents``."""
+    also the ids.  A worker remembers at most two times ``limit`` pre-tokens.  Nulls, repeats and empty tables as in ``encode_documents``."""
     missing(docs, "doc_id", "text")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                         ("decoded_sha256", pa.string())]
                        + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
-        bpe = coder(tokenizer)
+        bpe = coder(tokenizer, limit)
         decimal = [str(i) for i in range(bpe.width)].__getitem__
         sha = hashlib.sha256
         for b in batches:
-            n, ids_sha, text_sha, kept = [], [], [], []
-            for ids in bpe.encode_batch(b.column("text").to_pylist()):
-                n.append(len(ids))
-                ids_sha.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
-                text_sha.append(sha(bpe.decode(ids).encode()).hexdigest())
-                if with_ids:
-                    kept.append(np.array(ids, dtype=np.int32))
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()),
-                                   pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                                  + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, schema=schema)
+            for part, texts in by_chars(b):
+                n, ids_sha, text_sha, kept = [], [], [], []
+                for packed in bpe.encode_batch(texts):
+                    ids = packed.tolist()
+                    n.append(len(ids))
+                    ids_sha.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
+                    text_sha.append(sha(bpe.decode(ids).encode()).hexdigest())
+                    if with_ids:
+                        kept.append(packed)
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()),
+                                       pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                                      + [id_lists(kept)] * with_ids, schema=schema)
 
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")) \

@@ -34,6 +34,7 @@ from kestrel.llm.components import connected_components
 SHINGLE = 5
 COORDINATES = 64
 CHUNK_CHARS = 2_000_000
+REMEMBERED_WORDS = 100_000
 #: Node ids are broadcast for a join with the texts up to this many (8 bytes each), else shuffled.
 BROADCAST_NODES = 1_000_000
 
@@ -71,7 +72,7 @@ _WORDS = _WordHash()
 def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text (A-Z lower-cased, words apart at
     space and U+0009..U+000D; fewer words than a shingle: the whole sequence; none: empty)."""
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > REMEMBERED_WORDS:
         _WORDS.clear()
     words = [t.encode().lower().split() for t in texts]  # bytes: ASCII only, as defined
     counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -328,7 +329,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     gone = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     w = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    at = "__nth_row"
+    at = fresh(docs, "__nth_row")
     return left.withColumn(at, F.row_number().over(w)).where(
         F.col("doc_id").isNull() | (F.col(at) == 1)).drop(at)
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.bpe import byte_alphabet
+from kestrel.llm.bpe import by_chars, byte_alphabet
 from kestrel.llm.common import missing, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -258,20 +258,6 @@ def _links(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return values.astype(np.int64), np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) // values.itemsize
 
 
-def _by_chars(batches, chars: int):
-    """Batches cut into runs of rows of about ``chars`` code points of text."""
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        at = 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= chars):
-                size += len(texts[stop])
-                stop += 1
-            yield b.slice(at, stop - at), texts[at:stop]
-            at = stop
-
-
 def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and the links as packed integers:
     ``same`` (A ids of links to the equal B id) and ``linked`` (pairs of all other links), of
@@ -285,7 +271,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches):
         both = aligner(a_path, b_path)
         wide = [np.dtype(k).itemsize for k in both.kinds]
-        for b, texts in _by_chars(batches, CHARS):
+        for b, texts in chain.from_iterable(by_chars(b, CHARS) for b in batches):
             n_a, n_b, groups, sha, same, linked = map(list, zip(*both.align(texts)))
             links = [len(x) // wide[0] + len(y) // wide[1] for x, y in zip(same, linked)]
             yield pa.record_batch(
