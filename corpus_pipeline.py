@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, and the ids of every document."""
     ship_package(spark)
-    return bpe.round_trip_report(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return bpe.round_trip_report(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, limit=60_000)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup),
