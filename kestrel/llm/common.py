@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 LOWEST = -(1 << 63)
 
+FILE_ROWS = 10_000
+
 
 def missing(df: DataFrame, *cols: str) -> None:
     """Raise a clear error when an input lacks a required column."""
@@ -65,10 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back: cuts the
-    lineage, survives lost executors, and gives the optimizer true sizes."""
+    lineage, survives lost executors, and gives the optimizer true sizes.
+
+    ``rows``: about how many rows to expect.  A small table made by a shuffle then becomes a few
+    files of about FILE_ROWS rows instead of one for every shuffle partition.
+    """
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), -(-rows // FILE_ROWS))))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -177,7 +177,7 @@ def prefix_postings(classes: DataFrame, matches: int) -> DataFrame:
     return kept.select(F.col("t.token").alias("token"), "node").distinct()
 
 
-def _mixed(members: DataFrame, comps: DataFrame | None) -> DataFrame:
+def _mixed(members: DataFrame, comps: DataFrame | None, rows: int) -> DataFrame:
     """(token, node, comp) of the posting lists that still hold more than one component."""
     if comps is None:
         m = members.withColumn("comp", F.col("node"))
@@ -185,7 +185,7 @@ def _mixed(members: DataFrame, comps: DataFrame | None) -> DataFrame:
         m = members.join(comps, "node", "left").select(
             "token", "node", F.coalesce("component", "node").alias("comp"))
     lists = m.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    return written(m.join(lists.select("token"), "token"), "near-lists")
+    return written(m.join(lists.select("token"), "token"), "near-lists", rows)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _hub_pairs(lists: DataFrame) -> DataFrame:
     return _ordered(lists.join(hubs, "token").where("node <> q").select(F.col("node").alias("p"), "q"))
 
 
-def _with_shared(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _with_shared(lists: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
     """Append n and c to the lists: the size of a node's set and how many of its shingles occur in
     a second node of any list.  Nodes that even a partner made of all those could not reach are
     left out; so are lists that then hold one component.  Applied twice, as nodes left out may
@@ -211,7 +211,7 @@ def _with_shared(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.max("c").alias("c"), F.min("n").alias("n")).where(100 * F.col("c") >= percent * F.col("n"))
     m = lists.join(able, "node")
     mixed = m.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    return written(m.join(mixed.select("token"), "token"), "near-shared")
+    return written(m.join(mixed.select("token"), "token"), "near-shared", rows)
 
 
 def _main_component(lists: DataFrame) -> DataFrame:
@@ -265,9 +265,9 @@ def _agreeing_pairs(pairs: DataFrame, classes: DataFrame, matches: int) -> DataF
         .where(_agreeing("sa", "sb") >= matches).select("a", "b").distinct()
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
-    near, side = written(pairs, "near-pairs"), _side
+    near, side = written(pairs, "near-pairs", rows), _side
     both = F.size(F.array_intersect("x", "y"))
     return near.join(side(sets, "a", "shingles", "x"), "a").join(side(sets, "b", "shingles", "y"), "b") \
         .where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
@@ -288,31 +288,34 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
     matches = matches_needed(coordinates, percent / 100)
     rows = written(sketch_documents(docs, shingle, coordinates), "near-rows")
     real = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    n = rows.count()
     classes = written(real.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")),
-                      "near-classes")
-    members = written(prefix_postings(classes, matches), "near-posts")
+                      "near-classes", n)
+    members = written(prefix_postings(classes, matches), "near-posts", 2 * n)
     # a doc_id with several sets ties their classes together
     tied = real.join(classes.drop("sig"), ["hi", "lo"]).groupBy("doc_id").agg(
         F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all"))
-    links = written(tied.where("a < b").select("a", F.explode("all").alias("b")).where("a < b"), "near-links")
-    lists = _mixed(members, None)
-    nodes = written(lists.select("node").distinct(), "near-nodes")
+    links = written(tied.where("a < b").select("a", F.explode("all").alias("b")).where("a < b"), "near-links", n)
+    m = members.count()
+    lists = _mixed(members, None, m)
+    nodes = written(lists.select("node").distinct(), "near-nodes", min(m, n))
     sets = written(_shingles_of(docs, nodes, shingle), "near-sets")
-    confirm = partial(_confirm, sets=sets, percent=percent)
+    confirm = partial(_confirm, sets=sets, percent=percent, rows=m)
     hubs = _agreeing_pairs(_hub_pairs(lists), classes, matches)
-    links = links.unionByName(written(confirm(hubs), "near-links"))
-    comps = connected_components(links)
-    lists = _mixed(members, comps)
+    links = links.unionByName(written(confirm(hubs), "near-links", m))
+    comps = connected_components(links, m)
+    lists = _mixed(members, comps, m)
     if lists.take(1):
-        lists = _with_shared(_with_shared(lists, sets, percent).drop("c", "n"), sets, percent)
+        m = lists.count()
+        lists = _with_shared(_with_shared(lists, sets, percent, m).drop("c", "n"), sets, percent, m)
         hubs = _agreeing_pairs(_second_hub_pairs(lists, percent), classes, matches)
-        links = links.unionByName(written(confirm(hubs), "near-links"))
-        comps = connected_components(links)
+        links = links.unionByName(written(confirm(hubs), "near-links", m))
+        comps = connected_components(links, m)
         lists = lists.drop("comp").join(comps.withColumnRenamed("component", "comp"), "node", "left") \
             .withColumn("comp", F.coalesce("comp", "node"))
-        rest = _rest_pairs(written(lists, "near-rest"), classes, matches, percent)
-        links = links.unionByName(written(confirm(rest), "near-links"))
-        comps = connected_components(links)
+        rest = _rest_pairs(written(lists, "near-rest", m), classes, matches, percent)
+        links = links.unionByName(written(confirm(rest), "near-links", m))
+        comps = connected_components(links, m)
     named = classes.join(comps, "node", "left").select(
         "hi", "lo", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo"], "left")
@@ -344,7 +347,7 @@ def drop_near_texts(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = keyed.where("doc_id IS NOT NULL").select("doc_id", F.col(key).alias("key"), "text")
     comps = near_duplicates(named.select(F.col("key").alias("doc_id"), "text"), percent).select(
         F.col("doc_id").alias("key"), "component_id").distinct()
-    texts = written(named.select("doc_id", "key").distinct().join(comps, "key"), "near-texts")
+    texts = written(named.select("doc_id", "key").distinct().join(comps, "key"), "near-texts", docs.count())
     first = texts.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     gone = texts.join(first, "component_id").where(F.col("key") != F.col("first.key")).select(F.col("key").alias(key))
     left = keyed.join(gone, key, "left_anti").select(*docs.columns, key)
