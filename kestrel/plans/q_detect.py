@@ -1,4 +1,4 @@
-"""Queries for the baseline detectors (L1, L3-L6)."""
+"""Queries for the baseline detectors (L1-L6)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kestrel.operators import binning as C
 from kestrel.operators import detectors as L
 from kestrel.operators import metrics as J
+from kestrel.operators import neighbors as N
 from kestrel.plans.registry import register
 from kestrel.session import table
 
@@ -88,3 +89,19 @@ def q_run_benchmark(spark, sf_dir):
     }
     return L.run_benchmark({s: make(s) for s in segs}, detectors,
                            lambda s: J.evaluate(s, "score", "label", "row_id"))
+
+
+_KNN_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+d AS (SELECT a.vec_id, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2
+      FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id),
+r AS (SELECT vec_id, d2, row_number() OVER (PARTITION BY vec_id ORDER BY d2) AS k FROM d)
+SELECT vec_id, round(sqrt(d2), 6) AS score FROM r WHERE k = 5
+"""
+
+
+@register("l02_knn_score", _KNN_SQL)
+def q_knn(spark, sf_dir):
+    """Every embedding with the distance to its fifth nearest neighbour."""
+    return N.knn_score(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 5) \
+        .select("vec_id", F.round("score", 6).alias("score"))
