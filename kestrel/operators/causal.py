@@ -1,11 +1,11 @@
 """F — contingency counts, independence tests and structure learning.
 
 The factor columns are counted once into a cube (one row per observed combination, never
-more than the input has rows).  All conditional-independence tests of a round are then one
-Spark job over the cube: each combination emits one weighted record per test (a plan-time
-list of tests), and the statistics are aggregates of the sums.  A test uses the rows that
-are complete in its own columns.  Only the per-test summary reaches the driver, where PC
-decides which edges to drop.
+more than the input has rows).  The tables of all conditional-independence tests of a wave are
+summed from the smallest marginal counts that hold them (:mod:`kestrel.operators.marginals`),
+and the statistics are aggregates of the sums.  A test uses the rows that are complete in its
+own columns.  Only the per-test summary of a wave reaches the driver, where PC decides which
+edges to drop.
 
 Chi-square: ``sum O^2/E - n`` over observed cells (equal to the Pearson sum over
 all cells of a stratum); G-square ``2 sum O ln(O/E)``; per stratum
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.exprs import chi2_sf, quote_ident
+from kestrel.operators.marginals import Marginals
 from kestrel.session import cut_lineage
 
 
@@ -33,14 +34,6 @@ def _v(c: str):
     return F.col(quote_ident(c)).cast("string")
 
 
-def count_cube(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per observed combination of ``cols`` with its count ``__n``, checkpointed:
-    every test of every depth reads it instead of the data."""
-    cols = list(dict.fromkeys(cols))
-    return cut_lineage(df.groupBy(*[F.col(quote_ident(c)) for c in cols])
-                       .agg(F.count(F.lit(1)).alias("__n")))
-
-
 def contingency(df: DataFrame, tests: Sequence[tuple[str, str, Sequence[str]]],
                 weight: str | None = None) -> DataFrame:
     """F2 — counts ``(test_id, s_key, x, y, n)`` for many (x, y | S) tests at once.
@@ -89,21 +82,32 @@ def chi2_pvalue(stat: pd.Series, dof: pd.Series) -> pd.Series:
                       for s, d in zip(stat, dof)])
 
 
-def ci_tests(df: DataFrame, tests: Sequence[tuple[str, str, Sequence[str]]],
-             method: str = "chisq", weight: str | None = None) -> DataFrame:
-    """F3 — ``(test_id, x, y, s, stat, dof, p)`` for every test, one Spark job."""
-    spark = df.sparkSession
-    meta = spark.createDataFrame(
+def _tested(counts: DataFrame, tests: Sequence[tuple[str, str, Sequence[str]]], method: str) -> DataFrame:
+    """``(test_id, x_col, y_col, s_cols, stat, dof, p)`` of every test from its counts."""
+    meta = counts.sparkSession.createDataFrame(
         [(i, x, y, list(s)) for i, (x, y, s) in enumerate(tests)],
         "test_id int, x_col string, y_col string, s_cols array<string>")
-    st = test_statistics(contingency(df, tests, weight), method)
-    # the test list has one row per test (bounded by factor pairs): broadcast
+    st = test_statistics(counts, method)
+    # the test list has one row per test of the call (a wave at most): broadcast
     return (F.broadcast(meta).join(st, "test_id", "left")
             .withColumn("stat", F.coalesce("stat", F.lit(0.0)))
             .withColumn("dof", F.coalesce("dof", F.lit(0)).cast("long"))
             .withColumn("p", chi2_pvalue("stat", "dof")))
 
 
+def ci_tests(df: DataFrame, tests: Sequence[tuple[str, str, Sequence[str]]],
+             method: str = "chisq", weight: str | None = None) -> DataFrame:
+    """F3 — ``(test_id, x, y, s, stat, dof, p)`` for every test, one Spark job."""
+    return _tested(contingency(df, tests, weight), tests, method)
+
+
+def lattice_tests(marginals: Marginals, tests: Sequence[tuple[str, str, Sequence[str]]],
+                  method: str = "chisq") -> DataFrame:
+    """F3 — the same from kept marginal counts.  The counts of all tests are checkpointed: the
+    statistics read them four times."""
+    return _tested(cut_lineage(marginals.contingency(tests)), tests, method)
+
+
 def chisq_test(df: DataFrame, x: str, y: str, cond: Sequence[str] = (),
                method: str = "chisq") -> DataFrame:
     """F3 — one (conditional) chi-square or G-square test."""
@@ -113,7 +117,7 @@ def chisq_test(df: DataFrame, x: str, y: str, cond: Sequence[str] = (),
 def pairwise_tests(df: DataFrame, factors: Sequence[str], method: str = "chisq") -> DataFrame:
     """All unordered factor pairs, unconditional, as one job."""
     tests = [(a, b, []) for a, b in itertools.combinations(factors, 2)]
-    return ci_tests(count_cube(df, factors), tests, method, weight="__n")
+    return lattice_tests(Marginals(df, factors), tests, method)
 
 
 def confirm_factors(df: DataFrame, factors: Sequence[str], alpha: float = 0.05,
@@ -261,24 +265,37 @@ def _tester(df: DataFrame, cols: Sequence[str], method: str) -> Callable:
     if method == "fisherz":
         n, corr = correlations(df, cols)
         return lambda tests: [partial_fisherz(n, corr, x, y, s)["p"] for x, y, s in tests]
-    cube = count_cube(df, cols)
+    marginals = Marginals(df, cols)
 
     def run(tests):
-        res = ci_tests(cube, tests, method, weight="__n").select("test_id", "p").collect()
+        res = lattice_tests(marginals, tests, method).select("test_id", "p").collect()
         pv = {r.test_id: r.p for r in res}
         return [pv.get(i) for i in range(len(tests))]
     return run
 
 
+def _subsets(x: str, y: str, adjacent: dict[str, set], depth: int, order: dict[str, int]):
+    """Conditioning sets of a pair in the order the sequential algorithm tries them: of the
+    neighbours of x, then those of y that are not among the former."""
+    of_x = sorted(adjacent[x] - {y}, key=order.__getitem__)
+    of_y = sorted(adjacent[y] - {x}, key=order.__getitem__)
+    yield from itertools.combinations(of_x, depth)
+    known = set(of_x)
+    yield from (s for s in itertools.combinations(of_y, depth) if not known.issuperset(s))
+
+
 def pc_skeleton(df: DataFrame, cols: Sequence[str], alpha: float = 0.05,
-                method: str = "chisq", max_depth: int | None = None) -> tuple[set, dict, list]:
+                method: str = "chisq", max_depth: int | None = None, wave: int = 2000) -> tuple[set, dict, list]:
     """F10 — stable PC skeleton.  Depth d tests every adjacent pair (x, y) given
     each size-d subset of ``adj(x) \\ {y}`` (then of ``adj(y) \\ {x}``) with the
     adjacency frozen for the whole depth; the first subset with p > alpha
-    removes the edge and becomes its separating set.  The data is read once, into a count
-    cube (chisq, gsq) or a correlation matrix (fisherz); runs until no pair has enough
-    neighbours unless ``max_depth`` is given.  Returns (edges, sepsets, test log)."""
+    removes the edge and becomes its separating set.  Tests run in waves: each remaining pair
+    gives its next subsets, about ``wave`` tests in all, and a pair that separates gives no more.
+    The data is read once, into a count cube (chisq, gsq) or a correlation matrix (fisherz); runs
+    until no pair has enough neighbours unless ``max_depth`` is given.  Returns (edges, sepsets,
+    log of the tests up to each separation)."""
     p_values = _tester(df, cols, method)
+    order = {c: i for i, c in enumerate(cols)}
     adj = {c: set(cols) - {c} for c in cols}
     sepsets: dict = {}
     log: list = []
@@ -287,33 +304,22 @@ def pc_skeleton(df: DataFrame, cols: Sequence[str], alpha: float = 0.05,
         if not any(len(adj[x]) - 1 >= depth for x in cols):
             break
         frozen = {c: set(v) for c, v in adj.items()}
-        plan = []  # (x, y, S) in the order the sequential algorithm would try them
-        for x in cols:
-            for y in sorted(frozen[x], key=cols.index):
-                if cols.index(y) < cols.index(x) and x in frozen[y]:
-                    continue  # an unordered pair is planned from its first node
-                for side, other in ((x, y), (y, x)):
-                    cand = sorted(frozen[side] - {other}, key=cols.index)
-                    for s in itertools.combinations(cand, depth):
-                        plan.append((x, y, list(s)))
-        if not plan:
-            break
-        uniq = []
-        seen = set()
-        for x, y, s in plan:
-            key = (x, y, tuple(s))
-            if key not in seen:
-                seen.add(key)
-                uniq.append((x, y, s))
-        pv = dict(enumerate(p_values(uniq)))
-        for tid, (x, y, s) in enumerate(uniq):
-            log.append((depth, x, y, s, pv.get(tid)))
-        for tid, (x, y, s) in enumerate(uniq):
-            p = pv.get(tid)
-            if p is not None and p > alpha and y in adj[x]:
-                adj[x].discard(y)
-                adj[y].discard(x)
-                sepsets[frozenset((x, y))] = set(s)
+        pairs = [(x, y) for x in cols for y in sorted(frozen[x], key=order.__getitem__) if order[x] < order[y]]
+        waiting = {(x, y): _subsets(x, y, frozen, depth, order) for x, y in pairs}
+        while waiting:
+            each = max(1, wave // len(waiting))
+            tests = [(x, y, list(s)) for (x, y), subsets in waiting.items() for s in itertools.islice(subsets, each)]
+            given = {(x, y) for x, y, _ in tests}
+            for (x, y, s), p in zip(tests, p_values(tests) if tests else []):
+                if (x, y) not in waiting:  # separated earlier in this wave
+                    continue
+                log.append((depth, x, y, s, p))
+                if p is not None and p > alpha:
+                    adj[x].discard(y)
+                    adj[y].discard(x)
+                    sepsets[frozenset((x, y))] = set(s)
+                    del waiting[x, y]
+            waiting = {pair: subsets for pair, subsets in waiting.items() if pair in given}
         depth += 1
     edges = {frozenset((x, y)) for x in cols for y in adj[x]}
     return edges, sepsets, log
@@ -397,8 +403,8 @@ def bic_local_scores(df: DataFrame, candidates: Sequence[tuple[str, Sequence[str
     one grouped count: ``sum n ln(n / n_parent) - ln(N)/2 * (r-1) * q`` with r
     the node's observed values and q the observed parent configurations.  Rows with a null in
     the node or its parents are left out of that candidate."""
-    cube = count_cube(df, [c for node, parents in candidates for c in (node, *parents)])
-    c = contingency(cube, [(node, node, list(parents)) for node, parents in candidates], "__n").select(
+    marginals = Marginals(df, [c for node, parents in candidates for c in (node, *parents)])
+    c = cut_lineage(marginals.contingency([(node, node, list(parents)) for node, parents in candidates])).select(
         F.col("test_id").alias("cand_id"), F.col("s_key").alias("pk"), F.col("x").alias("v"), "n")
     par = c.groupBy("cand_id", "pk").agg(F.sum("n").alias("n_pk"))
     ll = (c.join(par, ["cand_id", "pk"]).groupBy("cand_id").agg(

@@ -92,6 +92,23 @@ LINEITEM_FACTORS_SQL = """
   FROM lineitem
 """
 
+DEPENDENT_COLS = ["qty", "disc", "tax", "offer", "charge", "mode"]
+
+
+def dependent_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors of lineitem that depend on each other: thirds of quantity, discount and tax, an
+    offer made from quantity and discount, a charge made from offer and tax (each off by one in
+    some rows, chosen by the row's hash), and the line status, which depends on none of them."""
+    li = table(spark, sf_dir, "lineitem")
+    h = F.xxhash64(*li.columns)
+    third = lambda c, low, high: F.when(F.col(c) < low, 0).when(F.col(c) < high, 1).otherwise(2)
+    off = lambda k: F.when(F.pmod(F.shiftright(h, k), F.lit(10)) == 0, 1).otherwise(0)
+    qty, disc, tax = third("l_quantity", 17, 34), third("l_discount", 0.035, 0.07), third("l_tax", 0.025, 0.055)
+    out = li.select(qty.alias("qty"), disc.alias("disc"), tax.alias("tax"), (qty + disc + off(3)).alias("offer"),
+                    off(17).alias("__off"), F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("mode"))
+    return out.withColumn("charge", F.col("offer") + F.col("tax") + F.col("__off")).select(*DEPENDENT_COLS)
+
+
 FACTOR_COLS = ["returnflag", "linestatus", "qty_bucket", "disc_bucket", "ship_month",
                "ship_dow3"]
 

@@ -182,6 +182,22 @@ def q_pc(spark, sf_dir):
     return CA.pc(f, FC, ALPHA, "chisq")
 
 
+@register("f10_pc_dependent")
+def q_pc_skeleton_dependent(spark, sf_dir):
+    """PC skeleton, with separating sets of the removed pairs, over factors that depend on each other."""
+    cols = BD.DEPENDENT_COLS
+    edges, seps, _ = CA.pc_skeleton(BD.dependent_factors(spark, sf_dir), cols, 0.001, "gsq")
+    rows = [(a, b, frozenset((a, b)) in edges, sorted(seps.get(frozenset((a, b)), [])))
+            for a, b in itertools.combinations(cols, 2)]
+    return spark.createDataFrame(rows, "a string, b string, adjacent boolean, sepset array<string>")
+
+
+@register("f11_pc_dependent")
+def q_pc_dependent(spark, sf_dir):
+    """Oriented graph over factors that depend on each other."""
+    return CA.pc(BD.dependent_factors(spark, sf_dir), BD.DEPENDENT_COLS, 0.001, "gsq")
+
+
 @register("f12_bic_gaussian", """
 WITH c AS (SELECT count(*) AS n, var_pop(l_extendedprice) AS vp, var_pop(l_quantity) AS vq,
                   covar_pop(l_extendedprice, l_quantity) AS cpq FROM lineitem)
@@ -201,6 +217,17 @@ def q_pc_fisherz(spark, sf_dir):
     return spark.createDataFrame([(min(e), max(e)) for e in edges], "a string, b string")
 
 
+@register("f10_pc_fisherz_prices")
+def q_pc_fisherz_prices(spark, sf_dir):
+    """PC skeleton by partial correlations over prices that are made from each other."""
+    li = table(spark, sf_dir, "lineitem")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    df = li.select("l_extendedprice", "l_discount", "l_tax", net.alias("net"),
+                   (net * (1 + F.col("l_tax"))).alias("gross"))
+    edges, seps, _ = CA.pc_skeleton(df, df.columns, 0.001, "fisherz")
+    return spark.createDataFrame([(min(e), max(e)) for e in edges], "a string, b string")
+
+
 BIC_CANDS = [("returnflag", []), ("returnflag", ["linestatus"]),
              ("qty_bucket", ["disc_bucket", "ship_dow3"])]
 

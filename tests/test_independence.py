@@ -91,3 +91,65 @@ def test_orientation_and_related(spark):
     t = spark.createDataFrame([("a", "b", 0.2), ("a", "c", 0.1), ("b", "c", 0.1)], "x_col string, y_col string, p double")
     top = {(r.factor, r["rank"]): r.other for r in CA.top_related(t, 1).collect()}
     assert top == {("a", 1): "c", ("b", 1): "c", ("c", 1): "a"}
+
+
+def test_marginals_against_direct_counts(spark):
+    """Sums from covers equal counts of the rows, nulls and separators included."""
+    from collections import Counter
+
+    from kestrel.operators import marginals
+    rng = np.random.default_rng(5)
+    values = [None, "a", "b|c", "b"]
+    rows = [tuple(values[i] for i in rng.integers(0, 4, 9)) for _ in range(3000)]
+    cols = [f"c{i}" for i in range(9)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    m = marginals.Marginals(df, cols)
+    sets = [(0,), (1, 4), (2, 3, 8), (0, 5, 6, 7), (1, 4), tuple(range(9)), (0, 8)]
+    for asked in (sets[:3], sets):  # the second request finds covers of the first
+        got = {i: Counter() for i in range(len(asked))}
+        for r in m.counts(asked).collect():
+            got[r["set_id"]][tuple(r["key"])] += r["n"]
+        assert all(got[i] == Counter(tuple(r[c] for c in s) for r in rows) for i, s in enumerate(asked))
+    direct = CA.ci_tests(df, [("c0", "c1", ["c2"]), ("c3", "c4", [])]).orderBy("test_id").collect()
+    kept = CA.lattice_tests(m, [("c0", "c1", ["c2"]), ("c3", "c4", [])]).orderBy("test_id").collect()
+    for a, b in zip(direct, kept):
+        assert a[:4] == b[:4] and a.dof == b.dof and a.stat == pytest.approx(b.stat) and a.p == pytest.approx(b.p)
+
+
+def test_waves_give_the_sequential_result(spark):
+    rng = np.random.default_rng(7)
+    x = [rng.integers(0, 2, 4000)]
+    for _ in range(6):
+        x.append((x[rng.integers(0, len(x))] ^ (rng.random(4000) < 0.15)).astype(int))
+    cols = [f"x{i}" for i in range(7)]
+    df = spark.createDataFrame([tuple(map(int, r)) for r in np.column_stack(x)], ", ".join(f"{c} int" for c in cols))
+    one = CA.pc_skeleton(df, cols, 0.01, "gsq", wave=10_000)
+    few = CA.pc_skeleton(df, cols, 0.01, "gsq", wave=12)
+    assert one[:2] == few[:2]
+    logged = lambda log: sorted((d, a, b, s) for d, a, b, s, _ in log)  # waves log in their own order
+    assert logged(one[2]) == logged(few[2])
+    assert one[0] and len(one[1]) > 5
+
+
+def test_forty_columns(spark):
+    """Many columns: 780 pairs, tests of a wave only on the driver, covers instead of pairs."""
+    rng = np.random.default_rng(9)
+    x = [rng.integers(0, 2, 3000) for _ in range(20)]
+    x += [(a ^ (rng.random(3000) < 0.1)).astype(int) for a in x]
+    cols = [f"x{i}" for i in range(40)]
+    df = spark.createDataFrame([tuple(map(int, r)) for r in np.column_stack(x)], ", ".join(f"{c} int" for c in cols))
+    edges, _, log = CA.pc_skeleton(df, cols, 1e-6, "gsq", wave=300)
+    assert edges == {frozenset((f"x{i}", f"x{i + 20}")) for i in range(20)}
+    assert len(log) < 1000
+
+
+def test_dependent_factors_query(spark):
+    from kestrel.plans import q_causal
+    rows = q_causal.q_pc_skeleton_dependent(spark, "/root/testdata/sf0.01").collect()
+    adjacent = {(r.a, r.b) for r in rows if r.adjacent}
+    assert adjacent == {("qty", "offer"), ("disc", "offer"), ("offer", "charge"), ("tax", "charge")}
+    graph = {(r.src, r.dst): r.value for r in q_causal.q_pc_dependent(spark, "/root/testdata/sf0.01").collect()}
+    for a, b in (("qty", "offer"), ("disc", "offer"), ("offer", "charge"), ("tax", "charge")):
+        assert graph[a, b] == -1.0 and graph[b, a] == 1.0
+    prices = {(r.a, r.b) for r in q_causal.q_pc_fisherz_prices(spark, "/root/testdata/sf0.01").collect()}
+    assert ("l_extendedprice", "net") in prices and ("gross", "net") in prices
