@@ -1,7 +1,8 @@
 """E — hash-ordered sampling, shuffling and splitting.
 
-"Random" choices order rows by ``md5(seed|key)``.  Positions are hash ranks
-computed with the range-partitioned prefix sum (no global window, one plan for every n).
+"Random" choices order rows by ``md5(seed|key)``.  A choice of the first n rows is a radix
+selection (the table is only scanned); positions of all rows are hash ranks computed with the
+range-partitioned prefix sum (no global window, one plan for every n).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.exprs import hash_key, quote_ident
+from kestrel.functions.nth import hash_code, mark_first
 from kestrel.functions.prefix import prefix_sums
 
 
@@ -24,11 +26,18 @@ def hash_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str =
     return r.withColumnRenamed("__one_before", out).drop("__hs", "__one")
 
 
+def _hash_first(df: DataFrame, key: str, seed, limits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The first ``__limit`` rows of each group in ``md5(seed|key)`` order."""
+    md5 = hash_key(seed, F.col(quote_ident(key)))
+    return mark_first(df, hash_code(md5), [md5, F.col(quote_ident(key))], limits, by, "__first") \
+        .where("__first").drop("__first")
+
+
 def sample_n(df: DataFrame, n: int | Column, seed=0, key: str = "row_id") -> DataFrame:
     """E1 — exactly ``n`` rows (all rows if ``n`` >= count), hash-ordered."""
-    ranked = hash_rank(df, key, seed, out="__pos")
-    limit = n if isinstance(n, Column) else F.lit(n)
-    return ranked.where(F.col("__pos") < limit).drop("__pos")
+    if isinstance(n, Column):
+        return hash_rank(df, key, seed, out="__pos").where(F.col("__pos") < n).drop("__pos")
+    return _hash_first(df, key, seed, df.sparkSession.range(1).select(F.lit(n).alias("__limit")))
 
 
 def shuffle(df: DataFrame, seed=0, key: str = "row_id", out: str = "position") -> DataFrame:
@@ -49,9 +58,8 @@ def downsample_ratio(df: DataFrame, col: str, keep_value, seed=0, key: str = "ro
     ``int(n_keep * 5 / 95)`` (hash-chosen), bounded by what exists."""
     keep = df.where(F.col(col) == F.lit(keep_value))
     other = df.where(F.col(col) != F.lit(keep_value))
-    m = keep.agg(F.floor(F.count(F.lit(1)) * ratio[1] / ratio[0]).alias("__m"))
-    ranked = hash_rank(other, key, seed, out="__pos").crossJoin(F.broadcast(m))
-    return keep.unionByName(ranked.where(F.col("__pos") < F.col("__m")).drop("__pos", "__m"))
+    m = keep.agg(F.floor(F.count(F.lit(1)) * ratio[1] / ratio[0]).alias("__limit"))
+    return keep.unionByName(_hash_first(other, key, seed, m))
 
 
 def subsample_one_vs_rest(df: DataFrame, class_col: str, groups: Sequence[Sequence[str]],
@@ -67,43 +75,50 @@ def subsample_one_vs_rest(df: DataFrame, class_col: str, groups: Sequence[Sequen
     lab = (df.withColumn("__g", F.when(g.isNull(), F.raise_error(
         F.concat(F.lit("class outside every group: "), F.col(class_col)))).otherwise(g))
         .withColumn(label, F.when(F.col("__g") == target, 0).otherwise(1)).drop("__g"))
-    n_norm = lab.where(F.col(label) == 0).agg(F.count(F.lit(1)).alias("__nn"))
-    quota = n_norm.select(
-        F.when(F.lit(int(n * 0.95)) > F.col("__nn"), F.col("__nn"))
-        .otherwise(F.lit(int(n * 0.95))).alias("__qn"),
-        F.when(F.lit(int(n * 0.95)) > F.col("__nn"), F.floor(F.lit(0.05) * F.col("__nn") / 0.95))
-        .otherwise(F.lit(int(n * 0.05))).alias("__qa"))
-    ranked = hash_rank(lab, key, seed, by=[label], out="__pos").crossJoin(F.broadcast(quota))
-    keep = F.when(F.col(label) == 0, F.col("__pos") < F.col("__qn")).otherwise(
-        F.col("__pos") < F.col("__qa"))
-    return ranked.where(keep).drop("__pos", "__qn", "__qa")
+    n_norm = lab.agg(F.count_if(F.col(label) == 0).alias("__nn"))
+    enough = F.lit(int(n * 0.95)) <= F.col("__nn")
+    limits = n_norm.select(F.explode(F.array(
+        F.struct(F.lit(0).alias(label), F.when(enough, F.lit(int(n * 0.95))).otherwise(F.col("__nn")).alias("__limit")),
+        F.struct(F.lit(1).alias(label), F.when(enough, F.lit(int(n * 0.05)))
+                 .otherwise(F.floor(F.lit(0.05) * F.col("__nn") / 0.95)).alias("__limit")))).alias("q")).select("q.*")
+    return _hash_first(lab, key, seed, limits, [label])
+
+
+def _integral(df: DataFrame, order: str) -> bool:
+    return dict(df.dtypes)[order] in ("tinyint", "smallint", "int", "bigint")
 
 
 def split_half_by_label(df: DataFrame, label: str, order: str) -> DataFrame:
     """E6 — per label value, the first ``floor(count/2)`` rows in ``order`` are
     ``train``, the rest ``test`` (column ``split``)."""
-    w = df.withColumn("__one", F.lit(1)).withColumn("__tie", F.xxhash64(*df.columns))
-    r = prefix_sums(w, [label], order, ["__one"], tiebreak=["__tie"]).drop("__tie")
-    cnt = df.groupBy(label).agg(F.count(F.lit(1)).alias("__cnt"))
-    return (r.join(cnt, label)
-            .withColumn("split", F.when(F.col("__one_before") < F.floor(F.col("__cnt") / 2),
-                                        F.lit("train")).otherwise(F.lit("test")))
-            .drop("__one", "__one_before", "__cnt"))
+    tie = F.xxhash64(*df.columns)
+    cnt = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) / 2).alias("__limit"))
+    part = F.when(F.col("__first"), F.lit("train")).otherwise(F.lit("test"))
+    if _integral(df, order):
+        return mark_first(df, F.col(order).cast("long"), [tie], cnt, [label], "__first") \
+            .withColumn("split", part).drop("__first")
+    w = df.withColumn("__one", F.lit(1)).withColumn("__tie", tie)
+    r = prefix_sums(w, [label], order, ["__one"], tiebreak=["__tie"]).join(cnt, label)
+    return r.withColumn("__first", F.col("__one_before") < F.col("__limit")).withColumn("split", part) \
+        .drop("__one", "__tie", "__one_before", "__limit", "__first")
 
 
 def split_semi_supervised(df: DataFrame, label: str, order: str, ratio: float = 0.5
                           ) -> DataFrame:
     """E7 — train = the first ``int(ratio * normals)`` normal rows in ``order``;
     test = the other normals and every anomaly."""
-    normal = df.where(F.col(label) == 0).withColumn("__one", F.lit(1)).withColumn(
-        "__tie", F.xxhash64(*df.columns))
-    r = prefix_sums(normal, [], order, ["__one"], tiebreak=["__tie"]).drop("__tie")
-    cnt = normal.agg(F.floor(F.count(F.lit(1)) * ratio).alias("__cut"))
-    normal_split = (r.crossJoin(F.broadcast(cnt))
-                    .withColumn("split", F.when(F.col("__one_before") < F.col("__cut"),
-                                                F.lit("train")).otherwise(F.lit("test")))
-                    .drop("__one", "__one_before", "__cut"))
-    return normal_split.unionByName(df.where(F.col(label) != 0).withColumn("split", F.lit("test")))
+    normal = df.where(F.col(label) == 0)
+    tie = F.xxhash64(*df.columns)
+    cnt = normal.agg(F.floor(F.count(F.lit(1)) * ratio).alias("__limit"))
+    if _integral(df, order):
+        marked = mark_first(normal, F.col(order).cast("long"), [tie], cnt, (), "__first")
+    else:
+        w = normal.withColumn("__one", F.lit(1)).withColumn("__tie", tie)
+        r = prefix_sums(w, [], order, ["__one"], tiebreak=["__tie"]).crossJoin(F.broadcast(cnt))
+        marked = r.withColumn("__first", F.col("__one_before") < F.col("__limit")) \
+            .drop("__one", "__tie", "__one_before", "__limit")
+    split = marked.withColumn("split", F.when(F.col("__first"), F.lit("train")).otherwise(F.lit("test"))).drop("__first")
+    return split.unionByName(df.where(F.col(label) != 0).withColumn("split", F.lit("test")))
 
 
 def augment(base: DataFrame, synth: DataFrame, label: str, label_value) -> DataFrame:
