@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions.coding import look_up, value_counts
 from kestrel.functions.exprs import LANGUAGE_WORDS, ordinal_words, quote_ident
 from kestrel.functions.prefix import prefix_sums
 from kestrel.session import cut_lineage
@@ -176,59 +177,45 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
     """C2 — codes ``0..k-1`` in ascending value order (nulls stay null); the
     codes are fitted on ``fit`` (default ``df``), unseen values get null.
 
-    The code of a value is the number of distinct values below it (in byte order): distinct
-    values are counted with the range-partitioned prefix sum, not a global window."""
-    src = fit if fit is not None else df
-    out = df
-    for c in cols:
-        distinct = (src.select(F.col(quote_ident(c)).cast("string").alias("v"))
-                    .where(F.col("v").isNotNull()).distinct()
-                    .withColumn("one", F.lit(1)))
-        coded = prefix_sums(distinct, [], "v", ["one"], buckets=buckets)
-        out = (out.withColumn("__v", F.col(quote_ident(c)).cast("string"))
-               .join(coded.select(F.col("v").alias("__v"), F.col("one_before").alias("__code")),
-                     "__v", "left")
-               .withColumn(c + suffix, F.col("__code").cast("int"))
-               .drop("__v", "__code"))
-    return out
+    The code of a value is the number of distinct values below it (in byte order).  The values
+    of all columns are counted in one pass, numbered with the range-partitioned prefix sum and
+    looked up together."""
+    counts = cut_lineage(value_counts(fit if fit is not None else df, cols))
+    numbered = prefix_sums(counts.withColumn("one", F.lit(1)), ["ci"], "v", ["one"], buckets=buckets)
+    codes = cut_lineage(numbered.select("ci", "v", "n", F.col("one_before").cast("int").alias("code")))
+    out, found = look_up(df, cols, codes, "code")
+    coded = {c + suffix: code for c, code in zip(cols, found)}
+    return out.withColumns(coded).select(*df.columns, *[c for c in coded if c not in df.columns])
 
 
 def factor_encode(df: DataFrame, cols: Sequence[str], order_col: str,
                   buckets: int | None = None) -> DataFrame:
-    """C3 — order-of-appearance codes (first value seen gets 0; null gets -1)."""
-    out = df
-    for c in cols:
-        first = (df.where(F.col(quote_ident(c)).isNotNull())
-                 .groupBy(F.col(quote_ident(c)).cast("string").alias("v"))
-                 .agg(F.min(order_col).alias("first_pos"))
-                 .withColumn("one", F.lit(1)))
-        coded = prefix_sums(first, [], "first_pos", ["one"], tiebreak=["v"], buckets=buckets)
-        out = (out.withColumn("__v", F.col(quote_ident(c)).cast("string"))
-               .join(coded.select(F.col("v").alias("__v"), F.col("one_before").alias("__code")),
-                     "__v", "left")
-               .withColumn(c, F.coalesce(F.col("__code").cast("int"), F.lit(-1)))
-               .drop("__v", "__code"))
-    return out
+    """C3 — order-of-appearance codes (first value seen gets 0; null gets -1), of all columns
+    from one count of values and one look-up."""
+    first = cut_lineage(value_counts(df, cols, first=order_col))
+    numbered = prefix_sums(first.withColumn("one", F.lit(1)), ["ci"], "first_pos", ["one"], tiebreak=["v"],
+                           buckets=buckets)
+    codes = cut_lineage(numbered.select("ci", "v", "n", F.col("one_before").cast("int").alias("code")))
+    out, found = look_up(df, cols, codes, "code")
+    return out.withColumns({c: F.coalesce(code, F.lit(-1)) for c, code in zip(cols, found)}).select(*df.columns)
 
 
 def group_rare(df: DataFrame, cols: Sequence[str], tol: float = 0.01,
                min_categories: int = 10, replace_with: str = "Rare") -> DataFrame:
     """C9 — categories with frequency ``< tol`` among non-null values become
-    ``'Rare'``; a column with at most ``min_categories`` categories is left as is."""
-    out = df
-    for c in cols:
-        counts = (df.where(F.col(quote_ident(c)).isNotNull())
-                  .groupBy(F.col(quote_ident(c)).alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
-        tot = counts.agg(F.sum("__n").alias("__tot"), F.count(F.lit(1)).alias("__k"))
-        rare = (counts.crossJoin(F.broadcast(tot))
-                .where((F.col("__k") > min_categories) & (F.col("__n") / F.col("__tot") < tol))
-                .select("__v", F.lit(True).alias("__rare")))
-        out = (out.withColumn("__v", F.col(quote_ident(c)))
-               .join(rare, "__v", "left")
-               .withColumn(c, F.when(F.col("__rare"), F.lit(replace_with))
-                           .otherwise(F.col(quote_ident(c))))
-               .drop("__v", "__rare"))
-    return out
+    ``'Rare'``; a column with at most ``min_categories`` categories is left as is.
+
+    Only the categories that are not rare are looked up, at most ``1 / tol`` of a column: the
+    table itself is not shuffled."""
+    counts = cut_lineage(value_counts(df, cols))
+    total = counts.groupBy("ci").agg(F.sum("n").alias("tot"), F.count(F.lit(1)).alias("k"))
+    held = {r["ci"]: r["k"] > min_categories for r in total.collect()}  # one row per column
+    often = cut_lineage(counts.join(F.broadcast(total), "ci").where(F.col("n") / F.col("tot") >= tol)
+                        .select("ci", "v", "n", F.lit(True).alias("often")))
+    out, found = look_up(df, cols, often, "often")
+    return out.withColumns({
+        c: F.when(F.col(quote_ident(c)).isNotNull() & often_here.isNull(), F.lit(replace_with)).otherwise(F.col(quote_ident(c)))
+        for i, (c, often_here) in enumerate(zip(cols, found)) if held.get(i)}).select(*df.columns)
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], max_categories: int = 1000,

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.functions.coding import look_up, value_counts
 from kestrel.functions.exprs import quote_ident
 from kestrel.functions.prefix import prefix_sums
 from kestrel.session import cut_lineage
@@ -37,36 +38,28 @@ def ecod(data: DataFrame, cols: Sequence[str], test: DataFrame | None = None,
          out: str = "score") -> DataFrame:
     """L1 — ECOD: adds ``score`` to every row of ``test`` (or of ``data``).  The
     ECDFs are fitted on ``data`` plus ``test`` (as the detector does when
-    scoring).  Rows stay wide: each column's tail lookup (one row per distinct
-    value) is joined on the value, so no row key is needed."""
+    scoring).  The tails of the values of all columns are looked up together."""
     fit = data if test is None else data.select(*cols).unionByName(test.select(*cols))
     scored = data if test is None else test
-    long = fit.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), _c(c).alias("v"))
-                                          for c in cols])).alias("kv")).select("kv.*")
-    d = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    cum = prefix_sums(d, ["c"], "v", ["cnt"])
-    st = fit.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.signum(F.skewness(_c(c))).alias(f"sk_{i}") for i, c in enumerate(cols)])
-    sk = st.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"sk_{i}").alias("sk"))
-                                            for i, c in enumerate(cols)])).alias("s")).select("n", "s.*")
+    d = cut_lineage(value_counts(fit, cols, _c))
+    cum = prefix_sums(d.withColumn("cnt", F.col("n")), ["ci"], "v", ["cnt"]).select("ci", "v", "cnt", "cnt_before")
+    # a column's tails are shares of its values that are not null
+    st = fit.agg(*[F.signum(F.skewness(_c(c))).alias(f"sk_{i}") for i, c in enumerate(cols)],
+                 *[F.count(_c(c)).alias(f"n_{i}") for i, c in enumerate(cols)])
+    sk = st.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"sk_{i}").alias("sk"), F.col(f"n_{i}").alias("n"))
+                                       for i in range(len(cols))])).alias("s")).select("s.*")
     # per (column, distinct value): -ln F(v) (left tail) and -ln P(X >= v) (right tail);
     # the per-column stats row is one row per column: broadcast
-    lookup = (cum.join(F.broadcast(sk), "c")
-              .select("c", "v",
+    lookup = (cum.join(F.broadcast(sk), "ci")
+              .select("ci", "v", F.col("cnt").alias("count"),
                       (-F.ln((F.col("cnt_before") + F.col("cnt")) / F.col("n"))).alias("ul"),
                       (-F.ln((F.col("n") - F.col("cnt_before")) / F.col("n"))).alias("ur"),
                       F.coalesce(F.nanvl(F.col("sk"), F.lit(0.0)), F.lit(0.0)).alias("sk")))
     uskew = (F.col("ul") * -F.signum(F.col("sk") - 1) + F.col("ur") * F.signum(F.col("sk") + 1))
-    # written once: every column's join reads its slice of it
-    o = cut_lineage(lookup.select("c", "v", F.greatest(uskew, F.greatest("ul", "ur")).alias("o")))
-    res = scored
-    terms = []
-    for i, c in enumerate(cols):
-        lk = o.where(F.col("c") == c).select(F.col("v").alias(f"__v{i}"), F.col("o").alias(f"__o{i}"))
-        res = res.withColumn(f"__v{i}", _c(c)).join(lk, f"__v{i}", "left")
-        terms.append(F.col(f"__o{i}"))
-    return res.withColumn(out, sum(terms[1:], terms[0])).drop(
-        *[f"__v{i}" for i in range(len(cols))], *[f"__o{i}" for i in range(len(cols))])
+    o = cut_lineage(lookup.select("ci", "v", F.col("count").alias("n"),
+                                  F.greatest(uskew, F.greatest("ul", "ur")).alias("o")))
+    res, terms = look_up(scored, cols, o, "o", _c)
+    return res.withColumn(out, sum(terms[1:], terms[0])).select(*[c for c in scored.columns if c != out], out)
 
 
 def pca_score(train: DataFrame, cols: Sequence[str], row_id: str = "row_id",
