@@ -156,32 +156,37 @@ def _grow(pdf: pd.DataFrame, cols: list[str], psi: int, seed: int) -> pd.DataFra
 
 
 def iforest_fit(train: DataFrame, cols: Sequence[str], n_trees: int = 100, psi: int = 256,
-                seed: int = 0, row_id: str = "row_id") -> DataFrame:
+                seed: int = 0, row_id: str = "row_id", n: int | None = None) -> DataFrame:
     """L4 (fit) — ``(tree_id, node, feature, threshold, left, right, size)``.
 
-    Each tree's sample: every row keeps the trees whose hash
-    ``xxhash64(seed, tree, row)`` falls below a rate of ``3 psi / n`` (expected 3
-    psi candidates per tree, emitted without materializing rows x trees), then
-    the ``psi`` smallest hashes per tree are kept (a window over a few hundred
-    rows per tree).  The sample (trees x psi rows) is materialized once with a
-    reliable checkpoint; trees grow in parallel, one ``applyInPandas`` group each."""
+    Each tree's sample: a row is a candidate of every tree with the rate ``3 psi / n``.  The gaps
+    between a row's trees are geometric, so one hash decides for nearly every row that it is no
+    candidate at all, and only the others draw again.  Of the expected 3 psi candidates of
+    a tree the ``psi`` of smallest hash are kept (a window over a few hundred rows per tree).
+    The sample (trees x psi rows) is materialized once with a reliable checkpoint; trees grow
+    in parallel, one ``applyInPandas`` group each."""
     from pyspark.sql.window import Window
     cols = list(cols)
-    n = train.count()
+    n = train.count() if n is None else n
     psi_eff = min(psi, n)
     rate = min(1.0, 3.0 * psi_eff / max(n, 1))
     x = train.select(F.col(quote_ident(row_id)).alias("row_id"), *[_c(c).alias(c) for c in cols])
-    mask = F.lit((1 << 53) - 1)
 
-    def u(t):  # uniform in [0, 1) from a 64-bit hash (JVM codegen, no string hashing)
-        return (F.xxhash64(F.lit(seed), t, F.col("row_id")).bitwiseAND(mask)).cast("double") / float(1 << 53)
+    def gap(k, miss):  # trees passed over before the next one, from the k-th hash of the row
+        u = (F.xxhash64(F.lit(seed), k, F.col("row_id")).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)
+        return F.floor(F.least(F.ln(u) / F.lit(miss), F.lit(float(n_trees)))).cast("int")
     while True:
-        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < F.lit(rate))
-        cand = x.select("*", F.explode(trees).alias("tree_id")).withColumn(
+        miss = math.log1p(-rate) if rate < 1.0 else float("-inf")
+        some = x.withColumn("__first", gap(F.lit(0), miss)).where(F.col("__first") < n_trees)
+        trees = F.aggregate(
+            F.sequence(F.lit(1), F.lit(n_trees)), F.array("__first"),
+            lambda t, k: F.when(F.element_at(t, -1) + 1 >= n_trees, t).otherwise(
+                F.concat(t, F.array(F.element_at(t, -1) + 1 + gap(k, miss)))))
+        cand = some.withColumn("tree_id", F.explode(F.filter(trees, lambda t: t < n_trees))).withColumn(
             "__h", F.xxhash64(F.lit(seed + 1), F.col("tree_id"), F.col("row_id")))
         w = Window.partitionBy("tree_id").orderBy("__h", "row_id")
         samp = cut_lineage(cand.withColumn("__r", F.row_number().over(w))
-                           .where(F.col("__r") <= psi_eff).drop("__r", "__h"))
+                           .where(F.col("__r") <= psi_eff).drop("__r", "__h", "__first"))
         counts = samp.groupBy("tree_id").count().collect()
         if (len(counts) == n_trees and min(r["count"] for r in counts) >= psi_eff) or rate >= 1.0:
             break
@@ -212,31 +217,39 @@ def iforest_score(forest: DataFrame, test: DataFrame, cols: Sequence[str], psi:
         i = tid[r.tree_id]
         feat[i, r.node], thr[i, r.node] = r.feature, r.threshold
         left[i, r.node], right[i, r.node], size[i, r.node] = r.left, r.right, r.size
-    bc = test.sparkSession.sparkContext.broadcast((feat, thr, left, right, size))
+    # a leaf leads to itself, so that all rows walk the same number of steps without a mask
+    leaf = feat < 0
+    depth, levels = np.zeros((T_, max_nodes)), 0
+    for i in range(T_):
+        for node in range(max_nodes):  # children come after their parent
+            if feat[i, node] >= 0:
+                depth[i, [left[i, node], right[i, node]]] = depth[i, node] + 1
+        levels = max(levels, int(depth[i].max()))
+    own = np.broadcast_to(np.arange(max_nodes), feat.shape)
+    start = (np.arange(T_) * max_nodes)[:, None]
+    child = np.stack([np.where(leaf, own, left) + start, np.where(leaf, own, right) + start], axis=-1)
+    path = depth + np.where(leaf, _c_factor(size.ravel()).reshape(size.shape), 0.0)
+    bc = test.sparkSession.sparkContext.broadcast((
+        np.where(leaf, 0, feat).astype(np.int32).ravel(), np.where(leaf, np.inf, thr).ravel(),
+        child.astype(np.int32).ravel(), path.ravel(), start.ravel().astype(np.int32)))
     cpsi = float(_c_factor(np.array([psi]))[0]) if psi > 1 else 1.0
 
     def score(it):
-        f, th, lf, rt, sz = (a.ravel() for a in bc.value)
-        n_t = bc.value[0].shape[0]
-        base = (np.arange(n_t, dtype=np.int64) * max_nodes)[None, :]
+        f, th, ch, lengths, first = bc.value
+        block = max(1, 200_000 // len(first))  # rows whose walk stays in the processor's cache
         for pdf in it:
-            xv = pdf[cols].to_numpy(dtype=float)
-            m = len(xv)
-            idx = np.broadcast_to(base, (m, n_t)).copy()  # flat (tree, node) index
-            depth = np.zeros((m, n_t), dtype=np.float64)
-            # level-synchronous walk of all trees at once on flat arrays
-            while True:
-                ft = f.take(idx)
-                active = ft >= 0
-                if not active.any():
-                    break
-                val = np.take_along_axis(xv, np.where(active, ft, 0), axis=1)
-                nxt = np.where(val < th.take(idx), lf.take(idx), rt.take(idx)) + base
-                idx = np.where(active, nxt, idx)
-                depth += active
-            total = (depth + _c_factor(sz.take(idx))).sum(axis=1)
+            x = np.ascontiguousarray(pdf[cols].to_numpy(dtype=float))
+            total = np.empty(len(x))
+            for at in range(0, len(x), block):
+                part = x[at:at + block].ravel()
+                rows = (np.arange(len(part) // len(cols), dtype=np.int32) * len(cols))[:, None]
+                idx = np.broadcast_to(first, (len(rows), len(first))).copy()
+                for _ in range(levels):
+                    less = part.take(rows + f.take(idx)) < th.take(idx)
+                    idx = ch.take(2 * idx + ~less)
+                total[at:at + block] = lengths.take(idx).sum(axis=1)
             yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(),
-                                "score": np.power(2.0, -(total / n_t) / cpsi)})
+                                "score": np.power(2.0, -(total / len(first)) / cpsi)})
     x = test.select(F.col(quote_ident(row_id)).alias("row_id"), *[_c(c).alias(c) for c in cols])
     par = test.sparkSession.sparkContext.defaultParallelism
     if x.rdd.getNumPartitions() < par:  # Python-side work: use every core
@@ -249,9 +262,9 @@ def iforest(train: DataFrame, cols: Sequence[str], test: DataFrame | None = None
             n_trees: int = 100, psi: int = 256, seed: int = 0, row_id: str = "row_id"
             ) -> DataFrame:
     """L4 — fit on ``train``, score ``test`` (or ``train``)."""
-    forest = iforest_fit(train, cols, n_trees, psi, seed, row_id)
-    return iforest_score(forest, test if test is not None else train, cols,
-                         min(psi, max(train.count(), 1)), row_id)
+    n = train.count()
+    forest = iforest_fit(train, cols, n_trees, psi, seed, row_id, n)
+    return iforest_score(forest, test if test is not None else train, cols, min(psi, max(n, 1)), row_id)
 
 
 def random_projection(df: DataFrame, cols: Sequence[str], n_features: int = 8, seed: int = 0,

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from kestrel.functions.exprs import quote_ident
 from pyspark.sql.window import Window
 
 from kestrel.functions.exprs import hash_key, hash_num
@@ -299,9 +301,10 @@ def std_matrix(metrics: DataFrame, metric: str, methods: Sequence[str],
 
 
 def row_hash(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Append ``__rh``, a 128-bit digest of the values as a JSON list: a null is not an empty
+    string, and no text runs over into its neighbour."""
     cols = list(cols or df.columns)
-    return df.withColumn("__rh", F.md5(F.concat_ws("|", *[
-        F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])))
+    return df.withColumn("__rh", F.md5(F.to_json(F.array(*[F.col(quote_ident(c)).cast("string") for c in cols]))))
 
 
 def overlap(a: DataFrame, b: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ equi-joins, which AQE broadcasts when the fitted tables are small and shuffles
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -166,7 +167,12 @@ def score_nll(test: DataFrame, row_id: str, model: DensityModel,
     """I3 — ``(row_id, perm_id, pos, col, nll)`` with
     ``nll = -ln((n(prev,val)+a)/(n(prev)+a*K))``; unseen values and contexts count 0."""
     olist = orders if isinstance(orders, list) else orders_list(orders)
-    rec = order_records(test, row_id, olist)
+    scored = _with_nll(order_records(test, row_id, olist), model)
+    return scored.select("row_id", "perm_id", "pos", "col", "nll")
+
+
+def _with_nll(rec: DataFrame, model: DensityModel) -> DataFrame:
+    """Append nll to records (prev_col, prev_value, col, value, ...)."""
     a = F.lit(model.alpha)
     scored = (rec.join(_sized(model.counts, model.n_counts),
                        ["prev_col", "prev_value", "col", "value"], "left")
@@ -177,7 +183,26 @@ def score_nll(test: DataFrame, row_id: str, model: DensityModel,
     num = F.coalesce(F.col("n"), F.lit(0)).cast("double") + a
     den = F.coalesce(F.col("n_ctx"), F.lit(0)).cast("double") + a * F.coalesce(
         F.col("k"), F.lit(0)).cast("double")
-    return scored.select("row_id", "perm_id", "pos", "col", (-F.ln(num / den)).alias("nll"))
+    return scored.select(*rec.columns, (-F.ln(num / den)).alias("nll"))
+
+
+def mean_scores(test: DataFrame, row_id: str, model: DensityModel, orders: DataFrame | list,
+                weights: DataFrame | None = None) -> DataFrame:
+    """I3 + I6 + I10 factored over the orders: ``(row_id, score)``, the mean over the orders of
+    the weighted NLL sums.
+
+    The NLL of a column depends only on the column before it, so each distinct adjacent pair is
+    scored once per row and counts as often as it occurs in the orders: 21 orders of 7 columns
+    have at most 49 pairs instead of 147 positions, and no row is repeated per order."""
+    olist = orders if isinstance(orders, list) else orders_list(orders)
+    times = Counter((cols[i - 1] if i else None, c) for _, cols in olist for i, c in enumerate(cols))
+    rec = test.select(F.col(quote_ident(row_id)).alias("row_id"), F.inline(F.array(*[F.struct(
+        F.lit(c).alias("col"), _val(c).alias("value"), F.lit(START if prev is None else prev).alias("prev_col"),
+        (F.lit(START) if prev is None else _val(prev)).alias("prev_value"), F.lit(float(n)).alias("times"))
+        for (prev, c), n in times.items()])))
+    s = _multiplier(_with_nll(rec, model), weights)
+    return s.groupBy("row_id").agg((F.sum(F.col("nll") * F.col("times") * F.col("__mult"))
+                                    / F.lit(float(len(olist)))).alias("score"))
 
 
 def score_contrast(test: DataFrame, row_id: str, model_normal: DensityModel | None,

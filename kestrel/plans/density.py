@@ -38,8 +38,7 @@ def density_scores(df: DataFrame, row_id: str, label: str, cols: Sequence[str],
     model = scoring.fit_density(train, cols, perms, alpha)
     # broadcast the fitted tables only behind a proven bound on their size
     model = scoring.size_bounds(model)
-    nll = scoring.score_nll(binned, row_id, model, perms)
-    return scoring.row_scores(nll, weights, n_perms)
+    return scoring.mean_scores(binned, row_id, model, perms, weights)
 
 
 def top_density_anomalies(df: DataFrame, row_id: str, label: str, cols: Sequence[str],

@@ -96,3 +96,13 @@ def test_misclassified_all_covers_every_method(spark):
     one = [tuple(r) for r in catalog.QUERIES["j05_misclassified"](spark, SF001).collect()]
     assert {"zscore", "nation_rarity"} <= {r[2] for r in rows}
     assert sorted(r for r in rows if r[2] == "nation_rarity") == sorted(one)
+
+
+def test_overlap_compares_values_exactly(spark):
+    from kestrel.operators import metrics as J
+    kind = "x string, y string"
+    train = spark.createDataFrame([(None, "p"), ("a|b", "c"), ("u", "v")], kind)
+    test = spark.createDataFrame([("", "p"), ("a", "b|c"), ("u", "v"), (None, "p")], kind)
+    assert {tuple(r) for r in J.remove_overlap(train, test).collect()} == {("", "p"), ("a", "b|c")}
+    assert J.overlap(test, train).count() == 2
+    assert J.check_no_overlap(train, test.where("x = 'a'")).first()["n_overlap"] == 0

@@ -91,3 +91,19 @@ def test_text_nll_all_scores_unlabelled_documents(spark, tmp_path):
     assert got[4].score == got[1].score == pytest.approx(seen) and got[4].n_tokens == 3
     assert got[2].score == pytest.approx((seen + unseen) / 2)
     assert got[3].score == pytest.approx((unseen + seen + unseen) / 3)
+
+
+def test_factored_mean_equals_the_mean_over_orders(spark):
+    import itertools
+
+    from kestrel.operators import scoring as S
+    rows = [(i, f"a{i % 3}", f"b{i % 5}", None if i % 4 == 0 else f"c{i % 2}") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, c string")
+    orders = list(enumerate(map(list, itertools.permutations("abc"))))
+    model = S.fit_density(df.where("row_id < 40"), ["a", "b", "c"], orders, 0.5)
+    weights = spark.createDataFrame([("a", 2.0), ("c", 0.5)], "col string, weight double")
+    for w in (None, weights):
+        slow = {r["row_id"]: r["score"] for r in S.mean_permutations(
+            S.aggregate_nll(S.score_nll(df, "row_id", model, orders), w)).collect()}
+        fast = {r["row_id"]: r["score"] for r in S.mean_scores(df, "row_id", model, orders, w).collect()}
+        assert fast.keys() == slow.keys() and all(abs(fast[k] - slow[k]) < 1e-9 for k in slow)
