@@ -35,8 +35,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BLOCK_BYTES = 4_000_000
 LEVEL = 3
-#: Dictionary training: about this many whole documents (never more than twice as many) of at
-#: most SAMPLE_CHARS code points, chosen by the hash of id and text.
+#: Dictionary training: about this many documents (never more than twice as many), chosen by the
+#: hash of id and text; of a longer one a piece of SAMPLE_CHARS code points at a hashed place.
 SAMPLE_DOCUMENTS = 400
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 65_536
@@ -136,8 +136,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     share = min(1.0, SAMPLE_DOCUMENTS / max(docs.count(), 1))
     point = F.xxhash64("doc_id", "text").bitwiseAND((1 << 53) - 1) / float(1 << 53)
-    sampled = (docs.where((point < share) & (F.length("text") <= SAMPLE_CHARS)).select("text")
-               .limit(2 * SAMPLE_DOCUMENTS).collect())
+    # of a longer text a piece somewhere in it, so that tables of long documents get a dictionary too
+    first = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - F.lit(SAMPLE_CHARS - 1), F.lit(1)))
+    sampled = (docs.select(point.alias("point"), "doc_id", F.substring(F.col("text"), first.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+               .where(F.col("point") < share).orderBy("point", "doc_id", "text").limit(2 * SAMPLE_DOCUMENTS)
+               .select("text").collect())
     coder = encoder(tokenizer)
     id_bytes = 2 if coder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     kind = f"<u{id_bytes}"
@@ -205,7 +208,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if ids:
             yield flush()
 
-    ordered = frames.repartition(parts, "bucket").sortWithinPartitions(
+    ordered = frames.repartitionById(parts, "bucket").sortWithinPartitions(
         "bucket", F.col("doc_id").asc_nulls_first(), "tie")
     ordered.mapInArrow(pack, BLOCK).write.parquet(f"{path}/blocks")
 

@@ -99,3 +99,19 @@ def test_damaged_dictionary_is_noticed(spark, tmp_path):
     other.write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(ValueError):
         token_files.read_tokens(spark, path)
+
+
+def test_dictionary_of_long_documents_only(spark, tmp_path):
+    """Documents beyond the piece length train a dictionary, the same one in every run."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    words = [f"word{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 8000))) for i in range(20)], "doc_id long, text string")
+    found = []
+    for k, df in enumerate((docs, docs.repartition(7))):
+        token_files.write_tokens(df, str(tmp_path / str(k)), WORD)
+        row = spark.read.parquet(str(tmp_path / str(k) / "dictionary")).first()
+        assert len(row["dictionary"]) > 1000
+        found.append(row["dictionary_sha256"])
+        assert token_files.read_report(spark, str(tmp_path / str(k))).count() == 20
+    assert found[0] == found[1]
