@@ -181,16 +181,18 @@ def plan_mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (5,
 
 def mix_documents(docs: DataFrame, share: float = 1.5,
                   weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
-    """The mixed table: every row of ``docs`` repeated as often as the plan says (0 to 2)."""
+    """The mixed table: every row of ``docs`` repeated as often as the plan says (0 to 2).
+
+    Rows equal in all columns share one decision, so a source that consists mostly of one
+    repeated row can miss its target by up to half its words.
+    """
+    i, src, at, copies, h, each = (fresh(docs, n) for n in ("__id", "__src", "__plan", "__copies", "__hash", "__each"))
     plan = plan_mix(docs, share, weights).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("hash").alias("__plan"),
-        F.col("copies").alias("__copies"))
-    h = fresh(docs, "__hash")
+        F.col("doc_id").alias(i), F.col("source").alias(src), F.col("hash").alias(at), F.col("copies").alias(copies))
     keyed = docs.withColumn(h, F.xxhash64(*docs.columns))
-    joined = keyed.join(plan, (keyed[h] == F.col("__plan")) & keyed["doc_id"].eqNullSafe(F.col("__id"))
-                        & keyed["source"].eqNullSafe(F.col("__src")))
-    many = F.array_repeat(F.lit(0), F.col("__copies"))
-    return joined.withColumn("__each", F.explode(many)).select(*[keyed[c] for c in docs.columns])
+    joined = keyed.join(plan, (F.col(h) == F.col(at)) & F.col("doc_id").eqNullSafe(F.col(i))
+                        & F.col("source").eqNullSafe(F.col(src)))
+    return joined.withColumn(each, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
 
 
 def mixed_documents_report(docs: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def _by_join(urls: DataFrame, rules: DataFrame, host: str, path: str, out: str)
             .groupBy("__h", "__p").agg(F.max("__end").alias("__end"))
             .select("__h", "__p", F.struct(F.col("__end.rule"), F.col("__end.verdict")).alias(out)))
     return urls.join(best, (urls[host] == best["__h"]) & (urls[path] == best["__p"]),
-                     "left").drop("__h", "__p")
+                     "left").drop(best["__h"], best["__p"])
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow",

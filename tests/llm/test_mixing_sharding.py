@@ -124,3 +124,12 @@ def test_shards(spark, odd_documents, no_documents):
 def test_clashing_columns_are_refused(spark):
     with pytest.raises(ValueError):
         sharding.shard_rows(spark.createDataFrame([(1, 2)], "doc_id long, slot long"), "doc_id", [], 3)
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    from kestrel.llm import mixing
+    rows = [(i, f"one two three {i}", "s", "c", 1, "h") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __copies string, __id int, __hash string")
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns and out.count() > 0
+    assert {tuple(r) for r in out.collect()} <= set(rows)

@@ -82,3 +82,12 @@ def test_chat_is_native_and_takes_empty_tables(spark):
     assert back.count() == 0
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_joined_rules_keep_columns_of_their_names(spark):
+    from kestrel.llm import url_filter
+    pages = spark.createDataFrame([(1, "http://a.org/x", "h", "p"), (2, None, None, None)], "page_id long, url string, __h string, __p string")
+    rules = spark.createDataFrame([("org", "/", "allow")], "host string, path string, verdict string")
+    by_trie = url_filter.filter_urls(pages, rules).orderBy("page_id").collect()
+    by_join = url_filter.filter_urls(pages, rules, trie_bytes=0).orderBy("page_id").collect()
+    assert by_trie == by_join and by_join[0]["__h"] == "h" and by_join[0]["rule"] == "org/"
