@@ -23,6 +23,7 @@ import math
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -35,6 +36,8 @@ SHINGLE = 5
 COORDINATES = 64
 CHUNK_CHARS = 2_000_000
 REMEMBERED_WORDS = 100_000
+#: Members of a posting list compared with as many others at a time, and shingles of a product.
+BLOCK, COLUMNS = 512, 2048
 #: Node ids are broadcast for a join with the texts up to this many (8 bytes each), else shuffled.
 BROADCAST_NODES = 1_000_000
 
@@ -241,19 +244,85 @@ def _agreeing(x: str, y: str):
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e))
 
 
-def _rest_pairs(lists: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs between different components: members outside a list's largest component with
-    all members of others that they could reach and that agree in enough coordinates, each pair
-    in its first common list only."""
-    tokens = lists.groupBy("node").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
-    full = lists.join(tokens, "node").join(classes.select("node", "sig"), "node")
-    outside = full.join(_main_component(lists), "token").where("comp <> main").select(
-        "token", F.col("node").alias("q"), F.col("comp").alias("q_comp"), F.col("sig").alias("q_sig"),
-        F.col("c").alias("qc"), F.col("n").alias("qn"), F.col("tokens").alias("q_tokens"))
-    first = F.get(F.array_intersect("tokens", "q_tokens"), 0) == F.col("token")
-    met = full.join(outside, "token").where(
-        _reachable(percent) & first & (_agreeing("sig", "q_sig") >= matches))
-    return _ordered(met.select(F.col("node").alias("p"), "q"))
+def _common(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other, as products of
+    0/1 matrices over the shingles that occur on both sides, some of them at a time."""
+    out = np.zeros((len(own), len(other)), dtype=np.int64)
+    both = np.intersect1d(np.unique(np.concatenate(own)), np.unique(np.concatenate(other)), assume_unique=True)
+    if not len(both):
+        return out
+
+    def placed(sets):
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = both[at] == flat
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]
+
+    (i, x), (j, y) = placed(own), placed(other)
+    for low in range(0, len(both), COLUMNS):
+        left, right = np.zeros((len(own), COLUMNS), np.float32), np.zeros((len(other), COLUMNS), np.float32)
+        here, there = (x >= low) & (x < low + COLUMNS), (y >= low) & (y < low + COLUMNS)
+        left[i[here], x[here] - low] = 1
+        right[j[there], y[there] - low] = 1
+        out += (left @ right.T).astype(np.int64)  # counts up to COLUMNS are exact
+    return out
+
+
+def _rest_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of different components: members outside a list's largest
+    component against all members of the list, by their full sets.
+
+    Both sides of a list are cut into blocks of about BLOCK members; a task compares two blocks
+    and returns the links that join components which its other links have not joined already, so
+    that it returns less rows than it has members, however many pairs are alike."""
+    # of lists with the same members (equal 128 bits of summed hashes) one is enough
+    sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)]
+    alike = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *sums)
+    lists = lists.join(alike.groupBy("m", "s0", "s1").agg(F.min("token").alias("token")).select("token"), "token")
+    main = lists.join(_main_component(lists), "token").withColumn("outside", F.col("comp") != F.col("main"))
+    sizes = main.groupBy("token").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("all"),
+        F.ceil(F.count_if("outside") / F.lit(BLOCK)).cast("int").alias("out"))
+    rows = main.join(sizes.where("out > 0"), "token").select("token", "node", "comp", "outside", "all", "out")
+    h = F.xxhash64("node")
+    left = rows.select("token", "node", "comp", F.pmod(h, F.col("all")).cast("int").alias("p"),
+                       F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("q"))
+    right = rows.where("outside").select("token", "node", "comp", F.pmod(h, F.col("out")).cast("int").alias("q"),
+                                         F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("p"))
+
+    def compare(all_, outside):
+        a, b = [], []
+        all_, outside = (t.rename(columns=lambda c: c[2:]) for t in (all_, outside))
+        if len(all_) and len(outside):
+            own, other = ([np.asarray(s) for s in t["shingles"]] for t in (all_, outside))
+            n, m = np.array([len(s) for s in own]), np.array([len(s) for s in other])
+            same = _common(own, other)
+            near = (100 * same >= percent * (n[:, None] + m[None, :] - same)) \
+                & (all_["comp"].to_numpy()[:, None] != outside["comp"].to_numpy()[None, :])
+            root: dict[int, int] = {}
+
+            def find(x):
+                while root.get(x, x) != x:
+                    root[x] = x = root.get(root[x], root[x])
+                return x
+
+            x_comp, y_comp = all_["comp"].tolist(), outside["comp"].tolist()
+            x_node, y_node = all_["node"].tolist(), outside["node"].tolist()
+            for i, j in zip(*np.nonzero(near)):
+                x, y = find(x_comp[i]), find(y_comp[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(min(x_node[i], y_node[j]))
+                    b.append(max(x_node[i], y_node[j]))
+        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
+
+    def grouped(side: DataFrame, prefix: str):
+        """The side under column names of its own, as both come from the same lists."""
+        own = side.join(sets, "node").select(*[F.col(c).alias(prefix + c) for c in (
+            "token", "p", "q", "node", "comp", "shingles")])
+        return own.groupBy(*[prefix + c for c in ("token", "p", "q")])
+
+    return grouped(left, "l_").cogroup(grouped(right, "r_")).applyInPandas(compare, "a long, b long").distinct()
 
 
 def _side(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -313,8 +382,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = SHINGLE,
         comps = connected_components(links, m)
         lists = lists.drop("comp").join(comps.withColumnRenamed("component", "comp"), "node", "left") \
             .withColumn("comp", F.coalesce("comp", "node"))
-        rest = _rest_pairs(written(lists, "near-rest", m), classes, matches, percent)
-        links = links.unionByName(written(confirm(rest), "near-links", m))
+        links = links.unionByName(written(_rest_links(written(lists, "near-rest", m), sets, percent), "near-links", m))
         comps = connected_components(links, m)
     named = classes.join(comps, "node", "left").select(
         "hi", "lo", F.coalesce("component", "node").alias("component"))

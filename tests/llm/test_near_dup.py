@@ -104,3 +104,40 @@ def test_connected_components(spark):
     assert {r.node: r.component for r in got} == {x: find(x) for x in parent}
     none = components.connected_components(spark.createDataFrame([], "a long, b long"))
     assert none.count() == 0
+
+
+def test_intersections_by_products():
+    rng = np.random.default_rng(2)
+    own = [np.unique(rng.integers(0, 9000, n)) for n in (5, 3000, 1, 700)]
+    other = [np.unique(rng.integers(0, 9000, n)) for n in (4000, 2, 900)]
+    got = near_dup._common(own, other)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in other] for x in own]
+
+
+def test_fringe_of_unlinked_copies(spark, monkeypatch):
+    """Many texts alike by about 70 %, a few links among them, compared in several blocks."""
+    monkeypatch.setattr(near_dup, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(200, 7 if k % 3 else 2, replace=False):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(196)} for t in texts]
+    parent = list(range(150))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for i in range(150):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, percent=80).collect()}
+    assert got == {i: find(i) for i in range(150)}
