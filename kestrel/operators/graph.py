@@ -230,13 +230,14 @@ def select_diverse(orders: DataFrame, max_orders: int, seed=0,
 def excluded_nodes(nodes: DataFrame, directed: DataFrame, weights: DataFrame | None = None
                    ) -> DataFrame:
     """H9 — graph nodes without a directed edge, plus zero-weight columns
-    (``weights(col, weight)``), distinct and sorted per graph."""
+    (``weights(col, weight)``, for every graph, or with a ``graph_id`` for that graph),
+    distinct per graph."""
     out = nodes.join(involved_nodes(directed), ["graph_id", "node"], "left_anti")
     if weights is not None:
-        graphs = nodes.select("graph_id").distinct()
-        zero = (weights.where(F.abs(F.col("weight").cast("double")) <= EPS)
-                .select(F.col("col").alias("node")))
-        out = out.unionByName(graphs.crossJoin(zero))
+        zero = weights.where(F.abs(F.col("weight").cast("double")) <= EPS).withColumnRenamed("col", "node")
+        if "graph_id" not in weights.columns:
+            zero = nodes.select("graph_id").distinct().crossJoin(zero)
+        out = out.unionByName(zero.select("graph_id", "node"))
     return out.distinct()
 
 

@@ -206,10 +206,15 @@ def evaluate(df: DataFrame, score: str = "score", label: str = "label",
 
 
 def top_anomalies(scores: DataFrame, rows: DataFrame, row_id: str = "row_id",
-                  k: int = 20) -> DataFrame:
-    """J4 — the ``k`` highest scores (ties by ``row_id``) joined to their rows.
-    ``orderBy().limit()`` plans a TakeOrderedAndProject: per-partition top-k then
-    a k-row merge, never a full sort; the k rows are broadcast to the join."""
+                  k: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """J4 — the ``k`` highest scores (ties by ``row_id``) joined to their rows, for each group of
+    the ``by`` columns of ``scores``.  ``orderBy().limit()`` plans a TakeOrderedAndProject:
+    per-partition top-k then a k-row merge, never a full sort; the k rows are broadcast to the
+    join.  With ``by`` the rank filter becomes a group limit below the shuffle, so that a task
+    sends at most ``k`` rows of a group, however many the group has."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc(row_id))
+        return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(rows, row_id)
     top = scores.orderBy(F.desc("score"), F.asc(row_id)).limit(k)
     joined = rows.join(F.broadcast(top), row_id, "inner")
     # rank over the k joined rows only (k is the feature's own limit)

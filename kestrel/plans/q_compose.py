@@ -98,8 +98,9 @@ POSTING_DEFAULTS = {"lang": "Unknown", "source": "Not Specified", "text": "NaN"}
 
 
 @register("b20_prepare_postings", """
-WITH p AS (SELECT doc_id, text, nullif(lang, 'de') AS lang, source, CAST(toxic AS VARCHAR) AS fraudulent
-           FROM documents JOIN labels USING (doc_id)),
+WITH p AS (SELECT doc_id, text, nullif(lang, 'de') AS lang, source,
+                  coalesce(CAST(toxic AS VARCHAR), 'unlabelled') AS fraudulent
+           FROM documents LEFT JOIN labels USING (doc_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY fraudulent ORDER BY doc_id) - 1 AS rn,
              count(*) OVER (PARTITION BY fraudulent) AS cnt FROM p),
 s AS (SELECT *, CASE WHEN rn < floor(cnt / 2) THEN 'train' ELSE 'test' END AS part FROM r)
@@ -112,9 +113,9 @@ SELECT CASE WHEN lower(trim(fraudulent)) IN ('yes', 'true', '1') THEN 1
 FROM s""")
 def q_postings(spark, sf_dir):
     from kestrel.operators import sampling as E
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     posts = d.select("doc_id", "text", F.expr("nullif(lang, 'de')").alias("lang"), "source",
-                     F.col("toxic").cast("string").alias("fraudulent"))
+                     F.coalesce(F.col("toxic").cast("string"), F.lit("unlabelled")).alias("fraudulent"))
     split = E.split_half_by_label(posts, "fraudulent", "doc_id")
     tr, te = P.prepare_postings(split.where("split = 'train'").drop("split"),
                                 split.where("split = 'test'").drop("split"), POSTING_DEFAULTS,

@@ -60,6 +60,14 @@ UNION ALL SELECT row_id, dataset, split, label, 'broken',
 """
 
 BY = ["dataset", "split", "method"]
+
+
+def valid_scores(scores, by):
+    """Scores of the groups without an invalid one (J6)."""
+    inv = J._invalid_groups(scores, "score", by)
+    return scores.join(inv, by).where(F.col("__invalid") == 0).drop("__invalid")
+
+
 _VALID_SQL = f"""
 scored AS ({SCORED_SQL}),
 inv AS (SELECT dataset, split, method, max(CAST(isnan(score) OR isinf(score) AS INTEGER)) AS invalid
@@ -172,19 +180,19 @@ def q_evaluate(spark, sf_dir):
 
 @register("j04_top_anomalies", f"""
 WITH s AS ({SCORED_SQL}),
-t AS (SELECT row_id, round(score, 9) AS score FROM s WHERE method = 'zscore'
-      ORDER BY score DESC, row_id LIMIT 10)
-SELECT c.c_custkey AS row_id, c.c_name, c.c_acctbal, t.score,
-       CAST(c.c_acctbal < 0 AS INTEGER) AS label,
-       CAST(row_number() OVER (ORDER BY t.score DESC, t.row_id) AS INTEGER) AS rank
-FROM customer c JOIN t ON c.c_custkey = t.row_id""")
+v AS (SELECT method, row_id, round(score, 9) AS score FROM s
+      WHERE method NOT IN (SELECT method FROM s WHERE isnan(score) OR isinf(score))),
+t AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, row_id) AS rank FROM v)
+SELECT t.method, c.c_custkey AS row_id, c.c_name, c.c_acctbal, t.score,
+       CAST(c.c_acctbal < 0 AS INTEGER) AS label, CAST(t.rank AS INTEGER) AS rank
+FROM customer c JOIN t ON c.c_custkey = t.row_id WHERE t.rank <= 10""")
 def q_top(spark, sf_dir):
-    s = scored_customers(spark, sf_dir).where(F.col("method") == "zscore").select(
-        "row_id", F.round("score", 9).alias("score"))
+    s = valid_scores(scored_customers(spark, sf_dir), ["method"]).select(
+        "method", "row_id", F.round("score", 9).alias("score"))
     rows = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("row_id"), "c_name", "c_acctbal",
         (F.col("c_acctbal") < 0).cast("int").alias("label"))
-    return J.top_anomalies(s, rows, "row_id", 10)
+    return J.top_anomalies(s, rows, "row_id", 10, ["method"])
 
 
 @register("j05_misclassified", f"""
@@ -204,10 +212,7 @@ SELECT dataset, split, method, row_id, score, label,
 FROM p WHERE predicted <> label""")
 def q_misclassified_all(spark, sf_dir):
     """Like ``j05_misclassified``, for every method; groups with an invalid score go (J6)."""
-    s = scored_customers(spark, sf_dir)
-    inv = J._invalid_groups(s, "score", BY)
-    valid = s.join(inv, BY).where(F.col("__invalid") == 0).drop("__invalid")
-    return J.misclassified(valid, "score", "label", "row_id", BY, seed=0)
+    return J.misclassified(valid_scores(scored_customers(spark, sf_dir), BY), "score", "label", "row_id", BY, seed=0)
 
 
 @register("j07_rank_methods", f"""

@@ -59,15 +59,25 @@ def q_topo_sort(spark, sf_dir):
 
 @register("h04_topo_levels", f"""
 WITH RECURSIVE {_DIRECTED_SQL},
-dd AS (SELECT src, dst FROM d WHERE graph_id = 'dag'),
-n AS (SELECT n_name AS node FROM nation),
-p(node, len) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT dst FROM dd)
-                 UNION ALL SELECT dd.dst, p.len + 1 FROM p JOIN dd ON p.node = dd.src)
-SELECT 'dag' AS graph_id, node, CAST(max(len) AS INTEGER) AS level FROM p GROUP BY node""")
+reach(graph_id, a, b) AS (
+  SELECT graph_id, src, dst FROM d
+  UNION SELECT r.graph_id, r.a, d.dst FROM reach r JOIN d ON d.graph_id = r.graph_id AND d.src = r.b),
+cyc AS (SELECT DISTINCT graph_id, a AS v FROM reach WHERE a = b),
+blocked AS (SELECT graph_id, v AS node FROM cyc
+            UNION SELECT r.graph_id, r.b FROM reach r JOIN cyc c ON c.graph_id = r.graph_id AND c.v = r.a),
+n AS (SELECT g.graph_id, n_name AS node FROM (VALUES ('dag'), ('cyclic')) AS g(graph_id), nation),
+free AS (SELECT * FROM n EXCEPT SELECT * FROM blocked),
+p(graph_id, node, len) AS (
+  SELECT graph_id, node, 0 FROM free WHERE NOT EXISTS (
+    SELECT 1 FROM d WHERE d.graph_id = free.graph_id AND d.dst = free.node)
+  UNION ALL
+  SELECT p.graph_id, d.dst, p.len + 1 FROM p JOIN d ON d.graph_id = p.graph_id AND d.src = p.node
+  JOIN free f ON f.graph_id = d.graph_id AND f.node = d.dst)
+SELECT graph_id, node, CAST(max(len) AS INTEGER) AS level FROM p GROUP BY ALL
+UNION ALL SELECT graph_id, node, NULL FROM blocked""")
 def q_topo_levels(spark, sf_dir):
     nodes, d = _graph(spark, sf_dir)
-    return G.topo_levels(nodes.where(F.col("graph_id") == "dag"),
-                         d.where(F.col("graph_id") == "dag"))
+    return G.topo_levels(nodes, d)
 
 
 def sampled_orders(spark, sf_dir, max_orders=200, attempts=10_000, seed=0):
@@ -110,29 +120,25 @@ def q_select_diverse(spark, sf_dir):
 
 
 def _node_weights(spark, sf_dir):
-    """Per-node weight: number of directed edges touching the node (dag)."""
+    """Per graph and node: number of directed edges touching the node."""
     nodes, d = _graph(spark, sf_dir)
-    dd = d.where(F.col("graph_id") == "dag")
-    touch = (dd.select(F.col("src").alias("col")).unionAll(dd.select(F.col("dst").alias("col")))
-             .groupBy("col").agg(F.count(F.lit(1)).alias("n")))
-    return (nodes.where(F.col("graph_id") == "dag").select(F.col("node").alias("col"))
-            .join(touch, "col", "left")
-            .select("col", F.coalesce("n", F.lit(0)).cast("double").alias("weight")))
+    touch = (d.select("graph_id", F.col("src").alias("col"))
+             .unionAll(d.select("graph_id", F.col("dst").alias("col")))
+             .groupBy("graph_id", "col").agg(F.count(F.lit(1)).alias("n")))
+    return (nodes.select("graph_id", F.col("node").alias("col")).join(touch, ["graph_id", "col"], "left")
+            .select("graph_id", "col", F.coalesce("n", F.lit(0)).cast("double").alias("weight")))
 
 
 @register("h09_excluded_nodes", f"""
 WITH {_DIRECTED_SQL},
-dd AS (SELECT * FROM d WHERE graph_id = 'dag'),
-inv AS (SELECT src AS node FROM dd UNION SELECT dst FROM dd),
-w AS (SELECT n_name AS col, (SELECT count(*) FROM dd WHERE src = n_name OR dst = n_name) AS weight
-      FROM nation)
-SELECT DISTINCT 'dag' AS graph_id, node FROM (
-  SELECT n_name AS node FROM nation WHERE n_name NOT IN (SELECT node FROM inv)
-  UNION ALL SELECT col FROM w WHERE weight = 0)""")
+n AS (SELECT g.graph_id, n_name AS node FROM (VALUES ('dag'), ('cyclic')) AS g(graph_id), nation),
+w AS (SELECT graph_id, node AS col, (SELECT count(*) FROM d WHERE d.graph_id = n.graph_id
+                                     AND (src = node OR dst = node)) AS weight FROM n)
+SELECT * FROM n EXCEPT (SELECT graph_id, src FROM d UNION SELECT graph_id, dst FROM d)
+UNION SELECT graph_id, col FROM w WHERE weight = 0""")
 def q_excluded(spark, sf_dir):
     nodes, d = _graph(spark, sf_dir)
-    dag = F.col("graph_id") == "dag"
-    return G.excluded_nodes(nodes.where(dag), d.where(dag), _node_weights(spark, sf_dir))
+    return G.excluded_nodes(nodes, d, _node_weights(spark, sf_dir))
 
 
 def _chain_orders(spark, sf_dir):

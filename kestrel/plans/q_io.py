@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from kestrel.operators import graph as G
 from kestrel.operators import orders as H
 from kestrel.plans import bindings as BD
 from kestrel.plans import q_eval as QE
@@ -53,12 +54,24 @@ def q_read_factors(spark, sf_dir):
 
 
 @register("a03_read_edges", f"""
-SELECT src, dst, value FROM ({BD.NATION_EDGES_SQL}) WHERE graph_id = 'dag'""")
+SELECT graph_id, src, dst, value FROM ({BD.NATION_EDGES_SQL})""")
 def q_read_edges(spark, sf_dir):
-    e = BD.nation_graph_edges(spark, sf_dir).where(F.col("graph_id") == "dag")
+    e = BD.nation_graph_edges(spark, sf_dir)
     path = A.scratch_path(spark, "edges-json")
-    A.write_json_doc(spark, A.edges_json(e), e, path)
-    return A.read_edges(spark, path).select("src", "dst", "value")
+    A.write_json_doc(spark, A.edges_json(e), e, path, by="graph_id")
+    return A.read_edges(spark, path).select("graph_id", "src", "dst", "value")
+
+
+@register("a03_read_causal_order", f"""
+SELECT graph_id, "order" AS nodes FROM ({QG.SQL["h03_topo_sort"]})""")
+def q_read_causal_order(spark, sf_dir):
+    """Weighted graph files (an edge weighs its source's balance) with their causal orders, read back."""
+    inv, d = QG._involved(spark, sf_dir)
+    balance = BD.nation_ranks(spark, sf_dir).select(F.col("n_name").alias("src"), F.col("bal").alias("weight"))
+    e = d.join(balance, "src").join(G.topo_sort(inv, d), "graph_id")
+    path = A.scratch_path(spark, "weighted-json")
+    A.write_json_doc(spark, A.edges_json(e, "weight", F.first("order")), e, path, by="graph_id")
+    return A.read_causal_order(spark, path)
 
 
 @register("a04_read_orders", f"WITH {QG._EXPAND_SQL} SELECT CAST(order_id AS INTEGER) AS order_id, cols FROM ex")
@@ -89,7 +102,7 @@ def q_write_json(spark, sf_dir):
 
 @register("a08_write_predicted_anomalies", f"""
 WITH s AS ({QE.SCORED_SQL}),
-v AS (SELECT * FROM s WHERE method IN ('zscore', 'nation_rarity')),
+v AS (SELECT * FROM s WHERE method NOT IN (SELECT method FROM s WHERE isnan(score) OR isinf(score))),
 k AS (SELECT method, sum(label) AS k FROM v GROUP BY method),
 r AS (SELECT v.*, row_number() OVER (PARTITION BY method ORDER BY score DESC,
              md5(concat_ws('|', '0', CAST(row_id AS VARCHAR))), row_id) AS rank FROM v)
@@ -97,7 +110,7 @@ SELECT r.method, r.row_id, round(r.score, 9) AS score, r.label, CAST(r.rank AS I
        c.c_name, c.c_acctbal
 FROM r JOIN k USING (method) JOIN customer c ON c.c_custkey = r.row_id WHERE r.rank <= k.k""")
 def q_write_pred(spark, sf_dir):
-    s = QE.scored_customers(spark, sf_dir).where(F.col("method").isin("zscore", "nation_rarity"))
+    s = QE.valid_scores(QE.scored_customers(spark, sf_dir), ["method"])
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), "c_name",
                                                    "c_acctbal")
     path = A.scratch_path(spark, "predicted")

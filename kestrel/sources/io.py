@@ -64,15 +64,20 @@ def read_factors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return factors, focus
 
 
+def _graph_id(doc: DataFrame, graph_id: str) -> Column:
+    """The id of a graph document: its ``graph_id=`` folder or field, else the given one."""
+    return F.col("graph_id").cast("string") if "graph_id" in doc.columns else F.lit(graph_id)
+
+
 def read_edges(spark: SparkSession, path: str, graph_id: str = "g") -> DataFrame:
-    """A3 — graph JSON to an edges table.  Endpoint form ``{from, to, value}`` gives
+    """A3 — graph JSON to an edges table; ``path`` is one document or a folder with one document
+    for each graph (see :func:`write_json_doc`).  Endpoint form ``{from, to, value}`` gives
     ``(graph_id, src, dst, value, edge_pos)``; weighted form ``{from, to, weight}``
     gives ``weight`` instead of ``value``."""
     doc = spark.read.option("multiLine", True).json(path)
-    e = doc.select(F.posexplode("edges").alias("edge_pos", "e"))
+    e = doc.select(_graph_id(doc, graph_id).alias("graph_id"), F.posexplode("edges").alias("edge_pos", "e"))
     fields = doc.schema["edges"].dataType.elementType.fieldNames()
-    cols = [F.lit(graph_id).alias("graph_id"), F.col("e.from").alias("src"),
-            F.col("e.to").alias("dst")]
+    cols = ["graph_id", F.col("e.from").alias("src"), F.col("e.to").alias("dst")]
     if "value" in fields:
         cols.append(F.col("e.value").cast("double").alias("value"))
     if "weight" in fields:
@@ -83,7 +88,7 @@ def read_edges(spark: SparkSession, path: str, graph_id: str = "g") -> DataFrame
 def read_causal_order(spark: SparkSession, path: str, graph_id: str = "g") -> DataFrame:
     """A3 — the ``causal_order`` list of a weighted graph file."""
     doc = spark.read.option("multiLine", True).json(path)
-    return doc.select(F.lit(graph_id).alias("graph_id"), F.col("causal_order").alias("nodes"))
+    return doc.select(_graph_id(doc, graph_id).alias("graph_id"), F.col("causal_order").alias("nodes"))
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
@@ -117,9 +122,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
-def write_json_doc(spark: SparkSession, doc: Column, source: DataFrame, path: str) -> str:
+def write_json_doc(spark: SparkSession, doc: Column, source: DataFrame, path: str,
+                   by: str | None = None) -> str:
     """A7 — one JSON document built by an aggregate expression over ``source``
-    (orders, excluded nodes, weights, metrics), written as a single text file."""
+    (orders, excluded nodes, weights, metrics), written as a single text file; with ``by``
+    one document for each value of that column, in its own ``by=value`` folder."""
+    if by is not None:
+        source.groupBy(by).agg(doc.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+        return path
     source.agg(doc.alias("value")).coalesce(1).write.mode("overwrite").text(path)
     return path
 
@@ -148,15 +158,16 @@ def factors_json(factors: DataFrame, focus: Column | None = None) -> Column:
     return F.to_json(doc)
 
 
-def edges_json(edges: DataFrame, value: str = "value") -> Column:
+def edges_json(edges: DataFrame, value: str = "value", causal_order: Column | None = None) -> Column:
     """A7 — ``{"edges": [{from, to, value}]}`` ordered by ``edge_pos`` when
-    present, else by (from, to)."""
+    present, else by (from, to); a weighted graph file also holds its ``causal_order``."""
+    extra = [] if causal_order is None else [causal_order.alias("causal_order")]
     key = F.col("edge_pos") if "edge_pos" in edges.columns else F.lit(0)
     return F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct(
         key.alias("k"), F.col("src").alias("from"), F.col("dst").alias("to"),
         F.col(value).alias(value)))),
         lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s[value].alias(value)))
-        .alias("edges")))
+        .alias("edges"), *extra))
 
 
 def write_predicted_anomalies(scores: DataFrame, rows: DataFrame, path: str,

@@ -98,3 +98,18 @@ def test_sampled_orders_run_every_graph(spark, monkeypatch):
     monkeypatch.setattr(q_graph.G, "sample_topo_orders", spy)
     rows = q_graph.sampled_orders(spark, SF001, 5, 20).collect()
     assert len(seen) == 2 and {r.graph_id for r in rows} == {"dag"}
+
+
+def test_levels_and_exclusions_of_several_graphs(spark):
+    # graph c: a -> b <-> c -> d, e alone; b, c and d lie on or behind the cycle
+    d = spark.createDataFrame([("g", "a", "b"), ("c", "a", "b"), ("c", "b", "c"), ("c", "c", "b"), ("c", "c", "d")],
+                              "graph_id string, src string, dst string")
+    nodes = spark.createDataFrame([(g, n) for g in "gc" for n in "abcde"], "graph_id string, node string")
+    lv = {(r.graph_id, r.node): r.level for r in G.topo_levels(nodes, d).collect()}
+    assert [lv["c", n] for n in "abcde"] == [0, None, None, None, 0]
+    assert [lv["g", n] for n in "abcde"] == [0, 1, 0, 0, 0]
+    weights = spark.createDataFrame([("g", "a", 0.0), ("c", "a", 1.0)], "graph_id string, col string, weight double")
+    out = sorted(tuple(r) for r in G.excluded_nodes(nodes, d, weights).collect())
+    assert out == [("c", "e"), ("g", "a"), ("g", "c"), ("g", "d"), ("g", "e")]
+    both = G.excluded_nodes(nodes, d, weights.where("graph_id = 'g'").drop("graph_id"))
+    assert sorted(tuple(r) for r in both.collect()) == [("c", "a")] + out

@@ -85,3 +85,14 @@ def test_merge_annotations_replaces_columns(spark):
     out = {r.row_id: (r.f1, r.f2) for r in
            G.merge_annotations(df, ann, [("f1", [0, 1]), ("f2", [-1, 1])]).collect()}
     assert out == {1: (0, -1), 2: (0, -1)}
+
+
+def test_one_graph_document_for_each_graph(spark):
+    e = spark.createDataFrame([("1", "a", "b", 0.5), ("1", "b", "c", 2.0), ("x y", "c", "a", -1.0)],
+                              "graph_id string, src string, dst string, weight double")
+    path = os.path.join(tempfile.mkdtemp(prefix="kestrel-io-"), "graphs")
+    order = F.array_sort(F.collect_set("src"))
+    A.write_json_doc(spark, A.edges_json(e, "weight", order), e, path, by="graph_id")
+    back = A.read_edges(spark, path)
+    assert sorted((r.graph_id, r.src, r.dst, r.weight) for r in back.collect()) == sorted(map(tuple, e.collect()))
+    assert {r.graph_id: r.nodes for r in A.read_causal_order(spark, path).collect()} == {"1": ["a", "b"], "x y": ["c"]}

@@ -106,3 +106,13 @@ def test_overlap_compares_values_exactly(spark):
     assert {tuple(r) for r in J.remove_overlap(train, test).collect()} == {("", "p"), ("a", "b|c")}
     assert J.overlap(test, train).count() == 2
     assert J.check_no_overlap(train, test.where("x = 'a'")).first()["n_overlap"] == 0
+
+
+def test_top_anomalies_of_each_group(spark):
+    scores = spark.createDataFrame([("m", i, float(i % 4)) for i in range(12)] + [("n", 3, 1.0)],
+                                   "method string, row_id long, score double")
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(12)], "row_id long, name string")
+    top = J.top_anomalies(scores, rows, "row_id", 4, ["method"])
+    assert sorted((r.method, r["rank"], r.row_id, r.name) for r in top.collect()) == [
+        ("m", 1, 3, "r3"), ("m", 2, 7, "r7"), ("m", 3, 11, "r11"), ("m", 4, 2, "r2"), ("n", 1, 3, "r3")]
+    assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
