@@ -337,7 +337,7 @@ def check_no_overlap(train: DataFrame, test: DataFrame, cols: Sequence[str] | No
 
 
 def run_key(cfg: dict) -> str:
-    """J12 — run name from parameters, keys sorted."""
+    """J12 — run name from parameters, keys sorted (the runs of a sweep, L6)."""
     return "_".join(f"{k}{cfg[k]}" for k in sorted(cfg))
 
 

@@ -84,19 +84,13 @@ def prepare_postings(train: DataFrame, test: DataFrame, defaults: Mapping[str, s
     return tr, te.withColumnRenamed(label, "label")
 
 
-def to_feature_matrix(df: DataFrame, row_id: str, method: str = "ordinal",
-                      normalize: bool = True, text_encoding: str = "none",
-                      text_cols: Sequence[str] = (), max_features: int = 300,
-                      rare_tol: float = 0.01, vector_size: int = 100, min_count: int = 5) -> DataFrame:
-    """C12 — detector input ``(row_id, features ARRAY<DOUBLE>)``: text columns
-    encoded (``word2vec``: mean of vectors of words seen ``min_count`` times, fitted on them; ``bag_of_words`` /
-    ``tfidf``: 300 terms; dropped for ``none``),
-    rare categories grouped (C9), constant columns dropped (B16), categoricals
-    ordinal- (C2) or one-hot-encoded (C10), numeric nulls mean-imputed (B3) and
+def encode_features(df: DataFrame, row_id: str, method: str = "ordinal", normalize: bool = True,
+                    rare_tol: float = 0.01) -> DataFrame:
+    """``row_id`` and numeric columns: rare categories grouped (C9), constant columns dropped (B16),
+    categoricals ordinal- (C2) or one-hot-encoded (C10), numeric nulls mean-imputed (B3) and
     standardized (C8)."""
-    text_cols = list(text_cols)
     types = {f.name: f.dataType for f in df.schema.fields}
-    feats = [c for c in df.columns if c != row_id and c not in text_cols]
+    feats = [c for c in df.columns if c != row_id]
     cats = [c for c in feats if isinstance(types[c], T.StringType)]
     nums = [c for c in feats if c not in cats]
     x = df.select(row_id, *feats)
@@ -116,6 +110,21 @@ def to_feature_matrix(df: DataFrame, row_id: str, method: str = "ordinal",
             x = C.one_hot(x, cats)
         else:
             raise ValueError(f"unknown categorical encoding {method!r}")
+    return x
+
+
+def to_feature_matrix(df: DataFrame, row_id: str, method: str = "ordinal",
+                      normalize: bool = True, text_encoding: str = "none",
+                      text_cols: Sequence[str] = (), max_features: int = 300,
+                      rare_tol: float = 0.01, vector_size: int = 100, min_count: int = 5) -> DataFrame:
+    """C12 — detector input ``(row_id, features ARRAY<DOUBLE>)``: text columns
+    encoded (``word2vec``: mean of vectors of words seen ``min_count`` times, fitted on them; ``bag_of_words`` /
+    ``tfidf``: 300 terms; dropped for ``none``),
+    rare categories grouped (C9), constant columns dropped (B16), categoricals
+    ordinal- (C2) or one-hot-encoded (C10), numeric nulls mean-imputed (B3) and
+    standardized (C8)."""
+    text_cols = list(text_cols)
+    x = encode_features(df.drop(*text_cols), row_id, method, normalize, rare_tol)
     cols = [c for c in x.columns if c != row_id]
     vec = F.array(*[F.col(quote_ident(c)).cast("double") for c in cols]) if cols else \
         F.array().cast("array<double>")
