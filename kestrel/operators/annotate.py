@@ -198,7 +198,7 @@ def run_rounds(df: DataFrame, proposals: DataFrame, annotate_round: Callable, co
                min_new: int = 2, row_id: str = "row_id") -> DataFrame:
     """G6 — discovery rounds driven by a table of proposals
     ``(round, name, possible_values, focus)``.  Each round: the new factors are
-    annotated (only those), independent factors are deleted, the focus list is
+    annotated (only those never annotated before), independent factors are deleted, the focus list is
     validated, the graph is learned.  Stops after a round > 1 with fewer than
     ``min_new`` new factors, when no focus factor is left, or after
     ``max_rounds``.  Returns one summary row per round."""
@@ -213,8 +213,10 @@ def run_rounds(df: DataFrame, proposals: DataFrame, annotate_round: Callable, co
         reviewed = [(r["name"], list(r["possible_values"])) for r in rows]
         known_names = {n for n, _ in known}
         new = [(n, p) for n, p in reviewed if n not in known_names]
-        if new:
-            annotated = annotated.join(annotate_round(df, new), row_id, "left")
+        # a factor that was deleted and comes back keeps its annotation
+        unseen = [(n, p) for n, p in new if n not in annotated.columns]
+        if unseen:
+            annotated = annotated.join(annotate_round(df, unseen), row_id, "left")
         known = [f for f in known if f[0] in {n for n, _ in reviewed}] + new
         kept = confirm(annotated, [n for n, _ in known])
         known = [f for f in known if f[0] in kept]

@@ -122,11 +122,31 @@ def q_rounds(spark, sf_dir):
     """Three proposal rounds over the order factors; annotation by reading the
     factor columns (rule annotator), confirmation by chi-square, focus validation,
     PC for the graph."""
-    base = BD.order_factors(spark, sf_dir)
-    doms = base.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in BD.ORDER_FACTOR_COLS]).first()
-    plan = [(1, ["status", "priority", "size"], ["size"]),
-            (2, ["status", "priority", "size", "month"], ["size", "month"]),
-            (3, ["priority", "size", "month", "dow3"], ["month"])]
+    return _rounds(spark, BD.order_factors(spark, sf_dir), [
+        (1, ["status", "priority", "size"], ["size"]),
+        (2, ["status", "priority", "size", "month"], ["size", "month"]),
+        (3, ["priority", "size", "month", "dow3"], ["month"])])
+
+
+@register("g06_run_rounds_dependent")
+def q_rounds_dependent(spark, sf_dir):
+    """Three rounds over factors of orders that partly depend on each other (price steps, calendar
+    parts); the priority is deleted in the first round and proposed again in the third."""
+    price, day = F.col("o_totalprice"), F.col("o_orderdate")
+    base = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.least(F.floor(price / 100000), F.lit(4)).cast("int").alias("size"),
+        F.when(price < 120000, 0).when(price < 260000, 1).otherwise(2).alias("tier"),
+        (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"),
+        F.month(day).alias("month"), F.quarter(day).alias("quarter"), F.pmod(F.dayofweek(day), F.lit(3)).alias("dow3"))
+    return _rounds(spark, base, [
+        (1, ["size", "tier", "priority"], ["size", "tier"]),
+        (2, ["size", "tier", "month", "quarter"], ["size", "month"]),
+        (3, ["size", "tier", "month", "quarter", "priority", "dow3"], ["month", "quarter"])])
+
+
+def _rounds(spark, base, plan):
+    names = sorted({n for _, part, _ in plan for n in part})
+    doms = base.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in names]).first()
     proposals = spark.createDataFrame(
         [(r, n, list(doms[n]), n in foc) for r, names, foc in plan for n in names],
         "round int, name string, possible_values array<int>, focus boolean")

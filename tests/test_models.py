@@ -96,6 +96,32 @@ def test_rounds_stop_and_count(spark):
     assert math.isclose(sum(r.n_edges for r in out), 4)
 
 
+def test_a_deleted_factor_comes_back(spark):
+    """f3 is deleted in round 1 and proposed again in round 2, f1 is left out of round 2 and returns in
+    round 3: each is annotated once, and all three rounds run."""
+    rows = [(i, i % 2, (i + i // 7) % 2, i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, f1 int, f2 int, f3 int")
+    plan = {1: ["f1", "f3"], 2: ["f2", "f3"], 3: ["f1", "f2", "f3"]}
+    proposals = spark.createDataFrame([(r, n, [0, 1, 2], True) for r, names in plan.items() for n in names],
+                                      "round int, name string, possible_values array<int>, focus boolean")
+    asked, seen = [], []
+
+    def annotate_round(d, new):
+        asked.append(sorted(n for n, _ in new))
+        return G.annotate_by_rules(d, {n: F.col(n) for n, _ in new}, keep=["row_id"])
+
+    def confirm(a, names):
+        seen.append(sorted(a.columns))
+        assert a.select("row_id", *names).count() == 60
+        return {n for n in names if n != "f3"} if len(seen) < 3 else set(names)
+    out = G.run_rounds(df, proposals, annotate_round, confirm, lambda a, names: names, lambda a, names: len(names),
+                       min_new=1).collect()
+    assert asked == [["f1", "f3"], ["f2"]]
+    assert seen == [["f1", "f3", "row_id"]] + [["f1", "f2", "f3", "row_id"]] * 2
+    assert [(r["round"], r.n_new, r.n_kept, r.n_deleted, r.stop_reason) for r in out] == [
+        (1, 2, 1, 1, None), (2, 2, 1, 1, None), (3, 2, 3, 0, None)]
+
+
 def test_feature_matrix_text_encodings(spark):
     rows = [(i, "red" if i % 2 else "blue", float(i), "alpha beta " * 3 if i % 3 else "gamma gamma delta") for i in range(60)]
     df = spark.createDataFrame(rows, "row_id long, colour string, size double, note string")
