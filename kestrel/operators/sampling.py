@@ -155,33 +155,29 @@ def plan_ratio_batches(df: DataFrame, label: str, batch_size: int, ratio: float,
     counts = {(r["replica"], r["__cls"]): r["n"] for r in ranked.groupBy("replica", "__cls").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     spark = df.sparkSession
-    parts = []
+    plan = []  # (replica, class, its rows, slots to fill, rows a batch, first slot, fallback): two rows a replica
     for rep in range(replicas):
         n_norm, n_anom = counts.get((rep, 0), 0), counts.get((rep, 1), 0)
         if n_norm < nb or n_anom < a or (nb == 0 and a == 0):
             # fallback: every row once, normals first
-            for c, cnt, offset in ((0, n_norm, 0), (1, n_anom, n_norm)):
-                if cnt > 0:
-                    idx = F.col("id") + offset
-                    parts.append(spark.range(cnt).select(
-                        F.lit(rep).alias("replica"), F.lit(c).alias("__cls"),
-                        F.col("id").alias("__pos"),
-                        F.floor(idx / batch_size).alias("batch_id"),
-                        (idx % batch_size).alias("slot")))
+            plan += [(rep, 0, n_norm, n_norm, batch_size, 0, True), (rep, 1, n_anom, n_anom, batch_size, n_norm, True)]
             continue
         cycles = max(-(-n_norm // nb) if nb else 0, -(-n_anom // a) if a else 0)
-        for c, per, cnt, offset in ((0, nb, n_norm, 0), (1, a, n_anom, nb)):
-            if per > 0:
-                parts.append(spark.range(cycles * per).select(
-                    F.lit(rep).alias("replica"), F.lit(c).alias("__cls"),
-                    (F.col("id") % cnt).alias("__pos"),
-                    F.floor(F.col("id") / per).alias("batch_id"),
-                    (F.col("id") % per + offset).alias("slot")))
+        plan += [(rep, 0, n_norm, cycles * nb, nb, 0, False), (rep, 1, n_anom, cycles * a, a, nb, False)]
+    # replicas hold equally many rows but for one, so a class's slots are cut from one range
+    longest = {c: max(r[3] for r in plan if r[1] == c) for c in (0, 1)}
+    parts = [spark.range(replicas * most).select(F.floor(F.col("id") / F.lit(most)).cast("int").alias("replica"),
+                                                 F.lit(c).alias("__cls"), (F.col("id") % most).alias("j"))
+             for c, most in longest.items() if most]
     if not parts:
         return spark.createDataFrame([], "replica int, batch_id long, slot int, row_id long")
-    slots = parts[0]
-    for p_ in parts[1:]:
-        slots = slots.unionByName(p_)
+    plan = spark.createDataFrame(plan, "replica int, __cls int, cnt long, total long, per long, first long, fallback boolean")
+    j, per, first = F.col("j"), F.col("per"), F.col("first")
+    at = F.when(F.col("fallback"), j + first).otherwise(j)
+    slots = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).join(
+        F.broadcast(plan), ["replica", "__cls"]).where(j < F.col("total")).select(
+        "replica", "__cls", (j % F.col("cnt")).alias("__pos"), F.floor(at / per).alias("batch_id"),
+        (at % per + F.when(F.col("fallback"), 0).otherwise(first)).alias("slot"))
     out = slots.join(ranked, ["replica", "__cls", "__pos"])
     return out.select(F.col("replica").cast("int"), F.col("batch_id").cast("long"),
                       F.col("slot").cast("int"), "row_id")

@@ -50,3 +50,20 @@ def test_sampling_and_splits(spark):
     b = E.plan_ratio_batches(df, "label", 8, 0.25, replicas=2)
     per = b.groupBy("replica", "batch_id").agg(F.count("*").alias("n"), F.sum((F.col("slot") >= 6).cast("int")).alias("a")).collect()
     assert all(r.n == 8 and r.a == 2 for r in per)
+
+
+def test_ratio_batches_of_many_replicas(spark):
+    """Slots of every replica against a plain loop, with too few anomalies on some, and one class only."""
+    for n_norm, n_anom, size, ratio, replicas in ((41, 7, 8, 0.25, 4), (23, 6, 4, 1.0, 2), (9, 0, 4, 0.0, 3), (0, 0, 4, 0.5, 2)):
+        rows = [(i, int(i >= n_norm)) for i in range(n_norm + n_anom)]
+        df = spark.createDataFrame(rows, "row_id long, label int")
+        got = E.plan_ratio_batches(df, "label", size, ratio, replicas=replicas).collect()
+        a = int(size * ratio)
+        for rep in range(replicas):
+            norm, anom = (len(range(rep, n, replicas)) for n in (n_norm, n_anom))
+            mine = sorted((r.batch_id, r.slot, r.row_id >= n_norm) for r in got if r.replica == rep)
+            if norm < size - a or anom < a:
+                assert mine == [(i // size, i % size, i >= norm) for i in range(norm + anom)]
+                continue
+            cycles = max(-(-norm // (size - a)) if size > a else 0, -(-anom // a) if a else 0)
+            assert mine == [(b, s, s >= size - a) for b in range(cycles) for s in range(size)]
