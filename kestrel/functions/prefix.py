@@ -45,7 +45,8 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[s
         same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
     inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
-    out = ranged.join(offsets, same)
+    # without keys the offsets are one row per partition
+    out = ranged.join(offsets if keys else F.broadcast(offsets), same)
     return out.select(*df.columns, *[
         (F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"__off_{s}")).alias(f"{s}{suffix}")
         for s in sums])

@@ -4,9 +4,10 @@ K1 range lookup: the direct form ``lower < x AND upper > x`` has no equi-key, so
 plan a (broadcast) nested-loop join, O(rows x ranges).  Here the range ends are numbered, which
 turns every end and every gap between neighbouring ends into one position.  A range covers a
 run of positions and is posted on the at most 2 log R dyadic nodes that make up the run; each
-node keeps its first range only.  A probe value looks at the log R nodes above its position.
-So R ranges post at most 2 R log R rows and N distinct probe values join with at most N log R,
-however the ranges overlap.
+node keeps its first range only.  A position that holds a probe value looks at the log R nodes
+above it; probe values with the same position share the answer.  So R ranges post at most
+2 R log R rows and at most min(N, 4 R) positions of N distinct probe values join with log R nodes
+each, however the ranges overlap.  All of these tables grow with the data: none is broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kestrel.functions.exprs import quote_ident
 from kestrel.functions.prefix import prefix_sums
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, unbounded
 
 
 def _nodes(first: Column, last: Column, levels: int) -> Column:
@@ -63,16 +64,18 @@ def range_lookup(df: DataFrame, x: str, ranges: DataFrame, lo: str, hi: str, val
         "__x", F.when(F.col("__end") == 1, 2 * before).otherwise(2 * before - 1).cast("long").alias("__pos")))
     top = placed.agg(F.max("__pos")).first()[0]
     levels = max(int(top or 0), 1).bit_length()
-    runs = (r.join(placed.select(F.col("__x").alias("__lo"), (F.col("__pos") + 1).alias("__a")), "__lo")
-            .join(placed.select(F.col("__x").alias("__hi"), (F.col("__pos") - 1).alias("__z")), "__hi"))
+    low = unbounded(placed.select(F.col("__x").alias("__lo"), (F.col("__pos") + 1).alias("__a")))
+    high = unbounded(placed.select(F.col("__x").alias("__hi"), (F.col("__pos") - 1).alias("__z")))
+    runs = r.join(low, "__lo").join(high, "__hi")
     tree = (runs.select("__hit", F.explode(_nodes(F.col("__a"), F.col("__z"), levels)).alias("__n"))
             .groupBy("__n.level", "__n.idx").agg(F.min("__hit").alias("__hit")))
-    above = placed.where("__pos >= 0").select("__x", F.explode(F.transform(
+    above = placed.where("__pos >= 0").select("__pos").distinct().select("__pos", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(
             k.alias("level"), F.floor(F.col("__pos") / F.pow(F.lit(2.0), k)).cast("long").alias("idx")))).alias("__n"))
-    hits = (above.select("__x", "__n.level", "__n.idx").join(tree, ["level", "idx"])
-            .groupBy("__x").agg(F.min("__hit")["v"].alias("__hit")))
-    return (df.withColumn("__x", F.col(quote_ident(x)).cast("double")).join(hits, "__x", "left")
+    first = (above.select("__pos", "__n.level", "__n.idx").join(unbounded(tree), ["level", "idx"])
+             .groupBy("__pos").agg(F.min("__hit")["v"].alias("__hit")))
+    hits = placed.join(unbounded(first), "__pos").select("__x", "__hit")
+    return (df.withColumn("__x", F.col(quote_ident(x)).cast("double")).join(unbounded(hits), "__x", "left")
             .withColumn(out, F.coalesce(F.col("__hit"), F.lit(default))).drop("__x", "__hit"))
 
 

@@ -70,6 +70,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unbounded(df: DataFrame) -> DataFrame:
+    """A join side that grows with the data: merged after a shuffle, never broadcast.  Spark guesses
+    the size of a derived side from its files before it runs; compressed columns, explodes and
+    checkpoints make that guess far too small, and the driver would have to hold the side."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (Parquet) of a scale-factor directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

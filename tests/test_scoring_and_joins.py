@@ -107,3 +107,14 @@ def test_factored_mean_equals_the_mean_over_orders(spark):
             S.aggregate_nll(S.score_nll(df, "row_id", model, orders), w)).collect()}
         fast = {r["row_id"]: r["score"] for r in S.mean_scores(df, "row_id", model, orders, w).collect()}
         assert fast.keys() == slow.keys() and all(abs(fast[k] - slow[k]) < 1e-9 for k in slow)
+
+
+def test_range_lookup_broadcasts_no_table_that_grows(spark):
+    r = spark.range(300).selectExpr("id * 10D AS lo", "id * 10D + 25 AS hi", "concat('v', id) AS val", "id AS ord")
+    p = spark.range(2000).selectExpr("id", "id * 1.5D AS x")
+    out = K.range_lookup(p, "x", r, "lo", "hi", "val", "out", order="ord")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {row.id: row.out for row in out.collect()}
+    for i in range(2000):
+        want = next((f"v{k}" for k in range(300) if k * 10 < i * 1.5 < k * 10 + 25), "Unknown")
+        assert got[i] == want
