@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from kestrel.functions.coding import look_up, value_counts
 from kestrel.functions.exprs import LANGUAGE_WORDS, ordinal_words, quote_ident
 from kestrel.functions.prefix import prefix_sums
-from kestrel.session import cut_lineage
+from kestrel.session import cut_lineage, unbounded
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -244,7 +244,7 @@ def collapse_singletons(df: DataFrame, key: str, replacement: str = "0") -> Data
     A grouped count (map-side combined) joined back; a hot key stays one row in
     the count table, and AQE splits its partition in the join."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__kc"))
-    return (df.join(counts, key, "left")
+    return (df.join(unbounded(counts), key, "left")
             .withColumn(key, F.when(F.col("__kc") == 1, F.lit(replacement))
                         .otherwise(F.col(key).cast("string")))
             .drop("__kc"))

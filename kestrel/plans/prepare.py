@@ -24,15 +24,15 @@ from kestrel.operators import text as D
 def prepare_ecommerce(tx: DataFrame, ranges: DataFrame, lo: str = "lower_bound_ip_address",
                       hi: str = "upper_bound_ip_address", country: str = "country",
                       range_order: str | None = None, label: str = "class") -> DataFrame:
-    """B18 — IP country by strict range lookup (K1), purchase month and weekday
-    names (B11), devices seen once collapsed to ``'0'`` (C11) then ordinal codes
-    (C2), ids and raw times dropped (B9), names verbalized, label ``No``/``Yes``
-    moved last."""
-    x = K.range_lookup(tx, "ip_address", ranges, lo, hi, country, "IP_country", order=range_order)
+    """B18 — devices seen once collapsed to ``'0'`` (C11) then ordinal codes (C2), IP country
+    by strict range lookup (K1), purchase month and weekday names (B11), ids and raw times
+    dropped (B9), names verbalized, label ``No``/``Yes`` moved last.  Devices come first: their
+    codes are counted on the given rows, so that the range lookup is planned once."""
+    x = C.collapse_singletons(tx, "device_id")
+    x = C.ordinal_encode(x, ["device_id"])
+    x = K.range_lookup(x, "ip_address", ranges, lo, hi, country, "IP_country", order=range_order)
     x = x.withColumn("purchase_time", F.to_timestamp("purchase_time", "yyyy-MM-dd HH:mm:ss"))
     x = R.calendar_features(x, "purchase_time")
-    x = C.collapse_singletons(x, "device_id")
-    x = C.ordinal_encode(x, ["device_id"])
     x = R.drop_cols(x, ["user_id", "signup_time", "purchase_time", "ip_address"])
     x = x.withColumn(label, F.when(F.col(label) == 1, "Yes").otherwise("No"))
     x = R.move_last(x, label)

@@ -96,3 +96,10 @@ def test_prefix_sums_cut_a_hot_value(spark):
     df = spark.range(3000).selectExpr("7 as v", "id as tie", "1 as one")
     out = prefix_sums(df, [], "v", ["one"], tiebreak=["tie"], buckets=6)
     assert out.where("one_before <> tie").count() == 0
+
+
+def test_collapse_singletons_broadcasts_no_counts(spark):
+    df = spark.range(400).selectExpr("id", "CASE WHEN id < 300 THEN id ELSE 7 END AS dev")
+    out = C.collapse_singletons(df, "dev")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.dev for r in out.collect()} == {i: "7" if i == 7 or i >= 300 else "0" for i in range(400)}
