@@ -2,9 +2,9 @@
 
 The annotator is a user callable ``(sample_text, factors_json, attempt,
 temperature) -> response text`` (a model client, or the built-in keyword
-annotator).  It runs inside ``mapInPandas`` over Arrow batches: the row text is
-built by Spark (``format_sample``) before the Python boundary, every task
-annotates its own rows, and retries happen inside the task.  Rule annotation
+annotator).  It runs inside ``mapInArrow`` over Arrow batches: the rows are dealt
+to tasks evenly, the row text is built by Spark (``format_sample``) before the
+Python boundary, every task annotates its own rows, and retries happen inside the task.  Rule annotation
 (G2) needs no Python at all: factor values are column expressions.
 """
 
@@ -14,14 +14,15 @@ import json
 import re
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.exprs import quote_ident
 from kestrel.operators.recode import all_missing, fill_missing_codes
 from kestrel.operators.text import format_sample
+from kestrel.session import unbounded
 
 Factor = tuple[str, Sequence[int]]  # (name, possible_values)
 
@@ -35,33 +36,39 @@ def missing_code(possible: Sequence[int] | None) -> int:
 _FENCED = re.compile(r"```(?:json)?(.*?)(?:```|\Z)", re.DOTALL)
 
 
+_WHOLE = re.compile(r"[+-]?\d{1,18}")
+
+
+def whole_number(value: object) -> int | None:
+    """B13 for one parsed JSON value: booleans as 0/1, numbers cut towards zero, texts that spell a
+    whole number; everything else, and what does not fit 32 bits, is missing."""
+    if isinstance(value, str):
+        spelled = value.strip()
+        number = int(spelled) if _WHOLE.fullmatch(spelled) else None
+    elif isinstance(value, (bool, int, float)):
+        number = int(value) if abs(value) < 2.0 ** 31 else None  # neither NaN nor infinite
+    else:
+        number = None
+    return number if number is not None and abs(number) < 2 ** 31 else None
+
+
 def whole_numbers(values: pd.Series) -> pd.Series:
-    """B13 for one column of parsed JSON values, kind by kind: booleans as 0/1, numbers cut
-    towards zero, texts that spell a whole number; everything else is missing."""
-    out = pd.Series(pd.NA, index=values.index, dtype="Int64")
-    text = values.map(lambda v: isinstance(v, str))
-    spelled = values[text].str.strip()
-    spelled = spelled[spelled.str.fullmatch(r"[+-]?\d{1,18}")]
-    out[spelled.index] = spelled.astype("int64")
-    number = values[values.map(lambda v: isinstance(v, (bool, int, float)))].astype("float64")
-    number = number[np.isfinite(number) & (number.abs() < 2.0 ** 31)]
-    out[number.index] = np.trunc(number).astype("int64")
-    return out.where(out.abs() < 2 ** 31)
-
-
-def read_responses(responses: Sequence[str | None], factors: Sequence[Factor]) -> pd.DataFrame:
-    """One row per response, one nullable integer column per factor; a response that is null,
-    broken or not an object is missing throughout."""
-    documents = []
-    for response in responses:
-        fenced = _FENCED.search(response or "")
-        try:
-            parsed = json.loads(fenced[1] if fenced else response or "")
-        except ValueError:
-            parsed = None
-        documents.append(parsed if isinstance(parsed, dict) else {})
-    return pd.DataFrame({name: whole_numbers(pd.Series([d.get(name) for d in documents], dtype=object))
-                         for name, _ in factors})
+    """:func:`whole_number` of a column of parsed JSON values."""
+    return pd.Series([whole_number(v) for v in values], index=values.index, dtype="Int64")
+
+
+def read_response(response: str | None, names: Sequence[str]) -> list[int | None]:
+    """One nullable whole number per factor; a response that is null, broken or not an object is
+    missing throughout."""
+    response = response or ""
+    fenced = _FENCED.search(response) if "```" in response else None
+    try:
+        parsed = json.loads(fenced[1] if fenced else response)
+    except ValueError:
+        parsed = None
+    if not isinstance(parsed, dict):
+        return [None] * len(names)
+    return [whole_number(parsed.get(name)) for name in names]
 
 
 def retry_temperatures(start: float = 0.7, tries: int = 3, floor: float = 0.3,
@@ -70,31 +77,42 @@ def retry_temperatures(start: float = 0.7, tries: int = 3, floor: float = 0.3,
     return [start if i == 0 else max(floor, start - i * step) for i in range(tries)]
 
 
-def annotate_texts(texts: Sequence[str], factors: Sequence[Factor], annotator: Callable,
-                   factors_json: str, max_attempts: int = 5, temperature: float = 0.7) -> pd.DataFrame:
+def answers_of(texts: Sequence[str], factors: Sequence[Factor], annotator: Callable,
+               factors_json: str, max_attempts: int = 5, temperature: float = 0.7) -> list[list[int]]:
     """G1 for a batch: every try calls the annotator for the texts still open, at the try's
-    temperature (G7), and reads all their responses at once.  A text is done when any factor
-    has a value other than its missing code; after the last try missing codes remain."""
-    codes = pd.Series({name: missing_code(possible) for name, possible in factors})
-    answers = pd.DataFrame([codes] * len(texts), index=range(len(texts))).astype("int32")
+    temperature (G7).  A text is done when any factor has a value other than its missing code;
+    after the last try missing codes remain."""
+    names = [name for name, _ in factors]
+    codes = [missing_code(possible) for _, possible in factors]
+    answers = [codes] * len(texts)
     pending = list(range(len(texts)))
     for attempt, degree in enumerate(retry_temperatures(temperature, max_attempts), 1):
-        responses = []
+        still = []
         for i in pending:
             try:
-                responses.append(annotator(texts[i], factors_json, attempt, degree))
+                response = annotator(texts[i], factors_json, attempt, degree)
+                if not isinstance(response, str):
+                    response = None
             except Exception:  # noqa: BLE001 - a failed call of the user's annotator is retried
-                responses.append(None)
-        got = read_responses(responses, factors).fillna(codes).astype("int32")
-        got.index = pending
-        good = got.ne(codes).any(axis=1)
-        answers.loc[got.index[good]] = got[good]
-        pending = list(got.index[~good])
+                response = None
+            got = [code if v is None else v for v, code in zip(read_response(response, names), codes)]
+            if got != codes:
+                answers[i] = got
+            else:
+                still.append(i)
+        pending = still
         if not pending:
             break
     return answers
 
 
+def annotate_texts(texts: Sequence[str], factors: Sequence[Factor], annotator: Callable,
+                   factors_json: str, max_attempts: int = 5, temperature: float = 0.7) -> pd.DataFrame:
+    """:func:`answers_of` a batch as a table, one integer column per factor."""
+    answers = answers_of(texts, factors, annotator, factors_json, max_attempts, temperature)
+    return pd.DataFrame(answers, columns=[name for name, _ in factors], index=range(len(texts)), dtype="int32")
+
+
 def annotate(df: DataFrame, row_id: str, factors: Sequence[Factor], annotator: Callable,
              cols: Sequence[str] | None = None, batch_size: int = 500, max_attempts: int = 5,
              factor_docs: Mapping[str, object] | None = None, temperature: float = 0.7) -> DataFrame:
@@ -102,7 +120,11 @@ def annotate(df: DataFrame, row_id: str, factors: Sequence[Factor], annotator: C
     the rows handed to the annotator per call group inside a task; tries start at
     ``temperature`` and cool down (G7)."""
     cols = list(cols or [c for c in df.columns if c != row_id])
-    texts = format_sample(df.select(row_id, *cols), cols, out="__text").select(
+    # Python-side work: the rows are dealt evenly, however few files or tasks they come from
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.select(row_id, *[c for c in dict.fromkeys(cols) if c != row_id]).repartition(tasks)
+    texts = format_sample(dealt, cols, out="__text").select(
         F.col(quote_ident(row_id)).alias("row_id"), "__text")
     fjson = json.dumps(dict(factor_docs) if factor_docs else
                        {n: {"possible_values": list(p)} for n, p in factors}, indent=2)
@@ -111,14 +133,15 @@ def annotate(df: DataFrame, row_id: str, factors: Sequence[Factor], annotator: C
     schema = f"row_id {rid_type}, " + ", ".join(f"`{n}` int" for n in names)
 
     def run(it):
-        for pdf in it:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                out = annotate_texts(part["__text"].tolist(), factors, annotator, fjson,
-                                     max_attempts, temperature)[names]
-                out.insert(0, "row_id", part["row_id"].to_numpy())
-                yield out
-    return texts.mapInPandas(run, schema)
+        for b in it:
+            rows = b.column("__text").to_pylist()
+            answers = []
+            for start in range(0, len(rows), batch_size):
+                answers += answers_of(rows[start:start + batch_size], factors, annotator, fjson,
+                                      max_attempts, temperature)
+            values = [pa.array([a[i] for a in answers], pa.int32()) for i in range(len(names))]
+            yield pa.record_batch([b.column("row_id"), *values], names=["row_id", *names])
+    return texts.mapInArrow(run, schema)
 
 
 def keyword_annotator(rules: Mapping[str, Sequence[tuple[str, int]]],
@@ -156,7 +179,7 @@ def merge_annotations(df: DataFrame, ann: DataFrame, factors: Sequence[Factor],
     without an annotation get the missing codes (B14)."""
     names = [n for n, _ in factors]
     base = df.drop(*[n for n in names if n in df.columns])
-    joined = base.join(ann.select(row_id, *[n for n in names if n in ann.columns]), row_id, "left")
+    joined = base.join(unbounded(ann.select(row_id, *[n for n in names if n in ann.columns])), row_id, "left")
     return fill_missing_codes(joined, factors)
 
 
@@ -170,7 +193,7 @@ def annotate_new(df: DataFrame, existing: DataFrame, new_factors: Sequence[Facto
     if not new:
         return existing
     ann = annotate(df, row_id, new, annotator, cols, **kw)
-    return existing.join(ann, row_id, "left")
+    return existing.join(unbounded(ann), row_id, "left")
 
 
 def retry_mask(df: DataFrame, factors: Sequence[Factor]) -> DataFrame:

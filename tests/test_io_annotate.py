@@ -96,3 +96,17 @@ def test_one_graph_document_for_each_graph(spark):
     back = A.read_edges(spark, path)
     assert sorted((r.graph_id, r.src, r.dst, r.weight) for r in back.collect()) == sorted(map(tuple, e.collect()))
     assert {r.graph_id: r.nodes for r in A.read_causal_order(spark, path).collect()} == {"1": ["a", "b"], "x y": ["c"]}
+
+
+def test_annotation_deals_rows_and_batches(spark):
+    """One input file, more tasks: the annotator runs in all of them, in groups of the batch size."""
+    from pyspark import TaskContext
+
+    def annotator(text, fjson, attempt, temp):
+        return json.dumps({"part": TaskContext.get().partitionId(), "word": int(text.split()[-1]) % 7})
+
+    df = spark.range(0, 400, 1, 1).selectExpr("id AS row_id", "id AS t").unionByName(
+        spark.createDataFrame([(None, 3)], "row_id long, t long")).coalesce(1)
+    out = G.annotate(df, "row_id", [("part", [-1]), ("word", [0])], annotator, ["t"], batch_size=30).collect()
+    assert {r.row_id: r.word for r in out} == {None: 3} | {i: i % 7 for i in range(400)}
+    assert len({r.part for r in out}) > 1
