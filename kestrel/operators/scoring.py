@@ -172,7 +172,10 @@ def score_nll(test: DataFrame, row_id: str, model: DensityModel,
 
 
 def _with_nll(rec: DataFrame, model: DensityModel) -> DataFrame:
-    """Append nll to records (prev_col, prev_value, col, value, ...)."""
+    """Append nll to records (prev_col, prev_value, col, value, ...).  Records outnumber the rows:
+    they are shuffled only for fitted tables that are not proven small."""
+    if model.n_counts is None and model.pairs is not None and "w" in model.cards.columns:
+        model = size_bounds(model)
     a = F.lit(model.alpha)
     scored = (rec.join(_sized(model.counts, model.n_counts),
                        ["prev_col", "prev_value", "col", "value"], "left")

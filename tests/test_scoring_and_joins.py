@@ -118,3 +118,12 @@ def test_range_lookup_broadcasts_no_table_that_grows(spark):
     for i in range(2000):
         want = next((f"v{k}" for k in range(300) if k * 10 < i * 1.5 < k * 10 + 25), "Unknown")
         assert got[i] == want
+
+
+def test_small_density_tables_are_broadcast(spark):
+    df = spark.createDataFrame([(i, i % 3, i % 5, i % 2) for i in range(600)], "row_id long, a int, b int, c int")
+    model = I.fit_density(df, ["a", "b", "c"], [(0, ["a", "b", "c"]), (1, ["c", "a", "b"])])
+    out = I.score_nll(df, "row_id", model, [(0, ["a", "b", "c"]), (1, ["c", "a", "b"])])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert out.count() == 3600
