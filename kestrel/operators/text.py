@@ -1,8 +1,8 @@
 """D — text features, row verbalization and prompt/response handling.
 
 Bag-of-words and TF-IDF are computed in long form ``(row_id, term, value)``:
-tokens are exploded, the 300-term vocabulary is a bounded top-k (broadcast),
-document frequencies and term frequencies are grouped counts, and the L2 norm is
+tokens are exploded, the 300-term vocabulary is a bounded top-k of the terms'
+total counts (broadcast) by which tokens are filtered before rows are grouped; document frequencies and term frequencies are grouped counts, and the L2 norm is
 a per-row aggregate.  Whole texts are tokenized (no prefixes).
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.exprs import quote_ident
+from kestrel.session import cut_lineage
 
 # Fixed pattern: tokens of two or more word characters (letters, digits, underscore)
 # after lower-casing — the vectorizer default, written with Unicode classes so
@@ -51,44 +52,61 @@ def term_counts(df: DataFrame, row_id: str, cols: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def top_terms(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300) -> DataFrame:
+    """The ``max_features`` terms with the greatest total count, ties broken by the term:
+    ``(term, tf_total)``.  Terms are counted without their rows, so that what travels are the
+    distinct terms of a task; bounded and written once."""
+    return cut_lineage(_doc_tokens(df, row_id, cols).groupBy("term").agg(F.count(F.lit(1)).alias("tf_total"))
+                       .orderBy(F.desc("tf_total"), "term").limit(max_features))
+
+
+def _vocabulary_counts(df: DataFrame, row_id: str, cols: Sequence[str], terms: DataFrame) -> DataFrame:
+    """:func:`term_counts` of the vocabulary's terms only; it has at most max_features rows: broadcast."""
+    return (_doc_tokens(df, row_id, cols).join(F.broadcast(terms.select("term")), "term", "left_semi")
+            .groupBy("row_id", "doc", "term").agg(F.count(F.lit(1)).alias("n")))
+
+
 def vocabulary(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300,
-               counts: DataFrame | None = None) -> DataFrame:
+               terms: DataFrame | None = None) -> DataFrame:
     """Top ``max_features`` terms by total count over the (row, column)
     documents; ties broken by the term.  ``(term, tf_total, df)``; bounded."""
-    c = counts if counts is not None else term_counts(df, row_id, cols)
-    stats = c.groupBy("term").agg(F.sum("n").alias("tf_total"), F.count(F.lit(1)).alias("df"))
-    return stats.orderBy(F.desc("tf_total"), "term").limit(max_features)
+    terms = top_terms(df, row_id, cols, max_features) if terms is None else terms
+    return _vocabulary_counts(df, row_id, cols, terms).groupBy("term").agg(
+        F.sum("n").alias("tf_total"), F.count(F.lit(1)).alias("df"))
 
 
-def _row_tf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    # the joined text's tokens are the union of its columns' tokens (a space
-    # separates columns), so row term frequencies are sums over the documents;
-    # the vocabulary has at most max_features rows: broadcast
-    return (counts.join(F.broadcast(vocab.select("term")), "term", "left_semi")
-            .groupBy("row_id", "term").agg(F.sum("n").alias("tf")))
+def _row_tf(counts: DataFrame, cols: Sequence[str]) -> DataFrame:
+    # the joined text's tokens are the union of its columns' tokens (a space separates columns),
+    # so row term frequencies are sums over the documents
+    if len(cols) == 1:
+        return counts.select("row_id", "term", F.col("n").alias("tf"))
+    return counts.groupBy("row_id", "term").agg(F.sum("n").alias("tf"))
 
 
-def bag_of_words(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300
-                 ) -> DataFrame:
+def bag_of_words(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300,
+                 terms: DataFrame | None = None) -> DataFrame:
     """D2 — counts of vocabulary terms in each row's joined text, long form
-    ``(row_id, term, tf)`` (absent terms are zeros)."""
-    counts = term_counts(df, row_id, cols)
-    return _row_tf(counts, vocabulary(df, row_id, cols, max_features, counts))
+    ``(row_id, term, tf)`` (absent terms are zeros).  ``terms``: :func:`top_terms`, if known."""
+    terms = top_terms(df, row_id, cols, max_features) if terms is None else terms
+    return _row_tf(_vocabulary_counts(df, row_id, cols, terms), cols)
 
 
-def tfidf(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300
-          ) -> DataFrame:
+def tfidf(df: DataFrame, row_id: str, cols: Sequence[str], max_features: int = 300,
+          terms: DataFrame | None = None) -> DataFrame:
     """D3 — ``tf * (ln((1+n)/(1+df)) + 1)`` with n the number of (row, column)
-    documents, each row L2-normalized; long form ``(row_id, term, tfidf)``."""
-    counts = term_counts(df, row_id, cols)
-    vocab = vocabulary(df, row_id, cols, max_features, counts)
+    documents, each row L2-normalized; long form ``(row_id, term, tfidf)``.  A row has at most
+    ``max_features`` terms, which are normalized together."""
+    terms = top_terms(df, row_id, cols, max_features) if terms is None else terms
+    counts = _vocabulary_counts(df, row_id, cols, terms)
+    vocab = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = df.agg((F.count(F.lit(1)) * len(cols)).alias("n_docs"))
     idf = (vocab.crossJoin(F.broadcast(n_docs))  # one row
            .select("term", (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-    w = _row_tf(counts, vocab).join(F.broadcast(idf), "term").withColumn(
-        "v", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("row_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return w.join(norm, "row_id").select("row_id", "term", (F.col("v") / F.col("norm")).alias("tfidf"))
+    per_row = (_row_tf(counts, cols).join(F.broadcast(idf), "term")
+               .groupBy("row_id").agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("v"))).alias("w")))
+    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x["v"] * x["v"]))
+    return per_row.withColumn("norm", norm).select("row_id", "norm", F.inline("w")).select(
+        "row_id", "term", (F.col("v") / F.col("norm")).alias("tfidf"))
 
 
 def to_dense(long: DataFrame, vocab_terms: Sequence[str], value: str, row_id: str = "row_id"

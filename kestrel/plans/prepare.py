@@ -19,6 +19,7 @@ from kestrel.operators import metrics as J
 from kestrel.operators import recode as R
 from kestrel.operators import sampling as E
 from kestrel.operators import text as D
+from kestrel.session import unbounded
 
 
 def prepare_ecommerce(tx: DataFrame, ranges: DataFrame, lo: str = "lower_bound_ip_address",
@@ -132,20 +133,20 @@ def to_feature_matrix(df: DataFrame, row_id: str, method: str = "ordinal",
     if text_cols and text_encoding == "word2vec":
         vectors = D.fit_word_vectors(df, text_cols, vector_size, min_count)
         means = D.mean_word_vectors(df, row_id, text_cols, vectors, vector_size)
-        return out.join(means, "row_id").select("row_id", F.concat("features", "vec").alias("features"))
+        return out.join(unbounded(means), "row_id").select("row_id", F.concat("features", "vec").alias("features"))
     if text_cols and text_encoding != "none":
+        if text_encoding not in ("tfidf", "bag_of_words"):
+            raise ValueError(f"unknown text encoding {text_encoding!r}")
+        terms = D.top_terms(df, row_id, text_cols, max_features)
         if text_encoding == "tfidf":
-            long = D.tfidf(df, row_id, text_cols, max_features)
+            long = D.tfidf(df, row_id, text_cols, max_features, terms)
             value = "tfidf"
-        elif text_encoding == "bag_of_words":
-            long = D.bag_of_words(df, row_id, text_cols, max_features)
-            value = "tf"
         else:
-            raise ValueError(f"unknown text encoding {text_encoding!r}")
-        vocab = [r.term for r in D.vocabulary(df, row_id, text_cols, max_features)
-                 .orderBy("term").select("term").collect()]  # bounded: max_features terms
+            long = D.bag_of_words(df, row_id, text_cols, max_features, terms)
+            value = "tf"
+        vocab = sorted(r.term for r in terms.select("term").collect())  # bounded: max_features terms
         dense = D.to_dense(long, vocab, value)
-        out = (out.join(dense, "row_id", "left")
+        out = (out.join(unbounded(dense), "row_id", "left")
                .select("row_id", F.concat("features", F.coalesce(
                    "vec", F.array_repeat(F.lit(0.0), len(vocab)))).alias("features")))
     return out

@@ -163,3 +163,13 @@ def test_fisherz_partial_correlation(spark):
     rx = x - np.polyval(np.polyfit(z, x, 1), z)
     ry = y - np.polyval(np.polyfit(z, y, 1), z)
     assert abs(r1["r"] - np.corrcoef(rx, ry)[0, 1]) < 1e-6 and r1["p"] > 0.001
+
+
+def test_term_counts_of_repeated_and_null_rows(spark):
+    """Rows with one id are one document, two columns are two; only vocabulary terms are grouped by row."""
+    rows = [(1, "aa aa bb", "cc"), (1, "aa dd", None), (None, "bb bb", "aa"), (2, "", "ee")]
+    df = spark.createDataFrame(rows, "row_id long, t string, u string")
+    bow = D.bag_of_words(df, "row_id", ["t", "u"], 2)
+    assert {(r.row_id, r.term): r.tf for r in bow.collect()} == {(1, "aa"): 3, (1, "bb"): 1, (None, "bb"): 2, (None, "aa"): 1}
+    assert {r.term: (r.tf_total, r.df) for r in D.vocabulary(df, "row_id", ["t", "u"], 2).collect()} == {"aa": (4, 2), "bb": (3, 2)}
+    assert "BroadcastHashJoin" in bow._jdf.queryExecution().executedPlan().toString().split("Aggregate")[-1]
