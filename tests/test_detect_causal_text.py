@@ -173,3 +173,17 @@ def test_term_counts_of_repeated_and_null_rows(spark):
     assert {(r.row_id, r.term): r.tf for r in bow.collect()} == {(1, "aa"): 3, (1, "bb"): 1, (None, "bb"): 2, (None, "aa"): 1}
     assert {r.term: (r.tf_total, r.df) for r in D.vocabulary(df, "row_id", ["t", "u"], 2).collect()} == {"aa": (4, 2), "bb": (3, 2)}
     assert "BroadcastHashJoin" in bow._jdf.queryExecution().executedPlan().toString().split("Aggregate")[-1]
+
+
+def test_clustering_deals_many_rows(spark, monkeypatch):
+    """Rows of one large file are dealt before the fit keeps them."""
+    from pyspark.ml.clustering import KMeans
+
+    from kestrel.operators import causal as CA
+    seen, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, x: seen.append(x.rdd.getNumPartitions()) or fit(self, x))
+    monkeypatch.setattr(CA, "CLUSTER_ROWS", 50, raising=False)
+    df = spark.range(0, 400, 1, 1).selectExpr("id AS row_id", "id % 2 * 100 AS a", "id % 2 * 100 AS b")
+    got = {(r.row_id % 2, r.cluster) for r in CA.cluster_rows(df, ["a", "b"], 2).collect()}
+    assert len(got) == 2 and len({c for _, c in got}) == 2
+    assert seen[0] >= 8
