@@ -24,6 +24,10 @@ from kestrel.session import cut_lineage
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
+#: Words that one task fits word vectors on.
+PART_WORDS = 1_000_000
+
+
 def _c(name: str) -> Column:
     return F.col(quote_ident(name))
 
@@ -121,13 +125,15 @@ def to_dense(long: DataFrame, vocab_terms: Sequence[str], value: str, row_id: st
 def fit_word_vectors(df: DataFrame, cols: Sequence[str], dim: int = 100, min_count: int = 5,
                      steps: int = 1, seed: int = 1) -> DataFrame:
     """Word vectors ``(word, vec)`` of dimension ``dim`` fitted on the texts (Spark ML
-    Word2Vec); words rarer than ``min_count`` have none."""
+    Word2Vec); words rarer than ``min_count`` have none.  Texts of more than PART_WORDS words are
+    fitted in as many parts, whose vectors Word2Vec averages, so that no task fits them all."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
     words = df.select(F.coalesce(F.regexp_extract_all(join_text(cols), F.lit(r"\S+"), 0),
                                  F.array().cast("array<string>")).alias("words"))
-    model = Word2Vec(vectorSize=dim, minCount=min_count, maxIter=steps, seed=seed, inputCol="words",
-                     outputCol="v").fit(words)
+    total = words.agg(F.sum(F.size("words"))).first()[0] or 0
+    model = Word2Vec(vectorSize=dim, minCount=min_count, maxIter=steps, seed=seed, inputCol="words", outputCol="v",
+                     numPartitions=max(1, -(-total // PART_WORDS))).fit(words)
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 

@@ -144,3 +144,24 @@ def test_rare_words_have_vectors(spark, tmp_path):
     assert all(any(got[1000 + i]) for i in range(3)) and not any(got[1003])
     rows = catalog.QUERIES["c12_feature_matrix_vectors"](spark, str(tmp_path)).collect()
     assert {r.row_id: any(list(r.features)[-16:]) for r in rows} == {1000: True, 1001: True, 1002: True, 1003: False}
+
+
+def test_many_words_are_fitted_in_parts(spark, monkeypatch):
+    """Word vectors of more words than a part holds are fitted by several tasks; few words by one."""
+    import pyspark.ml.feature as ml
+    from kestrel.operators import text as D
+    parts = []
+
+    class Recorded(ml.Word2Vec):
+        def fit(self, data, params=None):
+            parts.append(self.getNumPartitions())
+            return super().fit(data, params)
+
+    monkeypatch.setattr(ml, "Word2Vec", Recorded)
+    monkeypatch.setattr(D, "PART_WORDS", 100, raising=False)
+    df = spark.createDataFrame([(i, f"alpha w{i} beta w{i % 50}") for i in range(100)] + [(100, None)], "id long, t string")
+    many = {r.word: r.vec for r in D.fit_word_vectors(df, ["t"], 4, min_count=1).collect()}
+    assert len(many) == 102 and all(len(v) == 4 and any(v) for v in many.values())
+    D.fit_word_vectors(df.where("id < 10"), ["t"], 4, min_count=1).count()
+    D.fit_word_vectors(df.where("id = 100").unionByName(df.where("id = 5")), ["t"], 4, min_count=1).count()
+    assert parts == [4, 1, 1]
