@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.exprs import quote_ident
+from kestrel.session import cut_lineage, unbounded
 
 NULL_TOKEN = "None"
 START = ""  # context of the first position of an order
@@ -76,6 +77,8 @@ class DensityModel:
 # broadcast a fitted table only below this many bytes (a proven bound); larger
 # tables are shuffle-joined (AQE splits skewed partitions)
 BROADCAST_BYTES = 64_000_000
+# frequent contexts and frequent bigrams of a text model that are broadcast take this many each
+FREQUENT_BYTES = 24_000_000
 
 
 def size_bounds(model: DensityModel) -> DensityModel:
@@ -295,38 +298,75 @@ def token_table(df: DataFrame, row_id: str, text_col: str, pattern: str | None =
     txt = F.col(quote_ident(text_col))
     toks = F.regexp_extract_all(F.lower(txt) if lower else txt, F.lit(pattern or TOKEN_PATTERN), 0)
     t = df.select(F.col(quote_ident(row_id)).alias("row_id"), *extra, toks.alias("__t"))
-    return t.select("row_id", *extra, F.posexplode("__t").alias("pos", "token"), "__t").select(
-        "row_id", *extra, "pos", "token",
+    # outer, then the empty texts left out: else Spark tokenizes again to leave them out before
+    return t.select("row_id", *extra, F.posexplode_outer("__t").alias("pos", "token"), "__t").where(
+        "pos IS NOT NULL").select("row_id", *extra, "pos", "token",
         F.when(F.col("pos") == 0, F.lit(START)).otherwise(
             F.element_at("__t", F.col("pos"))).alias("prev"))
 
 
 def fit_text_model(train_tokens: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """I5 (fit) — bigram counts ``(prev, token, n)``, context counts
-    ``(prev, n_ctx)`` and the vocabulary size (one row)."""
-    big = train_tokens.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
-    ctx = train_tokens.groupBy("prev").agg(F.count(F.lit(1)).alias("n_ctx"))
-    vocab = train_tokens.agg(F.count_distinct("token").alias("V"))
+    ``(prev, n_ctx)`` and the vocabulary size (one row).  The counts are kept once; contexts and
+    vocabulary are read off the bigrams, not off the tokens."""
+    big = cut_lineage(train_tokens.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n")))
+    ctx = cut_lineage(big.groupBy("prev").agg(F.sum("n").alias("n_ctx")))
+    vocab = big.agg(F.count_distinct("token").alias("V"))
     return big, ctx, vocab
 
 
+def _frequent(counts: DataFrame, keys: Sequence[str], n: str, limit: int) -> tuple[DataFrame, bool]:
+    """The most frequent rows of a count table that take at most ``limit`` bytes together, and
+    whether these are all.  The least count is read off a histogram of four steps per doubling."""
+    size = sum((F.coalesce(F.octet_length(k), F.lit(0)) for k in keys), F.lit(64)).cast("long")
+    steps = sorted(counts.groupBy(F.floor(F.log2(n) * 4).alias("step")).agg(
+        F.min(n).alias("least"), F.sum(size).alias("bytes")).collect(), reverse=True)
+    least, taken = None, 0
+    for r in steps:
+        taken += r["bytes"]
+        if taken > limit:
+            return counts.where(F.lit(False) if least is None else F.col(n) >= least), False
+        least = r["least"]
+    return counts, True
+
+
+def _looked_up(tokens: DataFrame, model, limit: int | None = None) -> DataFrame:
+    """Tokens with ``n`` (of prev and token), ``n_ctx`` (of prev), null where unseen, and ``V``.
+
+    Words are as uneven as language: a join on them would gather a frequent word's tokens in one
+    task.  Frequent contexts and bigrams (a bounded table each) are broadcast, which leaves most
+    tokens where they are; only tokens of rare contexts or bigrams are shuffled."""
+    big, ctx, vocab = model
+    limit = FREQUENT_BYTES if limit is None else limit
+    many_ctx, all_ctx = _frequent(ctx, ["prev"], "n_ctx", limit)
+    many, all_big = _frequent(big, ["prev", "token"], "n", limit)
+    rows = (tokens.join(F.broadcast(many_ctx), "prev", "left")
+            .join(F.broadcast(many), ["prev", "token"], "left"))
+    if not all_big:
+        known = F.lit(True) if all_ctx else F.col("n_ctx").isNotNull()
+        rest = rows.where(known & F.col("n").isNull()).drop("n")
+        if not all_ctx:
+            rare = rows.where(~known).drop("n", "n_ctx").join(unbounded(ctx), "prev", "left")
+            rest = rest.unionByName(rare)
+        rows = rows.where(known & F.col("n").isNotNull()).unionByName(
+            rest.join(unbounded(big), ["prev", "token"], "left"))
+    return rows.crossJoin(F.broadcast(vocab))  # one row
+
+
+def _bigram_nll(alpha: float):
+    return -F.ln((F.coalesce("n", F.lit(0)) + alpha) / (F.coalesce("n_ctx", F.lit(0)) + alpha * F.col("V")))
+
+
 def score_text_nll(tokens: DataFrame, model, alpha: float = 1.0) -> DataFrame:
     """I5 — per-token ``-ln((n(prev,tok)+a)/(n(prev)+a V))`` and the
     length-normalized row score ``(row_id, score, n_tokens)``."""
-    big, ctx, vocab = model
-    t = (tokens.join(big, ["prev", "token"], "left").join(ctx, "prev", "left")
-         .crossJoin(F.broadcast(vocab)))  # one row
-    nll = -F.ln((F.coalesce("n", F.lit(0)) + alpha) / (F.coalesce("n_ctx", F.lit(0)) + alpha * F.col("V")))
-    return t.groupBy("row_id").agg(F.avg(nll).alias("score"), F.count(F.lit(1)).alias("n_tokens"))
+    return _looked_up(tokens, model).groupBy("row_id").agg(
+        F.avg(_bigram_nll(alpha)).alias("score"), F.count(F.lit(1)).alias("n_tokens"))
 
 
-def token_nll(tokens: DataFrame, model, alpha: float = 1.0) -> DataFrame:
-    """Per-token NLL ``(row_id, pos, nll)`` under the bigram model."""
-    big, ctx, vocab = model
-    t = (tokens.join(big, ["prev", "token"], "left").join(ctx, "prev", "left")
-         .crossJoin(F.broadcast(vocab)))
-    return t.select("row_id", "pos", (-F.ln((F.coalesce("n", F.lit(0)) + alpha)
-                                           / (F.coalesce("n_ctx", F.lit(0)) + alpha * F.col("V")))).alias("nll"))
+def token_nll(tokens: DataFrame, model, alpha: float = 1.0, keys: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Per-token NLL ``(*keys, pos, nll)`` under the bigram model."""
+    return _looked_up(tokens, model).select(*keys, "pos", _bigram_nll(alpha).alias("nll"))
 
 
 def value_spans(df: DataFrame, row_id: str, orders, cols) -> DataFrame:

@@ -215,20 +215,12 @@ def q_attribute(spark, sf_dir):
     toks = I.token_table(ser.withColumnRenamed("order_id", "perm_id"), "row_id", "text",
                          pattern=r"\S+", lower=False, extra=["perm_id", "label"])
     model = I.fit_text_model(toks.where("label = 0"))
-    tn = _token_nll_with_perm(toks, model)
+    tn = I.token_nll(toks, model, 1.0, ["row_id", "perm_id"])
     spans = I.value_spans(m, "row_id", perms, FEATS)
     out = I.attribute_tokens(tn, spans)
     return out.withColumn("nll", F.round("nll", 9))
 
 
-def _token_nll_with_perm(toks, model):
-    big, ctx, vocab = model
-    t = (toks.join(big, ["prev", "token"], "left").join(ctx, "prev", "left")
-         .crossJoin(F.broadcast(vocab)))
-    return t.select("row_id", "perm_id", "pos", (-F.ln((F.coalesce("n", F.lit(0)) + 1.0)
-                                                       / (F.coalesce("n_ctx", F.lit(0)) + F.col("V")))).alias("nll"))
-
-
 @register("i12_score_with", f"""
 WITH m AS ({BD.MIXED_SQL}),
 cols AS (SELECT unnest({FEATS!r}) AS col),

@@ -127,3 +127,29 @@ def test_small_density_tables_are_broadcast(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert out.count() == 3600
+
+
+def test_frequent_words_are_looked_up_without_a_shuffle(spark, monkeypatch):
+    """Nearly all tokens follow 'is': they stay where they are, only rare ones are merged; every
+    token gets its counts, whether its context and bigram are broadcast, merged or unseen."""
+    from collections import Counter
+
+    texts = [f"aa is v{i % 400} is w{i} end{i % 7}" for i in range(600)] + ["zz is new", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    toks = I.token_table(df, "doc_id", "text")
+    fit = [t.split() for t in texts[:500]]
+    pairs = [p for t in fit for p in zip([""] + t, t)]
+    big, ctx, v = Counter(pairs), Counter(p for p, _ in pairs), len({t for _, t in pairs})
+    for limit in (0, 400, 3_000, 24_000_000):
+        monkeypatch.setattr(I, "FREQUENT_BYTES", limit)
+        out = I.token_nll(toks, I.fit_text_model(toks.where("row_id < 500")), 0.5)
+        got = {(r.row_id, r.pos): r.nll for r in out.collect()}
+        want = {(i, at): -math.log((big[p] + 0.5) / (ctx[p[0]] + 0.5 * v)) for i, t in enumerate(texts)
+                for at, p in enumerate(zip([""] + t.split(), t.split()))}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (limit < 24_000_000)
+    monkeypatch.setattr(I, "FREQUENT_BYTES", 400)
+    model = I.fit_text_model(toks.where("row_id < 500"))
+    many, whole = I._frequent(model[1], ["prev"], "n_ctx", 400)
+    assert not whole and "is" in {r.prev for r in many.collect()}
