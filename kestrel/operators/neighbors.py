@@ -5,8 +5,10 @@ points is dealt again to pivots of its own, so that no cell is large however cro
 and equal points are one point with a count.  A first pass searches every query point's own cell, which
 bounds its k-th distance.  A second pass sends it only to cells whose ring (least and greatest
 distance of their points from the pivot) it can reach within that bound: by the triangle
-inequality no other cell holds a nearer point.  Both passes compare blocks of a bounded number of
-points, and a cell returns at most k distances of a point.
+inequality no other cell holds a nearer point.  In many dimensions rings rule out few cells, so
+cells travel in groups: a query point goes once to a group, with the list of its cells to search.
+Both passes compare blocks of a bounded number of points, and a group returns at most k distances
+of a point.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from kestrel.session import cut_lineage
 #: Points of a cell aimed at (twice as many are left whole), most cells (pivots go to all tasks),
 #: and query points compared with a cell at a time.
 CELL_POINTS, MAX_CELLS, BLOCK = 2048, 8192, 2048
+#: Groups of cells aimed at, and most points of a group (but for its last cell): so many points and
+#: as many query points are in a task.
+GROUPS, GROUP_POINTS = 16, 131_072
 #: Part of a bound that rounding may take.
 SLACK = 1e-9
 
@@ -133,37 +138,48 @@ def _cells(points: DataFrame, cell_points: int, max_cells: int) -> tuple[DataFra
 
 
 def _search(pairs: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """(qid, near): for pairs (qid, q, cell, bound) the k nearest points of the cell (by count)
-    within the bound, as (squared distance, count); nothing where there is none.
+    """(qid, near): for pairs (qid, q, grp, reach, bound) the k nearest points (by count) within the
+    bound of the cells ``reach`` of the group, as (squared distance, count); nothing where there is none.
 
-    Pairs of a cell are cut into blocks, and the cell's points go to each of its blocks."""
-    blocks = cut_lineage(pairs.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")))  # one row per cell
-    left = pairs.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
-    right = cells.join(F.broadcast(blocks), "cell").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "block", "v", "n")
+    Pairs of a group are cut into blocks of about as many query points as it has points, and the
+    group's points (grp, cell, v, n) go to each of its blocks."""
+    points = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("points"))
+    blocks = cut_lineage(pairs.groupBy("grp").agg(F.count(F.lit(1)).alias("pairs")).join(points, "grp").select(
+        "grp", F.ceil(F.col("pairs") / F.greatest("points", F.lit(BLOCK))).cast("int").alias("blocks")))  # one row per group
+    left = pairs.join(F.broadcast(blocks), "grp").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
+    right = cells.join(F.broadcast(blocks), "grp").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", "block", "cell", "v", "n")
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         ids, near = [], []
         if len(queries) and len(members):
-            y, n = _matrix(members["v"]), members["n"].to_numpy()
-            m = min(len(y), k)
-            step = max(1, 4_000_000 // len(y))
-            for at in range(0, len(queries), step):
-                part = queries.iloc[at:at + step]
-                x, bound = _matrix(part["q"]), part["bound"].to_numpy()
-                d = _squared(x, y)
-                pick = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(y) else np.tile(np.arange(m), (len(x), 1))
-                for i, qid in enumerate(part["qid"]):
-                    exact = ((y[pick[i]] - x[i]) ** 2).sum(axis=1)
-                    order = np.argsort(exact, kind="stable")
-                    order = order[exact[order] <= bound[i] * (1 + SLACK)]
-                    if len(order):
-                        ids.append(qid)
-                        near.append([{"d": float(exact[o]), "n": int(n[pick[i][o]])} for o in order])
+            x, limit = _matrix(queries["q"]), queries["bound"].to_numpy() * (1 + SLACK)
+            best, times = np.full((len(x), k), np.inf), np.zeros((len(x), k), dtype=np.int64)
+            to = np.concatenate([np.asarray(r) for r in queries["reach"]])
+            row = np.repeat(np.arange(len(x)), [len(r) for r in queries["reach"]])
+            for cell, part in members.groupby("cell"):
+                y, n = _matrix(part["v"]), part["n"].to_numpy()
+                m = min(len(y), k)
+                step = max(1, 4_000_000 // max(len(y), m * y.shape[1]))
+                rows = row[to == cell]
+                for at in range(0, len(rows), step):
+                    own = rows[at:at + step]
+                    q = x[own]
+                    d = _squared(q, y)
+                    pick = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(y) else np.tile(np.arange(m), (len(q), 1))
+                    exact = ((y[pick] - q[:, None, :]) ** 2).sum(axis=2)
+                    both, n_both = np.hstack([best[own], exact]), np.hstack([times[own], n[pick]])
+                    order = np.argsort(both, axis=1, kind="stable")[:, :k]
+                    best[own] = np.take_along_axis(both, order, axis=1)
+                    times[own] = np.take_along_axis(n_both, order, axis=1)
+            within = (times > 0) & (best <= limit[:, None])
+            qid = queries["qid"].to_numpy()
+            for i in np.flatnonzero(within.any(axis=1)):
+                ids.append(qid[i])
+                near.append([{"d": d, "n": n} for d, n in zip(best[i][within[i]].tolist(), times[i][within[i]].tolist())])
         return pd.DataFrame({"qid": pd.Series(ids, dtype="int64"), "near": near})
 
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(
+    return left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInPandas(
         compare, "qid long, near array<struct<d: double, n: long>>")
 
 
@@ -195,10 +211,16 @@ def knn_score(train: DataFrame, vector: str, k: int = 5, test: DataFrame | None
         queries.select("pid", "v", "n", F.lit(0).alias("cell"), F.lit(0.0).alias("radius")),
         lambda c, ids=np.arange(len(pivots), dtype=np.int32): (ids, pivots))
     first = cut_lineage(started.select(F.col("pid").alias("qid"), F.col("v").alias("q"), "cell"))
-    home = cut_lineage(_search(first.withColumn("bound", F.lit(float("inf"))), cells, k_found))
+    home = cut_lineage(_search(
+        first.select("qid", "q", F.col("cell").alias("grp"), F.array("cell").alias("reach"),
+                     F.lit(float("inf")).alias("bound")), cells.withColumn("grp", F.col("cell")), k_found))
     bounded = first.join(home, "qid", "left").withColumn(
         "bound", F.coalesce(_kth("near", k_found), F.lit(float("inf"))))
     count, low, high = rings.T
+    group_points = max(cell_points, min(GROUP_POINTS, -(-int(count.sum()) // GROUPS)))
+    group_of = ((np.cumsum(count) - count) // group_points).astype(np.int32)  # ascending by cell
+    table = cells.sparkSession.createDataFrame(list(enumerate(group_of.tolist())), "cell int, grp int")
+    grouped = cells.join(F.broadcast(table), "cell")  # one row per cell
 
     def reach(batches):
         for b in batches:
@@ -213,14 +235,20 @@ def knn_score(train: DataFrame, vector: str, k: int = 5, test: DataFrame | None
                 can = away ** 2 <= bound[:, None] * (1 + SLACK)
                 can[np.arange(len(x)), part.column("cell").to_numpy(zero_copy_only=False)] = False
                 row, cell = np.nonzero(can)
-                rows = pa.array(row)
+                grp = group_of[cell]
+                at_first = np.ones(len(row), dtype=bool)
+                at_first[1:] = (row[1:] != row[:-1]) | (grp[1:] != grp[:-1])
+                start = np.flatnonzero(at_first)
+                rows = pa.array(row[start])
+                cells_of = pa.ListArray.from_arrays(
+                    pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(cell.astype(np.int32)))
                 yield pa.record_batch([part.column("qid").take(rows), part.column("q").take(rows),
-                                       pa.array(cell.astype(np.int32)), pa.array(bound[row])],
-                                      names=["qid", "q", "cell", "bound"])
+                                       pa.array(grp[start]), cells_of, pa.array(bound[row[start]])],
+                                      names=["qid", "q", "grp", "reach", "bound"])
 
     further = bounded.select("qid", "q", "cell", "bound").mapInArrow(
-        reach, "qid long, q binary, cell int, bound double")
-    near = home.unionByName(_search(further, cells, k_found)).groupBy("qid").agg(
+        reach, "qid long, q binary, grp int, reach array<int>, bound double")
+    near = home.unionByName(_search(further, grouped, k_found)).groupBy("qid").agg(
         _kth(F.flatten(F.collect_list("near")), k_found).alias("d2"))
     scores = queries.select(F.col("pid").alias("qid"), F.col("x").alias("__x")).join(near, "qid").select(
         "__x", F.sqrt("d2").alias(out))

@@ -59,3 +59,19 @@ def test_only_reachable_cells(spark):
     finally:
         nb._search = search
     assert sent[0] == len(x) and sent[1] < 4 * len(x)
+
+
+def test_a_query_goes_once_to_a_group_of_cells(spark):
+    """In many dimensions nearly every cell is within reach; the copies of a point stay few."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (1500, 24))
+    import kestrel.operators.neighbors as nb
+    sent = []
+    search = nb._search
+    nb._search = lambda pairs, cells, k: sent.append(pairs.count()) or search(pairs, cells, k)
+    try:
+        got = {r["id"]: r["score"] for r in knn_score(frame(spark, x), "x", 5, cell_points=20).collect()}
+    finally:
+        nb._search = search
+    assert sent[1] <= (nb.GROUPS + 1) * len(x)
+    assert np.allclose([got[i] for i in range(len(x))], brute(x, x, 5, True), atol=1e-9)
