@@ -348,8 +348,10 @@ def _looked_up(tokens: DataFrame, model, limit: int | None = None) -> DataFrame:
         if not all_ctx:
             rare = rows.where(~known).drop("n", "n_ctx").join(unbounded(ctx), "prev", "left")
             rest = rest.unionByName(rare)
+        # sorted by a hash first: words that begin alike are slow to compare
+        h = F.xxhash64("prev", "token").alias("__h")
         rows = rows.where(known & F.col("n").isNotNull()).unionByName(
-            rest.join(unbounded(big), ["prev", "token"], "left"))
+            rest.select("*", h).join(unbounded(big.select("*", h)), ["__h", "prev", "token"], "left").drop("__h"))
     return rows.crossJoin(F.broadcast(vocab))  # one row
 
 
