@@ -152,12 +152,13 @@ def test_many_words_are_fitted_in_parts(spark, monkeypatch):
     from kestrel.operators import text as D
     parts = []
 
-    class Recorded(ml.Word2Vec):
-        def fit(self, data, params=None):
-            parts.append(self.getNumPartitions())
-            return super().fit(data, params)
+    fit = ml.Word2Vec.fit
 
-    monkeypatch.setattr(ml, "Word2Vec", Recorded)
+    def recorded(self, data, params=None):
+        parts.append(self.getNumPartitions())
+        return fit(self, data, params)
+
+    monkeypatch.setattr(ml.Word2Vec, "fit", recorded)
     monkeypatch.setattr(D, "PART_WORDS", 100, raising=False)
     df = spark.createDataFrame([(i, f"alpha w{i} beta w{i % 50}") for i in range(100)] + [(100, None)], "id long, t string")
     many = {r.word: r.vec for r in D.fit_word_vectors(df, ["t"], 4, min_count=1).collect()}
