@@ -11,12 +11,16 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.exprs import quote_ident
-from kestrel.session import cut_lineage
+from kestrel.functions.prefix import prefix_sums
+from kestrel.session import cut_lineage, unbounded
 
 # Fixed pattern: tokens of two or more word characters (letters, digits, underscore)
 # after lower-casing — the vectorizer default, written with Unicode classes so
@@ -24,8 +28,12 @@ from kestrel.session import cut_lineage
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-#: Words that one task fits word vectors on.
-PART_WORDS = 1_000_000
+#: Words that one task fits word vectors on, and numbers of the vectors of as many words that one task averages.
+PART_WORDS, PART_NUMBERS = 1_000_000, 16_000_000
+#: Distinct words that Spark ML, which keeps them all on the driver, fits vectors of.
+VOCABULARY = 100_000
+#: Words of a sentence; a longer text counts as several (as in Spark ML's Word2Vec).
+SENTENCE = 1000
 
 
 def _c(name: str) -> Column:
@@ -122,18 +130,113 @@ def to_dense(long: DataFrame, vocab_terms: Sequence[str], value: str, row_id: st
         F.element_at("m", t).cast("double"), F.lit(0.0))).alias("vec"))
 
 
+def _words(cols: Sequence[str]) -> Column:
+    return F.regexp_extract_all(join_text(cols), F.lit(r"\S+"), 0)
+
+
+def _n_words(df: DataFrame, cols: Sequence[str]) -> int:
+    return df.agg(F.sum(F.size(_words(cols)))).first()[0] or 0
+
+
+def _part_keys(spark: SparkSession, n: int) -> list[int]:
+    """A key for each of ``n`` parts such that a shuffle into ``n`` partitions sends each part to its own."""
+    found = {r.at: r.key for r in spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at"))
+             .agg(F.min("id").alias("key")).collect()}
+    return [found.get(p, 32 * n + p) for p in range(n)]
+
+
+def _dealt(df: DataFrame, cols: Sequence[str], n: int, *keep: Column) -> DataFrame:
+    """``(keep, piece, part)``: the texts' words, joined by spaces in pieces of SENTENCE words, dealt to ``n``
+    parts.  Written once: the part must mean the same rows in each use."""
+    last = F.floor((F.size("words") - 1) / SENTENCE).cast("int")
+    pieces = df.select(*keep, _words(cols).alias("words")).select(
+        *[c for c in ("row_id",) if keep], F.explode(F.when(F.size("words") > 0, F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.array_join(F.slice("words", i * SENTENCE + 1, F.lit(SENTENCE)), " ")))).alias("piece"))
+    keys = F.array(*[F.lit(k) for k in _part_keys(df.sparkSession, n)])
+    return cut_lineage(pieces.repartition(n).withColumn("part", F.element_at(keys, F.spark_partition_id() + 1)))
+
+
+def _part_words(dealt: DataFrame) -> DataFrame:
+    """Distinct words of each part and how often they occur there: ``(part, word, n)``."""
+    return (dealt.select("part", F.explode(F.split("piece", " ")).alias("word"))
+            .groupBy("part", "word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _by_part(dealt: DataFrame, words: DataFrame, n: int, run, schema) -> DataFrame:
+    """``run(part, pieces, words)`` for each part's pieces and what is known of its words (Arrow tables)."""
+    left = dealt.repartition(n, "part").groupBy("part")
+    right = words.withColumnRenamed("part", "at").repartition(n, "at").groupBy("at")
+    return left.cogroup(right).applyInArrow(lambda key, p, w: run(key[0].as_py(), p, w), schema)
+
+
+def _indices(pieces: pa.Table, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of all words, piece after piece, the position in ``words`` (-1: not there); where the pieces end."""
+    split = pc.split_pattern(pieces["piece"].combine_chunks(), " ")
+    at = pc.fill_null(pc.index_in(split.flatten(), value_set=words), -1)
+    return (at.to_numpy(zero_copy_only=False).astype(np.int64),
+            np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64))
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()),
+                                    pa.array(rows.ravel()))
+
+
+def _fit_parts(dealt: DataFrame, local: DataFrame, leaves: DataFrame, runs: Sequence[tuple[int, int]],
+               n: int, dim: int, seed: int) -> DataFrame:
+    """Skip-gram with hierarchical softmax (:mod:`kestrel.functions.skipgram`) on each part; a word's vectors are
+    averaged, weighted by how often a part moved them.  A task holds the words of its part only."""
+    from kestrel.functions import skipgram as S
+    tree, root = S.huffman(runs), 2 * sum(k for _, k in runs) - 2
+    total = sum(w * k for w, k in runs)
+    number = {k: p for p, k in enumerate(_part_keys(dealt.sparkSession, n))}
+
+    def run(key, pieces, words):
+        words, part = words.sort_by("leaf"), number[key]
+        # in an order that does not depend on how the rows arrived
+        pieces = pieces.sort_by("piece")
+        pieces = pieces.take(pa.array(np.random.default_rng([seed & 0xFFFFFFFF, part, 1]).permutation(len(pieces))))
+        names = words["word"].combine_chunks()
+        at, ends = _indices(pieces, names)
+        known = at >= 0  # others are too rare
+        ends = np.r_[0, np.cumsum(known)][ends]
+        vec, moved = S.train(at[known], ends, words["leaf"].to_numpy(), tree, root, dim, total, n, part, seed)
+        # a word that no part moved, alone in its sentences, keeps its first vector, the same in each part
+        return pa.table({"word": names, "n": np.maximum(moved, 1e-9), "vec": _lists(vec)})
+
+    fitted = _by_part(dealt, local.join(unbounded(leaves), "word").select("part", "word", "leaf"), n, run,
+                      "word string, n double, vec array<float>")
+    sums = fitted.groupBy("word").agg(F.sum("n").alias("n"), *[
+        F.sum(F.col("vec")[i] * F.col("n")).alias(f"v{i}") for i in range(dim)])
+    return cut_lineage(sums.select("word", F.array(*[F.col(f"v{i}") / F.col("n") for i in range(dim)]).alias("vec")))
+
+
 def fit_word_vectors(df: DataFrame, cols: Sequence[str], dim: int = 100, min_count: int = 5,
                      steps: int = 1, seed: int = 1) -> DataFrame:
     """Word vectors ``(word, vec)`` of dimension ``dim`` fitted on the texts (Spark ML
     Word2Vec); words rarer than ``min_count`` have none.  Texts of more than PART_WORDS words are
-    fitted in as many parts, whose vectors Word2Vec averages, so that no task fits them all."""
+    fitted in as many parts, whose vectors Word2Vec averages, so that no task fits them all.
+    Word2Vec keeps the vocabulary on the driver: of more than VOCABULARY words, one pass over the
+    parts is made by the same method without it."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
-    words = df.select(F.coalesce(F.regexp_extract_all(join_text(cols), F.lit(r"\S+"), 0),
-                                 F.array().cast("array<string>")).alias("words"))
-    total = words.agg(F.sum(F.size("words"))).first()[0] or 0
+    total = _n_words(df, cols)
+    n = max(1, -(-total // PART_WORDS))
+    if total > VOCABULARY and steps == 1:
+        dealt = _dealt(df, cols, n)
+        local = cut_lineage(_part_words(dealt))
+        counts = (local.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+                  .withColumn("one", F.lit(1)))
+        leaves = prefix_sums(counts, [], "n", ["one"], tiebreak=["word"]).select(
+            "word", "n", F.col("one_before").alias("leaf"))
+        # of N words, at most sqrt(2 N) different counts
+        runs = sorted((r.n, r["count"]) for r in leaves.groupBy("n").count().collect())
+        if sum(k for _, k in runs) > VOCABULARY:
+            return _fit_parts(dealt, local, leaves, runs, n, dim, seed)
+    words = df.select(F.coalesce(_words(cols), F.array().cast("array<string>")).alias("words"))
     model = Word2Vec(vectorSize=dim, minCount=min_count, maxIter=steps, seed=seed, inputCol="words", outputCol="v",
-                     numPartitions=max(1, -(-total // PART_WORDS))).fit(words)
+                     numPartitions=n).fit(words)
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
@@ -141,18 +244,41 @@ def mean_word_vectors(df: DataFrame, row_id: str, cols: Sequence[str], vectors:
                       dim: int) -> DataFrame:
     """D4 — mean of the known words' vectors (words split on whitespace,
     case-sensitive), zeros when no word is known.  ``vectors(word, vec)``.
-    A row's words are counted before the join, and whole vectors are averaged, weighted by the
-    counts, with map-side combination."""
+    Rows are dealt to parts; the distinct words of a part are joined with the vectors, and its
+    rows are averaged from them, so that words in running text are not shuffled one by one."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    words = (df.select(F.col(quote_ident(row_id)).alias("row_id"),
-                       F.explode(F.regexp_extract_all(join_text(cols), F.lit(r"\S+"), 0)).alias("word"))
-             .groupBy("row_id", "word").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    known = words.join(vectors.select("word", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "word")
-    vec = known.groupBy("row_id").agg(
+    rows = F.col(quote_ident(row_id)).alias("row_id")
+    n = max(1, -(-_n_words(df, cols) * max(dim, 16) // PART_NUMBERS))
+    dealt = _dealt(df, cols, n, rows)
+    known = _part_words(dealt).join(unbounded(vectors.where(F.col("vec").isNotNull()).select(
+        "word", F.transform("vec", lambda x: x.cast("double")).alias("vec"))), "word").select("part", "word", "vec")
+
+    def run(key, pieces, words):
+        names = words["word"].combine_chunks().dictionary_encode()
+        of = names.indices.to_numpy(zero_copy_only=False)  # a word may have several vectors
+        each = words["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(of), -1) \
+            if len(of) else np.zeros((0, dim))
+        times = np.r_[np.bincount(of, minlength=len(names.dictionary)), 0]
+        sums = np.zeros((len(times), each.shape[1]))
+        np.add.at(sums, of, each)
+        at, ends = _indices(pieces, names.dictionary)
+        starts = np.r_[0, ends[:-1]]
+        weight, mean = np.zeros(len(pieces)), np.zeros((len(pieces), sums.shape[1]))
+        for lo in range(0, len(pieces), 128):  # of at most SENTENCE words; unknown ones are at -1: zeros
+            hi = min(lo + 128, len(pieces))
+            here, begin = at[starts[lo]:ends[hi - 1]], starts[lo:hi] - starts[lo]
+            weight[lo:hi] = np.add.reduceat(times[here], begin)
+            mean[lo:hi] = np.add.reduceat(sums[here], begin, axis=0) / np.maximum(weight[lo:hi], 1)[:, None]
+        out = pa.table({"row_id": pieces["row_id"], "n": weight, "vec": _lists(mean)})
+        return out.filter(pa.array(weight > 0))
+
+    schema = T.StructType([T.StructField("row_id", dealt.schema["row_id"].dataType), T.StructField("n", T.DoubleType()),
+                           T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    vec = _by_part(dealt, known, n, run, schema).groupBy("row_id").agg(
         vector_to_array(Summarizer.mean(array_to_vector("vec"), F.col("n"))).alias("vec"))
     zeros = F.array_repeat(F.lit(0.0), dim)
-    return (df.select(F.col(quote_ident(row_id)).alias("row_id")).join(vec, "row_id", "left")
+    return (df.select(rows).join(vec, "row_id", "left")
             .select("row_id", F.coalesce("vec", zeros).alias("vec")))
 
 
