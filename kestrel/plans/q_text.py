@@ -52,8 +52,8 @@ def q_tfidf(spark, sf_dir):
 
 @register("d04_mean_word_vectors")
 def q_word_vectors(spark, sf_dir):
-    """Word vectors fitted with Spark ML Word2Vec on the conversation texts, then
-    averaged per conversation turn."""
+    """Word vectors fitted on the conversation texts (Spark ML Word2Vec, a large vocabulary by
+    the same method in parts), then averaged per conversation turn."""
     conv = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
     return D.mean_word_vectors(conv, "row_id", ["text"], D.fit_word_vectors(conv, ["text"], 16, min_count=1), 16)

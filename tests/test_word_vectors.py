@@ -141,3 +141,23 @@ def test_means_are_those_of_plain_loops(spark, monkeypatch):
     assert [k for k, _ in got] == [k for k, _ in want]
     assert np.allclose([v for _, v in got], [v for _, v in want])
     assert not any(dict(got)[501]) and not any(dict(got)[-1])
+
+
+def test_both_queries_fit_a_large_vocabulary_off_the_driver(spark, monkeypatch, tmp_path):
+    """d04 and c12 hold the same mean vectors; every row with a word has one, a word seen once included."""
+    import pyspark.ml.feature as ml
+    from kestrel.plans import catalog
+    monkeypatch.setattr(ml.Word2Vec, "fit", lambda *a, **b: pytest.fail("the vocabulary went to the driver"))
+    monkeypatch.setattr(D, "VOCABULARY", 10, raising=False)
+    monkeypatch.setattr(D, "PART_WORDS", 100)
+    rows = [(1, i, ["user", "bot"][i % 2], f"once{i} again here w{i % 7}" if i % 9 else [None, "", f"only{i}"][i // 9 % 3])
+            for i in range(90)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string") \
+        .write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.row_id: list(r.vec) for r in catalog.QUERIES["d04_mean_word_vectors"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1000 + i for i in range(90)}
+    assert all(len(v) == 16 and any(v) == bool(rows[k - 1000][3]) for k, v in got.items())
+    features = {r.row_id: list(r.features) for r in
+                catalog.QUERIES["c12_feature_matrix_vectors"](spark, str(tmp_path)).collect()}
+    assert set(features) == set(got) and {len(f) for f in features.values()} == {17}
+    assert all(np.allclose(features[k][1:], v) for k, v in got.items())
